@@ -1,0 +1,7 @@
+"""Streaming.
+
+The cohort definitions are batch computations over the whole claims history (first
+qualifying pair, whole-history span, "ever" exclusions), so there is no streaming
+operator to provide. Incremental refresh is done by re-running
+:func:`claims_cohorts.plans.run.run_cohorts` over the updated tables.
+"""
