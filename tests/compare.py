@@ -1,0 +1,89 @@
+"""Compare every registered Spark query with its DuckDB oracle (rows, columns, values)."""
+
+from __future__ import annotations
+
+import datetime as dt
+import hashlib
+import sys
+import time
+
+import duckdb
+
+TABLES = [
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+    "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
+]
+
+
+def _norm(v):
+    if v is None:
+        return "∅"
+    if isinstance(v, float) and v != v:
+        return "∅"
+    if isinstance(v, dt.datetime):
+        if v.time() == dt.time(0):
+            return v.date().isoformat()
+        return v.isoformat()
+    if isinstance(v, dt.date):
+        return v.isoformat()
+    if isinstance(v, bool):
+        return str(v)
+    if isinstance(v, float):
+        return repr(round(v, 6))
+    if hasattr(v, "item"):
+        return _norm(v.item())
+    return str(v)
+
+
+def digest(columns, rows) -> str:
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    lines = sorted("|".join(_norm(r[i]) for i in order) for r in rows)
+    return hashlib.sha256("\n".join(lines).encode()).hexdigest()[:16]
+
+
+def duck(sf_dir: str):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
+    return con
+
+
+def compare(spark, sf_dir: str, names=None, verbose=True):
+    sys.path.insert(0, ".")
+    import __spark_entry__ as E
+
+    qs, sqls = E.queries(), E.oracle_sql()
+    con = duck(sf_dir)
+    results = {}
+    for name in names or sorted(qs):
+        t0 = time.time()
+        df = qs[name](spark, sf_dir)
+        s_cols = df.columns
+        s_rows = [tuple(r) for r in df.collect()]
+        t1 = time.time()
+        if name not in sqls:
+            results[name] = ("no-oracle", len(s_rows))
+            continue
+        cur = con.execute(sqls[name])
+        d_cols = [c[0] for c in cur.description]
+        d_rows = cur.fetchall()
+        ok_cols = sorted(s_cols) == sorted(d_cols)
+        ok_rows = len(s_rows) == len(d_rows)
+        ok_hash = ok_cols and digest(s_cols, s_rows) == digest(d_cols, d_rows)
+        results[name] = (ok_cols and ok_rows and ok_hash, len(s_rows), len(d_rows), round(t1 - t0, 2))
+        if verbose:
+            print(name, results[name], "" if ok_cols else (s_cols, d_cols), flush=True)
+    return results
+
+
+if __name__ == "__main__":
+    sys.path.insert(0, ".")
+    from claims_cohorts.session import local_session
+
+    sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
+    names = sys.argv[2:] or None
+    spark = local_session(8)
+    res = compare(spark, sf, names)
+    bad = [k for k, v in res.items() if v[0] is not True]
+    print("FAILED:", bad)
+    print(f"{len(res) - len(bad)}/{len(res)} match")
