@@ -18,8 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claims_cohorts.columns import CLAIM_ID, COHORT, DATE, INDEX, MEMBER
-from claims_cohorts.functions.codes import any_of, drug_match, icd_match, procedure_match
-from claims_cohorts.operators.claims import compact_claims, diagnosis_claims, inclusion_predicates, tag_claims
+from claims_cohorts.functions.codes import any_of, drug_match, procedure_match
+from claims_cohorts.operators.claims import compact_claims, tag_claims
+from claims_cohorts.operators.codebook import icd_rule_rows, rules_frame, tag_diagnoses
 from claims_cohorts.operators.index import first_pair_index, span_filter
 from claims_cohorts.operators.members import add_member_info
 from claims_cohorts.operators.support import PROCEDURE_SENTINEL
@@ -125,22 +126,16 @@ def default_path(
     """
     specs = [default_path_spec(config, n) for n in names]
     keys = [COHORT]
+    spark = tables.diagnoses.sparkSession
 
-    rules: list[tuple[dict, Column]] = []
-    code_lists: list[Sequence[str]] = []
+    rows: list[tuple] = []
     for s in specs:
-        dx_pred, entry_pred = inclusion_predicates(s.icd_codes, s.claim_types, s.date_range_years, as_of)
-        rules.append(({COHORT: s.name, "role": "inclusion"}, dx_pred if entry_pred is None else dx_pred & entry_pred))
-        code_lists.append(s.icd_codes)
+        rows += icd_rule_rows(s.name, "inclusion", s.icd_codes, s.claim_types, s.date_range_years)
         if s.subtypes is not None:
-            rules.append(({COHORT: s.name, "role": "subtypes"}, icd_match(s.subtypes)))
-            code_lists.append(s.subtypes)
+            rows += icd_rule_rows(s.name, "subtypes", s.subtypes)
         if s.organic_gi is not None:
-            rules.append(({COHORT: s.name, "role": "organic_gi"}, icd_match(s.organic_gi)))
-            code_lists.append(s.organic_gi)
-    all_codes = [c for codes in code_lists for c in codes]
-    claims = diagnosis_claims(tables, icd_match(all_codes))
-    tagged = tag_claims(claims, rules)
+            rows += icd_rule_rows(s.name, "organic_gi", s.organic_gi)
+    tagged = tag_diagnoses(tables, rules_frame(spark, rows), as_of)
 
     inclusion = compact_claims(tagged.where(F.col("role") == "inclusion").drop("role"), keys)
     index = first_pair_index(inclusion, per_cohort(specs, lambda s: s.min_days, "int"), keys=keys)

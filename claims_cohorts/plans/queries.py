@@ -16,7 +16,8 @@ from claims_cohorts.columns import CLAIM_ID, CLAIM_TYPE, COHORT, DATE, DRUG, ICD
 from claims_cohorts.functions.codes import claim_type_match, date_range_filter, drug_match, icd_match, procedure_match
 from claims_cohorts.functions.dates import duration_days
 from claims_cohorts.operators import eligibility as elig
-from claims_cohorts.operators.claims import code_claims, diagnosis_claims, tag_claims
+from claims_cohorts.operators.claims import code_claims, diagnosis_claims
+from claims_cohorts.operators.codebook import codebook, icd_rule_rows, rules_frame
 from claims_cohorts.operators.index import (
     component_window_index,
     first_claim_index,
@@ -125,12 +126,11 @@ def q_table_profile(spark, sf_dir):
 
 def q_cohort_rules(spark, sf_dir):
     """(cohort, role, icd_code): which distinct codes in the data each configured rule matches."""
-    codes = tables(spark, sf_dir).diagnoses.select(ICD).where(F.col(ICD).isNotNull()).distinct()
-    rules = []
+    rows = []
     for name in config().names():
         cfg = config().cohort(name)
-        lists = {"inclusion": cfg["inclusion"]["icd_codes"]}
         inc = cfg["inclusion"]
+        lists = {"inclusion": inc["icd_codes"]}
         if "symptom_codes" in inc:
             lists["symptom_codes"] = inc["symptom_codes"]
         for label, comp in (inc.get("components") or {}).items():
@@ -141,8 +141,9 @@ def q_cohort_rules(spark, sf_dir):
         for key, value in (cfg.get("tags") or {}).items():
             lists[f"tag:{key}"] = value
         for role, code_list in lists.items():
-            rules.append(({COHORT: name, "role": role}, icd_match(code_list, ICD)))
-    return tag_claims(codes, rules)
+            rows += icd_rule_rows(name, role, code_list)
+    book = codebook(tables(spark, sf_dir).diagnoses, rules_frame(spark, rows))
+    return book.select(COHORT, "role", ICD)
 
 
 def combined(spark, sf_dir) -> DataFrame:

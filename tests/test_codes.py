@@ -1,0 +1,81 @@
+from pyspark.sql import functions as F
+
+from claims_cohorts.functions.codes import (
+    claim_type_match,
+    date_range_filter,
+    drug_match,
+    icd_like_patterns,
+    icd_match,
+    procedure_match,
+)
+from claims_cohorts.operators.codebook import classify_pattern
+
+CODES = ["K58.0", "K580", "K58", "K58.1", "K581", "K5", "R10", "R10.", "R10.9", "I10", "I10.1", "E78.0", "E780",
+         "E78.01", "O24.4", "O244", "O24.41", "C50", "c50", "Z85.3", "Z853", None]
+
+
+def matching(spark, pred):
+    df = spark.createDataFrame([(c,) for c in CODES], "icd_code string")
+    return sorted(r.icd_code for r in df.where(pred).collect())
+
+
+def test_like_pattern_rewrite():
+    assert icd_like_patterns(["I10", "I10.*", "K58.*"]) == ["I10", "I10.%", "I10%", "K58.%", "K58%"]
+    assert icd_like_patterns(["R10."]) == ["R10.", "R10"]
+    assert icd_like_patterns(["C*"]) == ["C%"]
+    assert icd_like_patterns([]) == []
+
+
+def test_pattern_classes():
+    assert classify_pattern("K58.%") == ("prefix", "K58.")
+    assert classify_pattern("I10") == ("eq", "I10")
+    assert classify_pattern("A%B") == ("like", "A%B")
+    assert classify_pattern("A_") == ("like", "A_")
+
+
+def test_prefix_with_dot_also_matches_dotless(spark):
+    assert matching(spark, icd_match(["K58.*"])) == sorted(["K58.0", "K58.1", "K580", "K581", "K58"])
+
+
+def test_dotted_code_without_star_is_exact_not_prefix(spark):
+    assert matching(spark, icd_match(["R10."])) == ["R10", "R10."]
+    assert matching(spark, icd_match(["E78.0"])) == ["E78.0", "E780"]
+
+
+def test_plain_code_is_exact(spark):
+    assert matching(spark, icd_match(["I10"])) == ["I10"]
+
+
+def test_star_inside_prefix(spark):
+    assert matching(spark, icd_match(["O24.4*"])) == sorted(["O24.4", "O244", "O24.41"])
+    assert matching(spark, icd_match(["C*"])) == ["C50"]  # case-sensitive
+
+
+def test_empty_list_matches_nothing_and_null_never(spark):
+    assert matching(spark, icd_match([])) == []
+    assert None not in matching(spark, icd_match(["*"]))
+
+
+def test_procedure_patterns_have_no_dotless_variant(spark):
+    df = spark.createDataFrame([("92960",), ("9296",), ("92.1",), ("921",)], "proc_code string")
+    got = sorted(r.proc_code for r in df.where(procedure_match(["9296*", "92.1"])).collect())
+    assert got == sorted(["92960", "9296", "92.1"])
+
+
+def test_drug_star_is_literal_percent_is_wildcard(spark):
+    df = spark.createDataFrame([("ATORVASTATIN",), ("ATORVASTATIN 20MG",), ("STATIN*",), ("STATINX",)], "product_service_name string")
+    assert sorted(r[0] for r in df.where(drug_match(["ATORVASTATIN%"])).collect()) == ["ATORVASTATIN", "ATORVASTATIN 20MG"]
+    assert sorted(r[0] for r in df.where(drug_match(["STATIN*"])).collect()) == ["STATIN*"]
+
+
+def test_claim_type_list(spark):
+    df = spark.createDataFrame([("medical",), ("pharma",), (None,)], "claim_type string")
+    assert df.where(claim_type_match(["medical"])).count() == 1
+    assert df.where(claim_type_match([])).count() == 0
+
+
+def test_date_range_is_calendar_years(spark, d):
+    df = spark.createDataFrame([(d("1996-07-31"),), (d("1996-08-01"),), (d("2000-01-01"),)], "date_of_service date")
+    assert df.where(date_range_filter(5, "2001-08-01")).count() == 2
+    leap = spark.createDataFrame([(d("2023-02-27"),), (d("2023-02-28"),)], "date_of_service date")
+    assert leap.where(date_range_filter(1, "2024-02-29")).count() == 1

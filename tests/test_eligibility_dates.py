@@ -1,0 +1,69 @@
+import pytest
+from pyspark.sql import functions as F
+
+from claims_cohorts.functions.dates import duration_days, month_starts, parse_duration_days
+from claims_cohorts.operators.eligibility import enrollment_filter, enrollment_months
+from tests.helpers import D, index
+
+
+def elig(spark, rows):
+    return spark.createDataFrame(
+        [(m, D(s), D(e)) for m, s, e in rows], "member_id_hash string, date_of_enrollment date, termination_date date"
+    )
+
+
+def mem(df):
+    return {r.member_id_hash for r in df.collect()}
+
+
+def test_durations():
+    assert [parse_duration_days(x) for x in ["30D", "6M", "1Y", "0D", "365D", "12M"]] == [30, 180, 365, 0, 365, 360]
+    with pytest.raises(ValueError):
+        parse_duration_days("invalid")
+    with pytest.raises(ValueError):
+        parse_duration_days("")
+    with pytest.raises(AttributeError):
+        parse_duration_days(None)
+
+
+def test_duration_column(spark):
+    df = spark.createDataFrame([("30D",), ("6M",), ("1Y",)], "t string")
+    assert [r[0] for r in df.select(duration_days("t")).collect()] == [30, 180, 365]
+    bad = spark.createDataFrame([("3W",)], "t string")
+    with pytest.raises(Exception):
+        bad.select(duration_days("t")).collect()
+
+
+def test_month_sequences(spark):
+    df = spark.createDataFrame(
+        [(D("2023-01-15"), D("2023-03-15")), (D("2023-12-01"), D("2024-02-01")), (D("2023-03-15"), D("2023-01-15"))],
+        "s date, e date",
+    )
+    got = [r[0] for r in df.select(F.size(month_starts(F.col("s"), F.col("e")))).collect()]
+    assert got == [3, 3, 0]
+
+
+def test_enrollment_window(spark):
+    idx = index(spark, [(m, "2020-06-01") for m in "abcdefg"])
+    e = elig(
+        spark,
+        [
+            ("a", "2019-06-02", None),          # start exactly index-365 (leap year), open end → keep
+            ("b", "2019-06-03", None),          # start one day late → drop
+            ("c", "2019-01-01", "2021-06-01"),  # end exactly index+365 → keep
+            ("d", "2019-01-01", "2021-05-31"),  # end one day short → drop
+            ("e", None, None),                  # null start → drop
+            ("f", "2010-01-01", "2011-01-01"),  # first row (earliest) is too short, second would pass
+            ("f", "2015-01-01", None),
+        ],
+    )
+    assert mem(enrollment_filter(idx, e, 365, 365)) == {"a", "c"}
+
+
+def test_month_spine_open_end(spark):
+    e = elig(spark, [("a", "2001-05-20", None), ("b", "2001-01-10", "2001-02-01"), ("c", "2001-03-01", "2001-02-01")])
+    got = sorted((r.member_id_hash, r.month_start) for r in enrollment_months(e, "2001-08-01").collect())
+    assert got == [
+        ("a", D("2001-05-01")), ("a", D("2001-06-01")), ("a", D("2001-07-01")), ("a", D("2001-08-01")),
+        ("b", D("2001-01-01")), ("b", D("2001-02-01")),
+    ]

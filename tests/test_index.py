@@ -1,0 +1,95 @@
+from claims_cohorts.operators.index import (
+    component_window_index,
+    first_claim_index,
+    first_pair_index,
+    second_claim_index,
+    span_filter,
+)
+from tests.helpers import D, as_set, claims
+
+
+def idx(df):
+    return as_set(df, "member_id_hash", "index_date")
+
+
+def test_consecutive_gaps_below_minimum_give_nothing(spark):
+    c = claims(spark, [("p", x) for x in ["2023-01-01", "2023-01-15", "2023-02-01", "2023-02-15", "2023-03-01"]])
+    assert idx(first_pair_index(c, 30)) == set()
+
+
+def test_pair_30_days_apart(spark):
+    c = claims(spark, [("p", "2023-01-01"), ("p", "2023-02-01")])
+    assert idx(first_pair_index(c, 30)) == {("p", D("2023-01-01"))}
+
+
+def test_same_day_pair_with_zero_gap(spark):
+    c = claims(spark, [("p", "2023-01-01"), ("p", "2023-01-01")])
+    assert idx(first_pair_index(c, 0)) == {("p", D("2023-01-01"))}
+    assert idx(first_pair_index(c, 1)) == set()
+
+
+def test_unsorted_input(spark):
+    c = claims(spark, [("p", "2023-02-01"), ("p", "2023-01-01"), ("p", "2023-03-01")])
+    assert idx(first_pair_index(c, 30)) == {("p", D("2023-01-01"))}
+
+
+def test_min_claims_is_ignored(spark):
+    c = claims(spark, [("p", "2023-01-01"), ("p", "2023-01-15")])
+    assert idx(first_pair_index(c, 30, min_claims=0)) == set()
+    one = claims(spark, [("p", "2023-01-01")])
+    assert idx(first_pair_index(one, 0, min_claims=1)) == set()
+
+
+def test_empty_and_null_dates(spark):
+    empty = claims(spark, [])
+    assert first_pair_index(empty, 30).count() == 0
+    c = claims(spark, [("p", "2023-01-01"), ("p", None), (None, "2023-01-01"), (None, "2023-06-01")])
+    assert idx(first_pair_index(c, 0)) == set()
+
+
+def test_earliest_qualifying_pair_wins(spark):
+    c = claims(spark, [("p", "2023-01-01"), ("p", "2023-01-10"), ("p", "2023-03-01"), ("p", "2023-06-01")])
+    assert idx(first_pair_index(c, 30)) == {("p", D("2023-01-10"))}
+
+
+def test_duplicates_do_not_hide_a_gap(spark):
+    c = claims(spark, [("p", "2023-01-01"), ("p", "2023-01-01"), ("p", "2023-03-01")])
+    assert idx(first_pair_index(c, 30)) == {("p", D("2023-01-01"))}
+    assert idx(second_claim_index(c, 30)) == {("p", D("2023-03-01"))}
+    assert idx(second_claim_index(c, 0)) == {("p", D("2023-01-01"))}
+
+
+def test_second_claim_is_the_later_date(spark):
+    c = claims(spark, [("p", "2023-01-01"), ("p", "2023-01-10"), ("p", "2023-03-01"), ("q", "2023-01-01")])
+    assert idx(second_claim_index(c, 30)) == {("p", D("2023-03-01"))}
+
+
+def test_second_claim_row_guard(spark):
+    c = claims(spark, [("p", "2023-01-01"), ("p", "2023-03-01")])
+    assert idx(second_claim_index(c, 30, min_rows=3)) == set()
+
+
+def test_first_claim(spark):
+    c = claims(spark, [("p", "2023-05-01"), ("p", "2023-01-01"), ("q", "2022-01-01")])
+    assert idx(first_claim_index(c)) == {("p", D("2023-01-01")), ("q", D("2022-01-01"))}
+
+
+def test_span_is_whole_history(spark):
+    c = claims(spark, [("p", "2023-01-01"), ("p", "2023-02-01"), ("p", "2024-06-01"), ("q", "2023-01-01"), ("q", "2023-02-15")])
+    index = first_pair_index(c, 30)
+    assert idx(span_filter(index, c, 360, 2)) == {("q", D("2023-01-01"))}
+    assert idx(span_filter(index, c, None, 2)) == idx(index)
+    assert idx(span_filter(index, c, 1000, 3)) == {("p", D("2023-01-01"))}
+
+
+def test_component_window(spark):
+    rows = [
+        ("p", "2023-01-01", "a"), ("p", "2023-06-01", "b"), ("p", "2024-01-01", "c"),  # a..c spans 365 days
+        ("q", "2023-01-01", "a"), ("q", "2023-06-01", "b"), ("q", "2024-01-02", "c"),  # 366 days: fails at s=1/1
+        ("r", "2023-01-01", "a"), ("r", "2023-01-01", "a"), ("r", "2023-02-01", "b"),
+    ]
+    df = spark.createDataFrame([(m, D(x), c) for m, x, c in rows], "member_id_hash string, date_of_service date, component string")
+    got = idx(component_window_index(df, ["a", "b", "c"], 3, 365))
+    assert got == {("p", D("2023-01-01"))}
+    got2 = idx(component_window_index(df, ["a", "b", "c"], 2, 365))
+    assert got2 == {("p", D("2023-01-01")), ("q", D("2023-01-01")), ("r", D("2023-01-01"))}

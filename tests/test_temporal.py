@@ -1,0 +1,97 @@
+from claims_cohorts.operators.temporal import (
+    Window_,
+    clean_period,
+    exclude_ever,
+    exclude_on_or_before,
+    exclude_within_window,
+    lookback_exclusion,
+    symptom_flag,
+    window_flags,
+)
+from tests.helpers import D, as_set, claims, events, index
+
+
+def members(df):
+    return {r.member_id_hash for r in df.collect()}
+
+
+def test_symmetric_window_bounds_inclusive(spark):
+    idx = index(spark, [("a", "2023-07-01"), ("b", "2023-07-01"), ("c", "2023-07-01"), ("d", "2023-07-01")])
+    ev = events(spark, [("a", "2023-01-02"), ("b", "2023-01-01"), ("c", "2023-12-28"), ("d", "2023-12-29")])
+    # a: 180 days before (excluded); b: 181 before (kept); c: 180 after (excluded); d: 181 after (kept)
+    assert members(exclude_within_window(idx, ev, 180)) == {"b", "d"}
+
+
+def test_window_per_row_column(spark):
+    from pyspark.sql import functions as F
+
+    idx = index(spark, [("a", "2023-07-01"), ("b", "2023-07-01")]).withColumn(
+        "w", F.when(F.col("member_id_hash") == "a", 10).otherwise(None)
+    )
+    ev = events(spark, [("a", "2023-07-05"), ("b", "2023-07-05")])
+    out = window_flags(idx, ev, {"hit": (None, Window_.symmetric(F.col("w")))})
+    assert as_set(out, "member_id_hash", "hit") == {("a", True), ("b", False)}
+
+
+def test_lookback_months_row_level(spark):
+    c = claims(spark, [("p", "2024-02-29"), ("p", "2024-02-29"), ("p", "2025-06-01"), ("q", "2024-02-29")])
+    ev = events(spark, [("p", "2023-02-28"), ("q", "2023-02-27")])
+    out = lookback_exclusion(c, ev, 12)
+    # p's 2024-02-29 rows: window [2023-02-28, 2024-02-29) holds the event → both rows dropped
+    assert sorted((r.member_id_hash, r.date_of_service) for r in out.collect()) == [
+        ("p", D("2025-06-01")), ("q", D("2024-02-29"))
+    ]
+
+
+def test_lookback_excludes_same_day_event(spark):
+    c = claims(spark, [("p", "2024-05-01")])
+    ev = events(spark, [("p", "2024-05-01")])
+    assert lookback_exclusion(c, ev, 12).count() == 1
+
+
+def test_on_or_before(spark):
+    idx = index(spark, [("a", "2023-07-01"), ("b", "2023-07-01"), ("c", "2023-07-01")])
+    ev = events(spark, [("a", "2023-07-01"), ("b", "2023-07-02"), ("c", "2020-01-01"), ("c", "2024-01-01")])
+    assert members(exclude_on_or_before(idx, ev)) == {"b"}
+
+
+def test_ever(spark):
+    idx = index(spark, [("a", "2023-07-01"), ("b", "2023-07-01")])
+    ev = events(spark, [("a", "2030-01-01")])
+    assert members(exclude_ever(idx, ev)) == {"b"}
+    assert members(exclude_ever(idx, events(spark, []))) == {"a", "b"}
+
+
+def test_clean_period_excludes_index_day(spark):
+    idx = index(spark, [("a", "2023-07-01"), ("b", "2023-07-01"), ("c", "2023-07-01")])
+    ev = events(spark, [("a", "2023-07-01"), ("b", "2022-07-01"), ("c", "2022-06-30")])
+    # a: on index day (outside [i-365, i)); b: exactly 365 before (inside); c: 366 before (outside)
+    assert members(clean_period(idx, ev, 365)) == {"a", "c"}
+
+
+def test_symptom_flag_keeps_every_row(spark):
+    c = claims(spark, [("p", "2023-01-01"), ("p", "2023-01-01"), ("p", "2024-01-01"), ("q", "2023-01-01")])
+    ev = events(spark, [("p", "2023-03-01")])
+    out = symptom_flag(c, ev, 180)
+    got = sorted((r.member_id_hash, r.date_of_service, r.has_symptom_code) for r in out.collect())
+    assert got == [
+        ("p", D("2023-01-01"), True), ("p", D("2023-01-01"), True), ("p", D("2024-01-01"), False), ("q", D("2023-01-01"), False)
+    ]
+
+
+def test_null_anchor_date_never_matches(spark):
+    idx = index(spark, [("a", None)])
+    ev = events(spark, [("a", "2023-01-01")])
+    out = window_flags(idx, ev, {"hit": (None, Window_.ever())})
+    assert as_set(out, "member_id_hash", "hit") == {("a", False)}
+
+
+def test_multiple_roles_one_pass(spark):
+    from pyspark.sql import functions as F
+
+    idx = index(spark, [("a", "2023-07-01")])
+    ev = events(spark, [("a", "2023-07-10")]).withColumn("role", F.lit("x"))
+    out = window_flags(
+        idx, ev, {"x_hit": ("x", Window_.symmetric(30)), "y_hit": ("y", Window_.symmetric(30)), "x_before": ("x", Window_.on_or_before())}
+    )
+    assert as_set(out, "x_hit", "y_hit", "x_before") == {(True, False, False)}

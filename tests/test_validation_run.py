@@ -1,0 +1,71 @@
+import json
+import os
+import tempfile
+
+import pytest
+
+from claims_cohorts.operators.validation import SchemaError, claims_quality, output_quality, validate_output
+from claims_cohorts.plans.run import run_cohorts
+from claims_cohorts.plans.spec import load_config
+from claims_cohorts.sources.tables import ClaimsTables, check_load_tables, check_schema, table_profile
+from claims_cohorts.sources.testdata import AS_OF, testdata_tables
+from tests.helpers import claims, index
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_schema_check_required_and_optional(spark):
+    t = testdata_tables(spark, SF)
+    warnings = check_schema(t)
+    assert any("claims_members_monthly_utilization" in w for w in warnings)
+    with pytest.raises(RuntimeError, match="Missing required table"):
+        check_schema(t.with_tables(members=None))
+    with pytest.raises(RuntimeError, match="Missing required column 'icd_code'"):
+        check_schema(t.with_tables(diagnoses=t.diagnoses.withColumnRenamed("icd_code", "code")))
+    with pytest.raises(RuntimeError):
+        check_load_tables(t.with_tables(drugs=None))
+    util = spark.createDataFrame([("x",)], "other string")
+    assert any("Missing optional column" in w for w in check_schema(t.with_tables(utilization=util)))
+
+
+def test_table_profile(spark):
+    t = testdata_tables(spark, SF)
+    rows = {r.table_name: r for r in table_profile(spark, t).collect()}
+    assert rows["claims_entries"].row_count == t.entries.count()
+    assert rows["claims_members_monthly_utilization"].present is False
+
+
+def test_quality_reports(spark):
+    c = claims(spark, [("p", "2023-01-01"), (None, "2023-01-01"), ("q", None, None, None)])
+    rep = {r.column_name: r for r in claims_quality(spark, c).collect()}
+    assert rep["member_id_hash"].null_count == 1 and rep["member_id_hash"].ok is False
+    assert rep["claim_type"].null_count == 1 and rep["claim_type"].ok is True
+    good = index(spark, [("p", "2023-01-01")])
+    validate_output(spark, good)
+    with pytest.raises(SchemaError):
+        validate_output(spark, index(spark, [("p", None), (None, "2023-01-01")]))
+    assert output_quality(spark, good.drop("index_date")).where("present = false").count() == 1
+
+
+def test_run_cohorts_writes_everything(spark):
+    t = testdata_tables(spark, SF)
+    cfg = load_config()
+    out = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    meta = run_cohorts(spark, t, cfg, os.path.join(out, "o"), ["HTN_Conservative", "PCOS", "IBS_D"], as_of=AS_OF, timestamp="T")
+    base = os.path.join(out, "o")
+    assert meta["cohort_counts"]["HTN_Conservative"] == 53
+    assert meta["cohorts"] == ["HTN_Conservative", "IBS_D"]  # PCOS is empty at this scale
+    assert meta["total_patients"] == 55
+    assert meta["columns"][-1] == "cohort"
+    with open(os.path.join(base, "PCOS_metadata.json")) as fh:
+        assert json.load(fh)["n_records"] == 0
+    parquet = spark.read.parquet(os.path.join(base, "cohorts.parquet"))
+    assert parquet.where("cohort = 'HTN_Conservative'").count() == 53
+    csv = spark.read.option("header", True).csv(os.path.join(base, "combined_cohorts.csv"))
+    assert csv.count() == 55
+    with open(os.path.join(base, "combined_cohorts_metadata.json")) as fh:
+        assert json.load(fh)["date_range"]["earliest"] is not None
+
+    only = run_cohorts(spark, t, cfg, os.path.join(out, "c"), ["IBS_D"], combined_only=True, as_of=AS_OF)
+    assert only["total_patients"] == 2
+    assert not os.path.exists(os.path.join(out, "c", "IBS_D_metadata.json"))
