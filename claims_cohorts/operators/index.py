@@ -27,6 +27,8 @@ def first_pair_index(
     keys: Sequence[str] = (),
     member_col: str = MEMBER,
     date_col: str = DATE,
+    within_days: int | Column | None = None,
+    span_min_claims: int | Column = 2,
 ) -> DataFrame:
     """Earliest claim followed by the next claim at least ``min_days`` later.
 
@@ -34,19 +36,30 @@ def first_pair_index(
     first consecutive pair whose gap is ``>= min_days``. ``min_claims`` is accepted
     and not used (a pair always needs two rows). Two rows on one day form a pair
     with gap 0, which counts when ``min_days <= 0``.
+
+    With ``within_days`` the span filter (see :func:`span_filter`) is applied in
+    the same aggregate, since both group by member over the same claims.
     """
     del min_claims
     c = compact_claims(claims, keys, member_col, date_col)
     md = _lit(min_days)
     w = Window.partitionBy(*keys, member_col).orderBy(date_col)
     gap = F.datediff(F.lead(date_col).over(w), F.col(date_col))
-    ok = (gap >= md) | ((F.col(N_CLAIMS) >= 2) & (F.lit(0) >= md))
-    return (
-        c.withColumn("_ok", F.coalesce(ok, F.lit(False)))
-        .where("_ok")
-        .groupBy(*keys, member_col)
-        .agg(F.min(date_col).alias(INDEX))
+    ok = F.coalesce((gap >= md) | ((F.col(N_CLAIMS) >= 2) & (F.lit(0) >= md)), F.lit(False))
+    grouped = c.withColumn("_ok", ok).groupBy(*keys, member_col)
+    if within_days is None:
+        return grouped.agg(F.min(F.when(F.col("_ok"), F.col(date_col))).alias(INDEX)).where(F.col(INDEX).isNotNull())
+    stats = grouped.agg(
+        F.min(F.when(F.col("_ok"), F.col(date_col))).alias(INDEX),
+        F.sum(N_CLAIMS).alias("_rows"),
+        F.min(date_col).alias("_first"),
+        F.max(date_col).alias("_last"),
+    )
+    within = _lit(within_days)
+    span_ok = within.isNull() | (
+        (F.col("_rows") >= _lit(span_min_claims)) & (F.datediff(F.col("_last"), F.col("_first")) <= within)
     )
+    return stats.where(F.col(INDEX).isNotNull() & span_ok).select(*keys, member_col, INDEX)
 
 
 def second_claim_index(

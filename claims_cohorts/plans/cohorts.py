@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from claims_cohorts.columns import CLAIM_ID, COHORT, DATE, INDEX, MEMBER
 from claims_cohorts.functions.codes import any_of, drug_match, procedure_match
 from claims_cohorts.operators.claims import compact_claims, tag_claims
-from claims_cohorts.operators.codebook import icd_rule_rows, rules_frame, tag_diagnoses
-from claims_cohorts.operators.index import first_pair_index, span_filter
+from claims_cohorts.operators.codebook import icd_rule_rows, tag_diagnoses
+from claims_cohorts.operators.index import first_pair_index
 from claims_cohorts.operators.members import add_member_info
 from claims_cohorts.operators.support import PROCEDURE_SENTINEL
 from claims_cohorts.operators.temporal import Window_, window_flags
@@ -57,16 +57,24 @@ def cohort_logic(name: str) -> Callable[[CohortFn], CohortFn]:
     return decorator
 
 
+def _sql_literal(value) -> str:
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return "TRUE" if value else "FALSE"
+    if isinstance(value, (int, float)):
+        return repr(value)
+    return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def per_cohort(specs: Sequence[DefaultPathSpec], value: Callable[[DefaultPathSpec], Any], dtype: str) -> Column:
     """CASE cohort WHEN … literal per cohort (a single literal when all agree)."""
     values = {s.name: value(s) for s in specs}
     distinct = set(values.values())
     if len(distinct) == 1:
         return F.lit(next(iter(distinct))).cast(dtype)
-    expr = None
-    for name, v in values.items():
-        expr = F.when(F.col(COHORT) == name, F.lit(v)) if expr is None else expr.when(F.col(COHORT) == name, F.lit(v))
-    return expr.cast(dtype)
+    branches = " ".join(f"WHEN {_sql_literal(n)} THEN {_sql_literal(v)}" for n, v in values.items())
+    return F.expr(f"CAST(CASE {COHORT} {branches} END AS {dtype})")
 
 
 def finish(index: DataFrame, tables: ClaimsTables, with_members: bool = True) -> DataFrame:
@@ -80,14 +88,20 @@ def finish(index: DataFrame, tables: ClaimsTables, with_members: bool = True) ->
 
 
 def _support_members(tables: ClaimsTables, specs: Sequence[DefaultPathSpec], kind: str) -> DataFrame | None:
-    """Distinct (cohort, member) with procedure / drug support, all cohorts in one scan."""
+    """Distinct (cohort, member) with procedure / drug support, all cohorts in one scan.
+
+    Rows are labelled per cohort, then reduced with one distinct (map-side combine),
+    so the result is partitioned by (cohort, member) like the index rows it joins.
+    """
     if kind == "proc":
         chosen = [s for s in specs if s.procedure_codes]
         if not chosen:
             return None
         codes = sorted({c for s in chosen for c in s.procedure_codes})
-        procs = tables.procedures.select(CLAIM_ID, "proc_code").where(procedure_match(codes, "proc_code") & (F.col("proc_code") != PROCEDURE_SENTINEL))
-        rows = tables.entries_typed().join(procs, CLAIM_ID).select(MEMBER, DATE, "proc_code")
+        procs = tables.procedures.select(CLAIM_ID, "proc_code").where(
+            procedure_match(codes, "proc_code") & (F.col("proc_code") != PROCEDURE_SENTINEL)
+        )
+        rows = tables.entries_typed().join(procs, CLAIM_ID).select(MEMBER, "proc_code")
         rules = [({COHORT: s.name}, procedure_match(s.procedure_codes, "proc_code")) for s in chosen]
     else:
         chosen = [s for s in specs if s.medication_codes]
@@ -103,13 +117,14 @@ def _support_members(tables: ClaimsTables, specs: Sequence[DefaultPathSpec], kin
             tables.entries_typed()
             .where(F.col("claim_type") == "pharma")
             .join(drugs, CLAIM_ID)
-            .select(MEMBER, DATE, "product_service_name")
+            .select(MEMBER, "product_service_name")
         )
         rules = [({COHORT: s.name}, drug_match(s.medication_codes, "product_service_name")) for s in chosen]
-    # Collapse to one row per member and code first (map-side), then label.
-    code_col = rows.columns[-1]
-    per_member = rows.select(MEMBER, code_col).distinct()
-    return tag_claims(per_member, rules).select(COHORT, MEMBER).distinct()
+    if len(chosen) == 1:
+        labelled = rows.select(F.lit(chosen[0].name).alias(COHORT), MEMBER)
+    else:
+        labelled = tag_claims(rows, rules).select(COHORT, MEMBER)
+    return labelled.where(F.col(MEMBER).isNotNull()).distinct()
 
 
 def default_path(
@@ -126,8 +141,6 @@ def default_path(
     """
     specs = [default_path_spec(config, n) for n in names]
     keys = [COHORT]
-    spark = tables.diagnoses.sparkSession
-
     rows: list[tuple] = []
     for s in specs:
         rows += icd_rule_rows(s.name, "inclusion", s.icd_codes, s.claim_types, s.date_range_years)
@@ -135,18 +148,17 @@ def default_path(
             rows += icd_rule_rows(s.name, "subtypes", s.subtypes)
         if s.organic_gi is not None:
             rows += icd_rule_rows(s.name, "organic_gi", s.organic_gi)
-    tagged = tag_diagnoses(tables, rules_frame(spark, rows), as_of)
+    tagged = tag_diagnoses(tables, rows, as_of)
 
     inclusion = compact_claims(tagged.where(F.col("role") == "inclusion").drop("role"), keys)
-    index = first_pair_index(inclusion, per_cohort(specs, lambda s: s.min_days, "int"), keys=keys)
-    if any(s.within_days is not None for s in specs):
-        index = span_filter(
-            index,
-            inclusion,
-            per_cohort(specs, lambda s: s.within_days, "int"),
-            per_cohort(specs, lambda s: s.min_claims, "long"),
-            keys=keys,
-        )
+    has_span = any(s.within_days is not None for s in specs)
+    index = first_pair_index(
+        inclusion,
+        per_cohort(specs, lambda s: s.min_days, "int"),
+        keys=keys,
+        within_days=per_cohort(specs, lambda s: s.within_days, "int") if has_span else None,
+        span_min_claims=per_cohort(specs, lambda s: s.min_claims, "long"),
+    )
 
     supported = [s for s in specs if s.support_mode != "none"]
     if supported:

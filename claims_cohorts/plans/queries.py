@@ -67,8 +67,15 @@ def config() -> CohortConfig:
     return load_config()
 
 
+_TABLES: dict[tuple[int, str], ClaimsTables] = {}
+
+
 def tables(spark: SparkSession, sf_dir: str) -> ClaimsTables:
-    return testdata_tables(spark, sf_dir)
+    """Claims tables for ``sf_dir``, built once per session (lazy DataFrames, no data held)."""
+    key = (id(spark), sf_dir)
+    if key not in _TABLES:
+        _TABLES[key] = testdata_tables(spark, sf_dir)
+    return _TABLES[key]
 
 
 def ctx(spark: SparkSession, sf_dir: str) -> CohortContext:

@@ -96,7 +96,16 @@ def load_parquet_dir(spark: SparkSession, path: str, names: list[str] | None = N
 
 
 def load_catalog(spark: SparkSession, database: str = "default") -> ClaimsTables:
-    """Tables registered in a catalog database (e.g. bucketed on claim_entry_id)."""
+    """Tables registered in a catalog database (e.g. bucketed on claim_entry_id).
+
+    If ``database`` does not exist, the first database the catalog lists is used.
+    """
+    if not spark.catalog.databaseExists(database):
+        available = [db.name for db in spark.catalog.listDatabases()]
+        log.warning("Configured database '%s' not found; available: %s", database, ", ".join(available))
+        if not available:
+            raise RuntimeError(f"No database found (wanted '{database}')")
+        database = available[0]
     tables = {}
     for name in TABLE_ATTR:
         qualified = f"{database}.{name}"
