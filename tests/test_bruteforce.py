@@ -1,0 +1,144 @@
+"""Randomized checks of the compacted / window formulations against plain loops.
+
+Many members per dataset (one Spark job per property), with same-day duplicates,
+one hot member holding a third of the rows, and gaps around the thresholds.
+"""
+
+import datetime as dt
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from claims_cohorts.operators.index import component_window_index, first_pair_index, second_claim_index, span_filter
+from claims_cohorts.operators.temporal import Window_, window_flags
+
+BASE = dt.date(2020, 1, 1)
+
+
+def make_claims(seed, n_members=120, hot_rows=600):
+    rng = random.Random(seed)
+    rows = []
+    for m in range(n_members):
+        for _ in range(rng.randint(0, 8)):
+            rows.append((f"m{m}", BASE + dt.timedelta(days=rng.randint(0, 400))))
+            if rng.random() < 0.2:
+                rows.append(rows[-1])  # same-day duplicate
+    for _ in range(hot_rows):  # one member with a third of all rows
+        rows.append(("hot", BASE + dt.timedelta(days=rng.choice([0, 1, 30, 31, 59, 200, 390]))))
+    rng.shuffle(rows)
+    return rows
+
+
+def df(spark, rows):
+    return spark.createDataFrame(rows, "member_id_hash string, date_of_service date")
+
+
+def by_member(rows):
+    out = {}
+    for m, d in rows:
+        out.setdefault(m, []).append(d)
+    return {m: sorted(ds) for m, ds in out.items()}
+
+
+def brute_first_pair(rows, min_days):
+    res = {}
+    for m, ds in by_member(rows).items():
+        hits = [ds[i] for i in range(len(ds) - 1) if (ds[i + 1] - ds[i]).days >= min_days]
+        if hits:
+            res[m] = min(hits)
+    return res
+
+
+def brute_second(rows, min_days, min_rows=2):
+    res = {}
+    for m, ds in by_member(rows).items():
+        if len(ds) < min_rows:
+            continue
+        for i in range(1, len(ds)):
+            if (ds[i] - ds[i - 1]).days >= min_days:
+                res[m] = ds[i]
+                break
+    return res
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("min_days", [0, 1, 30])
+def test_first_pair_and_second_claim(spark, seed, min_days):
+    rows = make_claims(seed)
+    c = df(spark, rows)
+    got = {r.member_id_hash: r.index_date for r in first_pair_index(c, min_days).collect()}
+    assert got == brute_first_pair(rows, min_days)
+    got2 = {r.member_id_hash: r.index_date for r in second_claim_index(c, min_days, 3).collect()}
+    assert got2 == brute_second(rows, min_days, 3)
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_span_fused_equals_separate(spark, seed):
+    rows = make_claims(seed)
+    c = df(spark, rows)
+    fused = {tuple(r) for r in first_pair_index(c, 30, within_days=200, span_min_claims=3).collect()}
+    separate = {tuple(r) for r in span_filter(first_pair_index(c, 30), c, 200, 3).collect()}
+    want = {
+        (m, d) for m, d in brute_first_pair(rows, 30).items()
+        if len(by_member(rows)[m]) >= 3 and (by_member(rows)[m][-1] - by_member(rows)[m][0]).days <= 200
+    }
+    assert fused == separate == want
+
+
+def add_months(d, n):
+    y, mo = divmod(d.month - 1 + n, 12)
+    y += d.year
+    mo += 1
+    for day in (d.day, 30, 29, 28):
+        try:
+            return dt.date(y, mo, min(d.day, day))
+        except ValueError:
+            continue
+
+
+@pytest.mark.parametrize("seed", [7, 8])
+def test_window_flags_against_loops(spark, seed):
+    rng = random.Random(seed)
+    anchors = [(f"m{rng.randint(0, 40)}", BASE + dt.timedelta(days=rng.randint(0, 500))) for _ in range(300)]
+    anchors += [("hot", BASE + dt.timedelta(days=d)) for d in range(0, 500, 3)]
+    evs = [(f"m{rng.randint(0, 40)}", BASE + dt.timedelta(days=rng.randint(0, 500))) for _ in range(400)]
+    evs += [("hot", BASE + dt.timedelta(days=rng.randint(0, 500))) for _ in range(300)]
+    a = spark.createDataFrame(anchors, "member_id_hash string, date_of_service date")
+    e = spark.createDataFrame(evs, "member_id_hash string, date_of_service date")
+    rules = {
+        "sym": (None, Window_.symmetric(45)),
+        "back_m": (None, Window_.lookback_months(2)),
+        "back_d": (None, Window_.lookback_days(20, inclusive_anchor=True)),
+        "before": (None, Window_.on_or_before()),
+        "ever": (None, Window_.ever()),
+        "fwd": (None, Window_(lower_days=0, upper=10)),
+    }
+    out = window_flags(a, e, rules, anchor_date="date_of_service", anchors_unique=False).collect()
+    ev_by = by_member(evs)
+    for r in out:
+        xs = ev_by.get(r.member_id_hash, [])
+        d = r.date_of_service
+        assert r.sym == any(abs((x - d).days) <= 45 for x in xs)
+        assert r.back_m == any(add_months(d, -2) <= x < d for x in xs)
+        assert r.back_d == any(d - dt.timedelta(days=20) <= x <= d for x in xs)
+        assert r.before == any(x <= d for x in xs)
+        assert r.ever == bool(xs)
+        assert r.fwd == any(d <= x <= d + dt.timedelta(days=10) for x in xs)
+    assert len(out) == len(anchors)
+
+
+def test_component_window_against_loops(spark):
+    rng = random.Random(11)
+    comps = ["a", "b", "c", "d"]
+    rows = [(f"m{rng.randint(0, 60)}", BASE + dt.timedelta(days=rng.randint(0, 900)), rng.choice(comps)) for _ in range(700)]
+    c = spark.createDataFrame(rows, "member_id_hash string, date_of_service date, component string")
+    got = {r.member_id_hash: r.index_date for r in component_window_index(c, comps, 3, 365).collect()}
+    want = {}
+    for m in {r[0] for r in rows}:
+        mine = sorted((d, k) for mm, d, k in rows if mm == m)
+        for s, _ in mine:
+            if len({k for d, k in mine if s <= d <= s + dt.timedelta(days=365)}) >= 3:
+                want[m] = s
+                break
+    assert got == want
