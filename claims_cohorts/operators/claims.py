@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claims_cohorts.columns import CLAIM_ID, CLAIM_TYPE, DATE, ICD, MEMBER
-from claims_cohorts.functions.codes import any_of, claim_type_match, date_range_filter, icd_match
+from claims_cohorts.functions.codes import claim_type_match, date_range_filter, icd_match
 from claims_cohorts.sources.tables import ClaimsTables
 
 N_CLAIMS = "n_claims"
@@ -68,22 +68,28 @@ def tag_claims(claims: DataFrame, rules: Sequence[tuple[dict, Column]]) -> DataF
 
     ``rules`` is a list of ``(labels, predicate)``; ``labels`` maps output column names
     to literal values (e.g. ``{"cohort": "IBS_D", "role": "inclusion"}``). A row that
-    satisfies n rules comes out n times, once per label set; rows that satisfy none
-    are dropped before the explode.
+    satisfies n rules comes out n times, once per label set; a row that satisfies
+    none yields an empty array and no output row. Each predicate is evaluated once
+    per row (callers push the union of the patterns into the scan beforehand).
     """
     if not rules:
         raise ValueError("tag_claims needs at least one rule")
     label_names = list(rules[0][0])
-    tagged = F.array_compact(
+    if len(label_names) == 1:
+        key = label_names[0]
+        labels = F.array_compact(F.array(*[F.when(pred, F.lit(lab[key])) for lab, pred in rules]))
+        out = claims.select(F.explode(labels).alias(key), *claims.columns)
+        return out
+    labels = F.array_compact(
         F.array(
             *[
-                F.when(pred, F.struct(*[F.lit(labels[k]).alias(k) for k in label_names]))
-                for labels, pred in rules
+                F.when(pred, F.struct(*[F.lit(lab[k]).alias(k) for k in label_names]))
+                for lab, pred in rules
             ]
         )
     )
-    out = claims.where(any_of(pred for _, pred in rules)).withColumn("_tag", F.explode(tagged))
-    return out.select(*[F.col(f"_tag.{k}").alias(k) for k in label_names], *[c for c in claims.columns])
+    out = claims.withColumn("_tag", F.explode(labels))
+    return out.select(*[F.col(f"_tag.{k}").alias(k) for k in label_names], *claims.columns)
 
 
 def compact_claims(claims: DataFrame, keys: Sequence[str] = (), member_col: str = MEMBER, date_col: str = DATE) -> DataFrame:

@@ -17,6 +17,10 @@ LOCAL_DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Generated methods above 8000 bytes of bytecode are never JIT-compiled by the
+    # JVM; fall back to non-fused code for such stages instead of interpreting them.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.driver.memory": "8g",
