@@ -147,6 +147,40 @@ def load_jdbc(
     return ClaimsTables.from_dict(tables)
 
 
+# FIXED VALUES — connection defaults of the YAML connection file.
+JDBC_DEFAULTS = {"host": "localhost", "port": 5432, "schema": "public"}
+
+
+def jdbc_settings(document: Mapping) -> dict:
+    """(url, schema, properties) from a connection YAML document with a ``postgres`` section."""
+    pg = dict((document or {}).get("postgres", {}) or {})
+    host = pg.get("host", JDBC_DEFAULTS["host"])
+    port = pg.get("port", JDBC_DEFAULTS["port"])
+    url = f"jdbc:postgresql://{host}:{port}/{pg.get('database')}"
+    props = {"driver": "org.postgresql.Driver"}
+    if pg.get("user") is not None:
+        props["user"] = str(pg["user"])
+    if pg.get("password") is not None:
+        props["password"] = str(pg["password"])
+    return {"url": url, "schema": pg.get("schema", JDBC_DEFAULTS["schema"]), "properties": props}
+
+
+def load_jdbc_yaml(
+    spark: SparkSession,
+    path: str,
+    num_partitions: int = 16,
+    bounds: Mapping[str, tuple[int, int]] | None = None,
+) -> ClaimsTables:
+    """Claims tables over JDBC, connection read from a YAML file's ``postgres`` section
+    (host, port, database, user, password, schema). The PostgreSQL JDBC driver must
+    be on the cluster's classpath."""
+    import yaml
+
+    with open(path) as handle:
+        settings = jdbc_settings(yaml.safe_load(handle))
+    return load_jdbc(spark, settings["url"], settings["schema"], settings["properties"], num_partitions, bounds)
+
+
 # --- validation of the input tables (driver-side, no job) ------------------------------
 
 

@@ -69,3 +69,13 @@ def test_run_cohorts_writes_everything(spark):
     only = run_cohorts(spark, t, cfg, os.path.join(out, "c"), ["IBS_D"], combined_only=True, as_of=AS_OF)
     assert only["total_patients"] == 2
     assert not os.path.exists(os.path.join(out, "c", "IBS_D_metadata.json"))
+
+
+def test_jdbc_settings_from_yaml_document():
+    from claims_cohorts.sources.tables import jdbc_settings
+
+    s = jdbc_settings({"postgres": {"database": "claims", "user": "u", "password": "p", "schema": "prod"}})
+    assert s["url"] == "jdbc:postgresql://localhost:5432/claims"
+    assert s["schema"] == "prod" and s["properties"]["user"] == "u"
+    assert jdbc_settings({"postgres": {"host": "db", "port": 6543, "database": "x"}})["url"] == "jdbc:postgresql://db:6543/x"
+    assert jdbc_settings({"postgres": {"database": "x"}})["schema"] == "public"
