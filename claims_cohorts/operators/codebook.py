@@ -2,8 +2,8 @@
 
 Configured code patterns are matched once per distinct diagnosis code (a few
 thousand to ~100k values), not once per claim row: the result is a codebook
-``(cohort, role, icd_code, …)``. Claims are then labelled by an equi-join on
-``icd_code``, a hash lookup per row. The codebook is checkpointed and counted, and
+``(cohort, role, icd_code, …)``. Diagnosis lines are then labelled by an equi-join
+on ``icd_code``, a hash lookup per row (see ``operators/lines.py``). The codebook is checkpointed and counted, and
 broadcast only below a row limit; above it the join shuffles (and adaptive
 execution splits a hot code).
 """
@@ -15,10 +15,9 @@ from typing import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claims_cohorts.columns import CLAIM_ID, CLAIM_TYPE, COHORT, DATE, ICD, MEMBER
+from claims_cohorts.columns import COHORT, ICD
 from claims_cohorts.functions.codes import icd_like_patterns
 from claims_cohorts.session import ensure_checkpoint_dir
-from claims_cohorts.sources.tables import ClaimsTables
 
 RULE_SCHEMA = (
     "cohort string, role string, kind string, pattern string, claim_types array<string>, date_range_years int"
@@ -83,75 +82,3 @@ def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFr
     ensure_checkpoint_dir(df.sparkSession)
     stored = df.checkpoint(eager=True)
     return F.broadcast(stored) if stored.count() <= max_rows else stored
-
-
-def _anchor(as_of) -> Column:
-    if as_of is None:
-        return F.current_date()
-    if isinstance(as_of, Column):
-        return as_of
-    return F.lit(str(as_of)).cast("date")
-
-
-def _pattern_column(kind: str, pattern: str) -> Column:
-    code = F.col(ICD)
-    if kind == "eq":
-        return code == pattern
-    if kind == "prefix":
-        return code.startswith(pattern)
-    return code.like(pattern)
-
-
-def _direct_tag(tables: ClaimsTables, rows: Sequence[tuple], as_of) -> DataFrame:
-    """Few rules: label rows with plain predicates (pushed down to the scan)."""
-    from claims_cohorts.functions.codes import any_of
-    from claims_cohorts.operators.claims import tag_claims
-
-    groups: dict[tuple, list[Column]] = {}
-    limits: dict[tuple, tuple] = {}
-    for cohort, role, kind, pattern, types, years in rows:
-        groups.setdefault((cohort, role), []).append(_pattern_column(kind, pattern))
-        limits[(cohort, role)] = (types, years)
-    code_preds = {k: any_of(v) for k, v in groups.items()}
-    dx = tables.diagnoses.select(CLAIM_ID, ICD).where(any_of(code_preds.values()))
-    claims = tables.entries_typed().join(dx, CLAIM_ID)
-    rules = []
-    for key, pred in code_preds.items():
-        types, years = limits[key]
-        if types is not None:
-            pred = pred & F.col(CLAIM_TYPE).isin(list(types)) if types else F.lit(False)
-        if years is not None:
-            pred = pred & (F.col(DATE) >= F.add_months(_anchor(as_of), -12 * int(years)))
-        rules.append(({COHORT: key[0], "role": key[1]}, pred))
-    return tag_claims(claims, rules).select(COHORT, "role", MEMBER, DATE, ICD, CLAIM_TYPE)
-
-
-def tag_diagnoses(
-    tables: ClaimsTables,
-    rules: DataFrame | Sequence[tuple],
-    as_of=None,
-    max_broadcast_rows: int = BROADCAST_MAX_ROWS,
-    direct_max_patterns: int = DIRECT_MAX_PATTERNS,
-) -> DataFrame:
-    """Claim rows labelled with every (cohort, role) rule they satisfy.
-
-    → (cohort, role, member_id_hash, date_of_service, icd_code, claim_type). A row
-    satisfying n rules comes out n times. ``rules`` are rule rows (see
-    :func:`icd_rule_rows`) or a rules DataFrame. Up to ``direct_max_patterns``
-    patterns are evaluated as column predicates; otherwise through the codebook,
-    with claim-type and date-range limits applied after the join as column tests
-    on the codebook row.
-    """
-    if not isinstance(rules, DataFrame):
-        rows = list(rules)
-        if len(rows) <= direct_max_patterns:
-            return _direct_tag(tables, rows, as_of)
-        rules = rules_frame(tables.diagnoses.sparkSession, rows)
-    book = sized_broadcast(codebook(tables.diagnoses, rules), max_broadcast_rows)
-    dx = tables.diagnoses.select(CLAIM_ID, ICD).join(book, ICD)
-    claims = tables.entries_typed().join(dx, CLAIM_ID)
-    anchor = _anchor(as_of)
-    types_ok = F.col("claim_types").isNull() | F.array_contains(F.col("claim_types"), F.col(CLAIM_TYPE))
-    years = F.col("date_range_years")
-    date_ok = years.isNull() | (F.col(DATE) >= F.add_months(anchor, -12 * years))
-    return claims.where(types_ok & date_ok).select(COHORT, "role", MEMBER, DATE, ICD, CLAIM_TYPE)

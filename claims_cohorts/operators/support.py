@@ -7,14 +7,12 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claims_cohorts.columns import CLAIM_ID, CLAIM_TYPE, DATE, DRUG, INDEX, MEMBER, PROC
+from claims_cohorts.columns import CLAIM_ID, CLAIM_TYPE, DATE, DRUG, MEMBER, PROC
 from claims_cohorts.functions.codes import drug_match, procedure_match
+from claims_cohorts.operators.lines import PHARMACY, PROCEDURE_SENTINEL
 from claims_cohorts.operators.temporal import Window_, keep_with
 from claims_cohorts.sources.tables import ClaimsTables
 
-# FIXED VALUES — sentinel procedure code that never counts as support.
-PROCEDURE_SENTINEL = "0000000"
-
 
 def procedure_events(tables: ClaimsTables, codes: Sequence[str]) -> DataFrame:
     """(member, date) of procedure claims matching the codes (any claim type)."""
@@ -27,7 +25,7 @@ def drug_events(tables: ClaimsTables, names: Sequence[str]) -> DataFrame:
     drugs = tables.drugs.select(CLAIM_ID, DRUG).where(
         drug_match(names, DRUG) & F.col(DRUG).isNotNull() & (F.col(DRUG) != "")
     )
-    entries = tables.entries_typed().where(F.col(CLAIM_TYPE) == "pharma")
+    entries = tables.entries_typed().where(F.col(CLAIM_TYPE) == PHARMACY)
     return entries.join(drugs, CLAIM_ID).select(MEMBER, DATE)
 
 

@@ -17,15 +17,15 @@ from typing import Any, Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claims_cohorts.columns import CLAIM_ID, COHORT, DATE, INDEX, MEMBER
-from claims_cohorts.functions.codes import any_of, drug_match, procedure_match
-from claims_cohorts.operators.claims import compact_claims, tag_claims
-from claims_cohorts.operators.codebook import icd_rule_rows, tag_diagnoses
+from claims_cohorts.columns import COHORT, DATE, INDEX, MEMBER
+from claims_cohorts.functions.codes import any_of
+from claims_cohorts.operators.claims import compact_claims
 from claims_cohorts.operators.index import first_pair_index
+from claims_cohorts.operators.lines import LineRule, claim_lines
 from claims_cohorts.operators.members import add_member_info
-from claims_cohorts.operators.support import PROCEDURE_SENTINEL
 from claims_cohorts.operators.temporal import Window_, window_flags
 from claims_cohorts.plans.spec import CohortConfig, DefaultPathSpec, default_path_spec
+from claims_cohorts.session import materialize
 from claims_cohorts.sources.tables import ClaimsTables
 
 log = logging.getLogger(__name__)
@@ -87,46 +87,6 @@ def finish(index: DataFrame, tables: ClaimsTables, with_members: bool = True) ->
     return joined.select(MEMBER, INDEX, *extra, COHORT)
 
 
-def _support_members(tables: ClaimsTables, specs: Sequence[DefaultPathSpec], kind: str) -> DataFrame | None:
-    """Distinct (cohort, member) with procedure / drug support, all cohorts in one scan.
-
-    Rows are labelled per cohort, then reduced with one distinct (map-side combine),
-    so the result is partitioned by (cohort, member) like the index rows it joins.
-    """
-    if kind == "proc":
-        chosen = [s for s in specs if s.procedure_codes]
-        if not chosen:
-            return None
-        codes = sorted({c for s in chosen for c in s.procedure_codes})
-        procs = tables.procedures.select(CLAIM_ID, "proc_code").where(
-            procedure_match(codes, "proc_code") & (F.col("proc_code") != PROCEDURE_SENTINEL)
-        )
-        rows = tables.entries_typed().join(procs, CLAIM_ID).select(MEMBER, "proc_code")
-        rules = [({COHORT: s.name}, procedure_match(s.procedure_codes, "proc_code")) for s in chosen]
-    else:
-        chosen = [s for s in specs if s.medication_codes]
-        if not chosen:
-            return None
-        names = sorted({c for s in chosen for c in s.medication_codes})
-        drugs = tables.drugs.select(CLAIM_ID, "product_service_name").where(
-            drug_match(names, "product_service_name")
-            & F.col("product_service_name").isNotNull()
-            & (F.col("product_service_name") != "")
-        )
-        rows = (
-            tables.entries_typed()
-            .where(F.col("claim_type") == "pharma")
-            .join(drugs, CLAIM_ID)
-            .select(MEMBER, "product_service_name")
-        )
-        rules = [({COHORT: s.name}, drug_match(s.medication_codes, "product_service_name")) for s in chosen]
-    if len(chosen) == 1:
-        labelled = rows.select(F.lit(chosen[0].name).alias(COHORT), MEMBER)
-    else:
-        labelled = tag_claims(rows, rules).select(COHORT, MEMBER)
-    return labelled.where(F.col(MEMBER).isNotNull()).distinct()
-
-
 def default_path(
     tables: ClaimsTables,
     config: CohortConfig,
@@ -141,16 +101,27 @@ def default_path(
     """
     specs = [default_path_spec(config, n) for n in names]
     keys = [COHORT]
-    rows: list[tuple] = []
+
+    rules: list[LineRule] = []
     for s in specs:
-        rows += icd_rule_rows(s.name, "inclusion", s.icd_codes, s.claim_types, s.date_range_years)
+        rules.append(LineRule(s.name, "inclusion", "icd", s.icd_codes, s.claim_types, s.date_range_years))
         if s.subtypes is not None:
-            rows += icd_rule_rows(s.name, "subtypes", s.subtypes)
+            rules.append(LineRule(s.name, "subtypes", "icd", s.subtypes))
         if s.organic_gi is not None:
-            rows += icd_rule_rows(s.name, "organic_gi", s.organic_gi)
-    tagged = tag_diagnoses(tables, rows, as_of)
-
-    inclusion = compact_claims(tagged.where(F.col("role") == "inclusion").drop("role"), keys)
+            rules.append(LineRule(s.name, "organic_gi", "icd", s.organic_gi))
+        if s.support_mode != "none":
+            if s.procedure_codes:
+                rules.append(LineRule(s.name, "procedure", "proc", s.procedure_codes))
+            if s.medication_codes:
+                rules.append(LineRule(s.name, "drug", "drug", s.medication_codes))
+    # One row per (cohort, role, member, day): every consumer below reads this
+    # summary. With more than one consumer it is stored once, so the claim-lines
+    # join runs once however many roles the cohorts use.
+    days = compact_claims(claim_lines(tables, rules, as_of), [COHORT, "role"])
+    if any(r.role != "inclusion" for r in rules):
+        days = materialize(days)
+
+    inclusion = days.where(F.col("role") == "inclusion").drop("role")
     has_span = any(s.within_days is not None for s in specs)
     index = first_pair_index(
         inclusion,
@@ -160,17 +131,13 @@ def default_path(
         span_min_claims=per_cohort(specs, lambda s: s.min_claims, "long"),
     )
 
-    supported = [s for s in specs if s.support_mode != "none"]
-    if supported:
+    if any(s.support_mode != "none" for s in specs):
         mode = per_cohort(specs, lambda s: s.support_mode, "string")
-        for kind, flag in (("proc", "_proc"), ("drug", "_drug")):
-            members = _support_members(tables, supported, kind)
-            if members is None:
-                index = index.withColumn(flag, F.lit(False))
-            else:
-                index = index.join(members.withColumn(flag, F.lit(True)), [COHORT, MEMBER], "left").withColumn(
-                    flag, F.coalesce(F.col(flag), F.lit(False))
-                )
+        for role, flag in (("procedure", "_proc"), ("drug", "_drug")):
+            supported = days.where(F.col("role") == role).select(COHORT, MEMBER).distinct()
+            index = index.join(supported.withColumn(flag, F.lit(True)), [COHORT, MEMBER], "left").withColumn(
+                flag, F.coalesce(F.col(flag), F.lit(False))
+            )
         p, d = F.col("_proc"), F.col("_drug")
         keep = (
             (mode == "none")
@@ -187,7 +154,7 @@ def default_path(
     if any(s.organic_gi is not None for s in specs):
         flag_rules["_organic_hit"] = ("organic_gi", Window_.symmetric(per_cohort(specs, lambda s: s.organic_window, "int")))
     if flag_rules:
-        events = tagged.where(F.col("role").isin([r for r, _ in flag_rules.values()])).select(COHORT, MEMBER, DATE, "role")
+        events = days.where(F.col("role").isin([r for r, _ in flag_rules.values()])).select(COHORT, MEMBER, DATE, "role")
         flagged = window_flags(index, events, flag_rules, keys=keys)
         index = flagged.where(~any_of(F.col(n) for n in flag_rules)).drop(*flag_rules)
 

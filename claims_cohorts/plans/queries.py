@@ -40,7 +40,6 @@ from claims_cohorts.operators.temporal import (
     exclude_ever,
     exclude_on_or_before,
     exclude_within_window,
-    lookback_exclusion,
     symptom_flag,
 )
 from claims_cohorts.operators.validation import claims_quality, output_quality

@@ -11,7 +11,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claims_cohorts.columns import COHORT, DATE, INDEX, MEMBER
+from claims_cohorts.columns import COHORT
 from claims_cohorts.functions.codes import icd_match
 from claims_cohorts.operators.claims import code_claims, diagnosis_claims, tag_claims
 from claims_cohorts.operators.index import (

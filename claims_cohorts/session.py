@@ -54,3 +54,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="claims-cohorts-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(path)
     return path
+
+
+def materialize(df):
+    """Compute ``df`` once and store it in the checkpoint directory (reliable
+    storage, lineage cut). Used for intermediates read by several consumers, whose
+    different filters would otherwise be pushed into separate recomputations."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -13,7 +13,7 @@ from typing import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claims_cohorts.columns import CLAIM_ID, CLAIM_TYPE, DATE, DRUG, ICD, MEMBER, PROC
+from claims_cohorts.columns import CLAIM_ID, CLAIM_TYPE, DATE, MEMBER
 
 log = logging.getLogger(__name__)
 
