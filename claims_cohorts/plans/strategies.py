@@ -11,18 +11,19 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claims_cohorts.columns import COHORT
+from claims_cohorts.columns import COHORT, DATE, MEMBER
 from claims_cohorts.functions.codes import icd_match
-from claims_cohorts.operators.claims import code_claims, diagnosis_claims, tag_claims
+from claims_cohorts.operators.claims import code_claims, compact_claims, diagnosis_claims, tag_claims
 from claims_cohorts.operators.index import (
     component_window_index,
     first_claim_index,
     first_pair_index,
     second_claim_index,
 )
-from claims_cohorts.operators.support import procedure_support, drug_support
-from claims_cohorts.operators.temporal import exclude_ever, exclude_on_or_before, lookback_exclusion
+from claims_cohorts.operators.lines import LineRule, claim_lines
+from claims_cohorts.operators.temporal import Window_, exclude_ever, exclude_on_or_before, keep_without, lookback_exclusion
 from claims_cohorts.plans.cohorts import COHORT_LOGIC_REGISTRY, CohortContext, finish
+from claims_cohorts.session import materialize
 
 MEDICAL = ["medical"]
 # FIXED VALUES — the cohorts whose names switch on special handling, and the
@@ -40,23 +41,36 @@ def _ever_codes(exclusion: dict, keys: Sequence[str] | None) -> list[str]:
     return [code for k in chosen for code in exclusion[k]]
 
 
-def _exclude_ever_codes(ctx: CohortContext, index: DataFrame, codes: Sequence[str]) -> DataFrame:
-    """All "ever" rules of a cohort in one anti join (member has any such claim)."""
-    if not codes:
-        return index
-    return exclude_ever(index, code_claims(ctx.tables, codes))
-
-
 def _with_cohort(index: DataFrame, name: str) -> DataFrame:
     return index.withColumn(COHORT, F.lit(name))
 
 
+def role_days(ctx: CohortContext, rules: Sequence[LineRule]) -> DataFrame:
+    """(cohort, role, member, day, n_claims) for all of a strategy's rules from one
+    claim-lines join; stored once when several roles read it."""
+    rules = [r for r in rules if r.codes]
+    days = compact_claims(claim_lines(ctx.tables, rules, ctx.as_of), [COHORT, "role"])
+    return materialize(days) if len({r.role for r in rules}) > 1 else days
+
+
+def _role(days: DataFrame, role: str) -> DataFrame:
+    return days.where(F.col("role") == role).drop(COHORT, "role")
+
+
+def _exclude_ever_role(index: DataFrame, days: DataFrame, rules: Sequence[LineRule]) -> DataFrame:
+    """All "ever" rules of a cohort in one anti join (member has any such claim)."""
+    if not any(r.role == "ever" and r.codes for r in rules):
+        return index
+    return exclude_ever(index, _role(days, "ever"))
+
+
 # --- diabetes family ---------------------------------------------------------------
 
 
 def diabetes_inclusion_claims(ctx: CohortContext, name: str) -> DataFrame:
-    """Code + claim-type rows (no date range); PreDiabetes/GDM drop rows with a
-    diabetes claim (Diabetes_General's codes) in the preceding months."""
+    """Claim rows (member, date, code, type): code + claim-type rows (no date range);
+    PreDiabetes/GDM drop rows with a diabetes claim (Diabetes_General's codes) in the
+    preceding months."""
     inc = ctx.config.inclusion(name)
     claims = code_claims(ctx.tables, inc["icd_codes"], inc.get("claim_types"))
     if name in LOOKBACK_COHORTS and "lookback_no_diabetes" in inc:
@@ -65,29 +79,41 @@ def diabetes_inclusion_claims(ctx: CohortContext, name: str) -> DataFrame:
     return claims
 
 
-def diabetes_index(ctx: CohortContext, name: str, claims: DataFrame) -> DataFrame:
-    inc = ctx.config.inclusion(name)
-    if name == "PreDiabetes":
-        return second_claim_index(claims, FIXED_GAP_DAYS, 2)
-    return first_pair_index(claims, int(inc.get("min_days_between_claims", 30)), int(inc.get("min_claims", 2)))
-
-
-def diabetes_exclusions(ctx: CohortContext, name: str, index: DataFrame) -> DataFrame:
-    exc = ctx.config.exclusion(name)
-    if name == "PreDiabetes" and "diabetes_codes" in exc:
-        index = exclude_on_or_before(index, code_claims(ctx.tables, exc["diabetes_codes"]))
+def diabetes_strategy(ctx: CohortContext, name: str) -> DataFrame:
+    """Inclusion claims (with the diabetes look-back for PreDiabetes/GDM) → second
+    claim (PreDiabetes, gap 30) or first pair → on-or-before and "ever" exclusions."""
+    inc, exc = ctx.config.inclusion(name), ctx.config.exclusion(name)
+    lookback = name in LOOKBACK_COHORTS and "lookback_no_diabetes" in inc
     ever = _ever_codes(exc, ["gdm_codes"])
     if name == DIABETES_GENERAL:
         ever += _ever_codes(exc, DIABETES_GENERAL_EVER_KEYS)
     if name == "GDM":
         ever += _ever_codes(exc, GDM_EVER_KEYS)
-    return _exclude_ever_codes(ctx, index, ever)
+    on_or_before = name == "PreDiabetes" and "diabetes_codes" in exc
+    rules = [LineRule(name, "inclusion", "icd", tuple(inc["icd_codes"]), _types(inc))]
+    if lookback:
+        rules.append(LineRule(name, "lookback", "icd", tuple(ctx.config.inclusion(DIABETES_GENERAL)["icd_codes"])))
+    if on_or_before:
+        rules.append(LineRule(name, "on_or_before", "icd", tuple(exc["diabetes_codes"])))
+    rules.append(LineRule(name, "ever", "icd", tuple(ever)))
+    days = role_days(ctx, rules)
+
+    claims = _role(days, "inclusion")
+    if lookback:
+        window = Window_.lookback_months(int(inc["lookback_no_diabetes"]))
+        claims = keep_without(claims, _role(days, "lookback"), window, anchor_date=DATE)
+    if name == "PreDiabetes":
+        index = second_claim_index(claims, FIXED_GAP_DAYS, 2)
+    else:
+        index = first_pair_index(claims, int(inc.get("min_days_between_claims", 30)), int(inc.get("min_claims", 2)))
+    if on_or_before:
+        index = exclude_on_or_before(index, _role(days, "on_or_before"))
+    index = _exclude_ever_role(index, days, rules)
+    return finish(_with_cohort(index, name), ctx.tables)
 
 
-def diabetes_strategy(ctx: CohortContext, name: str) -> DataFrame:
-    claims = diabetes_inclusion_claims(ctx, name)
-    index = diabetes_exclusions(ctx, name, diabetes_index(ctx, name, claims))
-    return finish(_with_cohort(index, name), ctx.tables)
+def _types(inc: dict):
+    return tuple(inc["claim_types"]) if "claim_types" in inc else None
 
 
 # --- metabolic syndrome ------------------------------------------------------------
@@ -102,61 +128,83 @@ def component_claims(ctx: CohortContext, components: dict[str, Sequence[str]]) -
     return tag_claims(claims, rules)
 
 
-def metabolic_index_rows(ctx: CohortContext, name: str) -> DataFrame:
-    """Strict (code pair, later date) rows UNION ALL broad (component window) rows."""
-    inc = ctx.config.inclusion(name)
-    strict = second_claim_index(code_claims(ctx.tables, inc["icd_codes"], MEDICAL), FIXED_GAP_DAYS, 2)
-    comps = inc["components"]
+def _metabolic_rules(name: str, inc: dict) -> list[LineRule]:
+    rules = [LineRule(name, "strict", "icd", tuple(inc["icd_codes"]), tuple(MEDICAL))]
+    for label, codes in inc["components"].items():
+        rules.append(LineRule(name, f"component:{label}", "icd", tuple(codes), tuple(MEDICAL)))
+    return rules
+
+
+def _metabolic_rows(days: DataFrame, inc: dict) -> DataFrame:
+    strict = second_claim_index(_role(days, "strict"), FIXED_GAP_DAYS, 2)
+    comp = days.where(F.col("role").startswith("component:")).withColumn(
+        "component", F.expr("substring(role, 11)")
+    )
     broad = component_window_index(
-        component_claims(ctx, comps), list(comps), int(inc["min_components"]), int(inc["component_window_days"])
+        comp, list(inc["components"]), int(inc["min_components"]), int(inc["component_window_days"])
     )
     return strict.unionByName(broad)
 
 
+def metabolic_index_rows(ctx: CohortContext, name: str) -> DataFrame:
+    """Strict (code pair, later date) rows UNION ALL broad (component window) rows."""
+    inc = ctx.config.inclusion(name)
+    return _metabolic_rows(role_days(ctx, _metabolic_rules(name, inc)), inc)
+
+
 def metabolic_strategy(ctx: CohortContext, name: str) -> DataFrame:
-    exc = ctx.config.exclusion(name)
-    index = _exclude_ever_codes(ctx, metabolic_index_rows(ctx, name), _ever_codes(exc, METABOLIC_EXCLUSION_KEYS))
+    inc, exc = ctx.config.inclusion(name), ctx.config.exclusion(name)
+    rules = _metabolic_rules(name, inc) + [LineRule(name, "ever", "icd", tuple(_ever_codes(exc, METABOLIC_EXCLUSION_KEYS)))]
+    days = role_days(ctx, rules)
+    index = _exclude_ever_role(_metabolic_rows(days, inc), days, rules)
     return finish(_with_cohort(index, name), ctx.tables)
 
 
 # --- PCOS -----------------------------------------------------------------------------
 
 
-def pcos_index(ctx: CohortContext, name: str) -> DataFrame:
-    inc = ctx.config.inclusion(name)
-    claims = code_claims(ctx.tables, inc["icd_codes"], MEDICAL)
-    return second_claim_index(claims, int(inc.get("min_days_between_claims", 30)), int(inc.get("min_claims", 2)))
-
-
 def pcos_strategy(ctx: CohortContext, name: str) -> DataFrame:
-    exc = ctx.config.exclusion(name)
-    index = _exclude_ever_codes(ctx, pcos_index(ctx, name), _ever_codes(exc, None))
+    """Medical code claims → later date of the first gap pair (row-count guard) →
+    "ever" exclusion on every exclusion key."""
+    inc, exc = ctx.config.inclusion(name), ctx.config.exclusion(name)
+    rules = [
+        LineRule(name, "inclusion", "icd", tuple(inc["icd_codes"]), tuple(MEDICAL)),
+        LineRule(name, "ever", "icd", tuple(_ever_codes(exc, None))),
+    ]
+    days = role_days(ctx, rules)
+    index = second_claim_index(
+        _role(days, "inclusion"), int(inc.get("min_days_between_claims", 30)), int(inc.get("min_claims", 2))
+    )
+    index = _exclude_ever_role(index, days, rules)
     return finish(_with_cohort(index, name), ctx.tables)
 
 
 # --- cardiometabolic ----------------------------------------------------------------
 
 
-def cardiometabolic_index(ctx: CohortContext, name: str) -> DataFrame:
+def cardiometabolic_strategy(ctx: CohortContext, name: str) -> DataFrame:
     """First claim (min_claims 1) or later date of the first gap pair, then procedure
     AND drug support (ever) when configured."""
     inc = ctx.config.inclusion(name)
-    claims = code_claims(ctx.tables, inc["icd_codes"], inc.get("claim_types"))
+    procs = tuple(inc.get("procedure_codes", []) or ())
+    drugs = tuple(inc.get("medication_codes", []) or ())
+    use_proc = bool(inc.get("allow_procedure") and "procedure_codes" in inc and procs)
+    use_drug = bool(inc.get("allow_medication") and "medication_codes" in inc and drugs)
+    rules = [LineRule(name, "inclusion", "icd", tuple(inc["icd_codes"]), _types(inc))]
+    if use_proc:
+        rules.append(LineRule(name, "procedure", "proc", procs))
+    if use_drug:
+        rules.append(LineRule(name, "drug", "drug", drugs))
+    days = role_days(ctx, rules)
+    claims = _role(days, "inclusion")
     if int(inc.get("min_claims", 2)) == 1:
         index = first_claim_index(claims)
     else:
         index = second_claim_index(claims, int(inc.get("min_days_between_claims", 30)), 2)
-    procs = inc.get("procedure_codes", [])
-    if inc.get("allow_procedure") and "procedure_codes" in inc and procs:
-        index = procedure_support(index, ctx.tables, procs)
-    drugs = inc.get("medication_codes", [])
-    if inc.get("allow_medication") and "medication_codes" in inc and drugs:
-        index = drug_support(index, ctx.tables, drugs)
-    return index
-
-
-def cardiometabolic_strategy(ctx: CohortContext, name: str) -> DataFrame:
-    return finish(_with_cohort(cardiometabolic_index(ctx, name), name), ctx.tables)
+    for role, used in (("procedure", use_proc), ("drug", use_drug)):
+        if used:
+            index = index.join(_role(days, role).select(MEMBER).distinct(), MEMBER, "left_semi")
+    return finish(_with_cohort(index, name), ctx.tables)
 
 
 STRATEGIES = {
