@@ -66,15 +66,19 @@ def config() -> CohortConfig:
     return load_config()
 
 
-_TABLES: dict[tuple[int, str], ClaimsTables] = {}
+_TABLES: dict[str, tuple[SparkSession, ClaimsTables]] = {}
 
 
 def tables(spark: SparkSession, sf_dir: str) -> ClaimsTables:
-    """Claims tables for ``sf_dir``, built once per session (lazy DataFrames, no data held)."""
-    key = (id(spark), sf_dir)
-    if key not in _TABLES:
-        _TABLES[key] = testdata_tables(spark, sf_dir)
-    return _TABLES[key]
+    """Claims tables for ``sf_dir``, built once per session (lazy DataFrames, no data held).
+
+    Reused only for the very same session object; a new session rebuilds them.
+    """
+    cached = _TABLES.get(sf_dir)
+    if cached is None or cached[0] is not spark:
+        cached = (spark, testdata_tables(spark, sf_dir))
+        _TABLES[sf_dir] = cached
+    return cached[1]
 
 
 def ctx(spark: SparkSession, sf_dir: str) -> CohortContext:
