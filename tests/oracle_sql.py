@@ -17,6 +17,8 @@ CONFIG = os.path.join(os.path.dirname(HERE), "claims_cohorts", "config", "cohort
 with open(CONFIG) as _f:
     COHORTS = yaml.safe_load(_f)["cohorts"]
 
+# FIXED VALUES — as-of date and the 48-code diagnosis codebook of the test-data mapping
+# (same values as claims_cohorts/sources/testdata.py).
 AS_OF = "2001-08-01"
 CODEBOOK = [
     "K58.0", "K580", "K58.1", "K58.2", "K58.9", "K50.90", "K51.0",
@@ -27,6 +29,7 @@ CODEBOOK = [
     "E88.81", "E88810", "E66.9", "E66.3", "Z68.22", "Z68.27",
     "Z68.35", "E28.2", "E25.0", "E24.9", "C50.9", "B20", "Z00.00",
 ]
+# FIXED VALUES — probe pattern lists (same as claims_cohorts/plans/queries.py).
 ICD_PROBE_CODES = ["K58.*", "R10.", "I10", "E78.0", "O24.4*", "C*", "Z68.3*"]
 DRUG_PROBE_NAMES = ["LISINOPRIL", "ATORVASTATIN%", "ACETAMINOPHEN*"]
 
