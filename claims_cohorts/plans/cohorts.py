@@ -87,6 +87,24 @@ def finish(index: DataFrame, tables: ClaimsTables, with_members: bool = True) ->
     return joined.select(MEMBER, INDEX, *extra, COHORT)
 
 
+def inclusion_claims_advanced(tables: ClaimsTables, inclusion: dict, as_of=None) -> DataFrame:
+    """Inclusion claim rows (member, date, code, type) with the flags the configuration
+    asks for: ``has_symptom_code`` (symptom codes + window), ``has_procedure_support``
+    (allow_procedure + procedure_codes), ``has_drug_support`` (allow_medication +
+    medication_codes). Flags are per claim row; support flags hold for the member at
+    any date."""
+    from claims_cohorts.operators.claims import code_claims
+    from claims_cohorts.operators.support import support_flags
+    from claims_cohorts.operators.temporal import symptom_flag
+
+    claims = code_claims(tables, inclusion["icd_codes"], inclusion.get("claim_types"), inclusion.get("date_range_years"), as_of)
+    if "symptom_codes" in inclusion and "symptom_window_days" in inclusion:
+        claims = symptom_flag(claims, code_claims(tables, inclusion["symptom_codes"]), int(inclusion["symptom_window_days"]))
+    procs = inclusion.get("procedure_codes") if inclusion.get("allow_procedure") and "procedure_codes" in inclusion else None
+    drugs = inclusion.get("medication_codes") if inclusion.get("allow_medication") and "medication_codes" in inclusion else None
+    return support_flags(claims, tables, procs, drugs)
+
+
 def default_path(
     tables: ClaimsTables,
     config: CohortConfig,

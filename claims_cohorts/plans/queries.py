@@ -44,7 +44,7 @@ from claims_cohorts.operators.temporal import (
 )
 from claims_cohorts.operators.validation import claims_quality, output_quality
 from claims_cohorts.plans import strategies as S
-from claims_cohorts.plans.cohorts import CohortContext, build_cohort, build_cohorts
+from claims_cohorts.plans.cohorts import CohortContext, build_cohort, build_cohorts, inclusion_claims_advanced
 from claims_cohorts.plans.run import combined_summary, cohort_counts
 from claims_cohorts.plans.spec import CohortConfig, load_config
 from claims_cohorts.sources.tables import ClaimsTables, table_profile
@@ -126,6 +126,10 @@ def q_inclusion_claims(spark, sf_dir):
     return code_claims(tables(spark, sf_dir), inc["icd_codes"], inc.get("claim_types"), inc["date_range_years"], AS_OF)
 
 
+def q_inclusion_claims_advanced(spark, sf_dir):
+    return inclusion_claims_advanced(tables(spark, sf_dir), _inc("CAD_Conservative"), AS_OF)
+
+
 def q_table_profile(spark, sf_dir):
     prof = table_profile(spark, tables(spark, sf_dir))
     return prof.select(

@@ -429,6 +429,11 @@ def oracle_sql() -> dict[str, str]:
     out["load_claims_tables"] = sql([], "SELECT * FROM claims_entries")
     ibs_g = COHORTS["IBS_General"]["inclusion"]
     out["inclusion_claims"] = sql([], claims_sql(ibs_g["icd_codes"], ibs_g.get("claim_types"), ibs_g["date_range_years"]))
+    out["inclusion_claims_advanced"] = sql(
+        [f"inc AS ({claims_sql(CAD['icd_codes'], CAD['claim_types'])})"],
+        f"SELECT c.*, c.member_id_hash IN ({proc_members_sql(CAD['procedure_codes'])}) AS has_procedure_support, "
+        f"c.member_id_hash IN ({drug_members_sql(CAD['medication_codes'])}) AS has_drug_support FROM inc c",
+    )
     out["table_profile"] = sql([], profile_sql())
     rules = [
         f"SELECT DISTINCT {q(c)} AS cohort, {q(r)} AS role, icd_code FROM claims_diagnoses WHERE icd_code IS NOT NULL AND {icd_sql(codes)}"
