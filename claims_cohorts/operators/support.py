@@ -37,28 +37,28 @@ def supported_members(events: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def procedure_support(index: DataFrame, tables: ClaimsTables, codes: Sequence[str]) -> DataFrame:
     """Keep members with a matching procedure claim at any date."""
     if not codes:
-        return index.limit(0)
+        return index.where(F.lit(False))  # no codes: nobody has support
     return index.join(supported_members(procedure_events(tables, codes)), MEMBER, "left_semi")
 
 
 def drug_support(index: DataFrame, tables: ClaimsTables, names: Sequence[str]) -> DataFrame:
     """Keep members with a matching pharmacy claim at any date."""
     if not names:
-        return index.limit(0)
+        return index.where(F.lit(False))  # no codes: nobody has support
     return index.join(supported_members(drug_events(tables, names)), MEMBER, "left_semi")
 
 
 def procedure_support_window(index: DataFrame, tables: ClaimsTables, codes: Sequence[str], window_days: int = 180) -> DataFrame:
     """Keep index rows with a matching procedure in ``[index - window_days, index]``."""
     if not codes:
-        return index.limit(0)
+        return index.where(F.lit(False))  # no codes: nobody has support
     return keep_with(index, procedure_events(tables, codes), Window_.lookback_days(window_days, inclusive_anchor=True))
 
 
 def drug_support_window(index: DataFrame, tables: ClaimsTables, names: Sequence[str], window_days: int = 180) -> DataFrame:
     """Keep index rows with a matching pharmacy claim in ``[index - window_days, index]``."""
     if not names:
-        return index.limit(0)
+        return index.where(F.lit(False))  # no codes: nobody has support
     return keep_with(index, drug_events(tables, names), Window_.lookback_days(window_days, inclusive_anchor=True))
 
 
