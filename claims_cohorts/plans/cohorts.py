@@ -1,11 +1,12 @@
 """Cohort plans: the default path for any number of cohorts in one pass, and the
 registry of custom cohort logic.
 
-The default path labels every diagnosis claim with each (cohort, role) rule it
-satisfies in one scan, so N cohorts cost one join of entries with diagnoses, not N.
-Per-cohort knobs (gap, span, windows, support mode) become CASE expressions on the
-``cohort`` column, so one plan serves all cohorts, and every per-member step is
-keyed by (cohort, member).
+The default path turns every cohort's rules (inclusion codes, window-exclusion codes,
+support procedures and drugs) into labelled rules and reads all of them with one
+claim-lines join (see ``operators/lines.py``), so N cohorts cost one join of the line
+tables with the entries, not N. Per-cohort knobs (gap, span, windows, support mode)
+become CASE expressions on the ``cohort`` column, so one plan serves all cohorts, and
+every per-member step is keyed by (cohort, member).
 """
 
 from __future__ import annotations
@@ -19,11 +20,12 @@ from pyspark.sql import functions as F
 
 from claims_cohorts.columns import COHORT, DATE, INDEX, MEMBER
 from claims_cohorts.functions.codes import any_of
-from claims_cohorts.operators.claims import compact_claims
+from claims_cohorts.operators.claims import code_claims, compact_claims
 from claims_cohorts.operators.index import first_pair_index
 from claims_cohorts.operators.lines import LineRule, claim_lines
 from claims_cohorts.operators.members import add_member_info
-from claims_cohorts.operators.temporal import Window_, window_flags
+from claims_cohorts.operators.support import support_flags
+from claims_cohorts.operators.temporal import Window_, symptom_flag, window_flags
 from claims_cohorts.plans.spec import CohortConfig, DefaultPathSpec, default_path_spec
 from claims_cohorts.session import materialize
 from claims_cohorts.sources.tables import ClaimsTables
@@ -93,10 +95,6 @@ def inclusion_claims_advanced(tables: ClaimsTables, inclusion: dict, as_of=None)
     (allow_procedure + procedure_codes), ``has_drug_support`` (allow_medication +
     medication_codes). Flags are per claim row; support flags hold for the member at
     any date."""
-    from claims_cohorts.operators.claims import code_claims
-    from claims_cohorts.operators.support import support_flags
-    from claims_cohorts.operators.temporal import symptom_flag
-
     claims = code_claims(tables, inclusion["icd_codes"], inclusion.get("claim_types"), inclusion.get("date_range_years"), as_of)
     if "symptom_codes" in inclusion and "symptom_window_days" in inclusion:
         claims = symptom_flag(claims, code_claims(tables, inclusion["symptom_codes"]), int(inclusion["symptom_window_days"]))
