@@ -88,3 +88,23 @@ def test_cli_writes_outputs(spark):
     meta = main(["--testdata", SF, "--output_dir", out, "--cohorts", "HTN_Conservative", "--as_of", AS_OF])
     assert meta["cohort_counts"] == {"HTN_Conservative": 53}
     assert os.path.exists(os.path.join(out, "HTN_Conservative_metadata.json"))
+
+
+def test_run_cohorts_validates_output(spark):
+    from claims_cohorts.operators.validation import SchemaError
+    from claims_cohorts.plans.spec import config_from_text
+
+    t = testdata_tables(spark, SF)
+    cfg = config_from_text("cohorts:\n  Bad:\n    inclusion:\n      icd_codes: ['I10']\n      min_claims: 2\n")
+
+    def bad(ctx, name):
+        return ctx.tables.entries_typed().selectExpr("member_id_hash", "CAST(NULL AS DATE) AS index_date", f"'{name}' AS cohort")
+
+    from claims_cohorts.plans.cohorts import COHORT_LOGIC_REGISTRY
+
+    COHORT_LOGIC_REGISTRY["Bad"] = bad
+    try:
+        with pytest.raises(SchemaError, match="index_date null"):
+            run_cohorts(spark, t, cfg, tempfile.mkdtemp(prefix="bad-", dir="/tmp"), ["Bad"])
+    finally:
+        COHORT_LOGIC_REGISTRY.pop("Bad", None)
