@@ -17,8 +17,9 @@ def add_member_info(index: DataFrame, members: DataFrame) -> DataFrame:
     share one shuffle of each input.
     """
     extra = [c for c in members.columns if c != MEMBER]
+    members = members.where(F.col(MEMBER).isNotNull())  # a null key never matches either join
     matched = index.join(members, MEMBER, "inner")
-    unmatched = index.join(members.select(MEMBER), MEMBER, "left_anti")
+    unmatched = index.join(members, MEMBER, "left_anti")  # same inputs: shuffles are shared
     for c in extra:
         unmatched = unmatched.withColumn(c, F.lit(None).cast(members.schema[c].dataType))
     cols = [*index.columns, *extra]

@@ -85,7 +85,10 @@ def finish(index: DataFrame, tables: ClaimsTables, with_members: bool = True) ->
         return index.select(MEMBER, INDEX, COHORT)
     members = tables.members
     extra = [c for c in members.columns if c not in (MEMBER, INDEX, COHORT)]
-    joined = add_member_info(index.select(MEMBER, INDEX, COHORT), members.select(MEMBER, *extra))
+    # Index rows here never have a null member (claims are compacted without them);
+    # stating it lets both branches of the member join share one shuffle.
+    index = index.select(MEMBER, INDEX, COHORT).where(F.col(MEMBER).isNotNull())
+    joined = add_member_info(index, members.select(MEMBER, *extra))
     return joined.select(MEMBER, INDEX, *extra, COHORT)
 
 
