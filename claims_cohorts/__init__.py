@@ -8,6 +8,7 @@ from claims_cohorts.plans.spec import load_config, CohortConfig
 from claims_cohorts.sources.tables import ClaimsTables
 from claims_cohorts.plans.cohorts import build_cohort, build_cohorts, cohort_logic, COHORT_LOGIC_REGISTRY
 from claims_cohorts.plans.run import run_cohorts
+from claims_cohorts.builder import CohortBuilder
 
 __all__ = [
     "load_config",
@@ -18,4 +19,5 @@ __all__ = [
     "cohort_logic",
     "COHORT_LOGIC_REGISTRY",
     "run_cohorts",
+    "CohortBuilder",
 ]

@@ -91,3 +91,13 @@ def test_cohort_with_no_qualifying_member(spark):
     t = claims_tables(spark, ENTRIES, DX, members=[("p", "Pat")])
     out = build_cohort(t, cfg, "A", registry={})
     assert out.count() == 0 and out.columns == ["member_id_hash", "index_date", "member_name", "cohort"]
+
+
+def test_cohort_builder(spark):
+    from claims_cohorts import CohortBuilder
+    from claims_cohorts.sources.testdata import AS_OF, testdata_tables
+
+    b = CohortBuilder(testdata_tables(spark, "/root/testdata/sf0.001"), as_of=AS_OF)
+    assert b.build_cohort("HTN_Conservative").count() == 53
+    assert "has_symptom_code" in b.inclusion_claims("IBS_D").columns
+    assert any("utilization" in w for w in b.warnings)
