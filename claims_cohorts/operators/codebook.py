@@ -53,27 +53,46 @@ def icd_rule_rows(
 
 
 def rules_frame(spark: SparkSession, rows: Iterable[tuple]) -> DataFrame:
-    """Small driver-side table of rules (bounded by the configuration's size)."""
+    """Rules as a small table (bounded by the configuration's size)."""
     return spark.createDataFrame(list(rows), RULE_SCHEMA)
 
 
-def _matches(code: Column) -> Column:
-    kind, pattern = F.col("kind"), F.col("pattern")
-    return (
-        ((kind == "eq") & (code == pattern))
-        | ((kind == "prefix") & code.startswith(pattern))
-        | ((kind == "like") & F.expr(f"{ICD} LIKE pattern"))
-    )
+def codebook(diagnoses: DataFrame, rule_rows: Sequence[tuple]) -> DataFrame:
+    """(cohort, role, icd_code): one row per distinct code a rule matches (several
+    patterns of one rule matching a code count once).
 
-
-def codebook(diagnoses: DataFrame, rules: DataFrame) -> DataFrame:
-    """(cohort, role, icd_code, claim_types, date_range_years): one row per distinct
-    code a rule matches (several patterns of one rule matching a code count once)."""
+    ``rule_rows`` come from :func:`icd_rule_rows`. Equi-joins only: exact patterns
+    join on the code, prefix patterns on the code's prefixes (each distinct code
+    expanded to its few prefixes). Patterns with an inner wildcard (none in the
+    shipped configuration) are matched with LIKE against the distinct codes, with
+    only those rules broadcast.
+    """
+    spark = diagnoses.sparkSession
     codes = diagnoses.select(ICD).where(F.col(ICD).isNotNull()).distinct()
-    matched = codes.join(F.broadcast(rules), _matches(F.col(ICD)))
-    return matched.select(COHORT, "role", ICD, "claim_types", "date_range_years").dropDuplicates(
-        [COHORT, "role", ICD]
-    )
+    keep = [COHORT, "role", ICD]
+    by_kind: dict[str, list[tuple]] = {}
+    for cohort, role, kind, pattern, *_ in rule_rows:
+        by_kind.setdefault(kind, []).append((cohort, role, pattern))
+    schema = "cohort string, role string, pattern string"
+    parts = []
+    if by_kind.get("eq"):
+        eq = spark.createDataFrame(by_kind["eq"], schema).withColumnRenamed("pattern", ICD)
+        parts.append(codes.join(F.broadcast(eq), ICD).select(*keep))
+    if by_kind.get("prefix"):
+        prefixes = codes.select(ICD, F.explode(F.sequence(F.lit(0), F.length(ICD))).alias("_n")).select(
+            ICD, F.expr(f"substring({ICD}, 1, _n)").alias("pattern")
+        )
+        pre = spark.createDataFrame(by_kind["prefix"], schema)
+        parts.append(prefixes.join(F.broadcast(pre), "pattern").select(*keep))
+    if by_kind.get("like"):
+        like = spark.createDataFrame(by_kind["like"], schema)
+        parts.append(codes.join(F.broadcast(like), F.expr(f"{ICD} LIKE pattern")).select(*keep))
+    if not parts:
+        return spark.createDataFrame([], "cohort string, role string, icd_code string")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.distinct()
 
 
 def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:

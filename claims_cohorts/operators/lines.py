@@ -25,7 +25,6 @@ from claims_cohorts.operators.codebook import (
     DIRECT_MAX_PATTERNS,
     codebook,
     icd_rule_rows,
-    rules_frame,
     sized_broadcast,
 )
 from claims_cohorts.sources.tables import ClaimsTables
@@ -65,8 +64,7 @@ def _diagnosis_lines(tables: ClaimsTables, rules: Sequence[LineRule], direct_max
     if len(rows) <= direct_max_patterns:
         dx = tables.diagnoses.select(CLAIM_ID, ICD).where(icd_match([c for r in rules for c in r.codes], ICD))
         return tag_claims(dx, _label(rules, icd_match, ICD)).select(CLAIM_ID, COHORT, "role")
-    spark = tables.diagnoses.sparkSession
-    book = codebook(tables.diagnoses, rules_frame(spark, rows)).select(COHORT, "role", ICD)
+    book = codebook(tables.diagnoses, rows)
     book = sized_broadcast(book, max_broadcast_rows)
     return tables.diagnoses.select(CLAIM_ID, ICD).join(book, ICD).select(CLAIM_ID, COHORT, "role")
 

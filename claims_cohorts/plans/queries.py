@@ -12,12 +12,12 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claims_cohorts.columns import CLAIM_ID, CLAIM_TYPE, COHORT, DATE, DRUG, ICD, INDEX, MEMBER, PROC
+from claims_cohorts.columns import CLAIM_ID, CLAIM_TYPE, DATE, DRUG, ICD, INDEX, MEMBER, PROC
 from claims_cohorts.functions.codes import claim_type_match, date_range_filter, drug_match, icd_match, procedure_match
 from claims_cohorts.functions.dates import duration_days
 from claims_cohorts.operators import eligibility as elig
 from claims_cohorts.operators.claims import code_claims, diagnosis_claims
-from claims_cohorts.operators.codebook import codebook, icd_rule_rows, rules_frame
+from claims_cohorts.operators.codebook import codebook, icd_rule_rows
 from claims_cohorts.operators.index import (
     component_window_index,
     first_claim_index,
@@ -156,8 +156,7 @@ def q_cohort_rules(spark, sf_dir):
             lists[f"tag:{key}"] = value
         for role, code_list in lists.items():
             rows += icd_rule_rows(name, role, code_list)
-    book = codebook(tables(spark, sf_dir).diagnoses, rules_frame(spark, rows))
-    return book.select(COHORT, "role", ICD)
+    return codebook(tables(spark, sf_dir).diagnoses, rows)
 
 
 def combined(spark, sf_dir) -> DataFrame:

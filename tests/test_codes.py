@@ -79,3 +79,20 @@ def test_date_range_is_calendar_years(spark, d):
     assert df.where(date_range_filter(5, "2001-08-01")).count() == 2
     leap = spark.createDataFrame([(d("2023-02-27"),), (d("2023-02-28"),)], "date_of_service date")
     assert leap.where(date_range_filter(1, "2024-02-29")).count() == 1
+
+
+def test_codebook_equi_joins_all_pattern_kinds(spark):
+    from claims_cohorts.operators.codebook import codebook, icd_rule_rows
+
+    dx = spark.createDataFrame([(c,) for c in ["K58.0", "K580", "K58", "R10", "R10.", "AB12", "A1", None]], "icd_code string")
+    rows = icd_rule_rows("X", "r1", ["K58.*"]) + icd_rule_rows("X", "r2", ["R10."]) + [
+        ("X", "r3", "like", "A_1%", None, None),
+        ("X", "r4", "prefix", "", None, None),
+    ]
+    got = {(r.role, r.icd_code) for r in codebook(dx, rows).collect()}
+    assert {c for r, c in got if r == "r1"} == {"K58.0", "K580", "K58"}
+    assert {c for r, c in got if r == "r2"} == {"R10", "R10."}
+    assert {c for r, c in got if r == "r3"} == {"AB12"}
+    assert {c for r, c in got if r == "r4"} == {"K58.0", "K580", "K58", "R10", "R10.", "AB12", "A1"}
+    plan = codebook(dx, rows[:2])._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan
