@@ -11,19 +11,13 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claims_cohorts.columns import COHORT, DATE, MEMBER
+from claims_cohorts.columns import COHORT, INDEX, MEMBER
 from claims_cohorts.functions.codes import icd_match
 from claims_cohorts.operators.claims import code_claims, compact_claims, diagnosis_claims, tag_claims
-from claims_cohorts.operators.index import (
-    component_window_index,
-    first_claim_index,
-    first_pair_index,
-    second_claim_index,
-)
 from claims_cohorts.operators.lines import LineRule, claim_lines
-from claims_cohorts.operators.temporal import Window_, exclude_ever, exclude_on_or_before, keep_without, lookback_exclusion
+from claims_cohorts.operators.temporal import lookback_exclusion
 from claims_cohorts.plans.cohorts import COHORT_LOGIC_REGISTRY, CohortContext, finish
-from claims_cohorts.session import materialize
+from claims_cohorts.plans.member_pass import metabolic_pass, strategy_pass
 
 MEDICAL = ["medical"]
 # FIXED VALUES — the cohorts whose names switch on special handling, and the
@@ -41,27 +35,19 @@ def _ever_codes(exclusion: dict, keys: Sequence[str] | None) -> list[str]:
     return [code for k in chosen for code in exclusion[k]]
 
 
-def _with_cohort(index: DataFrame, name: str) -> DataFrame:
-    return index.withColumn(COHORT, F.lit(name))
-
-
 def role_days(ctx: CohortContext, rules: Sequence[LineRule]) -> DataFrame:
     """(cohort, role, member, day, n_claims) for all of a strategy's rules from one
-    claim-lines join; stored once when several roles read it."""
+    claim-lines join."""
     rules = [r for r in rules if r.codes]
-    days = compact_claims(claim_lines(ctx.tables, rules, ctx.as_of), [COHORT, "role"])
-    return materialize(days) if len({r.role for r in rules}) > 1 else days
+    return compact_claims(claim_lines(ctx.tables, rules, ctx.as_of), [COHORT, "role"])
 
 
-def _role(days: DataFrame, role: str) -> DataFrame:
-    return days.where(F.col("role") == role).drop(COHORT, "role")
+def _finish(ctx: CohortContext, index: DataFrame, name: str) -> DataFrame:
+    return finish(index.select(MEMBER, INDEX).withColumn(COHORT, F.lit(name)), ctx.tables)
 
 
-def _exclude_ever_role(index: DataFrame, days: DataFrame, rules: Sequence[LineRule]) -> DataFrame:
-    """All "ever" rules of a cohort in one anti join (member has any such claim)."""
-    if not any(r.role == "ever" and r.codes for r in rules):
-        return index
-    return exclude_ever(index, _role(days, "ever"))
+def _types(inc: dict):
+    return tuple(inc["claim_types"]) if "claim_types" in inc else None
 
 
 # --- diabetes family ---------------------------------------------------------------
@@ -80,8 +66,9 @@ def diabetes_inclusion_claims(ctx: CohortContext, name: str) -> DataFrame:
 
 
 def diabetes_strategy(ctx: CohortContext, name: str) -> DataFrame:
-    """Inclusion claims (with the diabetes look-back for PreDiabetes/GDM) → second
-    claim (PreDiabetes, gap 30) or first pair → on-or-before and "ever" exclusions."""
+    """Inclusion claims (minus days with a diabetes claim in the preceding months, for
+    PreDiabetes/GDM) → later day of the first 30-day pair (PreDiabetes) or first pair
+    → on-or-before and "ever" exclusions."""
     inc, exc = ctx.config.inclusion(name), ctx.config.exclusion(name)
     lookback = name in LOOKBACK_COHORTS and "lookback_no_diabetes" in inc
     ever = _ever_codes(exc, ["gdm_codes"])
@@ -95,25 +82,22 @@ def diabetes_strategy(ctx: CohortContext, name: str) -> DataFrame:
         rules.append(LineRule(name, "lookback", "icd", tuple(ctx.config.inclusion(DIABETES_GENERAL)["icd_codes"])))
     if on_or_before:
         rules.append(LineRule(name, "on_or_before", "icd", tuple(exc["diabetes_codes"])))
-    rules.append(LineRule(name, "ever", "icd", tuple(ever)))
-    days = role_days(ctx, rules)
-
-    claims = _role(days, "inclusion")
-    if lookback:
-        window = Window_.lookback_months(int(inc["lookback_no_diabetes"]))
-        claims = keep_without(claims, _role(days, "lookback"), window, anchor_date=DATE)
+    if ever:
+        rules.append(LineRule(name, "ever", "icd", tuple(ever)))
     if name == "PreDiabetes":
-        index = second_claim_index(claims, FIXED_GAP_DAYS, 2)
+        kind, min_days = "second_claim", FIXED_GAP_DAYS
     else:
-        index = first_pair_index(claims, int(inc.get("min_days_between_claims", 30)), int(inc.get("min_claims", 2)))
-    if on_or_before:
-        index = exclude_on_or_before(index, _role(days, "on_or_before"))
-    index = _exclude_ever_role(index, days, rules)
-    return finish(_with_cohort(index, name), ctx.tables)
-
-
-def _types(inc: dict):
-    return tuple(inc["claim_types"]) if "claim_types" in inc else None
+        kind, min_days = "first_pair", int(inc.get("min_days_between_claims", 30))
+    index = strategy_pass(
+        role_days(ctx, rules),
+        kind,
+        min_days,
+        2,
+        lookback_months=int(inc["lookback_no_diabetes"]) if lookback else None,
+        on_or_before=on_or_before,
+        ever=bool(ever),
+    )
+    return _finish(ctx, index, name)
 
 
 # --- metabolic syndrome ------------------------------------------------------------
@@ -135,29 +119,29 @@ def _metabolic_rules(name: str, inc: dict) -> list[LineRule]:
     return rules
 
 
-def _metabolic_rows(days: DataFrame, inc: dict) -> DataFrame:
-    strict = second_claim_index(_role(days, "strict"), FIXED_GAP_DAYS, 2)
-    comp = days.where(F.col("role").startswith("component:")).withColumn(
-        "component", F.expr("substring(role, 11)")
-    )
-    broad = component_window_index(
-        comp, list(inc["components"]), int(inc["min_components"]), int(inc["component_window_days"])
+def _metabolic(ctx: CohortContext, name: str, with_exclusions: bool) -> DataFrame:
+    inc, exc = ctx.config.inclusion(name), ctx.config.exclusion(name)
+    rules = _metabolic_rules(name, inc)
+    ever = _ever_codes(exc, METABOLIC_EXCLUSION_KEYS) if with_exclusions else []
+    if ever:
+        rules.append(LineRule(name, "ever", "icd", tuple(ever)))
+    return metabolic_pass(
+        role_days(ctx, rules),
+        list(inc["components"]),
+        int(inc["min_components"]),
+        int(inc["component_window_days"]),
+        FIXED_GAP_DAYS,
+        ever=bool(ever),
     )
-    return strict.unionByName(broad)
 
 
 def metabolic_index_rows(ctx: CohortContext, name: str) -> DataFrame:
     """Strict (code pair, later date) rows UNION ALL broad (component window) rows."""
-    inc = ctx.config.inclusion(name)
-    return _metabolic_rows(role_days(ctx, _metabolic_rules(name, inc)), inc)
+    return _metabolic(ctx, name, with_exclusions=False).select(MEMBER, INDEX)
 
 
 def metabolic_strategy(ctx: CohortContext, name: str) -> DataFrame:
-    inc, exc = ctx.config.inclusion(name), ctx.config.exclusion(name)
-    rules = _metabolic_rules(name, inc) + [LineRule(name, "ever", "icd", tuple(_ever_codes(exc, METABOLIC_EXCLUSION_KEYS)))]
-    days = role_days(ctx, rules)
-    index = _exclude_ever_role(_metabolic_rows(days, inc), days, rules)
-    return finish(_with_cohort(index, name), ctx.tables)
+    return _finish(ctx, _metabolic(ctx, name, with_exclusions=True), name)
 
 
 # --- PCOS -----------------------------------------------------------------------------
@@ -167,16 +151,18 @@ def pcos_strategy(ctx: CohortContext, name: str) -> DataFrame:
     """Medical code claims → later date of the first gap pair (row-count guard) →
     "ever" exclusion on every exclusion key."""
     inc, exc = ctx.config.inclusion(name), ctx.config.exclusion(name)
-    rules = [
-        LineRule(name, "inclusion", "icd", tuple(inc["icd_codes"]), tuple(MEDICAL)),
-        LineRule(name, "ever", "icd", tuple(_ever_codes(exc, None))),
-    ]
-    days = role_days(ctx, rules)
-    index = second_claim_index(
-        _role(days, "inclusion"), int(inc.get("min_days_between_claims", 30)), int(inc.get("min_claims", 2))
+    ever = _ever_codes(exc, None)
+    rules = [LineRule(name, "inclusion", "icd", tuple(inc["icd_codes"]), tuple(MEDICAL))]
+    if ever:
+        rules.append(LineRule(name, "ever", "icd", tuple(ever)))
+    index = strategy_pass(
+        role_days(ctx, rules),
+        "second_claim",
+        int(inc.get("min_days_between_claims", 30)),
+        int(inc.get("min_claims", 2)),
+        ever=bool(ever),
     )
-    index = _exclude_ever_role(index, days, rules)
-    return finish(_with_cohort(index, name), ctx.tables)
+    return _finish(ctx, index, name)
 
 
 # --- cardiometabolic ----------------------------------------------------------------
@@ -191,20 +177,19 @@ def cardiometabolic_strategy(ctx: CohortContext, name: str) -> DataFrame:
     use_proc = bool(inc.get("allow_procedure") and "procedure_codes" in inc and procs)
     use_drug = bool(inc.get("allow_medication") and "medication_codes" in inc and drugs)
     rules = [LineRule(name, "inclusion", "icd", tuple(inc["icd_codes"]), _types(inc))]
+    support = []
     if use_proc:
         rules.append(LineRule(name, "procedure", "proc", procs))
+        support.append("procedure")
     if use_drug:
         rules.append(LineRule(name, "drug", "drug", drugs))
-    days = role_days(ctx, rules)
-    claims = _role(days, "inclusion")
+        support.append("drug")
     if int(inc.get("min_claims", 2)) == 1:
-        index = first_claim_index(claims)
+        kind, min_days = "first_claim", 0
     else:
-        index = second_claim_index(claims, int(inc.get("min_days_between_claims", 30)), 2)
-    for role, used in (("procedure", use_proc), ("drug", use_drug)):
-        if used:
-            index = index.join(_role(days, role).select(MEMBER).distinct(), MEMBER, "left_semi")
-    return finish(_with_cohort(index, name), ctx.tables)
+        kind, min_days = "second_claim", int(inc.get("min_days_between_claims", 30))
+    index = strategy_pass(role_days(ctx, rules), kind, min_days, 2, support=support)
+    return _finish(ctx, index, name)
 
 
 STRATEGIES = {
