@@ -5,7 +5,7 @@ import pytest
 from claims_cohorts.plans import queries as Q
 
 SF = "/root/testdata/sf0.001"
-FORBIDDEN = ["CartesianProduct", "BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas"]
+FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas"]
 
 
 def physical(df) -> str:
