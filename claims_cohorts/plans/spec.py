@@ -68,7 +68,7 @@ def config_from_text(text: str) -> CohortConfig:
 
 @dataclass(frozen=True)
 class DefaultPathSpec:
-    """The knobs of the default cohort path, read the way the reference reads them."""
+    """The knobs of the default cohort path, read the way the original cohort logic reads them."""
 
     name: str
     icd_codes: tuple[str, ...]

@@ -64,7 +64,7 @@ def sql(ctes: list[str], select: str) -> str:
     return "WITH " + ",\n".join(BASE + ctes) + "\n" + select
 
 
-# --- predicates in the reference's LIKE form --------------------------------------
+# --- predicates in SQL LIKE form --------------------------------------
 
 
 def icd_sql(codes, col="icd_code") -> str:

@@ -44,7 +44,7 @@ def brute_strategy(rows, kind, min_days, min_rows, lookback=None, oob=False, eve
         if lookback is not None:
             dm = roles.get("lookback", {})
             inc = {d: n for d, n in inc.items() if not any(add_months(d, -lookback) <= x < d for x in dm)}
-        # expand to claim rows, then the reference's loops
+        # expand to claim rows, then plain loops over them
         ds = sorted(d for d, n in inc.items() for _ in range(n))
         idx = None
         if kind == "first_claim":

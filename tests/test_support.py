@@ -72,7 +72,7 @@ def _mode(text):
 BASE = "cohorts:\n  X:\n    inclusion:\n      icd_codes: ['A']\n      min_claims: 2\n"
 
 
-def test_support_modes_follow_reference_rules():
+def test_support_modes():
     both = BASE + "      allow_procedure: true\n      procedure_codes: ['1']\n      allow_medication: true\n      medication_codes: ['D']\n"
     assert _mode(both) == "and"
     assert _mode(both + "      require_both_procedure_and_medication: false\n") == "or"
