@@ -15,17 +15,16 @@ import logging
 from dataclasses import dataclass
 from typing import Any, Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from claims_cohorts.columns import COHORT, DATE, INDEX, MEMBER
-from claims_cohorts.functions.codes import any_of
-from claims_cohorts.operators.claims import N_CLAIMS, code_claims, compact_claims
+from claims_cohorts.columns import COHORT, INDEX, MEMBER
+from claims_cohorts.operators.claims import code_claims, compact_claims
 from claims_cohorts.operators.lines import LineRule, claim_lines
 from claims_cohorts.operators.members import add_member_info
 from claims_cohorts.operators.support import support_flags
 from claims_cohorts.operators.temporal import symptom_flag
-from claims_cohorts.plans.spec import CohortConfig, DefaultPathSpec, default_path_spec
+from claims_cohorts.plans.member_pass import default_path_pass
+from claims_cohorts.plans.spec import CohortConfig, default_path_spec
 from claims_cohorts.session import materialize
 from claims_cohorts.sources.tables import ClaimsTables
 
@@ -58,26 +57,6 @@ def cohort_logic(name: str) -> Callable[[CohortFn], CohortFn]:
     return decorator
 
 
-def _sql_literal(value) -> str:
-    if value is None:
-        return "NULL"
-    if isinstance(value, bool):
-        return "TRUE" if value else "FALSE"
-    if isinstance(value, (int, float)):
-        return repr(value)
-    return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def per_cohort(specs: Sequence[DefaultPathSpec], value: Callable[[DefaultPathSpec], Any], dtype: str) -> Column:
-    """CASE cohort WHEN … literal per cohort (a single literal when all agree)."""
-    values = {s.name: value(s) for s in specs}
-    distinct = set(values.values())
-    if len(distinct) == 1:
-        return F.lit(next(iter(distinct))).cast(dtype)
-    branches = " ".join(f"WHEN {_sql_literal(n)} THEN {_sql_literal(v)}" for n, v in values.items())
-    return F.expr(f"CAST(CASE {COHORT} {branches} END AS {dtype})")
-
-
 def finish(index: DataFrame, tables: ClaimsTables, with_members: bool = True) -> DataFrame:
     """(member, index_date, cohort) → member attributes joined, ``cohort`` last."""
     if not with_members or tables.members is None:
@@ -134,89 +113,7 @@ def default_path(
     # One row per (cohort, role, member, day) from one claim-lines join; every
     # decision is then made in one pass over each member's days.
     days = compact_claims(claim_lines(tables, rules, as_of), [COHORT, "role"])
-    return finish(_decide(days, specs), tables, with_members)
-
-
-def _decide(days: DataFrame, specs: Sequence[DefaultPathSpec]) -> DataFrame:
-    """All default-path decisions for every (cohort, member) in one pass over its days.
-
-    One shuffle by (cohort, member), then window columns over the member's days, then
-    one aggregate:
-
-    * first pair: the next inclusion day (``lead`` within the inclusion role);
-    * span: row count, first and last inclusion day;
-    * support: whether the member has procedure / drug days at all;
-    * window exclusions: for each inclusion day the nearest subtype / organic event
-      on or before it and on or after it (running max / min), compared with the
-      cohort's window; the decision is read at the index day.
-
-    Equivalent to first_pair_index → span_filter → support joins → window_flags, but
-    without the joins and the second shuffle between them.
-    """
-    part = [COHORT, MEMBER]
-    role, day = F.col("role"), F.col(DATE)
-    is_inc = role == "inclusion"
-    md = per_cohort(specs, lambda s: s.min_days, "int")
-    order = F.unix_date(day)
-    up = Window.partitionBy(*part).orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy(*part).orderBy(order.desc()).rangeBetween(Window.unboundedPreceding, 0)
-    later = Window.partitionBy(*part).orderBy(order.desc()).rangeBetween(Window.unboundedPreceding, -1)
-
-    # Window columns grouped by sort order (one sort each). The next inclusion day
-    # strictly after this one (days are unique per role) is a running minimum in
-    # descending order; nearest events before / after come from running max / min.
-    windows = {"desc": {"_next_inc": F.min(F.when(is_inc, day)).over(later)}, "asc": {}}
-    checks = []
-    for ev_role, window_of in (("subtypes", lambda s: s.subtype_window), ("organic_gi", lambda s: s.organic_window)):
-        if all(window_of(s) is None for s in specs):
-            continue
-        windows["asc"][f"_prev_{ev_role}"] = F.max(F.when(role == ev_role, day)).over(up)
-        windows["desc"][f"_next_{ev_role}"] = F.min(F.when(role == ev_role, day)).over(down)
-        checks.append((ev_role, per_cohort(specs, window_of, "int")))
-    rows = days.select("*", *[c.alias(n) for n, c in windows["desc"].items()])
-    if windows["asc"]:
-        rows = rows.select("*", *[c.alias(n) for n, c in windows["asc"].items()])
-
-    gap = F.datediff(F.col("_next_inc"), day)
-    ok = is_inc & F.coalesce((gap >= md) | ((F.col(N_CLAIMS) >= 2) & (F.lit(0) >= md)), F.lit(False))
-    rows = rows.withColumn("_ok", ok)
-    hits = [
-        F.coalesce(
-            (F.col(f"_prev_{r}") >= F.date_sub(day, w)) | (F.col(f"_next_{r}") <= F.date_add(day, w)), F.lit(False)
-        )
-        for r, w in checks
-    ]
-    excluded = any_of(hits)
-
-    stats = rows.groupBy(*part).agg(
-        F.min(F.when(F.col("_ok"), F.struct(day.alias("d"), excluded.alias("x")))).alias("_first_ok"),
-        F.sum(F.when(is_inc, F.col(N_CLAIMS))).alias("_rows"),
-        F.min(F.when(is_inc, day)).alias("_first"),
-        F.max(F.when(is_inc, day)).alias("_last"),
-        F.max(role == "procedure").alias("_proc"),
-        F.max(role == "drug").alias("_drug"),
-    )
-    keep = F.col("_first_ok").isNotNull() & ~F.col("_first_ok.x")
-    if any(s.within_days is not None for s in specs):
-        within = per_cohort(specs, lambda s: s.within_days, "int")
-        min_claims = per_cohort(specs, lambda s: s.min_claims, "long")
-        keep = keep & (
-            within.isNull() | ((F.col("_rows") >= min_claims) & (F.datediff(F.col("_last"), F.col("_first")) <= within))
-        )
-    if any(s.support_mode != "none" for s in specs):
-        mode = per_cohort(specs, lambda s: s.support_mode, "string")
-        p = F.coalesce(F.col("_proc"), F.lit(False))
-        d = F.coalesce(F.col("_drug"), F.lit(False))
-        keep = keep & (
-            (mode == "none")
-            | ((mode == "and") & p & d)
-            | ((mode == "or") & (p | d))
-            | ((mode == "proc") & p)
-            | ((mode == "drug") & d)
-        )
-    return stats.where(keep).select(COHORT, MEMBER, F.col("_first_ok.d").alias(INDEX))
-
-
+    return finish(default_path_pass(days, specs), tables, with_members)
 
 
 def build_cohorts(
