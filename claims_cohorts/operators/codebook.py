@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from claims_cohorts.columns import COHORT, ICD
 from claims_cohorts.functions.codes import icd_like_patterns
-from claims_cohorts.session import ensure_checkpoint_dir
+from claims_cohorts.session import materialize
 
 RULE_SCHEMA = (
     "cohort string, role string, kind string, pattern string, claim_types array<string>, date_range_years int"
@@ -98,6 +98,5 @@ def codebook(diagnoses: DataFrame, rule_rows: Sequence[tuple]) -> DataFrame:
 def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Checkpoint ``df`` (reliable storage, lineage cut), count it, and mark it for
     broadcast only if it has at most ``max_rows`` rows."""
-    ensure_checkpoint_dir(df.sparkSession)
-    stored = df.checkpoint(eager=True)
+    stored = materialize(df)
     return F.broadcast(stored) if stored.count() <= max_rows else stored

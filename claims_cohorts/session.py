@@ -61,7 +61,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def materialize(df):
     """Compute ``df`` once and store it in the checkpoint directory (reliable
-    storage, lineage cut). Used for intermediates read by several consumers, whose
-    different filters would otherwise be pushed into separate recomputations."""
+    storage, lineage cut). Used for small intermediates read more than once.
+
+    An eager checkpoint runs one job to compute the rows and a second one to write
+    them; the rows are cached in between (memory, spilling to disk) so the second
+    job does not recompute them, and the cache is released once they are written.
+    """
+    from pyspark import StorageLevel
+
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return cached.checkpoint(eager=True)
+    finally:
+        cached.unpersist(blocking=False)
