@@ -108,3 +108,13 @@ def test_run_cohorts_validates_output(spark):
             run_cohorts(spark, t, cfg, tempfile.mkdtemp(prefix="bad-", dir="/tmp"), ["Bad"])
     finally:
         COHORT_LOGIC_REGISTRY.pop("Bad", None)
+
+
+def test_materialize_keeps_rows_and_releases_cache(spark):
+    from claims_cohorts.session import materialize
+
+    df = spark.range(0, 1000).selectExpr("id", "id % 7 AS k").groupBy("k").count()
+    stored = materialize(df)
+    assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, df.collect()))
+    assert "Scan ExistingRDD" in stored._jdf.queryExecution().executedPlan().toString()
+    assert not df.is_cached
