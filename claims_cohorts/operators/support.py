@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from claims_cohorts.columns import CLAIM_ID, CLAIM_TYPE, DATE, DRUG, MEMBER, PROC
 from claims_cohorts.functions.codes import drug_match, procedure_match
 from claims_cohorts.operators.lines import PHARMACY, PROCEDURE_SENTINEL
-from claims_cohorts.operators.temporal import Window_, keep_with
+from claims_cohorts.operators.temporal import EventWindow, keep_with
 from claims_cohorts.sources.tables import ClaimsTables
 
 
@@ -52,14 +52,14 @@ def procedure_support_window(index: DataFrame, tables: ClaimsTables, codes: Sequ
     """Keep index rows with a matching procedure in ``[index - window_days, index]``."""
     if not codes:
         return index.where(F.lit(False))  # no codes: nobody has support
-    return keep_with(index, procedure_events(tables, codes), Window_.lookback_days(window_days, inclusive_anchor=True))
+    return keep_with(index, procedure_events(tables, codes), EventWindow.lookback_days(window_days, inclusive_anchor=True))
 
 
 def drug_support_window(index: DataFrame, tables: ClaimsTables, names: Sequence[str], window_days: int = 180) -> DataFrame:
     """Keep index rows with a matching pharmacy claim in ``[index - window_days, index]``."""
     if not names:
         return index.where(F.lit(False))  # no codes: nobody has support
-    return keep_with(index, drug_events(tables, names), Window_.lookback_days(window_days, inclusive_anchor=True))
+    return keep_with(index, drug_events(tables, names), EventWindow.lookback_days(window_days, inclusive_anchor=True))
 
 
 def _flag(df: DataFrame, supported: DataFrame | None, name: str, keys: Sequence[str]) -> DataFrame:

@@ -27,7 +27,7 @@ Number = Union[int, Column]
 
 
 @dataclass(frozen=True)
-class Window_:
+class EventWindow:
     """Event window relative to the anchor date ``d``.
 
     ``lower_days``/``lower_months``: events on or after ``d - n`` (days or calendar
@@ -41,24 +41,24 @@ class Window_:
     upper: Union[str, Number, None] = "on"
 
     @staticmethod
-    def symmetric(days: Number) -> "Window_":
-        return Window_(lower_days=days, upper=days)
+    def symmetric(days: Number) -> "EventWindow":
+        return EventWindow(lower_days=days, upper=days)
 
     @staticmethod
-    def lookback_days(days: Number, inclusive_anchor: bool = False) -> "Window_":
-        return Window_(lower_days=days, upper="on" if inclusive_anchor else "before")
+    def lookback_days(days: Number, inclusive_anchor: bool = False) -> "EventWindow":
+        return EventWindow(lower_days=days, upper="on" if inclusive_anchor else "before")
 
     @staticmethod
-    def lookback_months(months: Number) -> "Window_":
-        return Window_(lower_months=months, upper="before")
+    def lookback_months(months: Number) -> "EventWindow":
+        return EventWindow(lower_months=months, upper="before")
 
     @staticmethod
-    def on_or_before() -> "Window_":
-        return Window_(upper="on")
+    def on_or_before() -> "EventWindow":
+        return EventWindow(upper="on")
 
     @staticmethod
-    def ever() -> "Window_":
-        return Window_(upper=None)
+    def ever() -> "EventWindow":
+        return EventWindow(upper=None)
 
 
 def _lit(v):
@@ -73,7 +73,7 @@ def _upper_kind(upper) -> str:
     return "none" if upper is None else "days"
 
 
-def _condition(d: Column, win: Window_, prev_le: Column, prev_lt: Column, next_ge: Column) -> Column:
+def _condition(d: Column, win: EventWindow, prev_le: Column, prev_lt: Column, next_ge: Column) -> Column:
     if win.lower_days is not None:
         lower = F.date_sub(d, _lit(win.lower_days))
     elif win.lower_months is not None:
@@ -99,7 +99,7 @@ def _condition(d: Column, win: Window_, prev_le: Column, prev_lt: Column, next_g
 def window_flags(
     anchors: DataFrame,
     events: DataFrame,
-    rules: dict[str, tuple[str | None, Window_]],
+    rules: dict[str, tuple[str | None, EventWindow]],
     keys: Sequence[str] = (),
     anchor_date: str = INDEX,
     event_date: str = DATE,
@@ -173,7 +173,7 @@ def window_flags(
 def window_flag(
     anchors: DataFrame,
     events: DataFrame,
-    window: Window_,
+    window: EventWindow,
     name: str = "flag",
     keys: Sequence[str] = (),
     anchor_date: str = INDEX,
@@ -186,7 +186,7 @@ def window_flag(
 def keep_without(
     anchors: DataFrame,
     events: DataFrame,
-    window: Window_,
+    window: EventWindow,
     keys: Sequence[str] = (),
     anchor_date: str = INDEX,
     event_date: str = DATE,
@@ -200,7 +200,7 @@ def keep_without(
 def keep_with(
     anchors: DataFrame,
     events: DataFrame,
-    window: Window_,
+    window: EventWindow,
     keys: Sequence[str] = (),
     anchor_date: str = INDEX,
     event_date: str = DATE,
@@ -216,12 +216,12 @@ def keep_with(
 
 def exclude_within_window(index: DataFrame, events: DataFrame, days: Number, keys: Sequence[str] = ()) -> DataFrame:
     """Drop index rows with an event within ``days`` of the index date (both sides, inclusive)."""
-    return keep_without(index, events, Window_.symmetric(days), keys)
+    return keep_without(index, events, EventWindow.symmetric(days), keys)
 
 
 def lookback_exclusion(claims: DataFrame, events: DataFrame, months: Number, keys: Sequence[str] = ()) -> DataFrame:
     """Drop claim rows (not members) with an event in ``[d - months, d)``."""
-    return keep_without(claims, events, Window_.lookback_months(months), keys, anchor_date=DATE, anchors_unique=False)
+    return keep_without(claims, events, EventWindow.lookback_months(months), keys, anchor_date=DATE, anchors_unique=False)
 
 
 def exclude_on_or_before(index: DataFrame, events: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -247,7 +247,7 @@ def exclude_ever(index: DataFrame, events: DataFrame, keys: Sequence[str] = ())
 
 def clean_period(index: DataFrame, claims: DataFrame, lookback_days: Number = 365, keys: Sequence[str] = ()) -> DataFrame:
     """Drop index rows with any claim in ``[index - lookback_days, index)``."""
-    return keep_without(index, claims, Window_.lookback_days(lookback_days), keys)
+    return keep_without(index, claims, EventWindow.lookback_days(lookback_days), keys)
 
 
 def symptom_flag(
@@ -255,5 +255,5 @@ def symptom_flag(
 ) -> DataFrame:
     """Flag claim rows with a symptom claim of the member within ±``window_days``."""
     return window_flag(
-        claims, symptom_events, Window_.symmetric(window_days), name, keys, anchor_date=DATE, anchors_unique=False
+        claims, symptom_events, EventWindow.symmetric(window_days), name, keys, anchor_date=DATE, anchors_unique=False
     )

@@ -1,5 +1,5 @@
 from claims_cohorts.operators.temporal import (
-    Window_,
+    EventWindow,
     clean_period,
     exclude_ever,
     exclude_on_or_before,
@@ -29,7 +29,7 @@ def test_window_per_row_column(spark):
         "w", F.when(F.col("member_id_hash") == "a", 10).otherwise(None)
     )
     ev = events(spark, [("a", "2023-07-05"), ("b", "2023-07-05")])
-    out = window_flags(idx, ev, {"hit": (None, Window_.symmetric(F.col("w")))})
+    out = window_flags(idx, ev, {"hit": (None, EventWindow.symmetric(F.col("w")))})
     assert as_set(out, "member_id_hash", "hit") == {("a", True), ("b", False)}
 
 
@@ -82,7 +82,7 @@ def test_symptom_flag_keeps_every_row(spark):
 def test_null_anchor_date_never_matches(spark):
     idx = index(spark, [("a", None)])
     ev = events(spark, [("a", "2023-01-01")])
-    out = window_flags(idx, ev, {"hit": (None, Window_.ever())})
+    out = window_flags(idx, ev, {"hit": (None, EventWindow.ever())})
     assert as_set(out, "member_id_hash", "hit") == {("a", False)}
 
 
@@ -92,6 +92,6 @@ def test_multiple_roles_one_pass(spark):
     idx = index(spark, [("a", "2023-07-01")])
     ev = events(spark, [("a", "2023-07-10")]).withColumn("role", F.lit("x"))
     out = window_flags(
-        idx, ev, {"x_hit": ("x", Window_.symmetric(30)), "y_hit": ("y", Window_.symmetric(30)), "x_before": ("x", Window_.on_or_before())}
+        idx, ev, {"x_hit": ("x", EventWindow.symmetric(30)), "y_hit": ("y", EventWindow.symmetric(30)), "x_before": ("x", EventWindow.on_or_before())}
     )
     assert as_set(out, "x_hit", "y_hit", "x_before") == {(True, False, False)}
