@@ -101,3 +101,17 @@ def test_cohort_builder(spark):
     assert b.build_cohort("HTN_Conservative").count() == 53
     assert "has_symptom_code" in b.inclusion_claims("IBS_D").columns
     assert any("utilization" in w for w in b.warnings)
+
+
+def test_builtin_strategies_by_name(spark):
+    from claims_cohorts.plans.strategies import strategy_registry, use_strategy
+    from claims_cohorts.sources.testdata import AS_OF, testdata_tables
+
+    t = testdata_tables(spark, "/root/testdata/sf0.001")
+    cfg = load_config()
+    reg = strategy_registry({"PreDiabetes": "diabetes", "CAD_Sensitive": "cardiometabolic"})
+    assert build_cohort(t, cfg, "PreDiabetes", AS_OF, registry=reg).count() == 2
+    assert build_cohort(t, cfg, "CAD_Sensitive", AS_OF, registry=reg).count() == 47
+    private = {}
+    use_strategy("GDM", "diabetes", registry=private)
+    assert build_cohort(t, cfg, "GDM", AS_OF, registry=private).count() == 3
