@@ -8,7 +8,6 @@ import datetime as dt
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from claims_cohorts.operators.index import component_window_index, first_pair_index, second_claim_index, span_filter
 from claims_cohorts.operators.temporal import EventWindow, window_flags

@@ -1,4 +1,3 @@
-from pyspark.sql import functions as F
 
 from claims_cohorts.functions.codes import (
     claim_type_match,

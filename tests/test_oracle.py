@@ -1,6 +1,5 @@
 """Every registered query against its DuckDB oracle on the smallest test tables."""
 
-import pytest
 
 from tests.compare import compare
 

@@ -7,7 +7,7 @@ import pytest
 from claims_cohorts.operators.validation import SchemaError, claims_quality, output_quality, validate_output
 from claims_cohorts.plans.run import run_cohorts
 from claims_cohorts.plans.spec import load_config
-from claims_cohorts.sources.tables import ClaimsTables, check_load_tables, check_schema, table_profile
+from claims_cohorts.sources.tables import check_load_tables, check_schema, table_profile
 from claims_cohorts.sources.testdata import AS_OF, testdata_tables
 from tests.helpers import claims, index
 
