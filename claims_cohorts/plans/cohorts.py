@@ -5,8 +5,8 @@ The default path turns every cohort's rules (inclusion codes, window-exclusion c
 support procedures and drugs) into labelled rules and reads all of them with one
 claim-lines join (see ``operators/lines.py``), so N cohorts cost one join of the line
 tables with the entries, not N. Per-cohort knobs (gap, span, windows, support mode)
-become CASE expressions on the ``cohort`` column, so one plan serves all cohorts, and
-every per-member step is keyed by (cohort, member).
+come from a small broadcast table keyed by ``cohort``, so one plan serves all cohorts,
+and every per-member step is keyed by (cohort, member).
 """
 
 from __future__ import annotations

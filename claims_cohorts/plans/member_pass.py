@@ -10,7 +10,7 @@ the same partitioning, so they add no shuffle.
 
 from __future__ import annotations
 
-from typing import Any, Callable, Sequence
+from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -144,46 +144,40 @@ def metabolic_pass(
     return stats.select(*PART, F.explode(picked).alias(INDEX))
 
 
-def _sql_literal(value) -> str:
-    if value is None:
-        return "NULL"
-    if isinstance(value, bool):
-        return "TRUE" if value else "FALSE"
-    if isinstance(value, (int, float)):
-        return repr(value)
-    return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+SPEC_SCHEMA = (
+    "cohort string, _min_days int, _within int, _min_claims long, _mode string, _w_subtypes int, _w_organic_gi int"
+)
 
 
-def per_cohort(specs: Sequence[DefaultPathSpec], value: Callable[[DefaultPathSpec], Any], dtype: str) -> Column:
-    """CASE cohort WHEN … literal per cohort (a single literal when all agree)."""
-    values = {s.name: value(s) for s in specs}
-    distinct = set(values.values())
-    if len(distinct) == 1:
-        return F.lit(next(iter(distinct))).cast(dtype)
-    branches = " ".join(f"WHEN {_sql_literal(n)} THEN {_sql_literal(v)}" for n, v in values.items())
-    return F.expr(f"CAST(CASE {COHORT} {branches} END AS {dtype})")
+def cohort_knobs(spark, specs: Sequence[DefaultPathSpec]) -> DataFrame:
+    """One row per cohort with its default-path knobs (bounded by the configuration)."""
+    rows = [
+        (s.name, s.min_days, s.within_days, s.min_claims, s.support_mode, s.subtype_window, s.organic_window)
+        for s in specs
+    ]
+    return spark.createDataFrame(rows, SPEC_SCHEMA)
 
 
 def default_path_pass(days: DataFrame, specs: Sequence[DefaultPathSpec]) -> DataFrame:
     """All default-path decisions for every (cohort, member) in one pass over its days.
 
-    One shuffle by (cohort, member), then window columns over the member's days, then
-    one aggregate:
+    The cohort knobs are looked up from a broadcast table (one row per cohort), so
+    the cost per row does not grow with the number of cohorts. Then one shuffle by
+    (cohort, member), window columns over the member's days, and one aggregate:
 
-    * first pair: the next inclusion day (``lead`` within the inclusion role);
+    * first pair: the next inclusion day (a running minimum over later days);
     * span: row count, first and last inclusion day;
     * support: whether the member has procedure / drug days at all;
     * window exclusions: for each inclusion day the nearest subtype / organic event
       on or before it and on or after it (running max / min), compared with the
       cohort's window; the decision is read at the index day.
-
-    Equivalent to first_pair_index → span_filter → support joins → window_flags, but
-    without the joins and the second shuffle between them.
     """
     part = [COHORT, MEMBER]
+    knobs = ["_within", "_min_claims", "_mode"]
+    days = days.join(F.broadcast(cohort_knobs(days.sparkSession, specs)), COHORT)
     role, day = F.col("role"), F.col(DATE)
     is_inc = role == "inclusion"
-    md = per_cohort(specs, lambda s: s.min_days, "int")
+    md = F.col("_min_days")
     order = F.unix_date(day)
     up = Window.partitionBy(*part).orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy(*part).orderBy(order.desc()).rangeBetween(Window.unboundedPreceding, 0)
@@ -199,7 +193,7 @@ def default_path_pass(days: DataFrame, specs: Sequence[DefaultPathSpec]) -> Data
             continue
         windows["asc"][f"_prev_{ev_role}"] = F.max(F.when(role == ev_role, day)).over(up)
         windows["desc"][f"_next_{ev_role}"] = F.min(F.when(role == ev_role, day)).over(down)
-        checks.append((ev_role, per_cohort(specs, window_of, "int")))
+        checks.append((ev_role, F.col(f"_w_{ev_role}")))
     rows = days.select("*", *[c.alias(n) for n, c in windows["desc"].items()])
     if windows["asc"]:
         rows = rows.select("*", *[c.alias(n) for n, c in windows["asc"].items()])
@@ -215,7 +209,10 @@ def default_path_pass(days: DataFrame, specs: Sequence[DefaultPathSpec]) -> Data
     ]
     excluded = any_of(hits)
 
+    # knobs are constant per cohort, so max() returns them; grouping by (cohort,
+    # member) alone keeps the window's sort order, so the aggregate needs no sort
     stats = rows.groupBy(*part).agg(
+        *[F.max(k).alias(k) for k in knobs],
         F.min(F.when(F.col("_ok"), F.struct(day.alias("d"), excluded.alias("x")))).alias("_first_ok"),
         F.sum(F.when(is_inc, F.col(N_CLAIMS))).alias("_rows"),
         F.min(F.when(is_inc, day)).alias("_first"),
@@ -223,22 +220,22 @@ def default_path_pass(days: DataFrame, specs: Sequence[DefaultPathSpec]) -> Data
         F.max(role == "procedure").alias("_proc"),
         F.max(role == "drug").alias("_drug"),
     )
-    keep = F.col("_first_ok").isNotNull() & ~F.col("_first_ok.x")
-    if any(s.within_days is not None for s in specs):
-        within = per_cohort(specs, lambda s: s.within_days, "int")
-        min_claims = per_cohort(specs, lambda s: s.min_claims, "long")
-        keep = keep & (
-            within.isNull() | ((F.col("_rows") >= min_claims) & (F.datediff(F.col("_last"), F.col("_first")) <= within))
+    within, mode = F.col("_within"), F.col("_mode")
+    p = F.coalesce(F.col("_proc"), F.lit(False))
+    d = F.coalesce(F.col("_drug"), F.lit(False))
+    keep = (
+        F.col("_first_ok").isNotNull()
+        & ~F.col("_first_ok.x")
+        & (
+            within.isNull()
+            | ((F.col("_rows") >= F.col("_min_claims")) & (F.datediff(F.col("_last"), F.col("_first")) <= within))
         )
-    if any(s.support_mode != "none" for s in specs):
-        mode = per_cohort(specs, lambda s: s.support_mode, "string")
-        p = F.coalesce(F.col("_proc"), F.lit(False))
-        d = F.coalesce(F.col("_drug"), F.lit(False))
-        keep = keep & (
+        & (
             (mode == "none")
             | ((mode == "and") & p & d)
             | ((mode == "or") & (p | d))
             | ((mode == "proc") & p)
             | ((mode == "drug") & d)
         )
+    )
     return stats.where(keep).select(COHORT, MEMBER, F.col("_first_ok.d").alias(INDEX))
