@@ -115,3 +115,30 @@ def test_builtin_strategies_by_name(spark):
     private = {}
     use_strategy("GDM", "diabetes", registry=private)
     assert build_cohort(t, cfg, "GDM", AS_OF, registry=private).count() == 3
+
+
+def test_many_cohorts_in_one_plan_equal_single_builds(spark):
+    """40 variants of the shipped cohorts (different gaps / windows) in one plan: each
+    equals its own single-cohort build."""
+    import copy
+
+    from claims_cohorts.plans.spec import parse_config
+    from claims_cohorts.sources.testdata import AS_OF, testdata_tables
+
+    base = load_config()
+    cohorts = {}
+    for i in range(40):
+        src = base.names()[i % len(base.names())]
+        c = copy.deepcopy(base.cohort(src))
+        c["inclusion"]["min_days_between_claims"] = 15 + (i * 7) % 60
+        if "subtype_window_days" in (c.get("exclusion") or {}):
+            c["exclusion"]["subtype_window_days"] = 30 + i
+        cohorts[f"{src}_v{i}"] = c
+    cfg = parse_config({"cohorts": cohorts})
+    t = testdata_tables(spark, "/root/testdata/sf0.1")
+    together = build_cohorts(t, cfg, as_of=AS_OF, registry={})
+    for name in ["IBS_D_v1", "CAD_Sensitive_v17", "HTN_Conservative_v12", "IBS_U_v21"]:
+        alone = build_cohort(t, cfg, name, as_of=AS_OF, registry={})
+        mine = together.where(f"cohort = '{name}'")
+        assert mine.count() == alone.count() > 0
+        assert mine.exceptAll(alone).count() == 0
