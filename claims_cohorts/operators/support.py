@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from claims_cohorts.columns import CLAIM_ID, CLAIM_TYPE, DATE, DRUG, MEMBER, PROC
 from claims_cohorts.functions.codes import drug_match, procedure_match
-from claims_cohorts.operators.lines import PHARMACY, PROCEDURE_SENTINEL
+from claims_cohorts.operators.lines import PHARMACY, PROCEDURE_SENTINEL, LineRule, claim_lines
 from claims_cohorts.operators.temporal import EventWindow, keep_with
 from claims_cohorts.sources.tables import ClaimsTables
 
@@ -62,13 +62,6 @@ def drug_support_window(index: DataFrame, tables: ClaimsTables, names: Sequence[
     return keep_with(index, drug_events(tables, names), EventWindow.lookback_days(window_days, inclusive_anchor=True))
 
 
-def _flag(df: DataFrame, supported: DataFrame | None, name: str, keys: Sequence[str]) -> DataFrame:
-    if supported is None:
-        return df.withColumn(name, F.lit(False))
-    marked = supported.withColumn(name, F.lit(True))
-    return df.join(marked, [*keys, MEMBER], "left").withColumn(name, F.coalesce(F.col(name), F.lit(False)))
-
-
 def support_flags(
     df: DataFrame,
     tables: ClaimsTables,
@@ -77,15 +70,21 @@ def support_flags(
 ) -> DataFrame:
     """Add ``has_procedure_support`` / ``has_drug_support`` per member (False when no codes).
 
-    A list of None leaves the column out, an empty list gives all False.
+    A list of None leaves the column out, an empty list gives all False. Both flags
+    come from one claim-lines join and one per-member aggregate.
     """
+    wanted = {"procedure": ("has_procedure_support", "proc", procedure_codes), "drug": ("has_drug_support", "drug", drug_names)}
+    wanted = {role: v for role, v in wanted.items() if v[2] is not None}
+    rules = [LineRule("_", role, kind, tuple(codes)) for role, (_, kind, codes) in wanted.items() if codes]
     out = df
-    if procedure_codes is not None:
-        sup = supported_members(procedure_events(tables, procedure_codes)) if procedure_codes else None
-        out = _flag(out, sup, "has_procedure_support", ())
-    if drug_names is not None:
-        sup = supported_members(drug_events(tables, drug_names)) if drug_names else None
-        out = _flag(out, sup, "has_drug_support", ())
+    if rules:
+        lines = claim_lines(tables, rules)
+        per_member = lines.groupBy(MEMBER).agg(
+            *[F.max(F.col("role") == role).alias(name) for role, (name, _, codes) in wanted.items() if codes]
+        )
+        out = out.join(per_member, MEMBER, "left")
+    for role, (name, _, codes) in wanted.items():
+        out = out.withColumn(name, F.coalesce(F.col(name), F.lit(False)) if codes else F.lit(False))
     return out
 
 
