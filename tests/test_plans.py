@@ -69,3 +69,28 @@ def test_parquet_source_gives_same_cohorts(spark, parquet_tables):
     a = build_cohorts(parquet_tables, cfg, as_of="2001-08-01")
     b = build_cohorts(testdata_tables(spark, SF), cfg, as_of="2001-08-01")
     assert a.count() == b.count() and a.exceptAll(b).count() == 0
+
+
+def test_index_pass_shuffle_shape(spark):
+    """The 18-cohort index pass: entries and the unioned claim lines shuffled once each
+    by claim_entry_id, one compaction shuffle, one (cohort, member) shuffle — nothing
+    else, even with broadcasts off (cluster-sized inputs)."""
+    import re
+    from collections import Counter
+
+    from claims_cohorts.plans.cohorts import build_cohorts
+
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = build_cohorts(Q.tables(spark, SF), Q.config(), None, Q.AS_OF, with_members=False)
+        plan = physical(df)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    keys = Counter(re.sub(r"#\d+L?|, \d+$", "", m) for m in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan))
+    assert keys == Counter(
+        {"claim_entry_id": 2, "cohort, role, member_id_hash, date_of_service": 1, "cohort, member_id_hash": 1}
+    ), keys
+    assert plan.count("Window [") == 2
