@@ -118,3 +118,20 @@ def test_materialize_keeps_rows_and_releases_cache(spark):
     assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, df.collect()))
     assert "Scan ExistingRDD" in stored._jdf.queryExecution().executedPlan().toString()
     assert not df.is_cached
+
+
+def test_load_parquet_dir_required_and_optional(spark):
+    from claims_cohorts.sources.tables import load_parquet_dir
+
+    base = tempfile.mkdtemp(prefix="tables-", dir="/tmp")
+    t = testdata_tables(spark, SF)
+    for name, df in t.as_dict().items():
+        if name != "eligibility":  # optional: may be absent
+            df.write.mode("overwrite").parquet(f"{base}/{name}.parquet")
+    loaded = load_parquet_dir(spark, base)
+    assert loaded.eligibility is None and loaded.utilization is None
+    assert loaded.entries.count() == t.entries.count()
+    missing = tempfile.mkdtemp(prefix="tables-", dir="/tmp")
+    t.entries.write.parquet(f"{missing}/claims_entries.parquet")
+    with pytest.raises(RuntimeError, match="Missing required table"):
+        load_parquet_dir(spark, missing)
