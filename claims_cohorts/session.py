@@ -33,6 +33,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     for key, value in LOCAL_DEFAULTS.items():
         builder = builder.config(key, value)
     builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    # local catalog tables (tests) go to a scratch folder, not the working directory
+    builder = builder.config(
+        "spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="claims-cohorts-warehouse-", dir=os.environ.get("TMPDIR", "/tmp"))
+    )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)

@@ -135,3 +135,22 @@ def test_load_parquet_dir_required_and_optional(spark):
     t.entries.write.parquet(f"{missing}/claims_entries.parquet")
     with pytest.raises(RuntimeError, match="Missing required table"):
         load_parquet_dir(spark, missing)
+
+
+def test_load_catalog_with_database_fallback(spark):
+    from claims_cohorts.sources.tables import load_catalog
+
+    base = tempfile.mkdtemp(prefix="catalog-", dir="/tmp")
+    t = testdata_tables(spark, SF)
+    names = []
+    for name, df in t.as_dict().items():
+        df.write.mode("overwrite").option("path", f"{base}/{name}").saveAsTable(f"default.{name}")
+        names.append(name)
+    try:
+        loaded = load_catalog(spark, "default")
+        assert loaded.diagnoses.count() == t.diagnoses.count()
+        fallback = load_catalog(spark, "no_such_database")  # falls back to the first database
+        assert fallback.entries.count() == t.entries.count()
+    finally:
+        for name in names:
+            spark.sql(f"DROP TABLE IF EXISTS default.{name}")
