@@ -9,6 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read_table
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from . import langid
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = F.coalesce(langid.held_out(F.col("doc_id")), F.lit(False))
+    model = langid.train(docs.where(~out))
+    return langid.predict(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -27,6 +38,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_language_id": op7_language_id,
     "op9_token_counts": op9_token_counts,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
