@@ -9,6 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read_table
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from . import secrets
+
+    found = secrets.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "secret_spans")
+    of_kind = lambda k: F.size(F.filter("secret_spans", lambda x: x["kind"] == k)).cast("long")
+    base = F.filter("secret_spans", lambda x: x["rank"] < len(secrets.BASE))
+    return found.select(
+        "doc_id",
+        *[of_kind(k).alias(f"n_{k}") for k in (*secrets.BASE, "random")],
+        F.sha2(secrets.joined(base), 256).alias("base_sha256"),
+        secrets.joined(F.col("secret_spans")).alias("spans"),
+    )
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -38,6 +54,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_secret_scan": op4_secret_scan,
     "op7_language_id": op7_language_id,
     "op9_token_counts": op9_token_counts,
     "op10_best_fit_packing": op10_best_fit_packing,
