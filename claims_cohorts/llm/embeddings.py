@@ -116,6 +116,29 @@ def _pairs(first: np.ndarray, last: np.ndarray):
         row = stop
 
 
+def _met_before(i, j, group, start, end, padded, own) -> np.ndarray:
+    """Whether the rows i and j of a group share a filter before the group's own."""
+    again = np.zeros(len(i), bool)
+    sizes = end[start] - start
+    large = sizes[group[i]] >= 64
+    for g in np.unique(group[i[large]]):  # all pairs of a large group by one product
+        s, e = start[g], end[start[g]]
+        lists = padded[s:e]
+        row, col = np.nonzero((lists >= 0) & (lists < own[s]))
+        names, name = np.unique(lists[row, col], return_inverse=True)
+        member = np.zeros((e - s, len(names)), np.float32)
+        member[row, name] = 1
+        met = member @ member.T > 0
+        at = np.flatnonzero(large & (group[i] == g))
+        again[at] = met[i[at] - s, j[at] - s]
+    small = np.flatnonzero(~large)
+    for k in range(0, len(small), 4096):
+        at = small[k : k + 4096]
+        p, q = padded[i[at]], padded[j[at]]
+        again[at] = ((p[:, :, None] == q[:, None, :]) & ((p >= 0) & (p < own[i[at]][:, None]))[:, :, None]).any(axis=(1, 2))
+    return again
+
+
 def _linked(t: pa.Table) -> pa.RecordBatch | None:
     """Links within whole groups (key, b1, b2): rows (id, links, root)."""
     t = t.combine_chunks()
@@ -149,12 +172,9 @@ def _linked(t: pa.Table) -> pa.RecordBatch | None:
         i, j = i[ok], j[ok]
         hit = np.einsum("ij,ij->i", x[i], x[j]) >= COSINE
         i, j = i[hit], j[hit]
-        for k in range(0, len(i), 4096):  # only in the first filter that both are in
-            p, q = i[k : k + 4096], j[k : k + 4096]
-            earlier = np.where(padded[p] < own[p][:, None], padded[p], -1)
-            again = ((earlier[:, :, None] == padded[q][:, None, :]) & (earlier >= 0)[:, :, None]).any(axis=(1, 2))
-            np.add.at(links, p[~again], mult[q[~again]])
-            np.add.at(links, q[~again], mult[p[~again]])
+        again = _met_before(i, j, group, new, end, padded, own)
+        np.add.at(links, i[~again], mult[j[~again]])
+        np.add.at(links, j[~again], mult[i[~again]])
         seen.append((i, j))
     if not seen or not sum(len(i) for i, _ in seen):
         return None
