@@ -65,3 +65,41 @@ def ascii_lower(text):
 def own_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that further columns of the caller can't clash."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def cut_largest(df: DataFrame, k: int, value: str, tie: str, bins: int = 1024, few: int = 20_000) -> tuple[float, int] | None:
+    """(v, t) such that exactly ``k`` rows have value > v, or value = v and tie <= t.
+
+    Rows are counted in bins, and the bin that holds the k-th row is cut into bins again, so at
+    most ``few`` rows or ``bins`` counts reach the driver. ``value`` holds finite doubles, ``tie``
+    distinct integers. None if there are at most ``k`` rows (all are in) or k is 0.
+    """
+    rows = df.select(F.col(value).alias("x"), F.col(tie).alias("t"))
+    if k <= 0 or rows.count() <= k:
+        return None
+
+    def narrow(rows, column, left, descending):
+        """Interval of ``column`` with the left-th row, and how many rows remain before it there."""
+        lo, hi = rows.agg(F.min(column), F.max(column)).first()
+        n = rows.count()
+        while n > few and lo < hi:
+            width = (hi - lo) / bins
+            at = F.least(F.floor((F.col(column) - lo) / width), F.lit(bins - 1)) if width > 0 else F.lit(0)
+            found = rows.where(F.col(column).between(lo, hi)).groupBy(at.alias("b")).agg(F.count("*").alias("n"), F.min(column).alias("lo"), F.max(column).alias("hi"))
+            for r in sorted(found.collect(), key=lambda r: r["b"], reverse=descending):
+                if left <= r["n"]:
+                    break
+                left -= r["n"]
+            if r["n"] == n and (r["lo"], r["hi"]) == (lo, hi):
+                break
+            lo, hi, n = r["lo"], r["hi"], r["n"]
+        return lo, hi, left, n
+
+    lo, hi, left, n = narrow(rows, "x", k, True)
+    if n <= few:
+        some = sorted(((-r["x"], r["t"]) for r in rows.where(F.col("x").between(lo, hi)).collect()))
+        return -some[left - 1][0], some[left - 1][1]
+    same = rows.where(F.col("x") == hi)
+    lo, hi_t, left, n = narrow(same, "t", left, False)
+    ties = sorted(r["t"] for r in same.where(F.col("t").between(lo, hi_t)).collect())
+    return hi, ties[left - 1]

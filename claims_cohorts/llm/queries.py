@@ -15,6 +15,20 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.duplicate_components(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.resample(docs, read_table(spark, sf_dir, "labels"))
+
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import mixing, tokens
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(mixing.token_lengths(docs, tokens.tokenizer_path("byte_bpe_50k.json"), ("doc_id", "source")))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -79,6 +93,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_quality_resampling": op2_quality_resampling,
+    "op3_source_mixing": op3_source_mixing,
     "op4_secret_scan": op4_secret_scan,
     "op5_document_fingerprints": op5_document_fingerprints,
     "op6_suffix_dedup": op6_suffix_dedup,

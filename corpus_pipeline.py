@@ -1,18 +1,79 @@
-"""Corpus pipeline: documents -> language ID -> near-dedup -> secret scan -> mixing -> packing."""
+"""Corpus pipeline: documents -> language ID -> near-dedup -> secret scan -> mixing -> packing.
+
+Every stage takes (spark, docs, sf_dir) and returns the columns of ``docs``, whatever they are
+besides doc_id, text, lang, source and n_chars; the last returns packed pieces.
+
+* language_id drops documents without a recognisable language (und).
+* near_dedup keeps one document of each group, the one of least id; rows with equal ids
+  are one document. Rows without an id are dropped.
+* secret_scan replaces every secret by a mask and brings n_chars up to date.
+* mixing repeats documents of sources below their target weight, as additional rows; no
+  document is dropped.
+* packing returns one row per piece with its sequence and offset.
+
+Null texts are dropped by the first stage, and stay null, empty or unmasked in the others.
+Empty tables pass through.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from claims_cohorts.llm import common, langid, minhash, mixing, packing, secrets, tokens
+
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = langid.train(docs)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "text")
+    return langid.predict(whole, model, keep=("__row",)).where("lang_pred <> 'und'").select("__row.*")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = minhash.duplicate_components(docs).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    return docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi").dropDuplicates(["doc_id"])
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = secrets.scan(docs, spans_col="__spans")
+    text = secrets.masked(F.col("text"), F.col("__spans"))
+    changed = F.size("__spans") > 0
+    new = {"text": text}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(changed, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return found.withColumns(new).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    sized = mixing.token_lengths(docs, tokens.tokenizer_path(TOKENIZER), ("doc_id", "source"))
+    copies = mixing.mix(sized).groupBy(F.col("doc_id").alias("__id")).agg((F.max("pass") + 1).alias("__copies"))
+    joined = docs.join(copies, docs["doc_id"] == copies["__id"], "left")
+    repeated = joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.coalesce("__copies", F.lit(1)))))
+    return repeated.select(*[docs[c] for c in docs.columns])
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, tokens.tokenizer_path(TOKENIZER))
+
 
-#: (name, function) in order; each function takes (spark, docs, sf_dir).
-STAGES: list = []
+#: (name, function) in order.
+STAGES = [
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("secret_scan", secret_scan),
+    ("mixing", mixing_sources),
+    ("best_fit_packing", best_fit_packing),
+]
 
 #: No SQL engine expresses the stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over the whole documents table, each result written before the next reads it."""
+    docs = common.read_table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = common.staged(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
