@@ -53,7 +53,7 @@ def mulmod(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     r = (ah * bh << np.uint64(3)) + (mid >> np.uint64(29)) + ((mid & np.uint64((1 << 29) - 1)) << np.uint64(32))
     r = (r & _M) + (r >> np.uint64(61)) + (low & _M) + (low >> np.uint64(61))
     r = (r & _M) + (r >> np.uint64(61))
-    return np.where(r >= _M, r - _M, r)
+    return r - _M * (r >= _M)
 
 
 class Prefixes:
@@ -72,7 +72,7 @@ class Prefixes:
         """Hashes of the spans [i, j) (arrays or numbers), independent of their place."""
         i, j = np.asarray(i, np.int64), np.asarray(j, np.int64)
         d = self.hash[j] + (_M - self.hash[i])
-        d = np.where(d >= _M, d - _M, d)
+        d = d - _M * (d >= _M)
         return mulmod(d, _inverse_powers(self.n + 1)[i])
 
     def one(self, i: int, j: int) -> int:

@@ -47,6 +47,9 @@ _STEP_BITS = 24
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
+_GOLDEN_STEPS = np.arange(1, SLOTS + 1, dtype=np.uint64) * _GOLDEN
+
+
 def _scattered(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -83,7 +86,7 @@ def signatures(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
 def _walk(sig: np.ndarray, element: np.ndarray, owner: np.ndarray, slots: int) -> None:
     order = None
     for j in range(slots):
-        x = _scattered(element + np.uint64(j + 1) * _GOLDEN)
+        x = _scattered(element + _GOLDEN_STEPS[j])
         fraction = (x >> np.uint64(64 - _STEP_BITS)).astype(np.uint32)
         k = j + (((x & np.uint64(0xFFFFFFFF)) * np.uint64(slots - j)) >> np.uint64(32)).astype(np.int64)
         if j == 0:

@@ -1,0 +1,87 @@
+import hashlib
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from claims_cohorts.llm import queries, secrets
+
+ASSIGN = re.compile(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def base(t):
+    t = t or ""
+    out = [(m.start(), 0, "assign", m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 8]
+    out += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+    out += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+    return sorted(out)
+
+
+TEXTS = [
+    "password = hunter2hunter2 and token: short, Token='abcdefgh1'",
+    "secret=token=abcdefghi passwd: x api_key=\"ABCDEFGH\" APIKEY:12345678",
+    "token=secret: abcdefgh1",
+    "é😀 AKIA0123456789AB AKIAAKIAAKIAAKIA AKIA123 " + "0f" * 16 + " " + "0f" * 15,
+    "ſecret=abcdefgh1 toKen=abcdefgh",
+    "a" * 40 + " deadbeef" * 8,
+    "password=" + "0123456789abcdef" * 4,
+]
+
+
+def joined(spans):
+    return ",".join(f"{k}:{s}:{e}" for s, _, k, e in spans)
+
+
+def test_base_spans(make_docs, odd_texts):
+    texts = odd_texts + TEXTS
+    rows = secrets.scan(make_docs(texts)).select("doc_id", "text", "secret_spans").collect()
+    for r in rows:
+        got = [(x["start"], x["rank"], x["kind"], x["end"]) for x in r["secret_spans"]]
+        assert [x for x in got if x[1] < 3] == base(r["text"])
+        assert got == sorted(got)
+
+
+def test_query_digest(spark, corpus):
+    _, rows = corpus
+    got = {r["doc_id"]: r for r in queries.op4_secret_scan(spark, "/root/testdata/sf0.001").collect()}
+    for i, t in rows:
+        want = base(t)
+        assert got[i]["base_sha256"] == hashlib.sha256(joined(want).encode()).hexdigest()
+        assert [got[i][f"n_{k}"] for k in secrets.BASE] == [sum(x[2] == k for x in want) for k in secrets.BASE]
+
+
+def test_random_tokens_are_found_and_words_are_not(make_docs):
+    r = random.Random(4)
+    letters = secrets.ALPHABETS["alnum"]
+    random_tokens = ["".join(r.choice(letters) for _ in range(40)) for _ in range(60)]
+    words = ["".join(r.choice(["tion", "heit", "ing", "er", "the", "an", "lich"]) for _ in range(9)) for _ in range(300)]
+    docs = make_docs([f"see {t} here" for t in random_tokens + words], clash=False)
+    got = {x["doc_id"]: [s["kind"] for s in x["secret_spans"]] for x in secrets.scan(docs).collect()}
+    found = sum(got[i] == ["random"] for i in range(60))
+    false = sum(bool(got[i]) for i in range(60, 360))
+    assert found >= 54 and false <= 0.1 * (found + false)
+
+
+def test_battery_statistics(spark):
+    t = "0123456789abcdef" * 3
+    df = spark.createDataFrame([(t,), ("0f" * 24,), ("aB3+" * 8 + "==",)], "t string").select(secrets.battery(F.col("t")).alias("b"))
+    rows = [r["b"] for r in df.collect()]
+    assert [r["n"] for r in rows] == [48, 48, 32]
+    assert rows[1]["p_structured"] < 1e-6  # alternating
+    assert all(0 <= r["p_structured"] <= 1 and 0 <= r["p_language"] <= 1 for r in rows)
+
+
+def test_masking(make_docs):
+    text = "x password=hunter2hunter2 y " + "0f" * 16 + "é"
+    docs = secrets.scan(make_docs([text, "clean", None, "password=" + "0a" * 20]))
+    got = [r["m"] for r in docs.orderBy("doc_id").select(secrets.masked(F.col("text"), F.col("secret_spans")).alias("m")).collect()]
+    assert got == ["x [SECRET] y [SECRET]é", "clean", None, "[SECRET]"]
+
+
+def test_empty_table(make_docs):
+    assert secrets.scan(make_docs(["a"]).limit(0)).collect() == []
+
+
+def test_no_python_in_the_plan(make_docs):
+    plan = secrets.scan(make_docs(TEXTS))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
