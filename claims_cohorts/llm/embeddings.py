@@ -1,12 +1,12 @@
 """Near-duplicate vectors by spherical-cap filters (op8).
 
 A filter is a direction; a vector is in it when their inner product exceeds a threshold. The
-directions form a product code: after a random rotation, a direction is a pair of code words, one
-per half of the coordinates, so ``words ** 2`` directions need only ``2 * words`` inner products, and
-list decoding finds all directions a vector exceeds from the two sorted score lists. The
-code grows with the largest label (``LOAD`` directions a vector), which keeps buckets of unlike
-vectors at a constant size; a vector is in about ``FILTERS`` of them, at least its ``LEAST``
-best. Two vectors at cosine 0.93 miss each other in all of them with a chance below 1e-4.
+directions form ``TABLES`` product codes: after a random rotation, a direction is a pair of code
+words, one per half of the coordinates, so ``words ** 2`` directions need only ``2 * words`` inner
+products, and list decoding finds all directions a vector exceeds from the two score lists. The
+codes grow with the largest label (``LOAD`` directions a vector), which keeps buckets of unlike
+vectors at a constant size; a vector is in about ``FILTERS`` directions of each code, at least its
+``LEAST`` best. Two vectors at cosine 0.93 miss each other in all codes with a chance below 1e-4.
 
 Vectors join on (label, filter). Buckets of more than ``BLOCK`` rows are dealt into blocks, and
 each pair of blocks is a task of its own. A pair is counted only in the first filter it shares, so
@@ -31,32 +31,31 @@ from pyspark.sql import functions as F
 from . import common, components
 
 COSINE = 0.93
-FILTERS, LEAST, LOAD = 28, 12, 8
+TABLES, FILTERS, LEAST, LOAD = 5, 8, 6, 8
 BLOCK = 256
 SEED = 20240611
 #: Pairs that are multiplied at a time, and bucket rows handled together.
 PAIRS, ROWS = 100_000, 20_000
 
-_codes: dict[tuple[int, int], tuple] = {}
+_codes: dict[tuple[int, int, int], tuple] = {}
 
 
-def code(dim: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+def code(dim: int, words: int, table: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Rotation, the two halves' code words, and the threshold on the sum of their scores."""
-    if (dim, words) not in _codes:
-        rng = np.random.default_rng([SEED, dim, words])
+    if (dim, words, table) not in _codes:
+        rng = np.random.default_rng([SEED, dim, words, table])
         rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
         half = max(1, dim // 2)
         halves = [rng.standard_normal((words, d)) for d in (half, max(1, dim - half))]
         halves = [h / np.linalg.norm(h, axis=1, keepdims=True) for h in halves]
         tail = min(0.5, FILTERS / words**2)
-        _codes[dim, words] = (rotation, *halves, -NormalDist().inv_cdf(tail) * math.sqrt(2 / dim))
-    return _codes[dim, words]
+        _codes[dim, words, table] = (rotation, *halves, -NormalDist().inv_cdf(tail) * math.sqrt(2 / dim))
+    return _codes[dim, words, table]
 
 
-def decode(x: np.ndarray, words: int) -> list[np.ndarray]:
+def decode(x: np.ndarray, words: int, table: int = 0) -> list[np.ndarray]:
     """Sorted numbers of the directions that each unit vector (row of ``x``) exceeds."""
-    dim = x.shape[1]
-    rotation, first, second, least = code(dim, words)
+    rotation, first, second, least = code(x.shape[1], words, table)
     y = x @ rotation
     a, b = y[:, : first.shape[1]] @ first.T, y[:, -second.shape[1] :] @ second.T
     out = []
@@ -68,7 +67,7 @@ def decode(x: np.ndarray, words: int) -> list[np.ndarray]:
             i, j = np.argsort(-p, kind="stable")[:LEAST], np.argsort(-q, kind="stable")[:LEAST]
             best = np.argsort(-(p[i][:, None] + q[j][None, :]), axis=None, kind="stable")[:LEAST]
             found = np.union1d(found, i[best // len(j)] * words + j[best % len(j)])
-        out.append(np.sort(found))
+        out.append(np.sort(found) + table * words**2)
     return out
 
 
@@ -94,7 +93,8 @@ def _filters(classes: DataFrame, words: int) -> DataFrame:
                 some = b.filter(pa.array(dims == d))
                 for k in range(0, some.num_rows, 1000):
                     part = some.slice(k, 1000)
-                    lists = decode(_unit(part.column("v")), words)
+                    x = _unit(part.column("v"))
+                    lists = [np.concatenate(of) for of in zip(*(decode(x, words, table) for table in range(TABLES)))]
                     yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "lab", "n", "v")), pa.array(lists, pa.list_(pa.int64()))], names=["id", "lab", "n", "v", "filters"])
 
     kind = classes.schema["v"].dataType.simpleString()
@@ -202,14 +202,15 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     classes = common.staged(classes)
     largest = classes.groupBy("lab").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     words = max(16, math.ceil(math.sqrt(LOAD * largest)))
-    filtered = _filters(classes, words)
-    dealt = common.staged(filtered.select("*", F.explode("filters").alias("filter")).withColumn("key", F.xxhash64("lab", "filter")))
+    filtered = common.staged(_filters(classes, words))
+    dealt = filtered.select("id", "lab", F.explode("filters").alias("filter"))
+    dealt = dealt.select("id", "filter", F.xxhash64("lab", "filter").alias("key"))
     sizes = dealt.groupBy("key").agg(F.count("*").alias("n_rows")).where("n_rows > 1")
     sized = dealt.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n_rows") / BLOCK).cast("int"))
     sized = sized.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     tasks = sized.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    tasks = tasks.withColumn("b1", F.least("block", "other")).withColumn("b2", F.greatest("block", "other"))
-    tasks = tasks.select("key", "b1", "b2", "block", "id", "lab", "n", "filter", "v", "filters")
+    tasks = tasks.select("id", "key", "filter", "block", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"))
+    tasks = tasks.join(filtered, "id").select("key", "b1", "b2", "block", "id", "lab", "n", "filter", "v", "filters")
     groups = tasks.repartition("key", "b1", "b2").sortWithinPartitions("key", "b1", "b2", "block")
 
     def link(batches):

@@ -13,8 +13,8 @@ are packed in bulk-synchronous rounds:
    counts alone: brackets left open in larger sizes serve pieces left over in smaller ones,
    innermost first. The leftover rows then meet in a join on their match number.
 4. Matched gaps shrink. Pieces longer than every gap open sequences, in runs of the sorted
-   order; when a round places less than a tenth of what waits, all that wait do so. Else
-   the next round begins.
+   order; when a round places less than a tenth of what waits, all that wait do so. A
+   partition's last, unfinished run waits on, and the next round begins.
 
 Each round places, or opens sequences for, at least a tenth of what waits, so the rounds grow
 with the logarithm of the input, and each costs one sort of (number, size) pairs.
@@ -146,27 +146,34 @@ def _task_partition() -> int:
     return TaskContext.get().partitionId()
 
 
-def open_runs(waiting: DataFrame, rows: int, capacity: int) -> DataFrame:
+def open_runs(waiting: DataFrame, n: int, capacity: int) -> DataFrame:
     """Fill new sequences with runs of the pieces sorted by size: no, size, run (a unique
-    number per new sequence), offset."""
-    n = _partitions(rows)
+    number per new sequence), offset. With more than one partition, a partition's last,
+    unfinished run stays unopened (run is null)."""
     ordered = waiting.repartitionByRange(n, F.desc("size"), "no").sortWithinPartitions(F.desc("size"), "no")
 
     def fill(batches):
         run, used = _task_partition() << 40, 0
+        held: list[tuple[int, int, int]] = []
         for b in batches:
-            runs, offsets = [], []
-            for size in b.column("size").to_pylist():
+            done = []
+            for no, size in zip(b.column("no").to_pylist(), b.column("size").to_pylist()):
                 if used + size > capacity:
-                    run, used = run + 1, 0
-                runs.append(run)
-                offsets.append(used)
+                    done += [(i, s, run, o) for i, s, o in held]
+                    run, used, held = run + 1, 0, []
+                held.append((no, size, used))
                 used += size
-            yield pa.RecordBatch.from_arrays([b.column("no"), b.column("size"), pa.array(runs, pa.int64()), pa.array(offsets, pa.int64())], names=["no", "size", "run", "offset"])
+            yield _opened(done)
+        yield _opened([(i, s, run if n == 1 else None, o) for i, s, o in held])
 
     return ordered.select("no", "size").mapInArrow(fill, "no long, size long, run long, offset long")
 
 
+def _opened(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) or [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["no", "size", "run", "offset"])
+
+
 def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``parts`` (with ``length`` between 1 and ``capacity``) plus sequence_id and offset.
 
@@ -195,12 +202,14 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         opened = left.where(F.col("size") > widest)
         n_open = opened.count()
         if n_open:
-            runs = common.staged(open_runs(opened, n_open, capacity))
-            seqs = runs.groupBy("run").agg(F.min("no").alias("seq"), F.sum("size").alias("used"))
-            seqs = common.staged(seqs)
+            runs = common.staged(open_runs(opened, _partitions(n_open), capacity))
+            if not runs.where("run is not null").count():  # too few for a sequence in any partition
+                runs = common.staged(open_runs(opened, 1, capacity))
+            seqs = common.staged(runs.where("run is not null").groupBy("run").agg(F.min("no").alias("seq"), F.sum("size").alias("used")))
             placed.append(runs.join(seqs.select("run", "seq"), "run").select("no", F.col("seq").alias("sequence_id"), "offset"))
             gaps = gaps.unionByName(seqs.select(F.col("seq").alias("no"), (capacity - F.col("used")).alias("size")).where("size > 0"))
-            left = left.where(F.col("size") <= widest)
+            left = left.where(F.col("size") <= widest).unionByName(runs.where("run is null").select("no", "size"))
+            n_open -= runs.where("run is null").count()
         gaps, wait, n_wait = common.staged(gaps), left, n_wait - n_matched - n_open
         common.unstage(done)
     where = placed[0]

@@ -1,0 +1,100 @@
+import numpy as np
+
+from claims_cohorts.llm import embeddings as em
+
+SCHEMA = "vec_id long, embedding array<float>, label int"
+
+
+def want(rows):
+    vecs = {}
+    for i, v, l in rows:
+        ok = v is not None and l is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)
+        vecs[i] = (np.array(v, float) / np.linalg.norm(np.array(v, float)), l) if ok else None
+    ids = [i for i, _, _ in rows]
+    root, links = {i: i for i in ids}, dict.fromkeys(ids, 0)
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in ids:
+        for b in ids:
+            if a < b and vecs[a] and vecs[b] and vecs[a][1] == vecs[b][1] and len(vecs[a][0]) == len(vecs[b][0]) and vecs[a][0] @ vecs[b][0] >= 0.93:
+                links[a] += 1
+                links[b] += 1
+                lo, hi = sorted((find(a), find(b)))
+                root[hi] = lo
+    return {i: (links[i], find(i)) for i in ids}
+
+
+def vectors(seed=0, n=150, dim=16):
+    r = np.random.default_rng(seed)
+    base = r.standard_normal((n // 5, dim))
+    rows = []
+    for i in range(n):
+        x = base[r.integers(len(base))] + r.choice([0, 0.05, 0.1]) * r.standard_normal(dim)
+        rows.append((i, (x * r.choice([1, 3.0])).astype(np.float32).tolist(), int(r.integers(2))))
+    first = rows[0][1]
+    odd = [None, [], [0.0] * dim, [None] + first[1:], [float("nan")] + first[1:], [float("inf")] + first[1:], first[:8], first[:8], [x * 1e-30 for x in first], first]
+    rows += [(n + k, v, 0) for k, v in enumerate(odd)] + [(n + 50, first, None), (n + 51, first, None)]
+    return rows
+
+
+def got(df):
+    return {r["vec_id"]: (r["n_links"], r["component_id"]) for r in em.near_duplicates(df).collect()}
+
+
+def test_links_match_all_pairs(spark):
+    rows = vectors()
+    df = spark.createDataFrame(rows, SCHEMA)
+    for c in ("id", "n", "v", "key", "lab", "filter"):
+        df = df.withColumn(c, df["vec_id"] * 0)
+    assert got(df) == want(rows)
+
+
+def test_large_groups_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(em, "BLOCK", 16)
+    r = np.random.default_rng(1)
+    base = r.standard_normal(32)
+    rows = [(i, (base + 0.12 * r.standard_normal(32)).astype(np.float32).tolist(), 1) for i in range(150)]
+    assert got(spark.createDataFrame(rows, SCHEMA)) == want(rows)
+
+
+def test_smallest_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    assert got(df) == want([(r["vec_id"], r["embedding"], r["label"]) for r in df.collect()])
+
+
+def test_empty_table_and_repeated_rows(spark):
+    assert em.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
+    out = em.near_duplicates(spark.createDataFrame([(1, [1.0, 0.0], 0)] * 2 + [(2, [1.0, 0.1], 0)], SCHEMA)).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in out) == [(1, 2, 1), (1, 2, 1), (2, 2, 1)]
+
+
+def test_decoding_finds_all_exceeding_directions():
+    r = np.random.default_rng(2)
+    x = r.standard_normal((50, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rotation, a, b, least = em.code(24, 40)
+    y = x @ rotation
+    for row, found in zip(y, em.decode(x, 40)):
+        score = (a @ row[:12])[:, None] + (b @ row[12:])[None, :]
+        every = set(np.flatnonzero(score.ravel() >= least).tolist())
+        assert every <= set(found.tolist()) and len(found) >= em.LEAST
+        if len(every) < em.LEAST:
+            assert set(found.tolist()) == set(np.argsort(-score.ravel())[: em.LEAST].tolist())
+
+
+def test_chance_to_share_a_direction():
+    r = np.random.default_rng(3)
+    x = r.standard_normal((4000, 64))
+    z = r.standard_normal((4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    y = 0.93 * x + np.sqrt(1 - 0.93**2) * z
+    met = np.zeros(4000, bool)
+    for table in range(em.TABLES):
+        met |= [len(np.intersect1d(p, q)) > 0 for p, q in zip(em.decode(x, 200, table), em.decode(y, 200, table))]
+    assert np.mean(met) >= 0.9995

@@ -1,0 +1,121 @@
+import math
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from claims_cohorts.llm import common, langid, mixing, quality, queries
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_language_accuracy_on_held_out_documents(spark):
+    got = queries.op7_language_id(spark, SF)
+    lang = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
+    rows = got.join(lang, "doc_id").collect()
+    held = [r for r in rows if r["held_out"]]
+    assert len(rows) == lang.count() and held
+    assert sum(r["lang"] == r["lang_pred"] for r in held) / len(held) > 0.97
+    assert all(0 <= r["score"] <= 1 for r in rows)
+
+
+def test_language_edge_cases(make_docs, odd_texts):
+    docs = make_docs(odd_texts, langs=["en"] * 7 + [None] * 6)
+    model = langid.train(docs)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(docs, model).collect()}
+    assert model.langs == ["en"]
+    assert [got[i][0] for i in (0, 1, 2)] == ["und"] * 3 and got[5][0] == "en"
+    empty = langid.train(docs.limit(0))
+    assert {r["lang_pred"] for r in langid.predict(docs, empty).collect()} == {"und"}
+    assert langid.predict(docs.limit(0), model).collect() == []
+
+
+def test_filter_returns_every_language_that_has_a_gram(make_docs):
+    langs = [f"l{k:03d}" for k in range(70)]  # more than one slice of 64
+    docs = make_docs([f"common w{chr(97 + k % 26)}{chr(97 + k // 26)}q" for k in range(70)], langs=langs)
+    model = langid.train(docs)
+    p = langid.Predictor(model)
+    mask = (1 << langid.FIELD) - 1
+    assert all(p.gram("comm") >> langid.FIELD * (k + 1) & mask for k in range(70))
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs, model).collect()}
+    assert sum(got[k] == langs[k] for k in range(70)) >= 68
+    assert max(model.false_rate) < 0.01
+
+
+def test_resampling_prefers_the_target(spark):
+    docs, labels = (common.read_table(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))
+    rows = quality.resample(docs, labels).join(labels, "doc_id").collect()
+    good = [r["kept"] for r in rows if r["quality"] == 1 and r["toxic"] == 0]
+    poor = [r["kept"] for r in rows if r["quality"] == 0]
+    assert sum(good) / len(good) > 0.75 > 0.4 > sum(poor) / len(poor)
+
+
+def test_resampling_edge_cases(spark, make_docs, odd_texts):
+    docs = make_docs(odd_texts + ["same"] * 5, ids=[*range(len(odd_texts)), 50, 50, 50, None, None])
+    labels = spark.createDataFrame([(0, 1, 0), (5, 1, 0), (5, 1, 1), (7, 0, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    rows = quality.resample(docs, labels, fraction=0.5).collect()
+    assert len(rows) == len(odd_texts) + 5 and sum(r["kept"] for r in rows) == round(0.5 * len(rows))
+    assert all(r["kept"] for r in quality.resample(docs, labels.limit(0)).collect())
+    assert not any(r["kept"] for r in quality.resample(docs, labels, fraction=0.0).collect())
+    assert quality.resample(docs.limit(0), labels).collect() == []
+
+
+@pytest.mark.parametrize("kind", ["spread", "ties", "skewed"])
+def test_cut_largest_is_exact(spark, kind):
+    r = random.Random(1)
+    value = {"spread": r.random, "ties": lambda: float(r.randrange(3)), "skewed": lambda: 1e9 if r.random() < 0.01 else r.random() * 1e-6}[kind]
+    rows = [(value(), t) for t in range(3000)]
+    df = spark.createDataFrame(rows, "x double, t long")
+    for k in (1, 10, 1500, 2999):
+        v, t = common.cut_largest(df, k, "x", "t", bins=16, few=20)
+        got = [a for a in rows if a[0] > v or (a[0] == v and a[1] <= t)]
+        assert got == sorted(sorted(rows, key=lambda a: (-a[0], a[1]))[:k], key=lambda a: a[1])
+    assert common.cut_largest(df, 3000, "x", "t") is None
+
+
+def mixed(spark, sizes, **kw):
+    """sizes: source -> token counts of its documents."""
+    rows = [(k, s, n) for k, (s, n) in enumerate((s, n) for s, ns in sizes.items() for n in ns)]
+    return rows, mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, n_tokens long"), **kw).collect()
+
+
+def test_weights_repeats_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 16)
+    r = random.Random(3)
+    sizes = {"big": [r.randrange(50, 150) for _ in range(400)], "mid": [r.randrange(50, 150) for _ in range(100)], "small": [r.randrange(50, 150) for _ in range(40)], None: [100] * 40}
+    rows, got = mixed(spark, sizes, block_tokens=10_000)
+    total = {s: sum(n) for s, n in sizes.items()}
+    spent = {s: sum(x["n_tokens"] for x in got if x["source"] == s) for s in sizes}
+    weight = {x["source"]: x["weight"] for x in got}
+    assert {x["doc_id"] for x in got} == {k for k, _, _ in rows}
+    assert len({(x["doc_id"], x["pass"]) for x in got}) == len(got)
+    for s in sizes:
+        assert abs(spent[s] / sum(spent.values()) - weight[s]) < 0.01
+        assert spent[s] / total[s] <= 2 + 200 / total[s]
+    assert max(spent[s] / total[s] for s in sizes) > 1.9
+    shares = {s: total[s] / sum(total.values()) for s in sizes}
+    a = math.log(weight["big"] / weight["small"]) / math.log(shares["big"] / shares["small"])
+    assert abs(math.log(weight["big"] / weight["mid"]) / math.log(shares["big"] / shares["mid"]) - a) < 1e-6
+    blocks = {}
+    for x in got:
+        blocks.setdefault(x["block"], {}).setdefault(x["source"], []).append(x["n_tokens"])
+    for b in blocks.values():
+        whole = sum(sum(v) for v in b.values())
+        assert all(abs(sum(b.get(s, [])) / whole - weight[s]) < 0.06 for s in sizes)
+
+
+def test_entropy_target(spark):
+    _, got = mixed(spark, {"a": [900], "b": [90], "c": [10]}, max_repeats=1000.0, target_entropy=0.6)
+    w = {x["source"]: x["weight"] for x in got}
+    assert abs(-sum(x * math.log(x) for x in w.values()) - 0.6) < 1e-3
+
+
+def test_mixing_edge_cases(spark):
+    rows, got = mixed(spark, {"empty": [0, 0], "one": [10]})
+    assert sorted(x["doc_id"] for x in got) == [0, 1, 2]
+    _, got = mixed(spark, {"empty": [0, 0]})
+    assert len(got) == 2
+    df = spark.createDataFrame([], "doc_id long, source string, n_tokens long")
+    assert mixing.mix(df).collect() == []
+    df = spark.createDataFrame([(1, "a", 5), (1, "a", 5), (None, "a", 5)], "doc_id long, source string, n_tokens long")
+    assert len(mixing.mix(df.withColumn("pass", F.lit(1)).withColumn("total", F.lit(1))).collect()) == 3
