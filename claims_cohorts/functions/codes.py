@@ -24,65 +24,56 @@ def all_of(columns: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a & b, cols) if cols else F.lit(True)
 
 
-def icd_like_patterns(codes: Sequence[str]) -> list[str]:
-    """SQL LIKE patterns for ICD codes.
+def icd_patterns(codes: Sequence[str]) -> list[tuple[str, str]]:
+    """(kind, value) of ICD codes: ``exact``, or ``glob`` with ``*`` as its only wildcard.
 
-    A code containing ``*`` or ``.`` becomes a LIKE pattern with ``*`` turned into
-    ``%``; if it contains a dot, its dot-free spelling is matched too. Any other
-    code is matched exactly (a LIKE pattern without wildcards is an equality).
+    A code containing ``*`` or ``.`` is a glob; if it contains a dot, its dot-free
+    spelling is matched too. Any other code is matched exactly, whatever its characters.
     """
-    out: list[str] = []
+    out: list[tuple[str, str]] = []
     for code in codes:
-        if "*" in code or "." in code:
-            pattern = code.replace("*", "%")
-            out.append(pattern)
-            if "." in pattern:
-                out.append(pattern.replace(".", ""))
-        else:
-            out.append(code)
-    return out
+        kind = "glob" if "*" in code or "." in code else "exact"
+        out.append((kind, code))
+        if kind == "glob" and "." in code:
+            out.append((kind, code.replace(".", "")))
+    return list(dict.fromkeys(out))
 
 
-def procedure_like_patterns(codes: Sequence[str]) -> list[str]:
-    """Procedure codes: ``*`` becomes ``%``; no dot-free variant."""
-    return [code.replace("*", "%") if ("*" in code or "." in code) else code for code in codes]
+def procedure_patterns(codes: Sequence[str]) -> list[tuple[str, str]]:
+    """Procedure codes: globs like ICD codes, without the dot-free spelling."""
+    return list(dict.fromkeys(("glob" if "*" in c or "." in c else "exact", c) for c in codes))
 
 
-def like_predicate(col: Column, patterns: Sequence[str], wildcard_chars: str = "%_") -> Column:
-    """OR of ``col LIKE p`` over patterns, using the cheapest exact form of each.
+def pattern_predicate(col: Column, patterns: Sequence[tuple[str, str]]) -> Column:
+    """OR of all patterns, using the cheapest exact form of each.
 
-    No wildcard → one ``isin`` for all of them; only trailing ``%`` → ``startswith``;
-    anything else → ``like``.
+    No wildcard → one ``isin`` for all of them; only trailing ``*`` → ``startswith``;
+    anything else → ``like`` with the SQL wildcards escaped.
     """
-    exact: list[str] = []
-    prefixes: list[str] = []
-    general: list[str] = []
-    for p in dict.fromkeys(patterns):
-        body = p.rstrip("%")
-        if not any(ch in body for ch in wildcard_chars):
-            if body == p:
-                exact.append(p)
-            else:
-                prefixes.append(body)
-        else:
-            general.append(p)
+    exact = [v for kind, v in patterns if kind == "exact" or "*" not in v]
+    globs = [v for kind, v in patterns if kind == "glob" and "*" in v]
     preds: list[Column] = []
     if exact:
-        preds.append(col.isin(exact))
-    preds.extend(col.startswith(p) for p in prefixes)
-    preds.extend(col.like(p) for p in general)
+        preds.append(col.isin(list(dict.fromkeys(exact))))
+    for v in globs:
+        body = v.rstrip("*")
+        if "*" not in body:
+            preds.append(col.startswith(body))
+        else:
+            escaped = "".join("\\" + ch if ch in "\\%_" else ch for ch in v)
+            preds.append(col.like(escaped.replace("*", "%")))
     return any_of(preds)
 
 
 def icd_match(codes: Sequence[str], col: Column | str = "icd_code") -> Column:
     """ICD pattern match (case-sensitive; null never matches)."""
     c = F.col(col) if isinstance(col, str) else col
-    return like_predicate(c, icd_like_patterns(codes))
+    return pattern_predicate(c, icd_patterns(codes))
 
 
 def procedure_match(codes: Sequence[str], col: Column | str = "proc_code") -> Column:
     c = F.col(col) if isinstance(col, str) else col
-    return like_predicate(c, procedure_like_patterns(codes))
+    return pattern_predicate(c, procedure_patterns(codes))
 
 
 def drug_match(names: Sequence[str], col: Column | str = "product_service_name") -> Column:

@@ -63,6 +63,23 @@ def code_claims(
     return diagnosis_claims(tables, dx_pred, entry_pred)
 
 
+def anchor_and_event_claims(
+    tables: ClaimsTables,
+    anchor_codes: Sequence[str],
+    event_codes: Sequence[str],
+    anchor_types: Sequence[str] | None = None,
+    date_range_years: int | None = None,
+    as_of=None,
+) -> DataFrame:
+    """Claim rows matching either code list, read once, with booleans ``_anchor`` (the
+    anchor list and its limits hold) and ``_event`` (the event list)."""
+    dx, entry = inclusion_predicates(anchor_codes, anchor_types, date_range_years, as_of)
+    event = icd_match(event_codes, ICD)
+    claims = diagnosis_claims(tables, dx | event)
+    anchor = dx if entry is None else dx & F.coalesce(entry, F.lit(False))
+    return claims.withColumns({"_anchor": anchor, "_event": event}).where("_anchor or _event")
+
+
 def tag_claims(claims: DataFrame, rules: Sequence[tuple[dict, Column]]) -> DataFrame:
     """Label each claim row with every rule it satisfies, in one scan.
 
@@ -92,17 +109,26 @@ def tag_claims(claims: DataFrame, rules: Sequence[tuple[dict, Column]]) -> DataF
     return out.select(*[F.col(f"_tag.{k}").alias(k) for k in label_names], *claims.columns)
 
 
-def compact_claims(claims: DataFrame, keys: Sequence[str] = (), member_col: str = MEMBER, date_col: str = DATE) -> DataFrame:
+def compact_claims(
+    claims: DataFrame,
+    keys: Sequence[str] = (),
+    member_col: str = MEMBER,
+    date_col: str = DATE,
+    undated: Column | None = None,
+) -> DataFrame:
     """One row per (keys, member, day) with the number of claim rows on that day.
 
-    Rows with a null member or date are dropped (they never pair). The aggregate is
-    combined map-side, so a member with very many claims is reduced before the
-    shuffle, and each member's output is bounded by the number of calendar days.
+    Rows with a null member or date are dropped (they never pair), except that rows
+    satisfying ``undated`` (rules that hold at any date) keep one dateless row per
+    member. The aggregate is combined map-side, so a member with very many claims is
+    reduced before the shuffle, and each member's output is bounded by the number of
+    calendar days.
     """
     if N_CLAIMS in claims.columns:
         return claims
+    dated = F.col(date_col).isNotNull()
     return (
-        claims.where(F.col(member_col).isNotNull() & F.col(date_col).isNotNull())
+        claims.where(F.col(member_col).isNotNull() & (dated if undated is None else dated | undated))
         .groupBy(*keys, member_col, date_col)
         .agg(F.count(F.lit(1)).alias(N_CLAIMS))
     )

@@ -1,11 +1,10 @@
-"""Rules matched against the distinct codes of the data, then joined to claims.
+"""Rules matched against the distinct codes of the data, then joined to the lines.
 
-Configured code patterns are matched once per distinct diagnosis code (a few
-thousand to ~100k values), not once per claim row: the result is a codebook
-``(cohort, role, icd_code, …)``. Diagnosis lines are then labelled by an equi-join
-on ``icd_code``, a hash lookup per row (see ``operators/lines.py``). The codebook is checkpointed and counted, and
-broadcast only below a row limit; above it the join shuffles (and adaptive
-execution splits a hot code).
+Configured code patterns are matched once per distinct diagnosis code (a few thousand to
+~100k values), not once per claim row: the result is a codebook ``(cohort, role, icd_code)``
+with one row per rule and code. Diagnosis lines are then labelled by an equi-join on
+``icd_code``, a hash lookup per row. Everything is lazy; adaptive execution broadcasts the
+codebook if its measured size allows, else the join shuffles and a hot code is split.
 """
 
 from __future__ import annotations
@@ -13,82 +12,20 @@ from __future__ import annotations
 from typing import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from claims_cohorts.columns import COHORT, ICD
-from claims_cohorts.functions.codes import icd_like_patterns
-from claims_cohorts.session import materialize
+from claims_cohorts.functions.codes import icd_match
+from claims_cohorts.operators.claims import tag_claims
 
-# Codebook rows above which the claim join shuffles instead of broadcasting
-# (~50 bytes per row: 400k rows ≈ 20 MB per executor).
-BROADCAST_MAX_ROWS = 400_000
-# Up to this many patterns, rules are evaluated as plain column predicates (pushed
-# to the Parquet scan); beyond it the codebook join is used.
-DIRECT_MAX_PATTERNS = 64
 
+def any_rule(rules: Sequence[tuple[str, str, Sequence[str]]]):
+    """Predicate of the codes that any of the rules (cohort, role, codes) matches."""
+    return icd_match([c for _, _, codes in rules for c in codes])
 
-def classify_pattern(pattern: str) -> tuple[str, str]:
-    """('eq', value) | ('prefix', value) | ('like', pattern) for a SQL LIKE pattern."""
-    body = pattern.rstrip("%")
-    if "%" in body or "_" in body:
-        return "like", pattern
-    return ("eq", pattern) if body == pattern else ("prefix", body)
 
-
-def icd_rule_rows(
-    cohort: str,
-    role: str,
-    codes: Sequence[str],
-    claim_types: Sequence[str] | None = None,
-    date_range_years: int | None = None,
-) -> list[tuple]:
-    rows = []
-    for pattern in dict.fromkeys(icd_like_patterns(codes)):
-        kind, value = classify_pattern(pattern)
-        rows.append((cohort, role, kind, value, list(claim_types) if claim_types is not None else None, date_range_years))
-    return rows
-
-
-def codebook(diagnoses: DataFrame, rule_rows: Sequence[tuple]) -> DataFrame:
-    """(cohort, role, icd_code): one row per distinct code a rule matches (several
-    patterns of one rule matching a code count once).
-
-    ``rule_rows`` come from :func:`icd_rule_rows`. Equi-joins only: exact patterns
-    join on the code, prefix patterns on the code's prefixes (each distinct code
-    expanded to its few prefixes). Patterns with an inner wildcard (none in the
-    shipped configuration) are matched with LIKE against the distinct codes, with
-    only those rules broadcast.
-    """
-    spark = diagnoses.sparkSession
-    codes = diagnoses.select(ICD).where(F.col(ICD).isNotNull()).distinct()
-    keep = [COHORT, "role", ICD]
-    by_kind: dict[str, list[tuple]] = {}
-    for cohort, role, kind, pattern, *_ in rule_rows:
-        by_kind.setdefault(kind, []).append((cohort, role, pattern))
-    schema = "cohort string, role string, pattern string"
-    parts = []
-    if by_kind.get("eq"):
-        eq = spark.createDataFrame(by_kind["eq"], schema).withColumnRenamed("pattern", ICD)
-        parts.append(codes.join(F.broadcast(eq), ICD).select(*keep))
-    if by_kind.get("prefix"):
-        prefixes = codes.select(ICD, F.explode(F.sequence(F.lit(0), F.length(ICD))).alias("_n")).select(
-            ICD, F.expr(f"substring({ICD}, 1, _n)").alias("pattern")
-        )
-        pre = spark.createDataFrame(by_kind["prefix"], schema)
-        parts.append(prefixes.join(F.broadcast(pre), "pattern").select(*keep))
-    if by_kind.get("like"):
-        like = spark.createDataFrame(by_kind["like"], schema)
-        parts.append(codes.join(F.broadcast(like), F.expr(f"{ICD} LIKE pattern")).select(*keep))
-    if not parts:
-        return spark.createDataFrame([], "cohort string, role string, icd_code string")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.distinct()
-
-
-def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Checkpoint ``df`` (reliable storage, lineage cut), count it, and mark it for
-    broadcast only if it has at most ``max_rows`` rows."""
-    stored = materialize(df)
-    return F.broadcast(stored) if stored.count() <= max_rows else stored
+def codebook(diagnoses: DataFrame, rules: Sequence[tuple[str, str, Sequence[str]]]) -> DataFrame:
+    """(cohort, role, icd_code): each distinct code a rule matches, once per rule however
+    many of its patterns match. ``rules`` are (cohort, role, codes)."""
+    codes = diagnoses.select(ICD).where(any_rule(rules)).distinct()
+    labelled = [({COHORT: cohort, "role": role}, icd_match(patterns)) for cohort, role, patterns in rules]
+    return tag_claims(codes, labelled).select(COHORT, "role", ICD)

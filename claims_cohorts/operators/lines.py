@@ -2,31 +2,26 @@
 claim entries once.
 
 Diagnosis, procedure and drug lines are each filtered and labelled on their own table
-(by column predicates, or through the codebook when there are many diagnosis
-patterns), unioned, and joined to ``claims_entries`` in one join. So a run over all
-cohorts shuffles the entries table once, however many rules and line tables it uses.
-Per-rule claim-type and date-range limits come from a small broadcast table (one row
-per rule, bounded by the configuration) and are applied after the join.
+(diagnosis lines through the codebook of distinct codes), unioned, and joined to
+``claims_entries`` in one join. So a run over all cohorts shuffles the entries table
+once, however many rules and line tables it uses. What all rules have in common (a list
+of claim types, an oldest date) filters the entries before the join; the exact limits of
+each rule come from a small broadcast table (one row per rule, bounded by the
+configuration) and are applied after it.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claims_cohorts.columns import CLAIM_ID, CLAIM_TYPE, COHORT, DATE, DRUG, ICD, MEMBER, PROC
-from claims_cohorts.functions.codes import drug_match, icd_match, procedure_match
+from claims_cohorts.functions.codes import all_of, drug_match, procedure_match
 from claims_cohorts.operators.claims import tag_claims
-from claims_cohorts.operators.codebook import (
-    BROADCAST_MAX_ROWS,
-    DIRECT_MAX_PATTERNS,
-    codebook,
-    icd_rule_rows,
-    sized_broadcast,
-)
+from claims_cohorts.operators.codebook import any_rule, codebook
 from claims_cohorts.sources.tables import ClaimsTables
 
 LIMIT_SCHEMA = "cohort string, role string, claim_types array<string>, date_range_years int"
@@ -59,14 +54,46 @@ def _anchor(as_of) -> Column:
     return F.lit(str(as_of)).cast("date")
 
 
-def _diagnosis_lines(tables: ClaimsTables, rules: Sequence[LineRule], direct_max_patterns: int, max_broadcast_rows: int):
-    rows = [row for r in rules for row in icd_rule_rows(r.cohort, r.role, r.codes)]
-    if len(rows) <= direct_max_patterns:
-        dx = tables.diagnoses.select(CLAIM_ID, ICD).where(icd_match([c for r in rules for c in r.codes], ICD))
-        return tag_claims(dx, _label(rules, icd_match, ICD)).select(CLAIM_ID, COHORT, "role")
-    book = codebook(tables.diagnoses, rows)
-    book = sized_broadcast(book, max_broadcast_rows)
-    return tables.diagnoses.select(CLAIM_ID, ICD).join(book, ICD).select(CLAIM_ID, COHORT, "role")
+def unique_rules(rules: Sequence[LineRule]) -> list[LineRule]:
+    """One rule per (cohort, role): repeated rules merge their codes, so a claim line
+    counts once for it; rules that differ in kind or limits can't be merged."""
+    merged: dict[tuple[str, str], LineRule] = {}
+    for r in rules:
+        if not r.codes:
+            continue
+        old = merged.get((r.cohort, r.role))
+        if old is None:
+            merged[r.cohort, r.role] = r
+        elif (old.kind, old.claim_types, old.date_range_years) != (r.kind, r.claim_types, r.date_range_years):
+            raise ValueError(f"two different rules for cohort {r.cohort!r}, role {r.role!r}")
+        else:
+            merged[r.cohort, r.role] = replace(old, codes=tuple(dict.fromkeys(old.codes + r.codes)))
+    return list(merged.values())
+
+
+def _diagnosis_lines(tables: ClaimsTables, rules: Sequence[LineRule]):
+    triples = [(r.cohort, r.role, r.codes) for r in rules]
+    dx = tables.diagnoses.select(CLAIM_ID, ICD).where(any_rule(triples))
+    if len(rules) == 1:  # one label for all lines: no look-up needed
+        return dx.select(CLAIM_ID, F.lit(rules[0].cohort).alias(COHORT), F.lit(rules[0].role).alias("role"))
+    return dx.join(codebook(tables.diagnoses, triples), ICD).select(CLAIM_ID, COHORT, "role")
+
+
+def _types(rule: LineRule) -> tuple[str, ...] | None:
+    return (PHARMACY,) if rule.kind == "drug" else rule.claim_types
+
+
+def common_entry_filter(rules: Sequence[LineRule], as_of=None) -> Column | None:
+    """The strictest predicate on entries that no rule's limits contradict: the union of
+    the claim types and the oldest date, each only if every rule has such a limit."""
+    preds = []
+    types = [_types(r) for r in rules]
+    if all(t is not None for t in types):
+        preds.append(F.col(CLAIM_TYPE).isin(sorted({x for t in types for x in t})))
+    years = [r.date_range_years for r in rules]
+    if all(y is not None for y in years):
+        preds.append(F.col(DATE) >= F.add_months(_anchor(as_of), -12 * max(years)))
+    return all_of(preds) if preds else None
 
 
 def _procedure_lines(tables: ClaimsTables, rules: Sequence[LineRule]):
@@ -83,13 +110,7 @@ def _drug_lines(tables: ClaimsTables, rules: Sequence[LineRule]):
     return tag_claims(drugs, _label(rules, drug_match, DRUG)).select(CLAIM_ID, COHORT, "role")
 
 
-def claim_lines(
-    tables: ClaimsTables,
-    rules: Sequence[LineRule],
-    as_of=None,
-    direct_max_patterns: int = DIRECT_MAX_PATTERNS,
-    max_broadcast_rows: int = BROADCAST_MAX_ROWS,
-) -> DataFrame:
+def claim_lines(tables: ClaimsTables, rules: Sequence[LineRule], as_of=None) -> DataFrame:
     """(cohort, role, member_id_hash, date_of_service, claim_type): one row per claim
     line satisfying a rule (a line satisfying n rules comes out n times).
 
@@ -97,31 +118,26 @@ def claim_lines(
     count pharmacy claims; procedure rules skip the sentinel code; drug rules skip
     null and empty names.
     """
-    rules = [r for r in rules if r.codes]
+    rules = unique_rules(rules)
     if not rules:
         raise ValueError("claim_lines needs at least one rule with codes")
-    parts = []
-    icd = [r for r in rules if r.kind == "icd"]
-    proc = [r for r in rules if r.kind == "proc"]
-    drug = [r for r in rules if r.kind == "drug"]
-    if icd:
-        parts.append(_diagnosis_lines(tables, icd, direct_max_patterns, max_broadcast_rows))
-    if proc:
-        parts.append(_procedure_lines(tables, proc))
-    if drug:
-        parts.append(_drug_lines(tables, drug))
+    makers = {"icd": _diagnosis_lines, "proc": _procedure_lines, "drug": _drug_lines}
+    parts = [make(tables, some) for kind, make in makers.items() if (some := [r for r in rules if r.kind == kind])]
     lines = parts[0]
     for p in parts[1:]:
         lines = lines.unionByName(p)
 
-    limits = {}
-    for r in rules:
-        types = (PHARMACY,) if r.kind == "drug" else r.claim_types
-        limits[(r.cohort, r.role)] = (r.cohort, r.role, list(types) if types is not None else None, r.date_range_years)
-    spark = tables.entries.sparkSession
-    limit_df = F.broadcast(spark.createDataFrame(list(limits.values()), LIMIT_SCHEMA))
-
-    joined = tables.entries_typed().join(lines, CLAIM_ID).join(limit_df, [COHORT, "role"])
+    entries = tables.entries_typed()
+    common = common_entry_filter(rules, as_of)
+    if common is not None:
+        entries = entries.where(common)
+    joined = entries.join(lines, CLAIM_ID)
+    if len(rules) == 1:  # its limits are the common ones
+        return joined.select(COHORT, "role", MEMBER, DATE, CLAIM_TYPE)
+    limits = [(r.cohort, r.role, list(t) if (t := _types(r)) is not None else None, r.date_range_years) for r in rules]
+    limit_df = F.broadcast(tables.entries.sparkSession.createDataFrame(limits, LIMIT_SCHEMA))
+
+    joined = joined.join(limit_df, [COHORT, "role"])
     types_ok = F.col("claim_types").isNull() | F.array_contains(F.col("claim_types"), F.col(CLAIM_TYPE))
     years = F.col("date_range_years")
     date_ok = years.isNull() | (F.col(DATE) >= F.add_months(_anchor(as_of), -12 * years))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from claims_cohorts.columns import MEMBER
 
@@ -11,18 +10,8 @@ from claims_cohorts.columns import MEMBER
 def add_member_info(index: DataFrame, members: DataFrame) -> DataFrame:
     """Left join of index rows with member attributes.
 
-    Unmatched rows keep nulls; duplicate member rows fan out. Written as inner join
-    ∪ anti join: adaptive execution may split a hot member on either side of the
-    inner join (a left outer join can only be split on its left side), and the anti
-    join only needs the distinct member keys, which a map-side combine reduces to one
-    row per member however many duplicates one has. Callers that would recompute an
-    expensive ``index`` twice should store it first (see ``plans.cohorts.finish``).
+    Unmatched rows keep nulls; duplicate member rows fan out. The index holds a row or
+    two per cohort and member, and is the side adaptive execution may split.
     """
     extra = [c for c in members.columns if c != MEMBER]
-    members = members.where(F.col(MEMBER).isNotNull())  # a null key never matches either join
-    matched = index.join(members, MEMBER, "inner")
-    unmatched = index.join(members.select(MEMBER).distinct(), MEMBER, "left_anti")
-    for c in extra:
-        unmatched = unmatched.withColumn(c, F.lit(None).cast(members.schema[c].dataType))
-    cols = [*index.columns, *extra]
-    return matched.select(*cols).unionByName(unmatched.select(*cols))
+    return index.join(members, MEMBER, "left").select(*index.columns, *extra)

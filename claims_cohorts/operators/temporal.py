@@ -170,6 +170,26 @@ def window_flags(
     return u.where(F.col("_anchor")).select(*anchors.columns, *rules)
 
 
+def flag_rows(rows: DataFrame, is_event: Column, window: EventWindow, name: str, date_col: str = DATE) -> DataFrame:
+    """Add the boolean ``name``: does the row's member have, among the rows themselves, an
+    event row dated in the window around this row's date?
+
+    For anchors and events that come from one read of the claims (rows of either kind,
+    or both): one shuffle by member and running windows, no join. Rows without a member
+    or a date are False, and rows without a member are spread by date.
+    """
+    d = F.col(date_col).cast("date")
+    part = [F.col(MEMBER), F.when(F.col(MEMBER).isNull(), d)]
+    up, down = Window.partitionBy(*part).orderBy(F.unix_date(d)), Window.partitionBy(*part).orderBy(F.unix_date(d).desc())
+    event_day = F.when(is_event & F.col(MEMBER).isNotNull(), d)
+    kind = _upper_kind(window.upper)
+    prev_le = F.max(event_day).over(up.rangeBetween(Window.unboundedPreceding, 0)) if kind != "before" else None
+    prev_lt = F.max(event_day).over(up.rangeBetween(Window.unboundedPreceding, -1)) if kind == "before" else None
+    next_ge = F.min(event_day).over(down.rangeBetween(Window.unboundedPreceding, 0)) if kind in ("none", "days") else None
+    hit = _condition(d, window, prev_le, prev_lt, next_ge)
+    return rows.withColumn(name, F.coalesce(hit & d.isNotNull(), F.lit(False)))
+
+
 def window_flag(
     anchors: DataFrame,
     events: DataFrame,

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from typing import Mapping, Sequence
+from typing import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claims_cohorts.columns import CLAIM_TYPE, DATE, ICD, INDEX, MEMBER
@@ -77,15 +77,20 @@ def output_quality(spark: SparkSession, cohort: DataFrame) -> DataFrame:
 
 
 class SchemaError(ValueError):
-    """Raised by :func:`validate_output` with every failing check listed."""
+    """Raised by :func:`raise_on_violations` with every failing cohort listed."""
 
 
-def validate_output(spark: SparkSession, cohort: DataFrame) -> None:
-    """Action: run the output checks and raise listing all failures (lazy validation)."""
-    failures = [r.asDict() for r in output_quality(spark, cohort).where(~F.col("ok")).collect()]
-    if failures:
-        raise SchemaError(f"cohort output failed {len(failures)} check(s): {failures}")
+def violation_counts() -> list[Column]:
+    """Aggregates that count the nulls of each output column that must not be null."""
+    return [F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c, (_, nullable) in OUTPUT_SCHEMA.items() if not nullable]
 
 
-def missing_columns(df: DataFrame, required: Sequence[str]) -> list[str]:
-    return [c for c in required if c not in df.columns]
+def raise_on_violations(stats: Mapping[str, Mapping]) -> None:
+    """``stats``: the :func:`violation_counts` of each cohort."""
+    failed = {}
+    for name, row in stats.items():
+        nulls = {f"{c} null": row[f"null_{c}"] for c, (_, nullable) in OUTPUT_SCHEMA.items() if not nullable and row[f"null_{c}"]}
+        if nulls:
+            failed[name] = nulls
+    if failed:
+        raise SchemaError(f"cohort output failed validation: {failed}")

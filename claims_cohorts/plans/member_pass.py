@@ -1,11 +1,12 @@
 """One pass per member: the default cohort path and the family strategies.
 
 Each plan reads its roles' days (cohort, role, member, day, n_claims) from one
-claim-lines join, shuffles once by (cohort, member), computes window columns over
-the member's days (nearest earlier / later day of a role: running max / min, so
-linear) and decides with one aggregate. Steps that drop claim days before the
-index is found (the diabetes look-back) are a filter between two window passes on
-the same partitioning, so they add no shuffle.
+claim-lines join and compacts them (one shuffle by cohort, role, member and day), shuffles
+them by (cohort, member), computes window columns over the member's days (nearest
+earlier / later day of a role: running max / min, so linear) and decides with one
+aggregate. Steps that drop claim days before the index is found (the diabetes look-back)
+are a filter between two window passes on the same partitioning, so they add no shuffle.
+Rules that hold at any date also get one dateless row per member, which no window sees.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from claims_cohorts.operators.claims import N_CLAIMS
 from claims_cohorts.plans.spec import DefaultPathSpec
 
 PART = [COHORT, MEMBER]
+#: Roles whose claims count whether or not they are dated.
+ANY_DATE_ROLES = ("ever", "procedure", "drug")
 
 
 def _windows():
@@ -149,13 +152,25 @@ SPEC_SCHEMA = (
 )
 
 
-def cohort_knobs(spark, specs: Sequence[DefaultPathSpec]) -> DataFrame:
-    """One row per cohort with its default-path knobs (bounded by the configuration)."""
-    rows = [
+def _knob_rows(specs: Sequence[DefaultPathSpec]) -> list[tuple]:
+    return [
         (s.name, s.min_days, s.within_days, s.min_claims, s.support_mode, s.subtype_window, s.organic_window)
         for s in specs
     ]
-    return spark.createDataFrame(rows, SPEC_SCHEMA)
+
+
+def cohort_knobs(spark, specs: Sequence[DefaultPathSpec]) -> DataFrame:
+    """One row per cohort with its default-path knobs (bounded by the configuration)."""
+    return spark.createDataFrame(_knob_rows(specs), SPEC_SCHEMA)
+
+
+def with_knobs(days: DataFrame, specs: Sequence[DefaultPathSpec]) -> DataFrame:
+    """The knobs of each row's cohort: a look-up, or constants if there is one cohort."""
+    knobs = cohort_knobs(days.sparkSession, specs)
+    if len(specs) > 1:
+        return days.join(F.broadcast(knobs), COHORT)
+    values = zip(knobs.schema.fields[1:], _knob_rows(specs)[0][1:])
+    return days.withColumns({f.name: F.lit(v).cast(f.dataType) for f, v in values})
 
 
 def default_path_pass(days: DataFrame, specs: Sequence[DefaultPathSpec]) -> DataFrame:
@@ -174,7 +189,7 @@ def default_path_pass(days: DataFrame, specs: Sequence[DefaultPathSpec]) -> Data
     """
     part = [COHORT, MEMBER]
     knobs = ["_within", "_min_claims", "_mode"]
-    days = days.join(F.broadcast(cohort_knobs(days.sparkSession, specs)), COHORT)
+    days = with_knobs(days, specs)
     role, day = F.col("role"), F.col(DATE)
     is_inc = role == "inclusion"
     md = F.col("_min_days")

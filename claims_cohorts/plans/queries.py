@@ -14,16 +14,15 @@ from pyspark.sql import functions as F
 
 from claims_cohorts.columns import CLAIM_ID, CLAIM_TYPE, DATE, DRUG, ICD, INDEX, MEMBER, PROC
 from claims_cohorts.functions.codes import claim_type_match, date_range_filter, drug_match, icd_match, procedure_match
-from claims_cohorts.functions.dates import duration_days
+from claims_cohorts.functions.dates import DAYS_PER_UNIT, duration_days
 from claims_cohorts.operators import eligibility as elig
 from claims_cohorts.operators.claims import code_claims, diagnosis_claims
-from claims_cohorts.operators.codebook import codebook, icd_rule_rows
+from claims_cohorts.operators.codebook import codebook
 from claims_cohorts.operators.index import (
     component_window_index,
     first_claim_index,
     first_pair_index,
     second_claim_index,
-    span_filter,
 )
 from claims_cohorts.operators.members import add_member_info
 from claims_cohorts.operators.support import (
@@ -40,11 +39,10 @@ from claims_cohorts.operators.temporal import (
     exclude_ever,
     exclude_on_or_before,
     exclude_within_window,
-    symptom_flag,
 )
 from claims_cohorts.operators.validation import claims_quality, output_quality
 from claims_cohorts.plans import strategies as S
-from claims_cohorts.plans.cohorts import CohortContext, build_cohort, build_cohorts, inclusion_claims_advanced
+from claims_cohorts.plans.cohorts import CohortContext, build_cohort, build_cohorts, inclusion_claims_advanced, symptom_claims
 from claims_cohorts.plans.run import combined_summary, cohort_counts
 from claims_cohorts.plans.spec import CohortConfig, load_config
 from claims_cohorts.sources.tables import ClaimsTables, table_profile
@@ -58,7 +56,6 @@ DRUG_PROBE_NAMES = ["LISINOPRIL", "ATORVASTATIN%", "ACETAMINOPHEN*"]
 SUPPORT_WINDOW_DAYS = 180
 CLEAN_PERIOD_DAYS = 365
 ENROLLMENT_DAYS = 365
-DURATION_TEXT = "12M"
 
 
 @lru_cache(maxsize=1)
@@ -101,7 +98,7 @@ def htn_index(t: ClaimsTables) -> DataFrame:
 def ibs_d_index(t: ClaimsTables) -> DataFrame:
     inc = _inc("IBS_D")
     claims = code_claims(t, inc["icd_codes"], inc["claim_types"])
-    return span_filter(first_pair_index(claims, inc["min_days_between_claims"]), claims, inc["within_months"] * 30, inc["min_claims"])
+    return first_pair_index(claims, inc["min_days_between_claims"], within_days=inc["within_months"] * 30, span_min_claims=inc["min_claims"])
 
 
 def prediabetes_second(t: ClaimsTables) -> DataFrame:
@@ -155,7 +152,8 @@ def q_cohort_rules(spark, sf_dir):
         for key, value in (cfg.get("tags") or {}).items():
             lists[f"tag:{key}"] = value
         for role, code_list in lists.items():
-            rows += icd_rule_rows(name, role, code_list)
+            if code_list:
+                rows.append((name, role, code_list))
     return codebook(tables(spark, sf_dir).diagnoses, rows)
 
 
@@ -212,10 +210,8 @@ def q_date_range_filter(spark, sf_dir):
 
 
 def q_symptom_flag(spark, sf_dir):
-    t = tables(spark, sf_dir)
     inc = _inc("IBS_D")
-    claims = code_claims(t, inc["icd_codes"], inc["claim_types"])
-    return symptom_flag(claims, code_claims(t, inc["symptom_codes"]), inc["symptom_window_days"])
+    return symptom_claims(tables(spark, sf_dir), inc["icd_codes"], inc["symptom_codes"], inc["symptom_window_days"], inc["claim_types"])
 
 
 def q_exclude_window_subtype(spark, sf_dir):
@@ -329,8 +325,7 @@ def q_index_first_claim(spark, sf_dir):
 def q_within_months(spark, sf_dir):
     inc = _inc("Diabetes_General")
     claims = code_claims(tables(spark, sf_dir), inc["icd_codes"], inc["claim_types"])
-    index = first_pair_index(claims, inc["min_days_between_claims"])
-    return span_filter(index, claims, inc["within_months"] * 30, inc["min_claims"])
+    return first_pair_index(claims, inc["min_days_between_claims"], within_days=inc["within_months"] * 30, span_min_claims=inc["min_claims"])
 
 
 def q_component_claims(spark, sf_dir):
@@ -352,22 +347,11 @@ def q_metabolic_index_rows(spark, sf_dir):
 
 
 def q_duration_days(spark, sf_dir):
-    """IBS_General index rows enrolled ``look_back``/``look_ahead`` = '12M' around the index."""
-    t = tables(spark, sf_dir)
-    inc = _inc("IBS_General")
-    claims = code_claims(t, inc["icd_codes"], inc.get("claim_types"), inc["date_range_years"], AS_OF)
-    index = first_pair_index(claims, inc["min_days_between_claims"])
-    spans = index.withColumn("_back", duration_days(F.lit(inc["look_back_enrollment"]))).withColumn(
-        "_ahead", duration_days(F.lit(inc["look_ahead_enrollment"]))
-    )
-    first = elig.first_enrollment(t.eligibility)
-    end = F.coalesce(first["termination_date"], F.lit(elig.OPEN_END).cast("date"))
-    cond = (
-        (spans[MEMBER] == first[MEMBER])
-        & (first["date_of_enrollment"] <= F.date_sub(spans[INDEX], spans["_back"]))
-        & (end >= F.date_add(spans[INDEX], spans["_ahead"]))
-    )
-    return spans.join(first, cond, "left_semi").select(MEMBER, INDEX, F.col("_back").alias("lookback_days"))
+    """Members with a duration text derived from their key, in days (all units, many counts)."""
+    key = F.col(MEMBER).cast("long")
+    unit = F.element_at(F.array(*[F.lit(u) for u in DAYS_PER_UNIT]), (key % len(DAYS_PER_UNIT) + 1).cast("int"))
+    text = F.concat((key % 31 + 1).cast("string"), unit)
+    return tables(spark, sf_dir).members.select(MEMBER, text.alias("duration")).withColumn("days", duration_days("duration"))
 
 
 def q_month_spine(spark, sf_dir):
@@ -385,6 +369,20 @@ def cohort_query(name: str) -> Query:
     return run
 
 
+def q_combined_with_strategies(spark, sf_dir):
+    """Default cohorts, family strategies and one custom cohort without member columns,
+    from a private registry: columns that a cohort lacks are null."""
+    registry = S.strategy_registry({"PreDiabetes": "diabetes", "CAD_Sensitive": "cardiometabolic"})
+
+    def first_pharmacy_claim(c, name):
+        pharmacy = c.tables.entries_typed().where(claim_type_match(["pharma"], CLAIM_TYPE))
+        return first_claim_index(pharmacy).withColumn("cohort", F.lit(name))
+
+    registry["First_Pharmacy"] = first_pharmacy_claim
+    names = ["HTN_Conservative", "PreDiabetes", "CAD_Sensitive", "First_Pharmacy"]
+    return build_cohorts(tables(spark, sf_dir), config(), names, AS_OF, registry=registry)
+
+
 def strategy_query(strategy: str, cohort: str) -> Query:
     def run(spark, sf_dir):
         return S.STRATEGIES[strategy](ctx(spark, sf_dir), cohort)

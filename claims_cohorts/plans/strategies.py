@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 from claims_cohorts.columns import COHORT, INDEX, MEMBER
 from claims_cohorts.functions.codes import icd_match
-from claims_cohorts.operators.claims import code_claims, compact_claims, diagnosis_claims, tag_claims
+from claims_cohorts.operators.claims import anchor_and_event_claims, code_claims, compact_claims, diagnosis_claims, tag_claims
 from claims_cohorts.operators.lines import LineRule, claim_lines
-from claims_cohorts.operators.temporal import lookback_exclusion
+from claims_cohorts.operators.temporal import EventWindow, flag_rows
 from claims_cohorts.plans.cohorts import COHORT_LOGIC_REGISTRY, CohortContext, finish
-from claims_cohorts.plans.member_pass import metabolic_pass, strategy_pass
+from claims_cohorts.plans.member_pass import ANY_DATE_ROLES, metabolic_pass, strategy_pass
 
 MEDICAL = ["medical"]
 # FIXED VALUES — the cohorts whose names switch on special handling, and the
@@ -39,7 +39,8 @@ def role_days(ctx: CohortContext, rules: Sequence[LineRule]) -> DataFrame:
     """(cohort, role, member, day, n_claims) for all of a strategy's rules from one
     claim-lines join."""
     rules = [r for r in rules if r.codes]
-    return compact_claims(claim_lines(ctx.tables, rules, ctx.as_of), [COHORT, "role"])
+    lines = claim_lines(ctx.tables, rules, ctx.as_of)
+    return compact_claims(lines, [COHORT, "role"], undated=F.col("role").isin(*ANY_DATE_ROLES))
 
 
 def _finish(ctx: CohortContext, index: DataFrame, name: str) -> DataFrame:
@@ -58,11 +59,13 @@ def diabetes_inclusion_claims(ctx: CohortContext, name: str) -> DataFrame:
     PreDiabetes/GDM drop rows with a diabetes claim (Diabetes_General's codes) in the
     preceding months."""
     inc = ctx.config.inclusion(name)
-    claims = code_claims(ctx.tables, inc["icd_codes"], inc.get("claim_types"))
-    if name in LOOKBACK_COHORTS and "lookback_no_diabetes" in inc:
-        dm_codes = ctx.config.inclusion(DIABETES_GENERAL)["icd_codes"]
-        claims = lookback_exclusion(claims, code_claims(ctx.tables, dm_codes), int(inc["lookback_no_diabetes"]))
-    return claims
+    if name not in LOOKBACK_COHORTS or "lookback_no_diabetes" not in inc:
+        return code_claims(ctx.tables, inc["icd_codes"], inc.get("claim_types"))
+    dm_codes = ctx.config.inclusion(DIABETES_GENERAL)["icd_codes"]
+    rows = anchor_and_event_claims(ctx.tables, inc["icd_codes"], dm_codes, inc.get("claim_types"))
+    before = EventWindow.lookback_months(int(inc["lookback_no_diabetes"]))
+    rows = flag_rows(rows, F.col("_event"), before, "_diabetes")
+    return rows.where("_anchor and not _diabetes").drop("_anchor", "_event", "_diabetes")
 
 
 def diabetes_strategy(ctx: CohortContext, name: str) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -65,19 +66,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def materialize(df):
-    """Compute ``df`` once and store it in the checkpoint directory (reliable
-    storage, lineage cut). Used for small intermediates read more than once.
-
-    An eager checkpoint runs one job to compute the rows and a second one to write
-    them; the rows are cached in between (memory, spilling to disk) so the second
-    job does not recompute them, and the cache is released once they are written.
-    """
-    from pyspark import StorageLevel
-
-    ensure_checkpoint_dir(df.sparkSession)
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return cached.checkpoint(eager=True)
-    finally:
-        cached.unpersist(blocking=False)
+def staging_path(spark: SparkSession) -> str:
+    """A new folder name under the checkpoint directory, for intermediate datasets."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"

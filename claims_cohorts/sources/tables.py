@@ -10,6 +10,7 @@ import logging
 from dataclasses import dataclass, fields, replace
 from typing import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,40 +83,43 @@ class ClaimsTables:
 
 
 def load_parquet_dir(spark: SparkSession, path: str, names: list[str] | None = None) -> ClaimsTables:
-    """Tables stored as ``{path}/{table}.parquet`` (or a directory per table)."""
+    """Tables stored as ``{path}/{table}.parquet`` (or a directory per table).
+
+    An optional table may be absent; a table that is there but can't be read raises.
+    """
     tables = {}
     for name in names or list(TABLE_ATTR):
         full = f"{path.rstrip('/')}/{name}.parquet"
         try:
             tables[name] = spark.read.parquet(full)
-        except Exception:  # missing optional table
+        except AnalysisException as exc:
+            if exc.getCondition() != "PATH_NOT_FOUND":
+                raise
             if name in LOAD_TIME_TABLES:
-                raise RuntimeError(f"Missing required table: {full}")
-            log.info("Optional table '%s' not found. Skipping...", full)
+                raise RuntimeError(f"no dataset for required table {name}: {full}") from exc
+            log.info("no dataset for optional table %s: %s", name, full)
     return ClaimsTables.from_dict(tables)
 
 
 def load_catalog(spark: SparkSession, database: str = "default") -> ClaimsTables:
-    """Tables registered in a catalog database (e.g. bucketed on claim_entry_id).
-
-    If ``database`` does not exist, the first database the catalog lists is used.
-    """
+    """Tables registered in a catalog database (e.g. bucketed on claim_entry_id)."""
     if not spark.catalog.databaseExists(database):
-        available = [db.name for db in spark.catalog.listDatabases()]
-        log.warning("Configured database '%s' not found; available: %s", database, ", ".join(available))
-        if not available:
-            raise RuntimeError(f"No database found (wanted '{database}')")
-        database = available[0]
+        known = ", ".join(db.name for db in spark.catalog.listDatabases())
+        raise RuntimeError(f"the catalog has no database {database!r}; it has: {known}")
     tables = {}
     for name in TABLE_ATTR:
         qualified = f"{database}.{name}"
         if spark.catalog.tableExists(qualified):
             tables[name] = spark.table(qualified)
         elif name in LOAD_TIME_TABLES:
-            raise RuntimeError(f"Missing required table: {qualified}")
+            raise RuntimeError(f"the catalog has no required table {qualified}")
     return ClaimsTables.from_dict(tables)
 
 
+#: Tables read over JDBC in ranges of ``claim_entry_id``.
+FACT_TABLES = ("claims_entries", "claims_diagnoses", "claims_procedures", "claims_drugs")
+
+
 def load_jdbc(
     spark: SparkSession,
     url: str,
@@ -124,26 +128,37 @@ def load_jdbc(
     num_partitions: int = 16,
     bounds: Mapping[str, tuple[int, int]] | None = None,
 ) -> ClaimsTables:
-    """Tables read over JDBC, split on ``claim_entry_id`` ranges when bounds are given.
+    """The five required tables over JDBC, and the optional one if the schema has it.
 
-    ``bounds`` maps a table name to ``(lower, upper)`` of ``claim_entry_id`` so each of
-    ``num_partitions`` tasks reads one range; without bounds a table is one task.
+    Fact tables are read by ``num_partitions`` tasks, each a range of ``claim_entry_id``;
+    ``bounds`` (table → lowest and highest id) is asked from the database where it is not
+    given, one row per table. An empty fact table is one task.
     """
-    props = dict(properties or {})
+
+    def reader(table: str):
+        r = spark.read.format("jdbc").option("url", url).option("dbtable", table)
+        for key, value in (properties or {}).items():
+            r = r.option(key, value)
+        return r
+
+    listed = f"(SELECT table_name FROM information_schema.tables WHERE table_schema = '{schema}') listed"
+    present = {row["table_name"] for row in reader(listed).load().collect()}
+    missing = [name for name in LOAD_TIME_TABLES if name not in present]
+    if missing:
+        raise RuntimeError(f"schema {schema!r} has no table {', '.join(missing)}")
     tables = {}
-    for name in TABLE_ATTR:
-        reader = spark.read.format("jdbc").option("url", url).option("dbtable", f"{schema}.{name}")
-        for key, value in props.items():
-            reader = reader.option(key, value)
-        if bounds and name in bounds:
-            lower, upper = bounds[name]
-            reader = (
-                reader.option("partitionColumn", CLAIM_ID)
-                .option("lowerBound", str(lower))
-                .option("upperBound", str(upper))
-                .option("numPartitions", str(num_partitions))
-            )
-        tables[name] = reader.load()
+    for name in [*LOAD_TIME_TABLES, *(t for t in OPTIONAL_SCHEMA if t in present)]:
+        r = reader(f"{schema}.{name}")
+        if name in FACT_TABLES:
+            span = (bounds or {}).get(name)
+            if span is None:
+                ends = f"(SELECT min({CLAIM_ID}) AS lo, max({CLAIM_ID}) AS hi FROM {schema}.{name}) ends"
+                row = reader(ends).load().first()
+                span = (row["lo"], row["hi"])
+            if span[0] is not None:
+                r = r.option("partitionColumn", CLAIM_ID).option("lowerBound", str(span[0])).option("upperBound", str(span[1]))
+                r = r.option("numPartitions", str(num_partitions))
+        tables[name] = r.load()
     return ClaimsTables.from_dict(tables)
 
 
@@ -184,45 +199,37 @@ def load_jdbc_yaml(
 # --- validation of the input tables (driver-side, no job) ------------------------------
 
 
-def check_schema(tables: ClaimsTables, schema: str = "public") -> list[str]:
-    """Raise ``RuntimeError`` for a missing required table/column; return warnings.
+def _gaps(tables: ClaimsTables, wanted: Mapping[str, list[str]]) -> list[tuple[str, str | None]]:
+    """(table, None) for each absent table, (table, column) for each absent column."""
+    out: list[tuple[str, str | None]] = []
+    for name, columns in wanted.items():
+        df = tables.table(name)
+        out += [(name, None)] if df is None else [(name, c) for c in columns if c not in df.columns]
+    return out
 
-    Only ``df.columns`` (the analyzed schema) is read, so no Spark job runs.
-    """
-    for table, columns in REQUIRED_SCHEMA.items():
-        df = tables.table(table)
-        if df is None:
-            log.error("Missing required table: %s.%s", schema, table)
-            raise RuntimeError(f"Missing required table: {schema}.{table}")
-        present = set(df.columns)
-        for col in columns:
-            if col not in present:
-                log.error("Missing required column '%s' in table '%s.%s'", col, schema, table)
-                raise RuntimeError(f"Missing required column '{col}' in table '{schema}.{table}'")
-    warnings = []
-    for table, columns in OPTIONAL_SCHEMA.items():
-        df = tables.table(table)
-        if df is None:
-            msg = f"Optional table '{schema}.{table}' not found in database. Skipping schema check..."
-            log.warning(msg)
-            warnings.append(msg)
-            continue
-        present = set(df.columns)
-        for col in columns:
-            if col not in present:
-                msg = f"Missing optional column '{col}' in table '{schema}.{table}'"
-                log.warning(msg)
-                warnings.append(msg)
-    return warnings
+
+def _told(gaps: list[tuple[str, str | None]], schema: str) -> list[str]:
+    return [f"{schema}.{t} is absent" if c is None else f"{schema}.{t} lacks column {c}" for t, c in gaps]
+
+
+def check_schema(tables: ClaimsTables, schema: str = "public") -> list[str]:
+    """Raise ``RuntimeError`` with all gaps in the required tables; return, and log, those
+    in the optional ones. Only the analyzed schemas are read, so no Spark job runs."""
+    if required := _told(_gaps(tables, REQUIRED_SCHEMA), schema):
+        raise RuntimeError("unusable claims tables: " + "; ".join(required))
+    optional = _told(_gaps(tables, OPTIONAL_SCHEMA), schema)
+    for text in optional:
+        log.warning("optional: %s", text)
+    return optional
 
 
 def check_load_tables(tables: ClaimsTables, schema: str = "public") -> None:
     """All five load-time tables must exist."""
-    for name in LOAD_TIME_TABLES:
-        if tables.table(name) is None:
-            raise RuntimeError(f"Missing required table: {schema}.{name}")
+    if absent := _told([g for g in _gaps(tables, {t: [] for t in LOAD_TIME_TABLES})], schema):
+        raise RuntimeError("claims tables to load: " + "; ".join(absent))
 
 
+# FIXED VALUES — what the table profile asks of each required table.
 PROFILE_REQUIRED: dict[str, list[str]] = {
     "claims_entries": ["claim_entry_id", "member_id_hash", "date_of_service", "claim_type"],
     "claims_diagnoses": ["claim_entry_id", "icd_code"],

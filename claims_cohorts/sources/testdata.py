@@ -1,8 +1,11 @@
 """Claims tables derived from the TPC-H-style test tables.
 
 One claim per order, one diagnosis / procedure / drug row per line item, members and
-eligibility from customers. The mapping is a pure projection of whole tables (no
-joins, no sampling), so every derived table grows with its source.
+eligibility from customers. The mapping is a pure projection of whole tables (no joins,
+no row left out), so every derived table grows with its source. It holds the cases that
+real claims have: claims without a date or a member, members with claims but no member
+row (claims of some orders belong to a shifted member), duplicate member rows, several
+enrolment rows per member, some without a start.
 """
 
 from __future__ import annotations
@@ -28,15 +31,24 @@ DEFAULT_CODE = "Z00.00"
 AS_OF = "2001-08-01"
 
 
+#: Added to a customer's key for claims of members without a member row.
+MEMBER_SHIFT = 10_000_000
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def claims_entries(orders: DataFrame) -> DataFrame:
+    # FIXED VALUES — every 97th order has no member, every 13th customer's claims belong to
+    # a member without a member row, every 11th order has no date.
+    key, customer = F.col("o_orderkey"), F.col("o_custkey")
+    shifted = F.when(customer % 13 == 0, customer + MEMBER_SHIFT).otherwise(customer)
+    claim_member = F.when(key % 97 != 5, shifted.cast("string"))
     return orders.select(
         F.col("o_orderkey").alias("claim_entry_id"),
-        F.col("o_custkey").cast("string").alias("member_id_hash"),
-        F.col("o_orderdate").cast("date").alias("date_of_service"),
+        claim_member.alias("member_id_hash"),
+        F.when(key % 11 != 3, F.col("o_orderdate").cast("date")).alias("date_of_service"),
         F.when(F.col("o_orderkey") % 4 == 3, F.lit("pharma")).otherwise(F.lit("medical")).alias("claim_type"),
     )
 
@@ -76,24 +88,32 @@ def claims_drugs(lineitem: DataFrame) -> DataFrame:
 
 
 def members(customer: DataFrame) -> DataFrame:
-    # Every 50th customer has no member row, so the member join yields nulls.
-    return customer.where(F.col("c_custkey") % 50 != 0).select(
-        F.col("c_custkey").cast("string").alias("member_id_hash"),
-        F.col("c_name").alias("member_name"),
+    # FIXED VALUES — every 29th customer has a second row under another name.
+    key, name = F.col("c_custkey"), F.col("c_name")
+    names = F.when(key % 29 == 0, F.array(name, F.concat(name, F.lit(" (2)")))).otherwise(F.array(name))
+    return customer.select(
+        key.cast("string").alias("member_id_hash"),
+        F.explode(names).alias("member_name"),
         F.col("c_mktsegment").alias("member_segment"),
     )
 
 
 def eligibility(customer: DataFrame) -> DataFrame:
-    start = F.date_add(F.lit("1995-01-01").cast("date"), (F.col("c_custkey") % 900).cast("int"))
-    end = F.when(F.col("c_custkey") % 3 == 0, F.lit(None).cast("date")).otherwise(
-        F.date_add(F.lit("1999-01-01").cast("date"), (F.col("c_custkey") % 1000).cast("int"))
-    )
-    return customer.select(
-        F.col("c_custkey").cast("string").alias("member_id_hash"),
-        start.alias("date_of_enrollment"),
-        end.alias("termination_date"),
+    # FIXED VALUES — every 7th customer has a second, later span, every 17th one without start.
+    key = F.col("c_custkey")
+    start = F.date_add(F.lit("1995-01-01").cast("date"), (key % 900).cast("int"))
+    end = F.when(key % 3 != 0, F.date_add(F.lit("1999-01-01").cast("date"), (key % 1000).cast("int")))
+    none = F.lit(None).cast("date")
+    span = lambda s, e: F.struct(s.alias("s"), e.alias("e"))
+    extra = F.filter(
+        F.array(
+            F.when(key % 7 == 0, span(F.date_add(start, 400), none)),
+            F.when(key % 17 == 0, span(none, end)),
+        ),
+        lambda x: x.isNotNull(),
     )
+    spans = customer.select(key.cast("string").alias("member_id_hash"), F.explode(F.concat(F.array(span(start, end)), extra)).alias("span"))
+    return spans.select("member_id_hash", F.col("span.s").alias("date_of_enrollment"), F.col("span.e").alias("termination_date"))
 
 
 def testdata_tables(spark: SparkSession, sf_dir: str) -> ClaimsTables:

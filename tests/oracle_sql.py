@@ -39,8 +39,10 @@ def q(s: str) -> str:
 
 
 BASE = [
-    "claims_entries AS (SELECT o_orderkey AS claim_entry_id, CAST(o_custkey AS VARCHAR) AS member_id_hash, "
-    "CAST(o_orderdate AS DATE) AS date_of_service, CASE WHEN o_orderkey % 4 = 3 THEN 'pharma' ELSE 'medical' END AS claim_type FROM orders)",
+    "claims_entries AS (SELECT o_orderkey AS claim_entry_id, CASE WHEN o_orderkey % 97 = 5 THEN NULL ELSE "
+    "CAST(CASE WHEN o_custkey % 13 = 0 THEN o_custkey + 10000000 ELSE o_custkey END AS VARCHAR) END AS member_id_hash, "
+    "CASE WHEN o_orderkey % 11 = 3 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS date_of_service, "
+    "CASE WHEN o_orderkey % 4 = 3 THEN 'pharma' ELSE 'medical' END AS claim_type FROM orders)",
     "codebook(k, code) AS (VALUES " + ", ".join(f"({i}, {q(c)})" for i, c in enumerate(CODEBOOK)) + ")",
     "claims_diagnoses AS (SELECT l_orderkey AS claim_entry_id, COALESCE(cb.code, 'Z00.00') AS icd_code "
     "FROM lineitem LEFT JOIN codebook cb ON cb.k = l_partkey % 100)",
@@ -50,11 +52,12 @@ BASE = [
     "WHEN 1 THEN 'ATORVASTATIN CALCIUM' WHEN 2 THEN '' WHEN 3 THEN NULL WHEN 4 THEN 'ATORVASTATIN CALCIUM 20MG' "
     "ELSE 'ACETAMINOPHEN' END AS product_service_name FROM lineitem)",
     "members AS (SELECT CAST(c_custkey AS VARCHAR) AS member_id_hash, c_name AS member_name, c_mktsegment AS member_segment "
-    "FROM customer WHERE c_custkey % 50 <> 0)",
-    "eligibility AS (SELECT CAST(c_custkey AS VARCHAR) AS member_id_hash, "
-    "CAST(DATE '1995-01-01' + to_days(CAST(c_custkey % 900 AS INTEGER)) AS DATE) AS date_of_enrollment, "
-    "CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE CAST(DATE '1999-01-01' + to_days(CAST(c_custkey % 1000 AS INTEGER)) AS DATE) END "
-    "AS termination_date FROM customer)",
+    "FROM customer UNION ALL SELECT CAST(c_custkey AS VARCHAR), c_name || ' (2)', c_mktsegment FROM customer WHERE c_custkey % 29 = 0)",
+    "spans AS (SELECT c_custkey, CAST(DATE '1995-01-01' + to_days(CAST(c_custkey % 900 AS INTEGER)) AS DATE) AS s, "
+    "CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE CAST(DATE '1999-01-01' + to_days(CAST(c_custkey % 1000 AS INTEGER)) AS DATE) END AS e FROM customer)",
+    "eligibility AS (SELECT CAST(c_custkey AS VARCHAR) AS member_id_hash, s AS date_of_enrollment, e AS termination_date FROM spans "
+    "UNION ALL SELECT CAST(c_custkey AS VARCHAR), s + 400, CAST(NULL AS DATE) FROM spans WHERE c_custkey % 7 = 0 "
+    "UNION ALL SELECT CAST(c_custkey AS VARCHAR), CAST(NULL AS DATE), e FROM spans WHERE c_custkey % 17 = 0)",
     "dx AS (SELECT e.member_id_hash, e.date_of_service, d.icd_code, e.claim_type FROM claims_entries e "
     "JOIN claims_diagnoses d ON e.claim_entry_id = d.claim_entry_id)",
 ]
@@ -125,7 +128,10 @@ def second_claim_sql(src: str, min_days: int, min_rows: int = 2) -> str:
 
 
 def first_claim_sql(src: str) -> str:
-    return f"SELECT member_id_hash, MIN(date_of_service) AS index_date FROM {src} GROUP BY member_id_hash"
+    return (
+        f"SELECT member_id_hash, MIN(date_of_service) AS index_date FROM {src} WHERE member_id_hash IS NOT NULL "
+        "GROUP BY member_id_hash HAVING MIN(date_of_service) IS NOT NULL"
+    )
 
 
 def span_sql(idx: str, src: str, within_days: int, min_claims: int) -> str:
@@ -138,14 +144,14 @@ def span_sql(idx: str, src: str, within_days: int, min_claims: int) -> str:
 def proc_members_sql(codes) -> str:
     return (
         "SELECT DISTINCT e.member_id_hash FROM claims_procedures p JOIN claims_entries e ON p.claim_entry_id = e.claim_entry_id "
-        f"WHERE {proc_sql(codes, 'p.proc_code')} AND p.proc_code <> '0000000'"
+        f"WHERE e.member_id_hash IS NOT NULL AND {proc_sql(codes, 'p.proc_code')} AND p.proc_code <> '0000000'"
     )
 
 
 def drug_members_sql(names) -> str:
     return (
         "SELECT DISTINCT e.member_id_hash FROM claims_drugs d JOIN claims_entries e ON d.claim_entry_id = e.claim_entry_id "
-        f"WHERE e.claim_type = 'pharma' AND {drug_sql(names, 'd.product_service_name')} "
+        f"WHERE e.member_id_hash IS NOT NULL AND e.claim_type = 'pharma' AND {drug_sql(names, 'd.product_service_name')} "
         "AND d.product_service_name IS NOT NULL AND d.product_service_name <> ''"
     )
 
@@ -431,8 +437,8 @@ def oracle_sql() -> dict[str, str]:
     out["inclusion_claims"] = sql([], claims_sql(ibs_g["icd_codes"], ibs_g.get("claim_types"), ibs_g["date_range_years"]))
     out["inclusion_claims_advanced"] = sql(
         [f"inc AS ({claims_sql(CAD['icd_codes'], CAD['claim_types'])})"],
-        f"SELECT c.*, c.member_id_hash IN ({proc_members_sql(CAD['procedure_codes'])}) AS has_procedure_support, "
-        f"c.member_id_hash IN ({drug_members_sql(CAD['medication_codes'])}) AS has_drug_support FROM inc c",
+        f"SELECT c.*, COALESCE(c.member_id_hash IN ({proc_members_sql(CAD['procedure_codes'])}), FALSE) AS has_procedure_support, "
+        f"COALESCE(c.member_id_hash IN ({drug_members_sql(CAD['medication_codes'])}), FALSE) AS has_drug_support FROM inc c",
     )
     out["table_profile"] = sql([], profile_sql())
     rules = [
@@ -563,10 +569,21 @@ def oracle_sql() -> dict[str, str]:
     )
     out["metabolic_index_rows"] = sql(metabolic_rows_ctes(), "SELECT * FROM rows_all")
     out["duration_days"] = sql(
-        [f"inc AS ({claims_sql(ibs_g['icd_codes'], None, ibs_g['date_range_years'])})", f"idx AS ({first_pair_sql('inc', 30)})", first_elig],
-        "SELECT i.member_id_hash, i.index_date, 360 AS lookback_days FROM idx i WHERE EXISTS (SELECT 1 FROM first_elig f "
-        "WHERE f.member_id_hash = i.member_id_hash AND f.date_of_enrollment <= i.index_date - 360 "
-        "AND COALESCE(f.termination_date, DATE '2099-12-31') >= i.index_date + 360)",
+        ["d AS (SELECT member_id_hash, CAST(CAST(member_id_hash AS BIGINT) % 31 + 1 AS INTEGER) AS n, "
+         "CAST(member_id_hash AS BIGINT) % 3 AS u FROM members)"],
+        "SELECT member_id_hash, n || CASE u WHEN 0 THEN 'M' WHEN 1 THEN 'D' ELSE 'Y' END AS duration, "
+        "CAST(n * CASE u WHEN 0 THEN 30 WHEN 1 THEN 1 ELSE 365 END AS INTEGER) AS days FROM d",
+    )
+    ctes, htn = cohort_ctes("HTN_Conservative", "h_")
+    for p, cohort, more in (("p_", "PreDiabetes", diabetes_ctes("PreDiabetes")), ("s_", "CAD_Sensitive", cardio_ctes("CAD_Sensitive"))):
+        inner = "WITH " + ",\n".join(more) + f"\n{finish_sql('final', cohort)}"
+        ctes.append(f"{p}rows AS ({inner})")
+    ctes.append(f"h_rows AS ({htn})")
+    pharmacy = first_claim_sql("(SELECT * FROM claims_entries WHERE claim_type = 'pharma') e")
+    out["combined_with_strategies"] = sql(
+        ctes,
+        "SELECT * FROM h_rows UNION ALL SELECT * FROM p_rows UNION ALL SELECT * FROM s_rows UNION ALL "
+        f"SELECT member_id_hash, index_date, NULL AS member_name, NULL AS member_segment, 'First_Pharmacy' AS cohort FROM ({pharmacy}) f",
     )
     out["month_spine"] = sql(
         [],

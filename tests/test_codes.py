@@ -3,11 +3,10 @@ from claims_cohorts.functions.codes import (
     claim_type_match,
     date_range_filter,
     drug_match,
-    icd_like_patterns,
     icd_match,
+    icd_patterns,
     procedure_match,
 )
-from claims_cohorts.operators.codebook import classify_pattern
 
 CODES = ["K58.0", "K580", "K58", "K58.1", "K581", "K5", "R10", "R10.", "R10.9", "I10", "I10.1", "E78.0", "E780",
          "E78.01", "O24.4", "O244", "O24.41", "C50", "c50", "Z85.3", "Z853", None]
@@ -18,18 +17,20 @@ def matching(spark, pred):
     return sorted(r.icd_code for r in df.where(pred).collect())
 
 
-def test_like_pattern_rewrite():
-    assert icd_like_patterns(["I10", "I10.*", "K58.*"]) == ["I10", "I10.%", "I10%", "K58.%", "K58%"]
-    assert icd_like_patterns(["R10."]) == ["R10.", "R10"]
-    assert icd_like_patterns(["C*"]) == ["C%"]
-    assert icd_like_patterns([]) == []
+def test_patterns():
+    assert icd_patterns(["I10", "I10.*"]) == [("exact", "I10"), ("glob", "I10.*"), ("glob", "I10*")]
+    assert icd_patterns(["R10."]) == [("glob", "R10."), ("glob", "R10")]
+    assert icd_patterns(["C*", "C*"]) == [("glob", "C*")]
+    assert icd_patterns([]) == []
 
 
-def test_pattern_classes():
-    assert classify_pattern("K58.%") == ("prefix", "K58.")
-    assert classify_pattern("I10") == ("eq", "I10")
-    assert classify_pattern("A%B") == ("like", "A%B")
-    assert classify_pattern("A_") == ("like", "A_")
+def test_sql_wildcards_are_plain_characters(spark):
+    values = ["A_1", "AB1", "A%", "AXX", "A_1.5", "AB1.5", "a\\b", "a\\bc"]
+    df = spark.createDataFrame([(v,) for v in values], "icd_code string")
+    found = lambda codes: sorted(r.icd_code for r in df.where(icd_match(codes)).collect())
+    assert found(["A_1"]) == ["A_1"] and found(["A%"]) == ["A%"]
+    assert found(["A_*5"]) == ["A_1.5"] and found(["A_1.*"]) == ["A_1", "A_1.5"]
+    assert found(["a\\b*"]) == ["a\\b", "a\\bc"] and found(["*\\bc"]) == ["a\\bc"]
 
 
 def test_prefix_with_dot_also_matches_dotless(spark):
@@ -80,18 +81,30 @@ def test_date_range_is_calendar_years(spark, d):
     assert leap.where(date_range_filter(1, "2024-02-29")).count() == 1
 
 
-def test_codebook_equi_joins_all_pattern_kinds(spark):
-    from claims_cohorts.operators.codebook import codebook, icd_rule_rows
-
-    dx = spark.createDataFrame([(c,) for c in ["K58.0", "K580", "K58", "R10", "R10.", "AB12", "A1", None]], "icd_code string")
-    rows = icd_rule_rows("X", "r1", ["K58.*"]) + icd_rule_rows("X", "r2", ["R10."]) + [
-        ("X", "r3", "like", "A_1%", None, None),
-        ("X", "r4", "prefix", "", None, None),
-    ]
-    got = {(r.role, r.icd_code) for r in codebook(dx, rows).collect()}
-    assert {c for r, c in got if r == "r1"} == {"K58.0", "K580", "K58"}
-    assert {c for r, c in got if r == "r2"} == {"R10", "R10."}
-    assert {c for r, c in got if r == "r3"} == {"AB12"}
-    assert {c for r, c in got if r == "r4"} == {"K58.0", "K580", "K58", "R10", "R10.", "AB12", "A1"}
-    plan = codebook(dx, rows[:2])._jdf.queryExecution().executedPlan().toString()
-    assert "NestedLoop" not in plan
+def test_codebook_labels_each_code_once_per_rule(spark):
+    from claims_cohorts.operators.codebook import codebook
+
+    dx = spark.createDataFrame([(i, c) for i, c in enumerate(["K58.0", "K580", "K58.0", "I10", "XAB", None, "Z1"])], "claim_entry_id long, icd_code string")
+    rules = [("c", "inclusion", ["K58.*", "K58.0", "K*"]), ("c", "other", ["I10", "X*B"])]
+    book = codebook(dx, rules)
+    rows = sorted((r.cohort, r.role, r.icd_code) for r in book.collect())
+    assert rows == [("c", "inclusion", "K58.0"), ("c", "inclusion", "K580"), ("c", "other", "I10"), ("c", "other", "XAB")]
+    assert "NestedLoop" not in book._jdf.queryExecution().executedPlan().toString()
+
+
+def test_number_of_rules_and_repeats_do_not_change_the_lines(spark):
+    import pytest
+
+    from claims_cohorts.operators.lines import LineRule, claim_lines
+    from tests.helpers import claims_tables
+
+    codes = [f"K{k:02d}.*" for k in range(100)]
+    t = claims_tables(spark, [(k, "m", "2023-01-01", "medical") for k in range(50)], [(k, f"K{k % 20:02d}.1") for k in range(50)])
+    one = LineRule("c", "inclusion", "icd", tuple(codes[:10]))
+    lines = lambda rules: sorted(map(tuple, claim_lines(t, rules).collect()))
+    alone = lines([one])
+    assert len(alone) == 30 and lines([one, one]) == alone
+    many = lines([one] + [LineRule("c", f"r{k}", "icd", (c,)) for k, c in enumerate(codes)])
+    assert [r for r in many if r[1] == "inclusion"] == alone
+    with pytest.raises(ValueError, match="two different rules"):
+        claim_lines(t, [one, LineRule("c", "inclusion", "icd", ("I10",), ("medical",))])

@@ -98,7 +98,7 @@ def test_cohort_builder(spark):
     from claims_cohorts.sources.testdata import AS_OF, testdata_tables
 
     b = CohortBuilder(testdata_tables(spark, "/root/testdata/sf0.001"), as_of=AS_OF)
-    assert b.build_cohort("HTN_Conservative").count() == 53
+    assert b.build_cohort("HTN_Conservative").count() == 52
     assert "has_symptom_code" in b.inclusion_claims("IBS_D").columns
     assert any("utilization" in w for w in b.warnings)
 
@@ -114,7 +114,7 @@ def test_builtin_strategies_by_name(spark):
     assert build_cohort(t, cfg, "CAD_Sensitive", AS_OF, registry=reg).count() == 47
     private = {}
     use_strategy("GDM", "diabetes", registry=private)
-    assert build_cohort(t, cfg, "GDM", AS_OF, registry=private).count() == 3
+    assert build_cohort(t, cfg, "GDM", AS_OF, registry=private).count() == 4
 
 
 def test_many_cohorts_in_one_plan_equal_single_builds(spark):

@@ -19,15 +19,51 @@ def test_no_python_or_cartesian(spark, name):
         assert node not in plan, f"{name}: {node}"
 
 
-def test_code_filter_is_pushed_to_the_scan(spark):
-    plan = physical(Q.all_queries()["index_first_pair"](spark, SF))
-    assert "PushedFilters: [IsNotNull(o_custkey)" in plan or "PushedFilters" in plan
-    assert "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint>" in plan
+def test_building_a_query_starts_no_job(spark):
+    """Every query is lazy, so the plans inspected here are whole."""
+    Q.tables(spark, SF)  # the one step that reads: Parquet footers, for the schemas
+    sc = spark.sparkContext
+    tracker = sc.statusTracker()
+    for name, build in Q.all_queries().items():
+        sc.setJobGroup(f"build-{name}", name)
+        try:
+            build(spark, SF)
+            jobs = tracker.getJobIdsForGroup(f"build-{name}")
+        finally:
+            sc.setLocalProperty("spark.jobGroup.id", None)
+        assert list(jobs) == [], name
+
+
+def test_code_filter_is_pushed_to_the_scan(spark, parquet_tables):
+    from claims_cohorts.operators.claims import code_claims
+
+    plan = physical(code_claims(parquet_tables, ["K58.0"], ["medical"]))
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    assert any("EqualTo(icd_code,K58.0)" in s or "In(icd_code" in s for s in scans)
+    assert any("EqualTo(claim_type,medical)" in s for s in scans)
+
+
+def test_inner_wildcards_need_no_nested_loop(spark, parquet_tables):
+    from claims_cohorts.plans.cohorts import build_cohorts
+    from claims_cohorts.plans.spec import config_from_text
+
+    rule = "    inclusion:\n      icd_codes: ['K*8', 'I1*.9', 'E*']\n      min_claims: 2\n    exclusion:\n      subtypes: ['*1']\n      subtype_window_days: 30\n"
+    cfg = config_from_text("cohorts:\n  A:\n" + rule + "  B:\n" + rule)
+    plan = physical(build_cohorts(parquet_tables, cfg, as_of="2001-08-01"))
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
 
+def _fact_scans(df) -> int:
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return sum("FileScan" in line and any(c in line for c in ("l_orderkey", "o_orderkey")) for line in plan.splitlines())
 
-def test_nested_loop_only_on_distinct_codes(spark):
-    plan = physical(Q.all_queries()["combined_cohorts"](spark, SF))
-    assert "BroadcastNestedLoopJoin" not in plan
+
+@pytest.mark.parametrize(
+    "name, most",
+    [("symptom_flag", 2), ("lookback_exclusion", 2), ("within_months", 2), ("member_info", 2), ("exclude_window_subtype", 4), ("exclude_window_organic", 4)],
+)
+def test_fact_scans(spark, name, most):
+    assert _fact_scans(Q.all_queries()[name](spark, SF)) <= most
 
 
 @pytest.fixture(scope="module")
@@ -57,7 +93,27 @@ def test_code_predicates_reach_parquet(spark, parquet_tables):
     assert any("ReadSchema: struct<claim_entry_id:bigint,icd_code:string>" in line for line in scan), scan
     htn = build_cohort(parquet_tables, load_config(), "HTN_Conservative", as_of="2001-08-01", with_members=False)
     assert "StringStartsWith(icd_code,I11" in physical(htn)
-    assert htn.count() == 53
+
+
+def test_common_limits_reach_the_entries_scan(spark, parquet_tables):
+    from claims_cohorts.operators.lines import LineRule, claim_lines
+    from claims_cohorts.plans.cohorts import build_cohort
+    from claims_cohorts.plans.spec import load_config
+
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+
+    def entry_scan(df):
+        return next(line for line in physical(df).splitlines() if "FileScan" in line and "date_of_service" in line)
+
+    plan = lambda name: build_cohort(parquet_tables, load_config(), name, "2001-08-01", with_members=False)
+    assert "GreaterThanOrEqual(date_of_service,1996-08-01)" in entry_scan(plan("IBS_General"))
+    assert "claim_type,medical" in entry_scan(plan("HTN_Conservative"))
+    limited = LineRule("c", "inclusion", "icd", ("I10",), ("medical",), 5)
+    older = LineRule("c", "lookback", "icd", ("I11",), ("pharma",), 8)
+    both = entry_scan(claim_lines(parquet_tables, [limited, older], "2001-08-01"))
+    assert "1993-08-01" in both and "In(claim_type" in both
+    free = entry_scan(claim_lines(parquet_tables, [limited, LineRule("c", "ever", "icd", ("I12",))], "2001-08-01"))
+    assert "GreaterThanOrEqual" not in free and "claim_type," not in free.split("PushedFilters")[1].split("]")[0].replace("IsNotNull", "")
 
 
 def test_parquet_source_gives_same_cohorts(spark, parquet_tables):
@@ -74,7 +130,8 @@ def test_parquet_source_gives_same_cohorts(spark, parquet_tables):
 def test_index_pass_shuffle_shape(spark):
     """The 18-cohort index pass: entries and the unioned claim lines shuffled once each
     by claim_entry_id, one compaction shuffle, one (cohort, member) shuffle — nothing
-    else, even with broadcasts off (cluster-sized inputs)."""
+    else besides the codebook's join on the code, which stays a broadcast unless
+    broadcasts are off, as here (cluster-sized inputs)."""
     import re
     from collections import Counter
 
@@ -91,6 +148,6 @@ def test_index_pass_shuffle_shape(spark):
             spark.conf.set(k, v)
     keys = Counter(re.sub(r"#\d+L?|, \d+$", "", m) for m in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan))
     assert keys == Counter(
-        {"claim_entry_id": 2, "cohort, role, member_id_hash, date_of_service": 1, "cohort, member_id_hash": 1}
+        {"icd_code": 2, "claim_entry_id": 2, "cohort, role, member_id_hash, date_of_service": 1, "cohort, member_id_hash": 1}
     ), keys
     assert plan.count("Window [") == 2

@@ -4,7 +4,7 @@ import tempfile
 
 import pytest
 
-from claims_cohorts.operators.validation import SchemaError, claims_quality, output_quality, validate_output
+from claims_cohorts.operators.validation import claims_quality, output_quality
 from claims_cohorts.plans.run import run_cohorts
 from claims_cohorts.plans.spec import load_config
 from claims_cohorts.sources.tables import check_load_tables, check_schema, table_profile
@@ -18,14 +18,14 @@ def test_schema_check_required_and_optional(spark):
     t = testdata_tables(spark, SF)
     warnings = check_schema(t)
     assert any("claims_members_monthly_utilization" in w for w in warnings)
-    with pytest.raises(RuntimeError, match="Missing required table"):
-        check_schema(t.with_tables(members=None))
-    with pytest.raises(RuntimeError, match="Missing required column 'icd_code'"):
-        check_schema(t.with_tables(diagnoses=t.diagnoses.withColumnRenamed("icd_code", "code")))
-    with pytest.raises(RuntimeError):
+    no_code = t.diagnoses.withColumnRenamed("icd_code", "code")
+    with pytest.raises(RuntimeError, match="members is absent") as both:
+        check_schema(t.with_tables(members=None, diagnoses=no_code))
+    assert "claims_diagnoses lacks column icd_code" in str(both.value)  # all gaps at once
+    with pytest.raises(RuntimeError, match="claims_drugs is absent"):
         check_load_tables(t.with_tables(drugs=None))
     util = spark.createDataFrame([("x",)], "other string")
-    assert any("Missing optional column" in w for w in check_schema(t.with_tables(utilization=util)))
+    assert any("lacks column member_id_hash" in w for w in check_schema(t.with_tables(utilization=util)))
 
 
 def test_table_profile(spark):
@@ -41,34 +41,65 @@ def test_quality_reports(spark):
     assert rep["member_id_hash"].null_count == 1 and rep["member_id_hash"].ok is False
     assert rep["claim_type"].null_count == 1 and rep["claim_type"].ok is True
     good = index(spark, [("p", "2023-01-01")])
-    validate_output(spark, good)
-    with pytest.raises(SchemaError):
-        validate_output(spark, index(spark, [("p", None), (None, "2023-01-01")]))
     assert output_quality(spark, good.drop("index_date")).where("present = false").count() == 1
 
 
+def _json(path):
+    with open(path) as fh:
+        return json.load(fh)
+
+
+def _expected(t, cfg, name):
+    from claims_cohorts.plans.cohorts import build_cohort
+
+    return build_cohort(t, cfg, name, AS_OF).count()
+
+
 def test_run_cohorts_writes_everything(spark):
     t = testdata_tables(spark, SF)
     cfg = load_config()
-    out = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    meta = run_cohorts(spark, t, cfg, os.path.join(out, "o"), ["HTN_Conservative", "PCOS", "IBS_D"], as_of=AS_OF, timestamp="T")
-    base = os.path.join(out, "o")
-    assert meta["cohort_counts"]["HTN_Conservative"] == 53
-    assert meta["cohorts"] == ["HTN_Conservative", "IBS_D"]  # PCOS is empty at this scale
-    assert meta["total_patients"] == 55
-    assert meta["columns"][-1] == "cohort"
-    with open(os.path.join(base, "PCOS_metadata.json")) as fh:
-        assert json.load(fh)["n_records"] == 0
-    parquet = spark.read.parquet(os.path.join(base, "cohorts.parquet"))
-    assert parquet.where("cohort = 'HTN_Conservative'").count() == 53
+    n = {name: _expected(t, cfg, name) for name in ("HTN_Conservative", "PCOS", "IBS_D")}
+    assert n["HTN_Conservative"] and n["PCOS"] == 0  # PCOS is empty at this scale
+    base = os.path.join(tempfile.mkdtemp(prefix="run-", dir="/tmp"), "o")
+    meta = run_cohorts(spark, t, cfg, base, list(n), as_of=AS_OF, timestamp="T")
+    assert meta["cohort_counts"] == {k: v for k, v in n.items() if v}
+    assert meta["total_patients"] == sum(n.values()) and meta["columns"][-1] == "cohort"
+    assert _json(os.path.join(base, "PCOS_metadata.json"))["n_records"] == 0
+    for name, rows in n.items():  # a dataset for every requested cohort
+        one = spark.read.parquet(os.path.join(base, "cohorts.parquet", f"cohort={name}"))
+        assert one.count() == rows and one.columns == meta["columns"][:-1]
     csv = spark.read.option("header", True).csv(os.path.join(base, "combined_cohorts.csv"))
-    assert csv.count() == 55
-    with open(os.path.join(base, "combined_cohorts_metadata.json")) as fh:
-        assert json.load(fh)["date_range"]["earliest"] is not None
+    assert csv.count() == sum(n.values())
+    assert _json(os.path.join(base, "combined_cohorts_metadata.json"))["date_range"]["earliest"] is not None
 
-    only = run_cohorts(spark, t, cfg, os.path.join(out, "c"), ["IBS_D"], combined_only=True, as_of=AS_OF)
-    assert only["total_patients"] == 2
-    assert not os.path.exists(os.path.join(out, "c", "IBS_D_metadata.json"))
+
+def test_combined_only_and_file_uri(spark):
+    t, cfg = testdata_tables(spark, SF), load_config()
+    base = os.path.join(tempfile.mkdtemp(prefix="only-", dir="/tmp"), "c")
+    meta = run_cohorts(spark, t, cfg, f"file://{base}", ["IBS_D"], combined_only=True, as_of=AS_OF)
+    assert meta["total_patients"] == _expected(t, cfg, "IBS_D")
+    assert sorted(f for f in os.listdir(base) if not f.endswith(".crc")) == ["combined_cohorts.csv", "combined_cohorts_metadata.json"]
+    assert _json(os.path.join(base, "combined_cohorts_metadata.json"))["total_patients"] == meta["total_patients"]
+    assert not os.path.exists("file:")
+
+
+def test_empty_run_numeric_names_and_repeats(spark):
+    from claims_cohorts.plans.spec import config_from_text
+
+    rule = "    inclusion:\n      icd_codes: ['%s']\n      min_claims: 2\n"
+    cfg = config_from_text("cohorts:\n  '2024':\n" + rule % "I10" + "  007:\n" + rule % "NONE" + "  '007':\n" + rule % "NONE")
+    cfg.cohorts.pop(7, None)
+    t = testdata_tables(spark, SF)
+    base = tempfile.mkdtemp(prefix="names-", dir="/tmp")
+    empty = run_cohorts(spark, t, cfg, os.path.join(base, "e"), ["007"], as_of=AS_OF)
+    assert (empty["total_patients"], empty["cohorts"], empty["date_range"]["earliest"]) == (0, [], None)
+    assert spark.read.parquet(os.path.join(base, "e", "cohorts.parquet", "cohort=007")).count() == 0
+    n = _expected(t, cfg, "2024")
+    meta = run_cohorts(spark, t, cfg, os.path.join(base, "n"), ["2024", "007"], as_of=AS_OF)
+    assert n and meta["cohort_counts"] == {"2024": n} and meta["total_patients"] == n
+    assert _json(os.path.join(base, "n", "2024_metadata.json"))["n_records"] == n
+    twice = run_cohorts(spark, t, cfg, os.path.join(base, "t"), ["2024", "2024"], as_of=AS_OF)
+    assert twice["total_patients"] == 2 * n
 
 
 def test_jdbc_settings_from_yaml_document():
@@ -81,12 +112,75 @@ def test_jdbc_settings_from_yaml_document():
     assert jdbc_settings({"postgres": {"database": "x"}})["schema"] == "public"
 
 
+class StubReader:
+    """Stands for a database: answers by the text of ``dbtable`` and keeps all options."""
+
+    def __init__(self, spark, tables, log, opts=None):
+        self.spark, self.tables, self.log, self.opts = spark, tables, log, opts or {}
+
+    def format(self, kind):
+        assert kind == "jdbc"
+        return StubReader(self.spark, self.tables, self.log)
+
+    def option(self, key, value):
+        return StubReader(self.spark, self.tables, self.log, {**self.opts, key: value})
+
+    def load(self):
+        self.log.append(self.opts)
+        table = self.opts["dbtable"]
+        if "information_schema" in table:
+            return self.spark.createDataFrame([(t,) for t in self.tables], "table_name string")
+        name = table.split(" FROM ")[-1].split(")")[0].split(".")[-1]
+        return self.tables[name].selectExpr("min(claim_entry_id) AS lo", "max(claim_entry_id) AS hi") if "min(" in table else self.tables[name]
+
+
+class StubSession:
+    def __init__(self, spark, tables):
+        self.log = []
+        self.read = StubReader(spark, tables, self.log)
+
+
+def test_jdbc_reads_required_tables_in_ranges(spark):
+    from claims_cohorts.sources.tables import FACT_TABLES, load_jdbc
+
+    t = testdata_tables(spark, SF).as_dict()
+    stub = StubSession(spark, t)
+    loaded = load_jdbc(stub, "jdbc:postgresql://h/db", "prod", {"user": "u"}, 4, bounds={"claims_drugs": (5, 9)})
+    assert loaded.eligibility is None and loaded.utilization is None and loaded.members is not None
+    read = {o["dbtable"]: o for o in stub.log}
+    assert all(o["user"] == "u" for o in stub.log)
+    top = t["claims_entries"].selectExpr("max(claim_entry_id)").first()[0]
+    for name in FACT_TABLES:
+        o = read[f"prod.{name}"]
+        assert o["partitionColumn"] == "claim_entry_id" and o["numPartitions"] == "4"
+        assert name != "claims_entries" or int(o["upperBound"]) == top
+    assert read["prod.claims_drugs"]["lowerBound"] == "5" and "partitionColumn" not in read["prod.members"]
+    optional = {**t, "claims_members_monthly_utilization": t["members"]}
+    assert load_jdbc(StubSession(spark, optional), "u", "prod").utilization is not None
+    with pytest.raises(RuntimeError, match="no table members"):
+        load_jdbc(StubSession(spark, {k: v for k, v in t.items() if k != "members"}), "u", "prod")
+    none = {**t, "claims_drugs": t["claims_drugs"].limit(0)}
+    stub = StubSession(spark, none)
+    load_jdbc(stub, "u", "prod")
+    assert "partitionColumn" not in next(o for o in stub.log if o["dbtable"] == "prod.claims_drugs")
+
+
+def test_cli_connection_file(spark, monkeypatch):
+    from claims_cohorts import cli
+
+    seen = []
+    monkeypatch.setattr(cli, "load_jdbc_yaml", lambda s, path: seen.append(path) or testdata_tables(s, SF))
+    out = os.path.join(tempfile.mkdtemp(prefix="cli-", dir="/tmp"), "o")
+    cli.main(["--connection", "db.yaml", "--output_dir", out, "--cohorts", "IBS_D", "--as_of", AS_OF, "--combined_only"])
+    assert seen == ["db.yaml"]
+
+
 def test_cli_writes_outputs(spark):
     from claims_cohorts.cli import main
 
     out = os.path.join(tempfile.mkdtemp(prefix="cli-", dir="/tmp"), "o")
     meta = main(["--testdata", SF, "--output_dir", out, "--cohorts", "HTN_Conservative", "--as_of", AS_OF])
-    assert meta["cohort_counts"] == {"HTN_Conservative": 53}
+    assert meta["cohort_counts"] == {"HTN_Conservative": _expected(testdata_tables(spark, SF), load_config(), "HTN_Conservative")}
     assert os.path.exists(os.path.join(out, "HTN_Conservative_metadata.json"))
 
 
@@ -110,16 +204,6 @@ def test_run_cohorts_validates_output(spark):
         COHORT_LOGIC_REGISTRY.pop("Bad", None)
 
 
-def test_materialize_keeps_rows_and_releases_cache(spark):
-    from claims_cohorts.session import materialize
-
-    df = spark.range(0, 1000).selectExpr("id", "id % 7 AS k").groupBy("k").count()
-    stored = materialize(df)
-    assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, df.collect()))
-    assert "Scan ExistingRDD" in stored._jdf.queryExecution().executedPlan().toString()
-    assert not df.is_cached
-
-
 def test_load_parquet_dir_required_and_optional(spark):
     from claims_cohorts.sources.tables import load_parquet_dir
 
@@ -133,11 +217,17 @@ def test_load_parquet_dir_required_and_optional(spark):
     assert loaded.entries.count() == t.entries.count()
     missing = tempfile.mkdtemp(prefix="tables-", dir="/tmp")
     t.entries.write.parquet(f"{missing}/claims_entries.parquet")
-    with pytest.raises(RuntimeError, match="Missing required table"):
+    with pytest.raises(RuntimeError, match="required table claims_diagnoses") as err:
         load_parquet_dir(spark, missing)
+    assert err.value.__cause__ is not None
+    os.makedirs(f"{base}/eligibility.parquet")
+    with open(f"{base}/eligibility.parquet/part-0.parquet", "w") as fh:
+        fh.write("not parquet")
+    with pytest.raises(Exception, match="(?i)parquet"):  # unreadable isn't absent
+        load_parquet_dir(spark, base)
 
 
-def test_load_catalog_with_database_fallback(spark):
+def test_load_catalog(spark):
     from claims_cohorts.sources.tables import load_catalog
 
     base = tempfile.mkdtemp(prefix="catalog-", dir="/tmp")
@@ -149,8 +239,8 @@ def test_load_catalog_with_database_fallback(spark):
     try:
         loaded = load_catalog(spark, "default")
         assert loaded.diagnoses.count() == t.diagnoses.count()
-        fallback = load_catalog(spark, "no_such_database")  # falls back to the first database
-        assert fallback.entries.count() == t.entries.count()
+        with pytest.raises(RuntimeError, match="no_such_database"):  # never another database
+            load_catalog(spark, "no_such_database")
     finally:
         for name in names:
             spark.sql(f"DROP TABLE IF EXISTS default.{name}")
