@@ -12,10 +12,12 @@
 4. What is left in a bucket in different components is then paired exhaustively, again
    confirmed, and merged. So a bucket's pairs are all settled (linked, in one
    component anyway, or refuted), while a group of copies costs a star and not all its pairs.
-   Such pairs are compared in blocks of signatures; only those that agree become rows.
+   Most pairs are refuted by an exact bound: two texts of different components can't have
+   more shingles in common than either has in common with other components at all.
+   Blocks are compared by this bound and a finer signature; only what passes becomes rows.
 
 With 32 bands of 4 slots a pair of similarity 0.75 shares a bucket with probability 0.999995,
-and a pair at 0.75 falls under the agreement filter with probability below 1e-8.
+and a pair at 0.75 falls under the agreement filter with probability below 1e-4.
 
 Words are runs of anything but space and ASCII line and tab controls, A-Z lower-cased. Texts
 of fewer than ``WIDTH`` words have one shingle, the whole; null, empty and wordless texts none,
@@ -36,18 +38,22 @@ from . import common, components, tokens
 WIDTH = 5
 SLOTS, BANDS, ROWS = 128, 32, 4
 PERCENT = 75
-LEAST_AGREEMENT = 0.5
+LEAST_AGREEMENT = 0.6
+#: Slots of the finer signature that settles most exhaustive pairs, and their least agreement.
+FINE_SLOTS, FINE_AGREEMENT = 512, 0.675
 STAR_ROUNDS = 2
+#: Size of the filter that keeps texts nobody asked for out of a join.
+FILTER_BYTES = 1 << 20
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 256
 #: Shingles that walk their permutations together.
 CHUNK = 1 << 16
-_STEP_BITS = 24
+_STEP_BITS = 22
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
-_GOLDEN_STEPS = np.arange(1, SLOTS + 1, dtype=np.uint64) * _GOLDEN
+_GOLDEN_STEPS = np.arange(1, max(SLOTS, FINE_SLOTS) + 1, dtype=np.uint64) * _GOLDEN
 
 
 def _scattered(x: np.ndarray) -> np.ndarray:
@@ -78,8 +84,9 @@ def signatures(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
     sig = np.full(len(sets) * slots, np.uint32(0xFFFFFFFF), np.uint32)
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    for lo in range(0, len(every), CHUNK):
-        _walk(sig, every[lo : lo + CHUNK], owner[lo : lo + CHUNK], slots)
+    step = CHUNK * SLOTS // slots
+    for lo in range(0, len(every), step):
+        _walk(sig, every[lo : lo + step], owner[lo : lo + step], slots)
     return sig.reshape(len(sets), slots)
 
 
@@ -127,6 +134,11 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return key
 
 
+def _short(sig: np.ndarray) -> list[bytes]:
+    """16 bits of each slot; unequal slots agree by chance once in 65,536."""
+    return [x.tobytes() for x in (_scattered(sig.astype(np.uint64)) & np.uint64(0xFFFF)).astype("<u2")]
+
+
 def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, set_key (hash of the set), sig (16 bits of each slot), keys (buckets)."""
     common.ship(docs.sparkSession)
@@ -135,14 +147,13 @@ def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         for b in tokens.small_batches(batches, 200):
             sets = [shingle_set(t) for t in b.column(1).to_pylist()]
             sig = signatures(sets)
-            short = (_scattered(sig.astype(np.uint64)) & np.uint64(0xFFFF)).astype("<u2")
             keys = band_keys(sig).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                    pa.array([x.tobytes() for x in short], pa.binary()),
+                    pa.array(_short(sig), pa.binary()),
                     pa.array([k.tolist() if len(s) else [] for k, s in zip(keys, sets)], pa.list_(pa.int64())),
                 ],
                 names=["id", "n_shingles", "set_key", "sig", "keys"],
@@ -166,17 +177,40 @@ def agreeing(pairs: DataFrame, profile: DataFrame) -> DataFrame:
     return both.mapInArrow(keep, "u long, v long")
 
 
+def _maybe_in(ids: DataFrame) -> np.ndarray:
+    """A bit per hash of the documents ``ids``: FILTER_BYTES bytes, however many they are."""
+    at = F.pmod(F.xxhash64("id"), F.lit(8 * FILTER_BYTES))
+    found = ids.select((at / 8).cast("int").alias("b"), F.pow(F.lit(2), at % 8).cast("int").alias("m")).groupBy("b").agg(F.bit_or("m").alias("m")).toPandas()
+    bits = np.zeros(FILTER_BYTES, np.uint8)
+    bits[found["b"]] = found["m"]
+    return bits
+
+
+def wanted_texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text) of the documents ``ids`` and a few others: a filter of fixed size keeps
+    most other texts out where they are read, so that none of them is shuffled."""
+    bits = docs.sparkSession.sparkContext.broadcast(_maybe_in(ids))
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    hashed = texts.where("id is not null").withColumn("at", F.pmod(F.xxhash64("id"), F.lit(8 * FILTER_BYTES)))
+
+    def keep(batches):
+        for b in batches:
+            at = b.column("at").to_numpy()
+            some = b.filter(pa.array((bits.value[at // 8] >> (at % 8) & 1).astype(bool)))
+            yield pa.RecordBatch.from_arrays([some.column("id"), some.column("text")], names=["id", "text"])
+
+    return hashed.mapInArrow(keep, "id long, text string")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (u, v) of sufficiently similar full sets."""
+    """The pairs (u, v) of sufficiently similar full sets, as a staged table."""
     wanted = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
 
     def to_set(batches):
         for b in tokens.small_batches(batches, 200):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["id", "shingles"])
 
-    sets = texts.join(wanted, "id", "left_semi").mapInArrow(to_set, "id long, shingles binary")
-    sets = common.staged(sets)
+    sets = common.staged(wanted_texts(docs, wanted, id_col, text_col).mapInArrow(to_set, "id long, shingles binary"))
     both = pairs.join(sets.toDF("u", "su"), "u").join(sets.toDF("v", "sv"), "v").select("u", "v", "su", "sv")
 
     def keep(batches):
@@ -190,7 +224,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) ->
                 ok.append(same > 0 and 100 * same >= PERCENT * (len(a) + len(c) - same))
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok, pa.bool_())), b.column(1).filter(pa.array(ok, pa.bool_()))], names=["u", "v"])
 
-    return both.mapInArrow(keep, "u long, v long")
+    out = common.staged(both.mapInArrow(keep, "u long, v long").distinct())
+    common.unstage(sets)
+    return out
 
 
 def _labelled(members: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -199,6 +235,10 @@ def _labelled(members: DataFrame, roots: DataFrame | None) -> DataFrame:
         labelled = members.withColumn("comp", F.col("id"))
     else:
         labelled = members.join(roots.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").select("key", "id", F.coalesce("root", "id").alias("comp"))
+    return _mixed_buckets(labelled)
+
+
+def _mixed_buckets(labelled: DataFrame) -> DataFrame:
     many = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     return labelled.join(many, "key", "left_semi")
 
@@ -210,25 +250,56 @@ def _star_pairs(labelled: DataFrame, turn: int) -> DataFrame:
     return pairs.select(F.least("id", "hub.id").alias("u"), F.greatest("id", "hub.id").alias("v")).distinct()
 
 
-def _rest_pairs(labelled: DataFrame, profile: DataFrame) -> DataFrame:
+def _shared_counts(members: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, fine, n, shared) of the documents of ``members`` (id, comp): a finer signature, the
+    number of shingles, and how many of them a document of another component has too."""
+
+    def to_set(batches):
+        for b in tokens.small_batches(batches, 100):
+            sets = [shingle_set(t) for t in b.column(1).to_pylist()]
+            fine = _short(signatures(sets, FINE_SLOTS))
+            shingles = pa.array([s.view(np.int64).tolist() for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fine, pa.binary()), shingles], names=["id", "fine", "shingles"])
+
+    texts = wanted_texts(docs, members.select("id"), id_col, text_col)
+    sets = texts.mapInArrow(to_set, "id long, fine binary, shingles array<long>")
+    sets = common.staged(sets.join(members, "id"))
+    each = sets.select("id", "comp", F.explode("shingles").alias("x"))
+    spread = each.groupBy("x").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("x")
+    shared = each.join(spread, "x", "left_semi").groupBy("id").agg(F.count("*").alias("shared"))
+    return sets.join(shared, "id").select("id", "fine", F.size("shingles").alias("n"), "shared")
+
+
+def _rest_pairs(labelled: DataFrame, profile: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """All pairs of a bucket in different components whose signatures agree, by blocks."""
+    counts = _shared_counts(labelled.select("id", "comp").distinct(), docs, id_col, text_col)
+    # of two similar texts, each has PERCENT of its shingles in the other
+    counts = counts.where(100 * F.col("shared") >= PERCENT * F.col("n"))
+    counts = common.staged(counts.join(profile.select("id", "keys"), "id"))
+    labelled = common.staged(_mixed_buckets(labelled.join(counts, "id", "left_semi")))
     sized = labelled.groupBy("key").agg(F.count("*").alias("n")).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     dealt = labelled.join(sized, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # a block meets every block of its bucket: as the one or as the other of a pair of blocks
     tasks = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     tasks = tasks.select("key", "id", "comp", "block", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"))
-    rows = tasks.join(profile.select("id", "sig"), "id").groupBy("key", "b1", "b2")
+    rows = tasks.join(counts, "id").groupBy("key", "b1", "b2")
 
     def compare(table: pa.Table) -> pa.Table:
-        ids, comp, block = (table.column(c).to_numpy() for c in ("id", "comp", "block"))
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u2").reshape(-1, SLOTS)
+        ids, comp, block, n, shared = (table.column(c).to_numpy() for c in ("id", "comp", "block", "n", "shared"))
+        sig = np.frombuffer(b"".join(table.column("fine").to_pylist()), "<u2").reshape(-1, FINE_SLOTS)
+        keys = np.array(table.column("keys").to_pylist(), np.int64)
+        band = int(np.flatnonzero(keys[0] == table.column("key")[0].as_py())[0])
         one = block == table.column("b1")[0].as_py()
         two = block == table.column("b2")[0].as_py()
         left, right = np.flatnonzero(one), np.flatnonzero(two)
         us, vs = [], []
         for i in left:
             other = right[(comp[right] != comp[i]) & ((ids[right] > ids[i]) | ~one[right])]
-            hit = other[(sig[other] == sig[i]).sum(axis=1) >= LEAST_AGREEMENT * SLOTS]
+            # PERCENT of the union is PERCENT / (100 + PERCENT) of the sum of both sizes
+            other = other[(100 + PERCENT) * np.minimum(shared[other], shared[i]) >= PERCENT * (n[other] + n[i])]
+            # a pair counts in the first bucket that it shares
+            other = other[~(keys[other, :band] == keys[i, :band]).any(axis=1)]
+            hit = other[(sig[other] == sig[i]).sum(axis=1) >= FINE_AGREEMENT * FINE_SLOTS]
             us.append(np.minimum(ids[hit], ids[i]))
             vs.append(np.maximum(ids[hit], ids[i]))
         return pa.table({"u": np.concatenate(us) if us else np.zeros(0, np.int64), "v": np.concatenate(vs) if vs else np.zeros(0, np.int64)})
@@ -250,8 +321,8 @@ def duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
         if turn < STAR_ROUNDS:
             pairs = agreeing(_star_pairs(labelled, turn), reps)
         else:
-            pairs = _rest_pairs(labelled, reps)
-        found = common.staged(confirmed(common.staged(pairs), docs, id_col, text_col))
+            pairs = _rest_pairs(labelled, reps, docs, id_col, text_col)
+        found = confirmed(common.staged(pairs), docs, id_col, text_col)
         links = found if roots is None else roots.unionByName(found)
         roots = components.stars(links)
     label = whole.join(roots.select(F.col("u").alias("rep"), F.col("v").alias("root")), "rep", "left").select("set_key", F.coalesce("root", "rep").alias("root"))
