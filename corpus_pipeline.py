@@ -38,12 +38,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = secrets.scan(docs, spans_col="__spans")
-    text = secrets.masked(F.col("text"), F.col("__spans"))
-    changed = F.size("__spans") > 0
-    new = {"text": text}
+    out = found.withColumn("text", secrets.masked(F.col("text"), F.col("__spans")))
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(changed, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return found.withColumns(new).select(*[F.col(f"`{c}`") for c in docs.columns])
+        n = F.length("text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.size("__spans") > 0, n).otherwise(F.col("n_chars")))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
