@@ -31,6 +31,8 @@ BUCKETS = 1 << 17
 PRIOR = 20.0
 SEED = 17
 FOLDS = 2
+#: Most target ids that are broadcast (16 MB); more of them meet the documents in a shuffle.
+BROADCAST_IDS = 2_000_000
 
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -95,7 +97,10 @@ def weigh(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     good = F.coalesce((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), F.lit(False))
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(good).alias("good"))
     share = known.agg(F.avg(F.col("good").cast("double"))).first()[0]
-    joined = some.join(known, some["i"] == known["doc_id"], "left").select(F.coalesce(fold(F.col("i")), F.lit(0)).alias("f"), F.coalesce("good", F.lit(False)).alias("g"), "t")
+    target = common.staged(known.where("good").select("doc_id"))
+    if target.count() <= BROADCAST_IDS:
+        target = F.broadcast(target)
+    joined = some.join(target, some["i"] == target["doc_id"], "left").select(F.coalesce(fold(F.col("i")), F.lit(0)).alias("f"), F.col("doc_id").isNotNull().alias("g"), "t")
     sent = spark.sparkContext.broadcast(log_ratios(model_counts(joined)))  # FOLDS * BUCKETS doubles
 
     def score(batches):
