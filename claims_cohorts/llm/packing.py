@@ -1,23 +1,17 @@
 """Best-fit packing of tokenized documents into fixed-length sequences (op10).
 
 Documents become pieces of at most ``capacity`` tokens where they are read; only (document,
-piece, length, checksum) rows travel. Pieces that fill a sequence get one each. The others
-are packed in bulk-synchronous rounds:
-
-1. Pieces longer than half a sequence open one each; what is left of it is its gap.
-2. Waiting pieces and gaps are range-sorted together by size, largest first. A sweep over
-   each partition gives every piece the smallest free gap that holds it, as a bracket
-   matching: a gap opens a bracket, a piece closes the innermost one. Rank within a
-   size decides who gets a contested gap.
-3. What a partition can't match locally is matched across partitions from the partitions'
-   counts alone: brackets left open in larger sizes serve pieces left over in smaller ones,
-   innermost first. The leftover rows then meet in a join on their match number.
-4. Matched gaps shrink. Pieces longer than every gap open sequences, in runs of the sorted
-   order; when a round places less than a tenth of what waits, all that wait do so. A
-   partition's last, unfinished run waits on, and the next round begins.
-
-Each round places, or opens sequences for, at least a tenth of what waits, so the rounds grow
-with the logarithm of the input, and each costs one sort of (number, size) pairs.
+piece, length, checksum) rows travel. What best-fit decreasing does with the pieces depends on
+their lengths alone, and these are integers, so it is carried out exactly, in three steps:
+
+1. Pieces are counted by length: at most ``capacity`` numbers reach the driver.
+2. ``steps`` runs sequential best-fit decreasing on the counts. Sequences that are filled alike
+   have consecutive numbers and are handled together; pieces of one length that go to such a
+   range are one step. A step at least halves the gaps it uses, so there are some ten
+   steps for each length at most, however many pieces there are.
+3. Each piece gets its rank among the pieces of its length: its rank in a block of
+   ``PARTITION_ROWS`` rows plus the counts of the blocks before. The steps, broadcast, turn length
+   and rank into sequence and offset.
 
 Null text counts as empty and yields the end id alone. Repeated rows are packed as often
 as they stand there; other columns are ignored; an empty table gives an empty result.
@@ -25,21 +19,19 @@ as they stand there; other columns are ignored; an empty table gives an empty re
 
 from __future__ import annotations
 
-import math
 import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common, tokens
 
 CAPACITY, END_ID = 1024, 2
-#: Rows that one sorting partition should hold.
+#: Rows that are ranked as one block.
 PARTITION_ROWS = 50_000
-#: A round that places a smaller share of the waiting pieces is the last.
-LEAST_SHARE = 0.1
 
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
@@ -72,150 +64,96 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     return some.mapInArrow(cut, f"`{id_col}` {some.schema[id_col].dataType.simpleString()}, {PIECES}")
 
 
-def _partitions(rows: int) -> int:
-    return max(1, math.ceil(rows / PARTITION_ROWS))
-
-
-def numbered(df: DataFrame, name: str) -> DataFrame:
-    """``df`` (a staged table) with a unique number per row, stable once staged."""
-    return common.staged(df.withColumn(name, F.monotonically_increasing_id()))
-
-
-def sweep(items: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
-    """Match pieces to gaps. ``items``: no (number), size, gap (true for a gap).
-
-    Returns (piece number, gap number) matches as (no, seq), and the unmatched items' table.
-    """
-    n = _partitions(rows)
-    ordered = items.repartitionByRange(n, F.desc("size"), F.desc("gap"), "no").sortWithinPartitions(F.desc("size"), F.desc("gap"), "no")
-
-    def local(batches):
-        open_gaps, late = [], []
-        for b in batches:
-            no, seq = [], []
-            for i, g in zip(b.column("no").to_pylist(), b.column("gap").to_pylist()):
-                if g:
-                    open_gaps.append(i)
-                elif open_gaps:
-                    no.append(i)
-                    seq.append(open_gaps.pop())
-                else:
-                    late.append(i)
-            yield _swept(no, seq, 0, 0)
-        part = _task_partition()
-        yield _swept(late, [None] * len(late), part, range(len(late)))
-        yield _swept([None] * len(open_gaps), open_gaps, part, range(len(open_gaps)))
-
-    done = common.staged(ordered.mapInArrow(local, "no long, seq long, part int, rank long"))
-    counts = done.where("no is null or seq is null").groupBy("part").agg(F.count("no").alias("late"), F.count("seq").alias("free")).orderBy("part")
-    spans, stack, match = [], [], 0
-    for part, late, free in counts.toLocalIterator():  # two counts per partition
-        took = 0
-        while took < late and stack:
-            p, lo, hi = stack.pop()
-            n = min(hi - lo, late - took)
-            spans.append((part, took, p, hi - n, n, match))
-            took += n
-            match += n
-            if hi - n > lo:
-                stack.append((p, lo, hi - n))
-        if free:
-            stack.append((part, 0, free))
-    if not spans:
-        return done, done
-    spark = items.sparkSession
-    table = F.broadcast(spark.createDataFrame(spans, "late_part int, late_lo long, gap_part int, gap_lo long, n long, match long"))
-    late = done.where("seq is null").join(table, (F.col("part") == F.col("late_part")) & (F.col("rank") >= F.col("late_lo")) & (F.col("rank") < F.col("late_lo") + F.col("n")))
-    free = done.where("no is null").join(table, (F.col("part") == F.col("gap_part")) & (F.col("rank") >= F.col("gap_lo")) & (F.col("rank") < F.col("gap_lo") + F.col("n")))
-    across = late.select("no", (F.col("match") + F.col("rank") - F.col("late_lo")).alias("m")).join(
-        free.select("seq", (F.col("match") + F.col("gap_lo") + F.col("n") - 1 - F.col("rank")).alias("m")), "m"
-    )
-    return done, across.select("no", "seq")
-
-
-def _swept(no, seq, part, rank) -> pa.RecordBatch:
-    n = len(no)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(no, pa.int64()), pa.array(seq, pa.int64()), pa.array([part] * n, pa.int32()), pa.array(list(rank) if rank != 0 else [0] * n, pa.int64())], names=["no", "seq", "part", "rank"]
-    )
-
-
-def _task_partition() -> int:
-    from pyspark import TaskContext
-
-    return TaskContext.get().partitionId()
-
-
-def open_runs(waiting: DataFrame, n: int, capacity: int) -> DataFrame:
-    """Fill new sequences with runs of the pieces sorted by size: no, size, run (a unique
-    number per new sequence), offset. With more than one partition, a partition's last,
-    unfinished run stays unopened (run is null)."""
-    ordered = waiting.repartitionByRange(n, F.desc("size"), "no").sortWithinPartitions(F.desc("size"), "no")
-
-    def fill(batches):
-        run, used = _task_partition() << 40, 0
-        held: list[tuple[int, int, int]] = []
+def steps(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
+    """Sequential best-fit decreasing of ``counts[length]`` pieces, as rows (length, rank, seq,
+    k, offset) in order: from this rank on, pieces go k to a sequence, from number seq and from
+    that offset on."""
+    out, opened = [], 0
+    gaps: dict[int, list[tuple[int, int]]] = {}  # gap -> ranges (first sequence, how many)
+    for length in sorted(counts, reverse=True):
+        rank, left = 0, counts[length]
+        for gap in [*sorted(g for g in gaps if length <= g < capacity), capacity]:
+            k = gap // length  # a sequence just used has the smallest gap, until no piece fits
+            if gap == capacity and left:
+                gaps[gap] = [(opened, -(-left // k))]
+                opened += -(-left // k)
+            ranges = gaps.pop(gap, [])
+            while ranges and left:
+                seq, n = ranges.pop()
+                out.append((length, rank, seq, k, capacity - gap))
+                full = min(n, left // k)
+                some = min(left, n * k) - full * k  # in one more sequence
+                for first, many, took in ((seq, full, k), (seq + full, 1 if some else 0, some)):
+                    if many and gap > took * length:
+                        gaps.setdefault(gap - took * length, []).append((first, many))
+                if n > full + (some > 0):
+                    ranges.append((seq + full + (some > 0), n - full - (some > 0)))
+                rank, left = rank + full * k + some, left - full * k - some
+            if ranges:
+                gaps[gap] = ranges
+            if not left:
+                break
+    return out
+
+
+def _ranked(parts: DataFrame, capacity: int) -> DataFrame:
+    """``parts`` with __block and __rank: the rank in the block among the rows of equal length."""
+
+    def rank(batches):
+        from pyspark import TaskContext
+
+        block, room = TaskContext.get().partitionId() << 32, PARTITION_ROWS
+        seen = np.zeros(capacity + 1, np.int64)
         for b in batches:
-            done = []
-            for no, size in zip(b.column("no").to_pylist(), b.column("size").to_pylist()):
-                if used + size > capacity:
-                    done += [(i, s, run, o) for i, s, o in held]
-                    run, used, held = run + 1, 0, []
-                held.append((no, size, used))
-                used += size
-            yield _opened(done)
-        yield _opened([(i, s, run if n == 1 else None, o) for i, s, o in held])
-
-    return ordered.select("no", "size").mapInArrow(fill, "no long, size long, run long, offset long")
-
-
-def _opened(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows)) or [()] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["no", "size", "run", "offset"])
+            while b.num_rows:
+                if not room:
+                    block, room = block + 1, PARTITION_ROWS
+                    seen[:] = 0
+                some, b = b.slice(0, room), b.slice(room)
+                room -= some.num_rows
+                length = some.column("length").to_numpy()
+                order = np.argsort(length, kind="stable")
+                n = np.bincount(length, minlength=capacity + 1)
+                ranks = np.empty(len(length), np.int64)
+                ranks[order] = np.arange(len(length)) - np.repeat(np.cumsum(n) - n - seen, n)
+                seen += n
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(np.full(len(length), block)), pa.array(ranks)], names=[*some.schema.names, "__block", "__rank"])
+
+    schema = T.StructType([*parts.schema.fields, T.StructField("__block", T.LongType()), T.StructField("__rank", T.LongType())])
+    return parts.mapInArrow(rank, schema)
 
 
 def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``parts`` (with ``length`` between 1 and ``capacity``) plus sequence_id and offset.
+    """``parts`` (with long ``length`` between 1 and ``capacity``) plus sequence_id and offset.
 
-    sequence_id is the number of the sequence's first piece.
+    Sequences are numbered from 0.
     """
-    parts = numbered(parts, "__no")
-    full_or_big = F.col("length") > capacity // 2
-    placed = [parts.where(full_or_big).select(F.col("__no").alias("no"), F.col("__no").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
-    gaps = parts.where(full_or_big & (F.col("length") < capacity)).select(F.col("__no").alias("no"), (capacity - F.col("length")).alias("size"))
-    wait = parts.where(~full_or_big).select(F.col("__no").alias("no"), F.col("length").alias("size"))
-    n_wait = wait.count()
-    while n_wait:
-        gaps = gaps.where(F.col("size") >= wait.agg(F.min("size")).first()[0])  # no other gap can serve any more
-        items = wait.select("no", "size", F.lit(False).alias("gap")).unionByName(gaps.select("no", "size", F.lit(True).alias("gap")))
-        done, across = sweep(items, n_wait + gaps.count())
-        matched = done.where("no is not null and seq is not null").select("no", "seq")
-        matched = matched if across is done else matched.unionByName(across)
-        matched = common.staged(matched.join(wait, "no").select("no", "seq", "size"))
-        n_matched = matched.count()
-        now = gaps.join(matched.select(F.col("seq").alias("no"), F.col("size").alias("took"), F.col("no").alias("piece")), "no", "left")
-        now = common.staged(now.select("no", "size", "took", "piece"))
-        placed.append(now.where("took is not null").select(F.col("piece").alias("no"), F.col("no").alias("sequence_id"), (capacity - F.col("size")).alias("offset")))
-        left = common.staged(wait.join(matched.select("no"), "no", "left_anti"))
-        gaps = now.select("no", (F.col("size") - F.coalesce("took", F.lit(0))).alias("size")).where("size > 0")
-        widest = 0 if n_matched < LEAST_SHARE * n_wait else (gaps.agg(F.max("size")).first()[0] or 0)
-        opened = left.where(F.col("size") > widest)
-        n_open = opened.count()
-        if n_open:
-            runs = common.staged(open_runs(opened, _partitions(n_open), capacity))
-            if not runs.where("run is not null").count():  # too few for a sequence in any partition
-                runs = common.staged(open_runs(opened, 1, capacity))
-            seqs = common.staged(runs.where("run is not null").groupBy("run").agg(F.min("no").alias("seq"), F.sum("size").alias("used")))
-            placed.append(runs.join(seqs.select("run", "seq"), "run").select("no", F.col("seq").alias("sequence_id"), "offset"))
-            gaps = gaps.unionByName(seqs.select(F.col("seq").alias("no"), (capacity - F.col("used")).alias("size")).where("size > 0"))
-            left = left.where(F.col("size") <= widest).unionByName(runs.where("run is null").select("no", "size"))
-            n_open -= runs.where("run is null").count()
-        gaps, wait, n_wait = common.staged(gaps), left, n_wait - n_matched - n_open
-        common.unstage(done)
-    where = placed[0]
-    for more in placed[1:]:
-        where = where.unionByName(more)
-    return parts.join(where, parts["__no"] == where["no"]).drop("__no", "no")
+    spark = parts.sparkSession
+    common.ship(spark)
+    ranked = common.staged(_ranked(parts, capacity))
+    blocks = common.staged(ranked.groupBy("__block", "length").agg(F.count("*").alias("n")))
+    counts = {r["length"]: r["n"] for r in blocks.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
+    table = spark.sparkContext.broadcast(np.array(steps(counts, capacity), np.int64).reshape(-1, 5))
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("__block")) - F.col("n")
+    based = ranked.join(blocks.select("__block", "length", before.alias("__base")), ["__block", "length"])
+    based = based.select(*[ranked[f"`{c}`"] for c in parts.columns], (F.col("__base") + F.col("__rank")).alias("__rank"))
+
+    def place(batches):
+        # steps in order of (length, rank): those of a length start at first[length]
+        rows = table.value[np.lexsort((table.value[:, 1], table.value[:, 0]))]
+        first = np.searchsorted(rows[:, 0], np.arange(capacity + 2))
+        for b in batches:
+            length, rank = b.column("length").to_numpy(), b.column("__rank").to_numpy()
+            at = np.empty(len(length), np.int64)
+            for n in np.unique(length):
+                some = length == n
+                at[some] = first[n] + np.searchsorted(rows[first[n] : first[n + 1], 1], rank[some], side="right") - 1
+            _, start, seq, k, offset = rows[at].T
+            nth = rank - start
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(seq + nth // k), pa.array(offset + nth % k * length)], names=[*b.schema.names[:-1], "sequence_id", "offset"])
+
+    schema = T.StructType([*parts.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    return based.mapInArrow(place, schema)
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

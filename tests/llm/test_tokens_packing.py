@@ -1,6 +1,8 @@
+import bisect
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -116,3 +118,54 @@ def test_packing_across_partitions_is_tight(spark, monkeypatch, kind):
 def test_repeated_rows(make_docs):
     got = packing.pack_documents(make_docs(["same words"] * 3, ids=[1, 1, None]), PATH).collect()
     assert len(got) == 3 and len({r["sequence_id"] for r in got}) == 1
+
+
+def best_fit_decreasing(sizes, capacity):
+    """Number of sequences."""
+    gaps = []
+    for s in sorted(sizes, reverse=True):
+        at = bisect.bisect_left(gaps, s)
+        gap = gaps.pop(at) if at < len(gaps) else capacity
+        bisect.insort(gaps, gap - s)
+    return len(gaps)
+
+
+@pytest.mark.parametrize("kind", ["uniform 20-50 %", "two sizes", "few large", "tiny"])
+def test_packing_of_small_pieces_equals_best_fit_decreasing(spark, monkeypatch, kind):
+    monkeypatch.setattr(packing, "PARTITION_ROWS", 300)
+    r = random.Random(7)
+    sizes = {
+        "uniform 20-50 %": [r.randrange(205, 513) for _ in range(3000)],
+        "two sizes": [400] * 2400 + [200] * 600,
+        "few large": [r.randrange(700, 900) for _ in range(100)] + [r.randrange(150, 500) for _ in range(2900)],
+        "tiny": [524] * 100 + [10] * 2900,
+    }[kind]
+    r.shuffle(sizes)
+    got = packing.pack(spark.createDataFrame(list(enumerate(sizes)), "doc_id long, length long"), 1024).collect()
+    assert sorted((x["doc_id"], x["length"]) for x in got) == list(enumerate(sizes))
+    seqs = {}
+    for x in got:
+        seqs.setdefault(x["sequence_id"], []).append((x["offset"], x["length"]))
+    for parts in seqs.values():
+        at = 0
+        for o, n in sorted(parts):
+            assert o == at
+            at += n
+        assert at <= 1024
+    assert len(seqs) == best_fit_decreasing(sizes, 1024)
+
+
+def test_steps_equal_sequential_best_fit_decreasing():
+    r = random.Random(8)
+    for _ in range(300):
+        capacity = r.randrange(5, 60)
+        sizes = [r.randrange(1, r.randrange(2, capacity + 2)) for _ in range(r.randrange(1, 300))]
+        counts = Counter(sizes)
+        rows = packing.steps(counts, capacity)
+        used = Counter()
+        for i, (length, rank, seq, k, _) in enumerate(rows):
+            end = rows[i + 1][1] if i + 1 < len(rows) and rows[i + 1][0] == length else counts[length]
+            for n in range(end - rank):
+                used[seq + n // k] += length
+        assert sum(used.values()) == sum(sizes) and max(used.values()) <= capacity
+        assert len(used) == best_fit_decreasing(sizes, capacity)
