@@ -4,7 +4,8 @@
    every shingle walks its own random permutation of the slots, at step j offering j plus a random
    fraction to the slot it reaches. A slot keeps the least offer, and once no slot of a text is
    above j, later steps can't win and are skipped. Most texts need two steps.
-2. Texts with equal sets form a class; only the class's least id goes on.
+2. Every row gets a number in a staged table, and all steps go by that number. Texts with equal
+   sets form a class; only the class's least number goes on.
 3. ``BANDS`` bands of ``ROWS`` slots give buckets. In ``STAR_ROUNDS`` rounds every member of a bucket is
    paired with one hub of its bucket that is of another component; pairs whose signatures
    agree in a share of slots of ``LEAST_AGREEMENT`` or more are confirmed on the full
@@ -21,8 +22,10 @@ and a pair at 0.75 falls under the agreement filter with probability below 1e-4.
 
 Words are runs of anything but space and ASCII line and tab controls, A-Z lower-cased. Texts
 of fewer than ``WIDTH`` words have one shingle, the whole; null, empty and wordless texts none,
-and link with nothing. Rows without an id are left out; rows with equal ids are each judged by
-their own text. Other columns are ignored, an empty table gives an empty result.
+and link with nothing. Rows with equal ids are each judged by their own text. A component is
+named by its least id. ``duplicate_components`` leaves rows without an id out, as they can't be
+named; ``duplicate_rows`` judges them like all others. Other columns are ignored, an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -139,8 +142,8 @@ def _short(sig: np.ndarray) -> list[bytes]:
     return [x.tobytes() for x in (_scattered(sig.astype(np.uint64)) & np.uint64(0xFFFF)).astype("<u2")]
 
 
-def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, set_key (hash of the set), sig (16 bits of each slot), keys (buckets)."""
+def profiles(docs: DataFrame, id_col: str, text_col: str, name_col: str) -> DataFrame:
+    """id, name, n_shingles, set_key (hash of the set), sig (16 bits of each slot), keys (buckets)."""
     common.ship(docs.sparkSession)
 
     def profile(batches):
@@ -151,16 +154,18 @@ def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0),
+                    b.column(2),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                     pa.array(_short(sig), pa.binary()),
                     pa.array([k.tolist() if len(s) else [] for k, s in zip(keys, sets)], pa.list_(pa.int64())),
                 ],
-                names=["id", "n_shingles", "set_key", "sig", "keys"],
+                names=["id", "name", "n_shingles", "set_key", "sig", "keys"],
             )
 
-    some = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id is not null")
-    return some.mapInArrow(profile, "id long, n_shingles long, set_key binary, sig binary, keys array<long>")
+    some = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{name_col}`").alias("name"))
+    name = some.schema["name"].dataType.simpleString()
+    return some.mapInArrow(profile, f"id long, name {name}, n_shingles long, set_key binary, sig binary, keys array<long>")
 
 
 def agreeing(pairs: DataFrame, profile: DataFrame) -> DataFrame:
@@ -307,11 +312,15 @@ def _rest_pairs(labelled: DataFrame, profile: DataFrame, docs: DataFrame, id_col
     return rows.applyInArrow(compare, "u long, v long").distinct()
 
 
-def duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_shingles, component_id and kept, one row per document."""
-    one = common.staged(profiles(docs, id_col, text_col))
-    whole = one.where("n_shingles > 0").groupBy("set_key").agg(F.min("id").alias("rep"))
-    reps = common.staged(one.join(whole, (one["set_key"] == whole["set_key"]) & (F.col("id") == F.col("rep"))).select("id", "sig", "keys"))
+def duplicate_rows(rows: DataFrame, no_col: str, name_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, name, n_shingles and first, one row per row of ``rows``, a staged table whose rows have
+    a unique number ``no_col``, given as id. first is the row (no_name, name, id) of the component
+    that has the least name, rows without one last; null for texts without shingles."""
+    one = common.staged(profiles(rows, no_col, text_col, name_col))
+    named = F.struct(F.col("name").isNull().alias("no_name"), "name", "id")
+    whole = one.where("n_shingles > 0").groupBy("set_key").agg(F.min("id").alias("rep"), F.min(named).alias("first"))
+    whole = common.staged(whole)
+    reps = common.staged(one.join(whole.select("rep"), F.col("id") == F.col("rep"), "left_semi").select("id", "sig", "keys"))
     members = reps.select("id", F.explode("keys").alias("key"))
     shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = common.staged(members.join(shared, "key", "left_semi"))
@@ -321,10 +330,26 @@ def duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
         if turn < STAR_ROUNDS:
             pairs = agreeing(_star_pairs(labelled, turn), reps)
         else:
-            pairs = _rest_pairs(labelled, reps, docs, id_col, text_col)
-        found = confirmed(common.staged(pairs), docs, id_col, text_col)
+            pairs = _rest_pairs(labelled, reps, rows, no_col, text_col)
+        found = confirmed(common.staged(pairs), rows, no_col, text_col)
         links = found if roots is None else roots.unionByName(found)
         roots = components.stars(links)
-    label = whole.join(roots.select(F.col("u").alias("rep"), F.col("v").alias("root")), "rep", "left").select("set_key", F.coalesce("root", "rep").alias("root"))
-    out = one.join(label, "set_key", "left").select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("root")).otherwise(F.col("id")).alias("component_id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    label = whole.join(roots.select(F.col("u").alias("rep"), F.col("v").alias("root")), "rep", "left").select("set_key", "first", F.coalesce("root", "rep").alias("root"))
+    least = label.groupBy("root").agg(F.min("first").alias("first"))
+    label = label.select("set_key", "root").join(least, "root").select(F.col("set_key").alias("key"), "first")
+    out = one.join(label, (one["set_key"] == label["key"]) & (one["n_shingles"] > 0), "left")
+    return out.select("id", "name", "n_shingles", "first")
+
+
+def numbered(docs: DataFrame, no_col: str) -> DataFrame:
+    """``docs``, staged, with a unique number per row."""
+    return common.staged(docs.withColumn(no_col, F.monotonically_increasing_id()))
+
+
+def duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, n_shingles, component_id and kept, one row per document."""
+    some = docs.select(F.col(f"`{id_col}`").cast("long").alias("name"), F.col(f"`{text_col}`").alias("text")).where("name is not null")
+    rows = numbered(some, "no")
+    out = duplicate_rows(rows, "no", "name", "text").select("name", "n_shingles", F.coalesce("first.name", "name").alias("component_id"))
+    common.unstage(rows)  # the result comes from the profiles and links
+    return out.select(F.col("name").alias(id_col), "n_shingles", "component_id", (F.col("name") == F.col("component_id")).alias("kept"))

@@ -4,8 +4,8 @@ Every stage takes (spark, docs, sf_dir) and returns the columns of ``docs``, wha
 besides doc_id, text, lang, source and n_chars; the last returns packed pieces.
 
 * language_id drops documents without a recognisable language (und).
-* near_dedup keeps one document of each group, the one of least id; rows with equal ids
-  are one document. Rows without an id are dropped.
+* near_dedup keeps one row of each group of similar texts, the one of least id. Each row is
+  judged by its own text, also where ids repeat; rows without an id come last in their group.
 * secret_scan replaces every secret by a mask and brings n_chars up to date.
 * mixing repeats documents of sources below their target weight, as additional rows; no
   document is dropped.
@@ -32,8 +32,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = minhash.duplicate_components(docs).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi").dropDuplicates(["doc_id"])
+    rows = minhash.numbered(docs, "__no")
+    found = minhash.duplicate_rows(rows, "__no")
+    kept = found.where("first is null or first.id = id").select(F.col("id").alias("__kept"))
+    return rows.join(kept, rows["__no"] == kept["__kept"], "left_semi").drop("__no")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -76,6 +76,13 @@ def test_empty_table_and_repeated_rows(make_docs):
     assert [(r["doc_id"], r["component_id"], r["kept"]) for r in got.collect()] == [(4, 4, True)] * 2
 
 
+def test_rows_of_one_id_are_judged_by_their_own_text(make_docs):
+    a = [f"w{k}" for k in range(100)]
+    other = " ".join(f"v{k}" for k in range(60))
+    got = minhash.duplicate_components(make_docs([" ".join(a + ["end"]), " ".join(a), other], ids=[3, 5, 5])).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got) == [(3, 97, 3, True), (5, 56, 5, True), (5, 96, 3, False)]
+
+
 def test_signature_agreement_estimates_similarity():
     r = np.random.default_rng(0)
     errors = []
