@@ -1,12 +1,14 @@
 """Near-duplicate vectors by spherical-cap filters (op8).
 
 A filter is a direction; a vector is in it when their inner product exceeds a threshold. The
-directions form ``TABLES`` product codes: after a random rotation, a direction is a pair of code
+directions form product codes, ``tables`` of them: after a random rotation, a direction is a pair of code
 words, one per half of the coordinates, so ``words ** 2`` directions need only ``2 * words`` inner
 products, and list decoding finds all directions a vector exceeds from the two score lists. The
-codes grow with the largest label (``LOAD`` directions a vector), which keeps buckets of unlike
-vectors at a constant size; a vector is in about ``FILTERS`` directions of each code, at least its
-``LEAST`` best. Two vectors at cosine 0.93 miss each other in all codes with a chance below 1e-4.
+codes of a label grow with it (``LOAD`` directions a vector or up to twice as many), which keeps
+buckets of unlike vectors at a constant size; a vector is in about ``FILTERS`` directions of each
+code, at least its ``LEAST`` best. The larger a code, the more often it misses a pair, so their
+number is derived from ``missed``, the measured chance that one code misses two vectors at
+cosine 0.93: all codes of a label together miss them with a chance below ``MISSES``.
 
 Vectors join on (label, filter). Buckets of more than ``BLOCK`` rows are dealt into blocks, and
 each pair of blocks is a task of its own. A pair is counted only in the first filter it shares, so
@@ -20,6 +22,7 @@ its own vector. Other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import math
 from statistics import NormalDist
 
@@ -31,7 +34,11 @@ from pyspark.sql import functions as F
 from . import common, components
 
 COSINE = 0.93
+#: TABLES is the least number of codes.
 TABLES, FILTERS, LEAST, LOAD = 5, 8, 6, 8
+MISSES = 1e-4
+#: Random pairs that a code is tried on.
+TRIALS = 2000
 BLOCK = 256
 SEED = 20240611
 #: Pairs that are multiplied at a time, and bucket rows handled together.
@@ -71,6 +78,28 @@ def decode(x: np.ndarray, words: int, table: int = 0) -> list[np.ndarray]:
     return out
 
 
+@functools.cache
+def missed(dim: int, words: int) -> float:
+    """Chance that two vectors at cosine ``COSINE`` share no direction of one code: the share
+    of ``TRIALS`` random pairs, plus two standard errors."""
+    if dim < 2:  # vectors at that cosine are equal
+        return 0.0
+    rng = np.random.default_rng([SEED, dim, words])
+    x, z = rng.standard_normal((2, TRIALS, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    y = COSINE * x + math.sqrt(1 - COSINE**2) * z
+    share = np.mean([not np.isin(p, q).any() for p, q in zip(decode(x, words), decode(y, words))])
+    return float(share + 2 * math.sqrt(max(share * (1 - share), 1 / TRIALS) / TRIALS))
+
+
+def tables(dim: int, words: int) -> int:
+    """Number of codes that miss a pair at cosine ``COSINE`` with a chance below ``MISSES``."""
+    one = missed(dim, words)
+    return max(TABLES, math.floor(math.log(MISSES) / math.log(one)) + 1) if one else TABLES
+
+
 def valid(embedding) -> object:
     """True for a vector that has a direction."""
     finite = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -85,16 +114,16 @@ def _unit(column: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _filters(classes: DataFrame, words: int) -> DataFrame:
+def _filters(classes: DataFrame, n_tables: dict[tuple[int, int], int]) -> DataFrame:
     def find(batches):
         for b in batches:
-            dims = np.array(b.column("dim").to_pylist())
-            for d in np.unique(dims):
-                some = b.filter(pa.array(dims == d))
+            kinds = np.array([b.column("dim").to_pylist(), b.column("words").to_pylist()])
+            for d, words in np.unique(kinds, axis=1).T.tolist():
+                some = b.filter(pa.array((kinds[0] == d) & (kinds[1] == words)))
                 for k in range(0, some.num_rows, 1000):
                     part = some.slice(k, 1000)
                     x = _unit(part.column("v"))
-                    lists = [np.concatenate(of) for of in zip(*(decode(x, words, table) for table in range(TABLES)))]
+                    lists = [np.concatenate(of) for of in zip(*(decode(x, words, table) for table in range(n_tables[d, words])))]
                     yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "lab", "n", "v")), pa.array(lists, pa.list_(pa.int64()))], names=["id", "lab", "n", "v", "filters"])
 
     kind = classes.schema["v"].dataType.simpleString()
@@ -200,9 +229,11 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     classes = usable.groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     classes = classes.select("id", "n", "v", "label", F.xxhash64("label", F.size("v")).alias("lab"), F.size("v").alias("dim"))
     classes = common.staged(classes)
-    largest = classes.groupBy("lab").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    words = max(16, math.ceil(math.sqrt(LOAD * largest)))
-    filtered = common.staged(_filters(classes, words))
+    # words ** 2 is LOAD directions a vector of the label, rounded up to a power of two
+    words = F.greatest(F.lit(16), F.ceil(F.pow(F.lit(2.0), F.ceil(F.log2(LOAD * F.count("*"))) / 2)).cast("int"))
+    labels = common.staged(classes.groupBy("lab").agg(words.alias("words"), F.first("dim").alias("dim")))
+    n_tables = {(d, w): tables(d, w) for d, w in labels.select("dim", "words").distinct().collect()}  # few sizes a dimension
+    filtered = common.staged(_filters(classes.join(labels.select("lab", "words"), "lab"), n_tables))
     dealt = filtered.select("id", "lab", F.explode("filters").alias("filter"))
     dealt = dealt.select("id", "filter", F.xxhash64("lab", "filter").alias("key"))
     sizes = dealt.groupBy("key").agg(F.count("*").alias("n_rows")).where("n_rows > 1")

@@ -98,3 +98,24 @@ def test_chance_to_share_a_direction():
     for table in range(em.TABLES):
         met |= [len(np.intersect1d(p, q)) > 0 for p, q in zip(em.decode(x, 200, table), em.decode(y, 200, table))]
     assert np.mean(met) >= 0.9995
+
+
+def test_codes_of_large_labels_miss_no_more(spark):
+    for words in (16, 200, 4896):  # the last for a label of 3,000,000
+        assert em.missed(64, words) ** em.tables(64, words) < 1e-4
+    assert em.tables(64, 4896) > em.tables(64, 200) >= em.TABLES
+    r = np.random.default_rng(4)
+    x, z = r.standard_normal((2, 500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    y = 0.93 * x + np.sqrt(1 - 0.93**2) * z
+    met = np.zeros(500, bool)
+    for table in range(em.tables(64, 4896)):
+        met |= [len(np.intersect1d(p, q)) > 0 for p, q in zip(em.decode(x, 4896, table), em.decode(y, 4896, table))]
+    assert met.all()
+
+
+def test_labels_of_different_size_have_their_own_codes(spark):
+    rows = vectors(seed=5, n=120) + [(1000 + i, v, 7) for i, v, _ in vectors(seed=6, n=20)[:20]]
+    assert got(spark.createDataFrame(rows, SCHEMA)) == want(rows)
