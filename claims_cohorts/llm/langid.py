@@ -191,6 +191,18 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[s
     return some.mapInArrow(label, schema)
 
 
+def with_letters(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text has a letter."""
+    common.ship(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def keep(batches):
+        for b in tokens.small_batches(batches):
+            yield b.filter(pa.array([bool(_LETTERS.search(t or "")) for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def held_out(id_col):
     """The fold of documents that nothing is learned from."""
     return F.crc32(id_col.cast("string")) % 4 == 2

@@ -3,7 +3,8 @@
 Every stage takes (spark, docs, sf_dir) and returns the columns of ``docs``, whatever they are
 besides doc_id, text, lang, source and n_chars; the last returns packed pieces.
 
-* language_id drops documents without a recognisable language (und).
+* language_id drops documents without a recognisable language: without a letter (und), or without
+  a hit in any learned language. If none was learned, all documents with a letter pass.
 * near_dedup keeps one row of each group of similar texts, the one of least id. Each row is
   judged by its own text, also where ids repeat; rows without an id come last in their group.
 * secret_scan replaces every secret by a mask and brings n_chars up to date.
@@ -27,8 +28,10 @@ TOKENIZER = "byte_bpe_50k.json"
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(docs)
+    if not model.langs:
+        return langid.with_letters(docs)
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "text")
-    return langid.predict(whole, model, keep=("__row",)).where("lang_pred <> 'und'").select("__row.*")
+    return langid.predict(whole, model, keep=("__row",)).where("lang_pred <> 'und' and score > 0").select("__row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,6 +36,14 @@ def test_stages_keep_the_columns_and_take_effect(spark, make_docs, odd_texts):
     assert {r["doc_id"] for r in packed.collect()} == set(before)
 
 
+def test_language_id_drops_documents_in_no_language(spark, make_docs):
+    texts = ["some plain words here"] * 3 + ["more words", "щщщ щщщ", "12 34", None]
+    learned = cp.language_id(spark, make_docs(texts, langs=["en"] * 3 + [None] * 4), SF)
+    assert sorted(r["doc_id"] for r in learned.collect()) == [0, 1, 2, 3]
+    nothing = cp.language_id(spark, make_docs(texts, langs=[None] * 7), SF)
+    assert sorted(r["doc_id"] for r in nothing.collect()) == [0, 1, 2, 3, 4]
+
+
 def test_near_dedup_drops_only_rows_like_another(spark, make_docs):
     a, b, c, d = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcd")
     rows = [(3, a + " end"), (5, a), (5, b), (None, c), (None, c), (None, d), (None, b), (7, d + " end")]
