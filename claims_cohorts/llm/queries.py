@@ -91,12 +91,24 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, tokens.tokenizer_path("byte_bpe_50k.json"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import collocations
+
+    return collocations.collocations(read_table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import convtrie
 
     return convtrie.rebuilt_trie(read_table(spark, sf_dir, "conversations"))
 
 
+def op13_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import vectorsearch
+
+    return vectorsearch.nearest(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_quality_resampling": op2_quality_resampling,
@@ -108,7 +120,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_phrase_collocations": op11_phrase_collocations,
     "op12_conversation_trie": op12_conversation_trie,
+    "op13_nearest_vectors": op13_nearest_vectors,
 }
 
 ORACLES: dict[str, str] = {}

@@ -1,0 +1,114 @@
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from claims_cohorts.llm import collocations
+
+COLUMNS = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+
+
+def want(rows, least=10, top=2000):
+    """The contract over plain counters."""
+    f, n = defaultdict(Counter), Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", low):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            for k in (1, 2, 3):
+                for i in range(len(w) - k + 1):
+                    f[lang][tuple(w[i : i + k])] += 1
+    out = []
+    for lang, counts in f.items():
+        longer = Counter()
+        for p, c in counts.items():
+            if len(p) == 3 and c >= least:
+                for q in (p[:2], p[1:]):
+                    longer[q] = max(longer[q], c)
+        found = []
+        for p, a in counts.items():
+            if len(p) < 2 or a < least or (p in longer and 100 * longer[p] >= 50 * a):
+                continue
+            score, k = min((1_000_000 * a * a // (counts[p[:k]] * counts[p[k:]]), k) for k in range(1, len(p)))
+            found.append((-score, -a, " ".join(p).encode(), a, counts[p[:k]], counts[p[k:]]))
+        for rank, (s, _, p, a, l, r) in enumerate(sorted(found)[:top], 1):
+            out.append((lang, rank, p.decode(), a, l, r, n[lang], -s))
+    return sorted(out)
+
+
+def got(df, **kw):
+    return sorted(tuple(r) for r in collocations.collocations(df, **kw).select(*COLUMNS).collect())
+
+
+def some_rows(seed, n=300):
+    r = random.Random(seed)
+    words = ["The", "the", "cat", "Été", "a", "big", "ÀB", "x-y", "é", "中文", "s" * 40] + [f"w{k}" for k in range(30)]
+    seps = [" ", " ", "  ", "\t", ", ", ". ", "\n", " \r\n", "\x85", ";"]
+    text = lambda: "".join(r.choice(words[: r.choice([6, 12, 41])]) + r.choice(seps) for _ in range(r.randint(0, 60)))
+    return [(r.choice(["en", "de", None]), text()) for _ in range(n)] + [(None, None), ("en", ""), ("xx", " \t.,"), ("xx", "one")]
+
+
+@pytest.fixture(scope="module")
+def table(spark):
+    rows = some_rows(3)
+    return rows, spark.createDataFrame(rows, "lang string, text string").repartition(5).cache()
+
+
+def test_equals_brute_force(table):
+    rows, df = table
+    clash = df.selectExpr("*", "1 as n", "'x' as phrase", "2 as size", "3 as fp", "4 as at")
+    assert got(clash) == want(rows)
+    assert got(df, top=7) == want(rows, top=7)
+
+
+def test_colliding_fingerprints_are_counted_by_text(table):
+    rows, df = table
+    assert got(df, bits=6) == want(rows)
+
+
+def test_full_filter_changes_nothing(table, monkeypatch):
+    rows, df = table
+    monkeypatch.setattr(collocations, "FILTER_BITS", 64)
+    monkeypatch.setattr(collocations, "BLOCK", 50)
+    assert got(df) == want(rows)
+
+
+def test_long_text_is_cut_between_pieces(spark, monkeypatch):
+    r = random.Random(5)
+    rows = [("en", " ".join(r.choice(["ab", "cd", "ef.", "gh"]) for _ in range(400_000))), ("en", "ab cd" * 3)] * 2
+    df = spark.createDataFrame(rows, "lang string, text string")
+    assert got(df) == want(rows)
+
+
+def test_empty_table_and_ties(spark):
+    assert got(spark.createDataFrame([], "lang string, text string")) == []
+    rows = [("en", f"{a} {b}") for a, b in [("p", "q"), ("é", "f"), ("z", "z"), ("a", "b")] for _ in range(10)]
+    out = got(spark.createDataFrame(rows, "lang string, text string"), top=3)
+    assert out == want(rows, top=3) and [x[2] for x in out] == ["a b", "p q", "é f"]
+
+
+def test_large_counts_are_exact(spark):
+    df = spark.sql("select 4000000000000 as a, 4000000000001 as l, 5000000000000 as r")
+    big = lambda c: F.col(c).cast("decimal(19,0)")
+    score = df.select(F.expr("(cast(a as decimal(19,0)) * cast(a as decimal(19,0)) * 1000000) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0)))").alias("s"), big("a")).first()["s"]
+    assert score == 1_000_000 * 4000000000000**2 // (4000000000001 * 5000000000000)
+
+
+def test_fingerprints_do_not_depend_on_place():
+    w = collocations.Words([b"a bb ccc bb ccc", b"", b"bb  ccc"])
+    first = w.phrases(2)
+    fp, ck = w.fingerprints(first, 2, np.zeros(len(first), np.uint64), 64)
+    starts = [(int(w.text[i]), int(w.start[i] - w.text_start[w.text[i]])) for i in first]
+    assert starts == [(0, 0), (0, 2), (0, 5), (0, 9), (2, 0)]
+    assert fp[1] == fp[3] == fp[4] and ck[1] == ck[3] == ck[4] and len(set(fp.tolist())) == 3
+
+
+def test_corpus_table(corpus):
+    df, _ = corpus
+    rows = [tuple(r) for r in df.select("lang", "text").collect()]
+    assert got(df) == want(rows)

@@ -1,0 +1,121 @@
+import math
+
+import numpy as np
+import pytest
+
+from claims_cohorts.llm import vectorsearch
+
+SCHEMA = "vec_id long, embedding array<float>"
+
+
+def exact(rows, k=20, every=20):
+    """All inner products; {position of the query row: [(id, score)]}."""
+    good = [(i, np.array(v, np.float64)) for i, v in rows if i is not None and v is not None and len(v) and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    dim = max((len(v) for _, v in good), default=0)
+    x = np.array([np.pad(v, (0, dim - len(v))) for _, v in good]).reshape(len(good), dim)
+    ids = np.array([i for i, _ in good], np.int64)
+    out = []
+    for q in range(len(good)):
+        if ids[q] % every == 0:
+            s = np.einsum("ij,j->i", x, x[q])
+            order = [p for p in np.lexsort((ids, -s)) if p != q][:k]
+            out.append((int(ids[q]), [(int(ids[p]), float(s[p])) for p in order]))
+    return sorted(out)
+
+
+def got(spark, rows, **kw):
+    df = spark.createDataFrame([(i, None if v is None else [None if x is None else float(x) for x in v]) for i, v in rows], SCHEMA)
+    df = df.selectExpr("*", "'x' as x", "'x' as class", "0 as id", "'x' as norm", "1 as shard")
+    found = vectorsearch.nearest(df.repartition(4), **kw).collect()
+    by = {}
+    for r in sorted(found, key=lambda r: (r["query_id"], r["rank"])):
+        by.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    return by
+
+
+def recall(spark, x, ids=None):
+    rows = [(i if ids is None else ids[i], v) for i, v in enumerate(x.astype(np.float32))]
+    found, want = got(spark, rows), exact(rows)
+    assert set(found) == {q for q, _ in want}
+    hit = 0
+    for q, best in want:
+        assert [r for r, _, _ in found[q]] == list(range(1, len(best) + 1))
+        hit += len({i for i, _ in best} & {i for _, i, _ in found[q]})
+        scores = dict(zip(range(len(rows)), np.einsum("ij,j->i", x.astype(np.float32).astype(float), x[q].astype(np.float32).astype(float))))
+        assert all(abs(scores[i] - s) <= 1e-12 * max(1, abs(s)) for _, i, s in found[q])
+        assert [s for _, _, s in found[q]] == sorted((s for _, _, s in found[q]), reverse=True)
+    return hit / sum(len(b) for _, b in want)
+
+
+def test_small_tables_are_exact(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, v) for i, v in enumerate(rng.standard_normal((300, 8)).round(1))]
+    found = got(spark, rows)
+    for q, best in exact(rows):
+        assert [i for _, i, _ in found[q]] == [i for i, _ in best]
+
+
+def test_odd_rows(spark):
+    rows = [
+        (0, [1, 0]), (0, [1, 0]), (20, [1, 0]), (40, [0, 2]), (60, [0, 0]), (80, None), (100, []), (120, [float("nan"), 1]), (140, [None, 1]), (None, [1, 1]),
+        (1, [1, 0]), (2, [1, 0]), (3, [-1]), (160, [3e38, 3e38]), (180, [1e-30, 0]), (200, [1, 2, 3]), (5, [float("inf"), 0]), (20, [5, 5]),
+    ]
+    want = {}
+    for q, best in exact(rows):
+        want.setdefault(q, []).append(best)
+    df = spark.createDataFrame([(i, None if v is None else [None if x is None else float(x) for x in v]) for i, v in rows], SCHEMA)
+    found = {}
+    for r in vectorsearch.nearest(df).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    assert set(found) == set(want)
+    for q, lists in want.items():
+        assert sorted(found[q]) == sorted((n, i) for best in lists for n, (i, _) in enumerate(best, 1))
+    assert vectorsearch.nearest(df.limit(0)).collect() == []
+    alone = spark.createDataFrame([(20, [1.0])], SCHEMA)
+    assert vectorsearch.nearest(alone).collect() == []
+
+
+def test_copies_come_by_smallest_id(spark):
+    x = np.random.default_rng(2).standard_normal((400, 16))
+    x[30:330] = x[40]
+    rows = list(enumerate(x.astype(np.float32)))
+    found = got(spark, rows)
+    for q, best in exact(rows):
+        assert [i for _, i, _ in found[q]] == [i for i, _ in best]
+
+
+@pytest.fixture
+def small_shards(monkeypatch):
+    monkeypatch.setattr(vectorsearch, "SHARD", (700, 700))
+
+
+def test_recall_on_unstructured_vectors(spark, small_shards):
+    x = np.random.default_rng(3).standard_normal((6000, 48))
+    assert recall(spark, x / np.linalg.norm(x, axis=1, keepdims=True)) >= 0.93
+
+
+def test_recall_with_unlike_norms_and_groups(spark, small_shards):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((5000, 32)) * rng.lognormal(0, 0.6, (5000, 1))
+    x[:1500] = x[0] + 0.05 * rng.standard_normal((1500, 32))
+    assert recall(spark, x) >= 0.93
+
+
+def test_few_rows_in_the_radius_lead_to_an_exact_search(spark, small_shards, monkeypatch):
+    monkeypatch.setattr(vectorsearch, "SAMPLE", 8)  # a poor estimate of the radius
+    x = np.random.default_rng(5).standard_normal((1500, 24))
+    x[:300] *= 0.001
+    assert recall(spark, x) >= 0.9
+
+
+def test_probing_meets_every_code_within_the_radius():
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((500, 40))
+    rotations = vectorsearch.learned_rotations(x / np.linalg.norm(x, axis=1, keepdims=True))
+    shard = vectorsearch.Shard([[i] for i in range(500)], np.arange(500), x, rotations)
+    query = vectorsearch.codes(x[:60], rotations)
+    for radius in (-1, 0, 3, 40, 63, 90, 160):
+        q, r = shard.probe(query, np.full(60, radius, np.int32))
+        want = np.nonzero(vectorsearch.distances(query[:, None, :], shard.codes[None, :, :]) <= radius)
+        assert sorted(zip(q, r)) == sorted(zip(*want))
+    assert [vectorsearch.allowances(r, 8).sum() + 8 for r in (-1, 0, 7, 100)] == [0, 1, 8, 101]
