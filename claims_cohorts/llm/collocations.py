@@ -209,7 +209,7 @@ def _rows(block: Block, n: int, frequent: np.ndarray | None, bits: int) -> list[
     if frequent is not None:
         for skip in (0, 1):
             part, _ = w.fingerprints(first + skip, n - 1, seeds[w.text[first]], bits)
-            at = part % np.uint64(FILTER_BITS)
+            at = part % np.uint64(64 * len(frequent))
             first = first[(frequent[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1]
     text = w.text[first]
     fp, ck = w.fingerprints(first, n, seeds[text], bits)
@@ -236,7 +236,7 @@ def _pointed(docs: DataFrame, found: DataFrame, bits: int) -> DataFrame:
     def known(batches):
         for b in tokens.small_batches(batches):
             number = np.array([_document(lowered(t), x) for x, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())], np.int64)
-            at = number % FILTER_BITS
+            at = number % (64 * len(wanted.value))
             some = pa.array((wanted.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)
             yield pa.RecordBatch.from_arrays([pa.array(number).filter(some), b.column(0).filter(some), b.column(1).filter(some)], names=["document", "lang", "text"])
 

@@ -49,6 +49,8 @@ SHARD = (1024, 1 << 17)
 NORM_STEPS, NORM_BANDS = 4, 32
 #: Pairs of a query and a row that are looked at together.
 PAIRS = 2_000_000
+#: Numbers that are multiplied together.
+NUMBERS = 1 << 22
 SEED = 20240713
 
 _HITS = "query long, met long, hits array<struct<worse:double,id:long,class:long>>"
@@ -126,7 +128,9 @@ class Shard:
     def nearest(self, query: np.ndarray, code: np.ndarray, radii: np.ndarray, k: int) -> list[tuple[int, list]]:
         """For each query, how many rows its radius holds, and the k best (-score, id, class)."""
         q, r = self.probe(code, radii)
-        score = np.einsum("ij,ij->i", query[q], self.vectors[r])
+        step = max(1, NUMBERS // query.shape[1])
+        parts = [np.einsum("ij,ij->i", query[q[a : a + step]], self.vectors[r[a : a + step]]) for a in range(0, len(q), step)]
+        score = np.concatenate([*parts, np.zeros(0)])
         order = np.lexsort((self.least[r], -score, q))
         q, r, score = q[order], r[order], score[order]
         met = np.bincount(q, minlength=len(query))

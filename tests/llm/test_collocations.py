@@ -74,7 +74,6 @@ def test_colliding_fingerprints_are_counted_by_text(table):
 def test_full_filter_changes_nothing(table, monkeypatch):
     rows, df = table
     monkeypatch.setattr(collocations, "FILTER_BITS", 64)
-    monkeypatch.setattr(collocations, "BLOCK", 50)
     assert got(df) == want(rows)
 
 
