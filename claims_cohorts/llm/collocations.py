@@ -43,9 +43,9 @@ ABSORBED = 50
 MILLION = 1_000_000
 FILTER_BITS = 1 << 26
 #: Fingerprints that a task adds up before it sends them on.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 #: Bytes of text that are hashed together, unless one text is longer.
-TEXT_BYTES = 1 << 20
+TEXT_BYTES = 1 << 19
 #: Bits of a fingerprint; tests use few, so that fingerprints collide.
 BITS = 64
 
@@ -334,11 +334,12 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, to
     inside = inside.groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
     kept = worst.join(inside, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < ABSORBED * F.col("a")))
     kept = common.staged(kept.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score"))
-    # a score that surely has ``top`` phrases at or above it, so that few rows are ranked
+    # a score and count that surely have ``top`` phrases at or above them, so that few rows are ranked
     share = F.greatest(F.lit(0.0), 1 - (F.lit(top) + 2 * F.ceil(F.count("*") / 10_000)) / F.count("*"))
-    bounds = kept.groupBy("lang").agg(F.percentile_approx("score", F.array(*[F.lit(k / 256) for k in range(257)]), 10_000).alias("marks"), share.alias("share"))
+    marked = kept.withColumn("mark", F.shiftleft("score", 40) + F.least(F.col("a"), F.lit((1 << 40) - 1)))
+    bounds = marked.groupBy("lang").agg(F.percentile_approx("mark", F.array(*[F.lit(k / 256) for k in range(257)]), 10_000).alias("marks"), share.alias("share"))
     bounds = bounds.select("lang", F.expr("marks[cast(floor(share * 256) as int)]").alias("least"))
-    near = kept.join(bounds, "lang").where(F.col("score") >= F.col("least")).drop("least")
+    near = marked.join(bounds, "lang").where(F.col("mark") >= F.col("least")).drop("least", "mark")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.col("phrase").asc())
     ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     total = phrases.where("size = 0").select("lang", "n")

@@ -19,6 +19,7 @@ columns are ignored, clashing names included; an empty table gives an empty resu
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 
 import numpy as np
@@ -40,7 +41,9 @@ WORD_CHARS = 64
 #: Width in bits of a language's field in a packed sum.
 FIELD = 40
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Word characters that are neither letters nor decimal digits, such as a half or a Roman numeral.
+_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_LETTERS = re.compile(rf"[^\W\d_{_NUMERALS}]+")
 
 
 def words(text: str | None) -> list[str]:

@@ -6,10 +6,12 @@
    above j, later steps can't win and are skipped. Most texts need two steps.
 2. Every row gets a number in a staged table, and all steps go by that number. Texts with equal
    sets form a class; only the class's least number goes on.
-3. ``BANDS`` bands of ``ROWS`` slots give buckets. In ``STAR_ROUNDS`` rounds every member of a bucket is
-   paired with one hub of its bucket that is of another component; pairs whose signatures
-   agree in a share of slots of ``LEAST_AGREEMENT`` or more are confirmed on the full
-   sets (100 * intersection >= 75 * union), and links merge components.
+3. ``BANDS`` bands of ``ROWS`` slots give buckets. In each of ``STAR_ROUNDS`` rounds every document is
+   paired with one hub: the documents have an order by hash, each bucket's first is its hub, and
+   of the hubs of its buckets a document takes the first that is of another component. So
+   a round has at most one pair a document, however many buckets a group of copies shares.
+   Pairs whose signatures agree in a share of slots of ``LEAST_AGREEMENT`` or more are confirmed on
+   the full sets (100 * intersection >= 75 * union), and links merge components.
 4. What is left in a bucket in different components is then paired exhaustively, again
    confirmed, and merged. So a bucket's pairs are all settled (linked, in one
    component anyway, or refuted), while a group of copies costs a star and not all its pairs.
@@ -23,8 +25,8 @@ and a pair at 0.75 falls under the agreement filter with probability below 1e-4.
 Words are runs of anything but space and ASCII line and tab controls, A-Z lower-cased. Texts
 of fewer than ``WIDTH`` words have one shingle, the whole; null, empty and wordless texts none,
 and link with nothing. Rows with equal ids are each judged by their own text. A component is
-named by its least id. ``duplicate_components`` leaves rows without an id out, as they can't be
-named; ``duplicate_rows`` judges them like all others. Other columns are ignored, an empty table
+named by its least id. Rows without an id are judged like all others; their component is null if no
+row of it has an id, and one of its rows is then kept. Other columns are ignored, an empty table
 gives an empty result.
 """
 
@@ -44,7 +46,7 @@ PERCENT = 75
 LEAST_AGREEMENT = 0.6
 #: Slots of the finer signature that settles most exhaustive pairs, and their least agreement.
 FINE_SLOTS, FINE_AGREEMENT = 512, 0.675
-STAR_ROUNDS = 2
+STAR_ROUNDS = 3
 #: Size of the filter that keeps texts nobody asked for out of a join.
 FILTER_BYTES = 1 << 20
 #: Members of a bucket that one task compares with as many others.
@@ -249,10 +251,13 @@ def _mixed_buckets(labelled: DataFrame) -> DataFrame:
 
 
 def _star_pairs(labelled: DataFrame, turn: int) -> DataFrame:
-    """Each member with its bucket's hub of this turn, if that is of another component."""
-    hub = labelled.groupBy("key").agg(F.min_by(F.struct("id", "comp"), F.xxhash64("id", "key", F.lit(turn))).alias("hub"))
-    pairs = labelled.join(hub, "key").where("comp <> hub.comp")
-    return pairs.select(F.least("id", "hub.id").alias("u"), F.greatest("id", "hub.id").alias("v")).distinct()
+    """Each document with one hub of this turn: the first by hash of its buckets' hubs that is of
+    another component."""
+    order = F.xxhash64("id", F.lit(turn))
+    hubs = labelled.groupBy("key").agg(F.min_by(F.struct("id", "comp"), order).alias("hub"))
+    met = labelled.join(hubs, "key").where("comp <> hub.comp")
+    one = met.groupBy("id").agg(F.min_by(F.col("hub.id"), F.xxhash64("hub.id", F.lit(turn))).alias("hub"))
+    return one.select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v")).distinct()
 
 
 def _shared_counts(members: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -272,16 +277,20 @@ def _shared_counts(members: DataFrame, docs: DataFrame, id_col: str, text_col: s
     each = sets.select("id", "comp", F.explode("shingles").alias("x"))
     spread = each.groupBy("x").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("x")
     shared = each.join(spread, "x", "left_semi").groupBy("id").agg(F.count("*").alias("shared"))
-    return sets.join(shared, "id").select("id", "fine", F.size("shingles").alias("n"), "shared")
+    # of two similar texts, each has PERCENT of its shingles in the other
+    counts = sets.join(shared, "id").where(100 * F.col("shared") >= PERCENT * F.size("shingles"))
+    out = common.staged(counts.select("id", "fine", F.size("shingles").alias("n"), "shared"))
+    common.unstage(sets)
+    return out
 
 
-def _rest_pairs(labelled: DataFrame, profile: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """All pairs of a bucket in different components whose signatures agree, by blocks."""
-    counts = _shared_counts(labelled.select("id", "comp").distinct(), docs, id_col, text_col)
-    # of two similar texts, each has PERCENT of its shingles in the other
-    counts = counts.where(100 * F.col("shared") >= PERCENT * F.col("n"))
-    counts = common.staged(counts.join(profile.select("id", "keys"), "id"))
-    labelled = common.staged(_mixed_buckets(labelled.join(counts, "id", "left_semi")))
+def _rest_pairs(labelled: DataFrame, profile: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """All pairs of a bucket in different components whose signatures agree, by blocks, and the
+    staged table that they come from."""
+    few = _shared_counts(labelled.select("id", "comp").distinct(), docs, id_col, text_col)
+    counts = common.staged(few.join(profile.select("id", "keys"), "id"))
+    common.unstage(few)
+    labelled = _mixed_buckets(labelled.join(counts, "id", "left_semi"))
     sized = labelled.groupBy("key").agg(F.count("*").alias("n")).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     dealt = labelled.join(sized, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # a block meets every block of its bucket: as the one or as the other of a pair of blocks
@@ -309,7 +318,7 @@ def _rest_pairs(labelled: DataFrame, profile: DataFrame, docs: DataFrame, id_col
             vs.append(np.maximum(ids[hit], ids[i]))
         return pa.table({"u": np.concatenate(us) if us else np.zeros(0, np.int64), "v": np.concatenate(vs) if vs else np.zeros(0, np.int64)})
 
-    return rows.applyInArrow(compare, "u long, v long").distinct()
+    return rows.applyInArrow(compare, "u long, v long").distinct(), counts
 
 
 def duplicate_rows(rows: DataFrame, no_col: str, name_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -324,16 +333,25 @@ def duplicate_rows(rows: DataFrame, no_col: str, name_col: str = "doc_id", text_
     members = reps.select("id", F.explode("keys").alias("key"))
     shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = common.staged(members.join(shared, "key", "left_semi"))
-    links, roots = None, None
+    roots = None
     for turn in range(STAR_ROUNDS + 1):
         labelled = common.staged(_labelled(members, roots))
         if turn < STAR_ROUNDS:
-            pairs = agreeing(_star_pairs(labelled, turn), reps)
+            pairs = common.staged(agreeing(_star_pairs(labelled, turn), reps))
         else:
-            pairs = _rest_pairs(labelled, reps, rows, no_col, text_col)
-        found = confirmed(common.staged(pairs), rows, no_col, text_col)
-        links = found if roots is None else roots.unionByName(found)
-        roots = components.stars(links)
+            rest, counts = _rest_pairs(labelled, reps, rows, no_col, text_col)
+            pairs = common.staged(rest)
+            common.unstage(counts)
+        common.unstage(labelled)
+        found = confirmed(pairs, rows, no_col, text_col)
+        common.unstage(pairs)
+        merged = components.stars(found if roots is None else roots.unionByName(found))
+        common.unstage(found)
+        if roots is not None:
+            common.unstage(roots)
+        roots = merged
+    common.unstage(members)
+    common.unstage(reps)
     label = whole.join(roots.select(F.col("u").alias("rep"), F.col("v").alias("root")), "rep", "left").select("set_key", "first", F.coalesce("root", "rep").alias("root"))
     least = label.groupBy("root").agg(F.min("first").alias("first"))
     label = label.select("set_key", "root").join(least, "root").select(F.col("set_key").alias("key"), "first")
@@ -348,8 +366,11 @@ def numbered(docs: DataFrame, no_col: str) -> DataFrame:
 
 def duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_shingles, component_id and kept, one row per document."""
-    some = docs.select(F.col(f"`{id_col}`").cast("long").alias("name"), F.col(f"`{text_col}`").alias("text")).where("name is not null")
+    some = docs.select(F.col(f"`{id_col}`").cast("long").alias("name"), F.col(f"`{text_col}`").alias("text"))
     rows = numbered(some, "no")
-    out = duplicate_rows(rows, "no", "name", "text").select("name", "n_shingles", F.coalesce("first.name", "name").alias("component_id"))
+    out = duplicate_rows(rows, "no", "name", "text")
     common.unstage(rows)  # the result comes from the profiles and links
-    return out.select(F.col("name").alias(id_col), "n_shingles", "component_id", (F.col("name") == F.col("component_id")).alias("kept"))
+    least = F.coalesce("first.name", "name")
+    alone = F.col("first").isNull() | (F.col("first.id") == F.col("id"))
+    kept = F.when(F.col("name").isNull(), alone).otherwise(F.col("name") == least)
+    return out.select(F.col("name").alias(id_col), "n_shingles", least.alias("component_id"), kept.alias("kept"))

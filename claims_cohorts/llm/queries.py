@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
+from .oracles import ORACLES as ORACLES
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,5 +125,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op12_conversation_trie": op12_conversation_trie,
     "op13_nearest_vectors": op13_nearest_vectors,
 }
-
-ORACLES: dict[str, str] = {}

@@ -73,7 +73,19 @@ def test_whole_smallest_table(corpus):
 def test_empty_table_and_repeated_rows(make_docs):
     assert minhash.duplicate_components(make_docs(["a"]).limit(0)).collect() == []
     got = minhash.duplicate_components(make_docs(["a b c d e f"] * 3, ids=[4, 4, None]))
-    assert [(r["doc_id"], r["component_id"], r["kept"]) for r in got.collect()] == [(4, 4, True)] * 2
+    assert sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in got.collect()), key=str) == [(4, 4, True)] * 2 + [(None, 4, False)]
+
+
+def test_rows_without_id_are_returned(make_docs):
+    got = minhash.duplicate_components(make_docs(["a b c d e f"] * 3 + ["x y z", None, ""], ids=[None] * 6)).collect()
+    assert sorted((r["n_shingles"], r["component_id"], r["kept"]) for r in got) == [(0, None, True)] * 2 + [(1, None, True)] + [(2, None, False)] * 2 + [(2, None, True)]
+
+
+def test_a_round_has_one_pair_a_document(spark):
+    """Copies that share all buckets, but for an own one each."""
+    rows = [(k, i, i) for i in range(300) for k in [*range(32), 1000 + i]]
+    pairs = minhash._star_pairs(spark.createDataFrame(rows, "key long, id long, comp long"), 0)
+    assert pairs.count() <= 300
 
 
 def test_rows_of_one_id_are_judged_by_their_own_text(make_docs):

@@ -52,6 +52,18 @@ def test_near_dedup_drops_only_rows_like_another(spark, make_docs):
     assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted(want, key=str)
 
 
+def test_mixing_goes_by_row(spark, make_docs):
+    texts = ["big source words " * 40] * 6 + ["small one", "small two", "small three"]
+    ids = [10, 11, 12, 13, 14, None, 10, None, None]
+    docs = make_docs(texts, ids=ids, sources=["big"] * 6 + ["small"] * 3)
+    out = common.staged(cp.mixing_sources(spark, docs, SF))
+    assert out.columns == docs.columns
+    found = sorted((r["source"], r["text"], r["doc_id"]) for r in out.where("doc_id = 10").collect())
+    assert [x[0] for x in found] == ["big", "small", "small"]
+    small = [r["text"] for r in out.where("source = 'small'").collect()]
+    assert sorted(small) == sorted(texts[6:] * 2) and out.where("source = 'big'").count() == 6
+
+
 @pytest.fixture(scope="module")
 def packed(spark):
     return cp.run(spark, SF).collect()
@@ -69,4 +81,4 @@ def test_registered(spark):
 
     names = set(__spark_entry__.queries())
     assert set(queries.QUERIES) | {"pipeline"} <= names
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 14)}
