@@ -9,7 +9,9 @@ besides doc_id, text, lang, source and n_chars; the last returns packed pieces.
   judged by its own text, also where ids repeat; rows without an id come last in their group.
 * secret_scan replaces every secret by a mask and brings n_chars up to date.
 * mixing repeats documents of sources below their target weight, as additional rows; no
-  document is dropped.
+  document is dropped. Rows are mixed by number, also where ids repeat or are null. Each file that
+  is written from the result holds a random share of every block, in the order of the blocks
+  and of the places in them.
 * packing returns one row per piece with its sequence and offset.
 
 Null texts are dropped by the first stage, and stay null, empty or unmasked in the others.
@@ -51,11 +53,10 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    sized = mixing.token_lengths(docs, tokens.tokenizer_path(TOKENIZER), ("doc_id", "source"))
-    copies = mixing.mix(sized).groupBy(F.col("doc_id").alias("__id")).agg((F.max("pass") + 1).alias("__copies"))
-    joined = docs.join(copies, docs["doc_id"] == copies["__id"], "left")
-    repeated = joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.coalesce("__copies", F.lit(1)))))
-    return repeated.select(*[docs[c] for c in docs.columns])
+    rows = minhash.numbered(docs, "__no")
+    copies = mixing.mix(mixing.token_lengths(rows, tokens.tokenizer_path(TOKENIZER), ("__no", "source")), id_col="__no")
+    placed = rows.join(copies.select("__no", F.col("block").alias("__block"), F.col("place").alias("__place")), "__no")
+    return placed.sortWithinPartitions("__block", "__place").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
