@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from claims_cohorts.columns import ENROLL_END, ENROLL_START, INDEX, MEMBER
 from claims_cohorts.functions.dates import month_spine
+from claims_cohorts.operators.intervals import merged_intervals
 
 # FIXED VALUES — termination date assumed for open-ended enrollment.
 OPEN_END = "2099-12-31"
@@ -46,6 +47,42 @@ def enrollment_filter(
     return index.join(first, cond, "left_semi")
 
 
+def enrollment_spans(
+    eligibility: DataFrame, allowed_gap_days: int = 0, start_col: str = ENROLL_START, end_col: str = ENROLL_END
+) -> DataFrame:
+    """(member, start, end): a member's eligibility rows merged into continuous enrollment,
+    gaps of up to ``allowed_gap_days`` days included. Rows without a start are left out, a null
+    end means open-ended."""
+    end = F.coalesce(F.col(end_col).cast("date"), F.lit(OPEN_END).cast("date"))
+    return merged_intervals(eligibility.select(MEMBER, F.col(start_col), end.alias(end_col)), start_col, end_col, gap_days=allowed_gap_days)
+
+
+def continuous_enrollment(
+    index: DataFrame,
+    eligibility: DataFrame,
+    lookback_days: int = 365,
+    lookahead_days: int = 365,
+    allowed_gap_days: int = 0,
+    start_col: str = ENROLL_START,
+    end_col: str = ENROLL_END,
+) -> DataFrame:
+    """Keep index rows that one continuous enrollment covers from ``index - lookback`` through
+    ``index + lookahead``.
+
+    Unlike :func:`enrollment_filter` all eligibility rows of a member count, however they
+    overlap, and short gaps between them can be allowed. Rows of members without an
+    index date are dropped before any window sees them.
+    """
+    wanted = eligibility.join(index.select(MEMBER).distinct(), MEMBER, "left_semi")
+    spans = enrollment_spans(wanted, allowed_gap_days, start_col, end_col)
+    cond = (
+        (index[MEMBER] == spans[MEMBER])
+        & (spans[start_col] <= F.date_sub(index[INDEX], lookback_days))
+        & (spans[end_col] >= F.date_add(index[INDEX], lookahead_days))
+    )
+    return index.join(spans, cond, "left_semi")
+
+
 def enrollment_months(eligibility: DataFrame, as_of, start_col: str = ENROLL_START, end_col: str = ENROLL_END) -> DataFrame:
     """Member-month spine: one row per member and month start covered by enrollment.
 

@@ -170,3 +170,23 @@ def component_window_index(
         .groupBy(*keys, member_col)
         .agg(F.min(date_col).alias(INDEX))
     )
+
+
+def rolling_claims_index(
+    claims: DataFrame, k: int, window_days: int, keys: Sequence[str] = (), distinct_days: bool = False
+) -> DataFrame:
+    """(keys, member, index_date, window_start): the first day on which the member's claims of
+    the last ``window_days`` days, that day included, number ``k`` or more, and the first of them.
+
+    Claims of one day count each, or once with ``distinct_days``. A range frame over the
+    compacted days sums them, so a member's work is bounded by calendar days. This is the rolling
+    reading of "k claims within a period"; :func:`first_pair_index` tests the whole history.
+    """
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    days = compact_claims(claims, keys)
+    n = F.lit(1) if distinct_days else F.col(N_CLAIMS)
+    last = Window.partitionBy(*keys, MEMBER).orderBy(F.unix_date(DATE)).rangeBetween(-window_days, 0)
+    days = days.where(F.col(DATE).isNotNull()).withColumns({"_n": F.sum(n).over(last), "_from": F.min(DATE).over(last)})
+    reached = days.where(F.col("_n") >= k).groupBy(*keys, MEMBER)
+    return reached.agg(F.min(DATE).alias(INDEX), F.min("_from").alias("window_start"))

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claims_cohorts.columns import DATE, INDEX, MEMBER
+from claims_cohorts.operators.memberfilter import of_members
 
 Number = Union[int, Column]
 
@@ -123,6 +124,8 @@ def window_flags(
             out = out.withColumn(name, F.coalesce(F.col(name), F.lit(False)))
         return out.select(*anchors.columns, *rules)
 
+    # no rule needs the events of members without an anchor: they aren't shuffled
+    events = of_members(events, anchors)
     roles = sorted({r for r, _ in rules.values() if r is not None})
     use_role = bool(roles) and role_col in events.columns
     ev_cols = [*part, F.col(event_date).cast("date").alias("_t")]

@@ -7,7 +7,7 @@ from typing import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claims_cohorts.columns import CLAIM_TYPE, DATE, ICD, INDEX, MEMBER
+from claims_cohorts.columns import CLAIM_TYPE, COHORT, DATE, ICD, INDEX, MEMBER
 
 # FIXED VALUES — claim-row schema: column → (type, nullable).
 CLAIMS_SCHEMA: dict[str, tuple[str, bool]] = {
@@ -36,7 +36,7 @@ def _type_ok(expected: str, actual: str | None) -> bool:
 def quality_report(spark: SparkSession, df: DataFrame, schema: Mapping[str, tuple[str, bool]]) -> DataFrame:
     """(column, expected_type, actual_type, nullable, present, null_count, ok) per schema column.
 
-    All null counts come from one aggregate over ``df``.
+    All null counts come from one aggregate over ``df``, whose single row is then spread out.
     """
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     present = [c for c in schema if c in types]
@@ -52,7 +52,7 @@ def quality_report(spark: SparkSession, df: DataFrame, schema: Mapping[str, tupl
         if not nullable and c in types:
             ok = ok & (null_count == 0)
         rows.append(
-            counts.select(
+            F.struct(
                 F.lit(c).alias("column_name"),
                 F.lit(expected).alias("expected_type"),
                 F.lit(types.get(c)).cast("string").alias("actual_type"),
@@ -62,10 +62,7 @@ def quality_report(spark: SparkSession, df: DataFrame, schema: Mapping[str, tupl
                 ok.alias("ok"),
             )
         )
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    return counts.select(F.inline(F.array(*rows)))
 
 
 def claims_quality(spark: SparkSession, claims: DataFrame) -> DataFrame:
@@ -80,9 +77,10 @@ class SchemaError(ValueError):
     """Raised by :func:`raise_on_violations` with every failing cohort listed."""
 
 
-def violation_counts() -> list[Column]:
-    """Aggregates that count the nulls of each output column that must not be null."""
-    return [F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c, (_, nullable) in OUTPUT_SCHEMA.items() if not nullable]
+def violation_counts(cohort: str, prefix: str) -> list[Column]:
+    """Aggregates that count a cohort's nulls in each output column that must not be null."""
+    own = F.col(COHORT) == cohort
+    return [F.count_if(own & F.col(c).isNull()).alias(f"{prefix}null_{c}") for c, (_, nullable) in OUTPUT_SCHEMA.items() if not nullable]
 
 
 def raise_on_violations(stats: Mapping[str, Mapping]) -> None:

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from claims_cohorts.columns import CLAIM_ID, CLAIM_TYPE, DATE, DRUG, ICD, INDEX, MEMBER, PROC
 from claims_cohorts.functions.codes import claim_type_match, date_range_filter, drug_match, icd_match, procedure_match
-from claims_cohorts.functions.dates import DAYS_PER_UNIT, duration_days
+from claims_cohorts.functions.chapters import icd10_chapter
+from claims_cohorts.functions.dates import DAYS_PER_UNIT, duration_days, parse_duration_days
 from claims_cohorts.operators import eligibility as elig
 from claims_cohorts.operators.claims import code_claims, diagnosis_claims
 from claims_cohorts.operators.codebook import codebook
@@ -22,9 +23,12 @@ from claims_cohorts.operators.index import (
     component_window_index,
     first_claim_index,
     first_pair_index,
+    rolling_claims_index,
     second_claim_index,
 )
+from claims_cohorts.operators.intervals import claim_episodes, index_in_episode
 from claims_cohorts.operators.members import add_member_info
+from claims_cohorts.operators.sameday import chapter_days, exclude_same_day_chapters
 from claims_cohorts.operators.support import (
     combine_support,
     drug_support,
@@ -46,7 +50,7 @@ from claims_cohorts.plans.cohorts import CohortContext, build_cohort, build_coho
 from claims_cohorts.plans.run import combined_summary, cohort_counts
 from claims_cohorts.plans.spec import CohortConfig, load_config
 from claims_cohorts.sources.tables import ClaimsTables, table_profile
-from claims_cohorts.sources.testdata import AS_OF, testdata_tables
+from claims_cohorts.sources.testdata import AS_OF, coverage, testdata_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,6 +60,14 @@ DRUG_PROBE_NAMES = ["LISINOPRIL", "ATORVASTATIN%", "ACETAMINOPHEN*"]
 SUPPORT_WINDOW_DAYS = 180
 CLEAN_PERIOD_DAYS = 365
 ENROLLMENT_DAYS = 365
+# Gap allowed in continuous enrollment, claims asked for in a rolling period, further
+# same-day chapters (a chapter number, a range, a prefix), and the pregnancy episodes.
+ENROLLMENT_GAP_DAYS = 45
+ROLLING_CLAIMS = 3
+SAME_DAY_CHAPTERS = [18, "I10-I15", "E78"]
+EPISODE_GAP_DAYS = 120
+EPISODE_BEFORE_DAYS = 90
+EPISODE_AFTER_DAYS = 60
 
 
 @lru_cache(maxsize=1)
@@ -306,6 +318,44 @@ def q_enrollment_filter(spark, sf_dir):
     return elig.enrollment_filter(htn_index(t), t.eligibility, ENROLLMENT_DAYS, ENROLLMENT_DAYS)
 
 
+def q_enrollment_spans(spark, sf_dir):
+    return elig.enrollment_spans(coverage(tables(spark, sf_dir).entries), ENROLLMENT_GAP_DAYS)
+
+
+def q_continuous_enrollment(spark, sf_dir):
+    t, inc = tables(spark, sf_dir), _inc("IBS_General")
+    back, ahead = parse_duration_days(inc["look_back_enrollment"]), parse_duration_days(inc["look_ahead_enrollment"])
+    return elig.continuous_enrollment(htn_index(t), coverage(t.entries), back, ahead, ENROLLMENT_GAP_DAYS)
+
+
+def q_code_chapters(spark, sf_dir):
+    """ICD-10-CM chapter of every distinct code (null: none)."""
+    return tables(spark, sf_dir).diagnoses.select(ICD).distinct().withColumn("chapter", icd10_chapter(ICD))
+
+
+def q_chapter_days(spark, sf_dir):
+    return chapter_days(diagnosis_claims(tables(spark, sf_dir)))
+
+
+def q_same_day_chapters(spark, sf_dir):
+    t, chapters = tables(spark, sf_dir), [*_exc("IBS_General")["same_day_exclusion_chapters"], *SAME_DAY_CHAPTERS]
+    claims = code_claims(t, _inc("IBS_General")["icd_codes"])
+    return exclude_same_day_chapters(claims, diagnosis_claims(t), chapters)
+
+
+def _pregnancies(t: ClaimsTables) -> DataFrame:
+    return claim_episodes(code_claims(t, _exc("Metabolic_Syndrome")["pregnancy"]), EPISODE_GAP_DAYS)
+
+
+def q_pregnancy_episodes(spark, sf_dir):
+    return _pregnancies(tables(spark, sf_dir))
+
+
+def q_index_in_episode(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return index_in_episode(htn_index(t), _pregnancies(t), EPISODE_BEFORE_DAYS, EPISODE_AFTER_DAYS)
+
+
 # --- index finders and aggregates ----------------------------------------------------
 
 
@@ -328,6 +378,12 @@ def q_within_months(spark, sf_dir):
     return first_pair_index(claims, inc["min_days_between_claims"], within_days=inc["within_months"] * 30, span_min_claims=inc["min_claims"])
 
 
+def q_rolling_claims(spark, sf_dir):
+    inc = _inc("Diabetes_General")
+    claims = code_claims(tables(spark, sf_dir), inc["icd_codes"], inc["claim_types"])
+    return rolling_claims_index(claims, ROLLING_CLAIMS, inc["within_months"] * 30)
+
+
 def q_component_claims(spark, sf_dir):
     return S.component_claims(ctx(spark, sf_dir), _inc("Metabolic_Syndrome")["components"])
 
@@ -399,6 +455,9 @@ STRATEGY_QUERIES = {
     "pcos": ("pcos", "PCOS"),
     "cardio_conservative": ("cardiometabolic", "CAD_Conservative"),
     "cardio_sensitive": ("cardiometabolic", "CAD_Sensitive"),
+    "declared_ibs_general": ("declared", "IBS_General"),
+    "declared_diabetes_general": ("declared", "Diabetes_General"),
+    "declared_gdm": ("declared", "GDM"),
 }
 
 

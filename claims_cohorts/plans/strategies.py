@@ -17,6 +17,7 @@ from claims_cohorts.operators.claims import anchor_and_event_claims, code_claims
 from claims_cohorts.operators.lines import LineRule, claim_lines
 from claims_cohorts.operators.temporal import EventWindow, flag_rows
 from claims_cohorts.plans.cohorts import COHORT_LOGIC_REGISTRY, CohortContext, finish
+from claims_cohorts.plans.declared import declared_strategy
 from claims_cohorts.plans.member_pass import ANY_DATE_ROLES, metabolic_pass, strategy_pass
 
 MEDICAL = ["medical"]
@@ -200,6 +201,7 @@ STRATEGIES = {
     "metabolic": metabolic_strategy,
     "pcos": pcos_strategy,
     "cardiometabolic": cardiometabolic_strategy,
+    "declared": declared_strategy,
 }
 
 

@@ -120,6 +120,16 @@ def load_catalog(spark: SparkSession, database: str = "default") -> ClaimsTables
 FACT_TABLES = ("claims_entries", "claims_diagnoses", "claims_procedures", "claims_drugs")
 
 
+def balanced_predicates(column: str, cuts: list[int]) -> list[str]:
+    """Predicates of one read task each: the ranges between the cuts, and rows without an id."""
+    cuts = sorted(set(cuts))
+    if not cuts:
+        return [f"{column} IS NULL OR {column} IS NOT NULL"]
+    ranges = [f"{column} < {cuts[0]} OR {column} IS NULL"]
+    ranges += [f"{column} >= {lo} AND {column} < {hi}" for lo, hi in zip(cuts, cuts[1:])]
+    return [*ranges, f"{column} >= {cuts[-1]}"]
+
+
 def load_jdbc(
     spark: SparkSession,
     url: str,
@@ -127,12 +137,18 @@ def load_jdbc(
     properties: Mapping[str, str] | None = None,
     num_partitions: int = 16,
     bounds: Mapping[str, tuple[int, int]] | None = None,
+    balanced: bool = False,
 ) -> ClaimsTables:
     """The five required tables over JDBC, and the optional one if the schema has it.
 
     Fact tables are read by ``num_partitions`` tasks, each a range of ``claim_entry_id``;
     ``bounds`` (table → lowest and highest id) is asked from the database where it is not
     given, one row per table. An empty fact table is one task.
+
+    With ``balanced`` the ranges hold equally many rows: the database is asked for the quantiles of
+    claim_entry_id (at most ``num_partitions`` numbers a table), which then bound the tasks'
+    predicates. For ids with wide gaps, where ranges of equal width would leave most rows to a few
+    tasks; it costs the database one pass over the ids.
     """
 
     def reader(table: str):
@@ -149,6 +165,12 @@ def load_jdbc(
     tables = {}
     for name in [*LOAD_TIME_TABLES, *(t for t in OPTIONAL_SCHEMA if t in present)]:
         r = reader(f"{schema}.{name}")
+        if name in FACT_TABLES and balanced:
+            ranked = f"SELECT {CLAIM_ID} AS id, ntile({int(num_partitions)}) OVER (ORDER BY {CLAIM_ID}) AS part FROM {schema}.{name} WHERE {CLAIM_ID} IS NOT NULL"
+            firsts = reader(f"(SELECT part, min(id) AS first_id FROM ({ranked}) ranked GROUP BY part) cuts").load()
+            cuts = [row["first_id"] for row in firsts.collect() if row["part"] > 1]  # one row a task
+            tables[name] = spark.read.jdbc(url, f"{schema}.{name}", predicates=balanced_predicates(CLAIM_ID, cuts), properties=dict(properties or {}))
+            continue
         if name in FACT_TABLES:
             span = (bounds or {}).get(name)
             if span is None:
@@ -185,6 +207,7 @@ def load_jdbc_yaml(
     path: str,
     num_partitions: int = 16,
     bounds: Mapping[str, tuple[int, int]] | None = None,
+    balanced: bool = False,
 ) -> ClaimsTables:
     """Claims tables over JDBC, connection read from a YAML file's ``postgres`` section
     (host, port, database, user, password, schema). The PostgreSQL JDBC driver must
@@ -193,7 +216,7 @@ def load_jdbc_yaml(
 
     with open(path) as handle:
         settings = jdbc_settings(yaml.safe_load(handle))
-    return load_jdbc(spark, settings["url"], settings["schema"], settings["properties"], num_partitions, bounds)
+    return load_jdbc(spark, settings["url"], settings["schema"], settings["properties"], num_partitions, bounds, balanced)
 
 
 # --- validation of the input tables (driver-side, no job) ------------------------------

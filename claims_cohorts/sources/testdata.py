@@ -116,6 +116,17 @@ def eligibility(customer: DataFrame) -> DataFrame:
     return spans.select("member_id_hash", F.col("span.s").alias("date_of_enrollment"), F.col("span.e").alias("termination_date"))
 
 
+def coverage(entries: DataFrame) -> DataFrame:
+    """Many short enrollment spans per member, overlapping, nested, adjacent or apart: one for each
+    claim entry, of a length by its id; some are open-ended, end before they begin, or lack
+    a start or a member."""
+    # FIXED VALUES — lengths of 100 to 499 days; every 311th is open, every 173rd reversed.
+    key, start = F.col("claim_entry_id"), F.col("date_of_service")
+    length = F.when(key % 173 == 0, F.lit(-1)).otherwise((key % 400 + 100).cast("int"))
+    end = F.when(key % 311 != 0, F.date_add(start, length))
+    return entries.select("member_id_hash", start.alias("date_of_enrollment"), end.alias("termination_date"))
+
+
 def testdata_tables(spark: SparkSession, sf_dir: str) -> ClaimsTables:
     orders = _read(spark, sf_dir, "orders")
     lineitem = _read(spark, sf_dir, "lineitem")

@@ -430,8 +430,119 @@ def profile_sql() -> str:
     return "\nUNION ALL\n".join(parts)
 
 
+# FIXED VALUES — the chapters of ICD-10-CM: number, first and last category.
+CHAPTERS = [
+    (1, "A00", "B99"), (2, "C00", "D49"), (3, "D50", "D89"), (4, "E00", "E89"), (5, "F01", "F99"),
+    (6, "G00", "G99"), (7, "H00", "H59"), (8, "H60", "H95"), (9, "I00", "I99"), (10, "J00", "J99"),
+    (11, "K00", "K95"), (12, "L00", "L99"), (13, "M00", "M99"), (14, "N00", "N99"), (15, "O00", "O9A"),
+    (16, "P00", "P96"), (17, "Q00", "Q99"), (18, "R00", "R99"), (19, "S00", "T88"), (20, "V00", "Y99"),
+    (21, "Z00", "Z99"), (22, "U00", "U85"),
+]
+CHAPTER_ROWS = "chapter_rows(n, lo, hi) AS (VALUES " + ", ".join(f"({n}, {q(a)}, {q(b)})" for n, a, b in CHAPTERS) + ")"
+COVERAGE = (
+    "coverage AS (SELECT member_id_hash, date_of_service AS s, CASE WHEN claim_entry_id % 311 = 0 THEN DATE '2099-12-31' "
+    "WHEN claim_entry_id % 173 = 0 THEN date_of_service - 1 ELSE date_of_service + CAST(claim_entry_id % 400 + 100 AS INTEGER) END AS e "
+    "FROM claims_entries WHERE date_of_service IS NOT NULL)"
+)
+
+
+def islands_sql(src: str, gap: int) -> list[str]:
+    """CTEs up to ``islands`` (member_id_hash, s, e): a span begins an island if no other span that
+    begins no later reaches it; the island ends with the furthest end before the next one begins."""
+    return [
+        f"good AS (SELECT DISTINCT * FROM {src} WHERE member_id_hash IS NOT NULL AND s <= e)",
+        "heads AS (SELECT DISTINCT member_id_hash, s FROM good a WHERE NOT EXISTS (SELECT 1 FROM good b "
+        f"WHERE b.member_id_hash = a.member_id_hash AND b.s < a.s AND b.e + {gap + 1} >= a.s))",
+        "bounds AS (SELECT member_id_hash, s, LEAD(s) OVER (PARTITION BY member_id_hash ORDER BY s) AS nxt FROM heads)",
+        "islands AS (SELECT h.member_id_hash, h.s, MAX(g.e) AS e FROM bounds h JOIN good g ON g.member_id_hash = h.member_id_hash "
+        "AND g.s >= h.s AND (h.nxt IS NULL OR g.s < h.nxt) GROUP BY h.member_id_hash, h.s)",
+    ]
+
+
+def episodes_sql(src: str, gap: int) -> list[str]:
+    """CTEs up to ``episodes`` of the claim rows ``src``."""
+    return [
+        f"pdays AS (SELECT member_id_hash, date_of_service AS d, COUNT(*) AS n FROM {src} WHERE member_id_hash IS NOT NULL "
+        "AND date_of_service IS NOT NULL GROUP BY ALL)",
+        "pheads AS (SELECT member_id_hash, d FROM pdays a WHERE NOT EXISTS (SELECT 1 FROM pdays b WHERE b.member_id_hash = a.member_id_hash "
+        f"AND b.d < a.d AND b.d >= a.d - {gap}))",
+        "pnum AS (SELECT a.*, (SELECT COUNT(*) FROM pheads h WHERE h.member_id_hash = a.member_id_hash AND h.d <= a.d) AS episode FROM pdays a)",
+        "episodes AS (SELECT member_id_hash, episode, MIN(d) AS episode_start, MAX(d) AS episode_end, COUNT(*) AS n_days, "
+        "CAST(SUM(n) AS BIGINT) AS n_claims FROM pnum GROUP BY ALL)",
+    ]
+
+
+def in_episode_sql(idx: str, before: int, after: int) -> str:
+    return f"SELECT 1 FROM episodes e WHERE e.member_id_hash = {idx}.member_id_hash AND {idx}.index_date BETWEEN e.episode_start - {before} AND e.episode_end + {after}"
+
+
+def declared_ctes(name: str) -> tuple[list[str], str]:
+    """CTEs and WHERE clause of the declared rules over the default index ``idx`` of a cohort."""
+    ctes, select = cohort_ctes(name, "d_")
+    ctes = ctes + [f"whole AS ({select})", "idx AS (SELECT DISTINCT member_id_hash, index_date FROM whole)"]
+    return ctes, f"SELECT w.* FROM whole w WHERE EXISTS (SELECT 1 FROM kept k WHERE k.member_id_hash = w.member_id_hash AND k.index_date = w.index_date)"
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
+    out["enrollment_spans"] = sql([COVERAGE, *islands_sql("coverage", 45)], "SELECT member_id_hash, s AS date_of_enrollment, e AS termination_date FROM islands")
+    out["continuous_enrollment"] = sql(
+        HTN_CTES + [COVERAGE, *islands_sql("coverage", 45)],
+        "SELECT * FROM idx i WHERE EXISTS (SELECT 1 FROM islands f WHERE f.member_id_hash = i.member_id_hash "
+        "AND f.s <= i.index_date - 360 AND f.e >= i.index_date + 360)",
+    )
+    out["code_chapters"] = sql(
+        [CHAPTER_ROWS], "SELECT c.icd_code, r.n AS chapter FROM (SELECT DISTINCT icd_code FROM claims_diagnoses) c LEFT JOIN chapter_rows r "
+        "ON substr(c.icd_code, 1, 3) BETWEEN r.lo AND r.hi"
+    )
+    out["chapter_days"] = sql(
+        [CHAPTER_ROWS], "SELECT member_id_hash, date_of_service, CAST(SUM(DISTINCT CAST(power(2, n) AS BIGINT)) AS BIGINT) AS chapters FROM dx JOIN chapter_rows "
+        "ON substr(icd_code, 1, 3) BETWEEN lo AND hi WHERE member_id_hash IS NOT NULL AND date_of_service IS NOT NULL GROUP BY ALL"
+    )
+    same_day = "(icd_code LIKE 'S%' OR icd_code LIKE 'T%' OR icd_code LIKE 'R%' OR substr(icd_code, 1, 3) BETWEEN 'I10' AND 'I15' OR icd_code LIKE 'E78%')"
+    out["same_day_chapters"] = sql(
+        [f"inc AS ({claims_sql(COHORTS['IBS_General']['inclusion']['icd_codes'])})", f"ev AS (SELECT member_id_hash, date_of_service FROM dx WHERE {same_day})"],
+        "SELECT * FROM inc c WHERE NOT EXISTS (SELECT 1 FROM ev WHERE ev.member_id_hash = c.member_id_hash AND ev.date_of_service = c.date_of_service)",
+    )
+    preg = [f"preg AS ({claims_sql(COHORTS['Metabolic_Syndrome']['exclusion']['pregnancy'])})", *episodes_sql("preg", 120)]
+    out["pregnancy_episodes"] = sql(preg, "SELECT * FROM episodes")
+    out["index_in_episode"] = sql(
+        HTN_CTES + preg,
+        "SELECT i.member_id_hash, i.index_date, e.episode, e.episode_start, e.episode_end FROM idx i JOIN episodes e "
+        "ON e.member_id_hash = i.member_id_hash AND i.index_date BETWEEN e.episode_start - 90 AND e.episode_end + 60",
+    )
+    dgi = COHORTS["Diabetes_General"]["inclusion"]
+    out["rolling_claims"] = sql(
+        [f"inc AS ({claims_sql(dgi['icd_codes'], dgi['claim_types'])})",
+         "days AS (SELECT DISTINCT member_id_hash, date_of_service AS d FROM inc WHERE member_id_hash IS NOT NULL AND date_of_service IS NOT NULL)",
+         "dense AS (SELECT x.member_id_hash, x.d, MIN(c.date_of_service) AS f FROM days x JOIN inc c ON c.member_id_hash = x.member_id_hash "
+         f"AND c.date_of_service BETWEEN x.d - {30 * dgi['within_months']} AND x.d GROUP BY x.member_id_hash, x.d HAVING COUNT(*) >= 3)"],
+        "SELECT member_id_hash, MIN(d) AS index_date, MIN(f) AS window_start FROM dense GROUP BY member_id_hash",
+    )
+    ctes, final = declared_ctes("IBS_General")
+    ix = COHORTS["IBS_General"]["exclusion"]
+    out["declared_ibs_general"] = sql(
+        ctes + ["spans_of AS (SELECT member_id_hash, date_of_enrollment AS s, COALESCE(termination_date, DATE '2099-12-31') AS e FROM eligibility)",
+                *islands_sql("spans_of", 0),
+                "kept AS (SELECT * FROM idx i WHERE EXISTS (SELECT 1 FROM islands f WHERE f.member_id_hash = i.member_id_hash AND f.s <= i.index_date - 360 "
+                "AND f.e >= i.index_date + 360) AND NOT EXISTS (SELECT 1 FROM dx WHERE dx.member_id_hash = i.member_id_hash "
+                f"AND {icd_sql(ix['icd_exclusion'], 'dx.icd_code')} AND dx.date_of_service BETWEEN i.index_date - 360 AND i.index_date) "
+                "AND NOT EXISTS (SELECT 1 FROM dx WHERE dx.member_id_hash = i.member_id_hash AND dx.date_of_service = i.index_date "
+                "AND (dx.icd_code LIKE 'S%' OR dx.icd_code LIKE 'T%')))"],
+        final,
+    )
+    ctes, final = declared_ctes("Diabetes_General")
+    out["declared_diabetes_general"] = sql(
+        ctes + [f"preg AS ({claims_sql(COHORTS['Diabetes_General']['exclusion']['pregnancy_codes'])})", *episodes_sql("preg", 120),
+                f"kept AS (SELECT * FROM idx WHERE NOT EXISTS ({in_episode_sql('idx', 30, 0)}))"],
+        final,
+    )
+    ctes, final = declared_ctes("GDM")
+    out["declared_gdm"] = sql(
+        ctes + [f"preg AS ({claims_sql([*COHORTS['GDM']['inclusion']['icd_codes'], 'O00.*', 'O9A.*'])})", *episodes_sql("preg", 120),
+                f"kept AS (SELECT * FROM idx WHERE EXISTS ({in_episode_sql('idx', 30, 0)}))"],
+        final,
+    )
     out["load_claims_tables"] = sql([], "SELECT * FROM claims_entries")
     ibs_g = COHORTS["IBS_General"]["inclusion"]
     out["inclusion_claims"] = sql([], claims_sql(ibs_g["icd_codes"], ibs_g.get("claim_types"), ibs_g["date_range_years"]))

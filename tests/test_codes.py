@@ -108,3 +108,19 @@ def test_number_of_rules_and_repeats_do_not_change_the_lines(spark):
     assert [r for r in many if r[1] == "inclusion"] == alone
     with pytest.raises(ValueError, match="two different rules"):
         claim_lines(t, [one, LineRule("c", "inclusion", "icd", ("I10",), ("medical",))])
+
+
+def test_codebook_equals_matching_every_rule(spark):
+    """The prefix index against the predicates, for every kind of pattern."""
+    from claims_cohorts.operators.codebook import codebook, prefix_index
+
+    rules = [("A", "x", ["K58.*", "K5*", "R10."]), ("A", "y", ["I10", "E78.0", "*"]), ("B", "x", ["O*4.4*", "C*"]), ("B", "z", ["Z85.3", "Z85.3", "K58*"]), ("C", "n", [])]
+    dx = spark.createDataFrame([(i, c) for i, c in enumerate(CODES * 2)], "claim_entry_id long, icd_code string")
+    got = sorted(tuple(r) for r in codebook(dx, rules).collect())
+    want = sorted((c, r, x) for c, r, codes in rules for x in set(matching(spark, icd_match(codes))))
+    assert got == want
+    keys, lengths, others = prefix_index(rules)
+    assert lengths == [0, 1, 2, 3, 4] and [x[:2] for x in others] == [("B", "x")]
+    assert codebook(dx, [("A", "x", ["I10"])]).count() == 1
+    plan = codebook(dx, rules[:2])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2

@@ -204,6 +204,37 @@ def test_run_cohorts_validates_output(spark):
         COHORT_LOGIC_REGISTRY.pop("Bad", None)
 
 
+def test_invalid_run_leaves_the_last_output_alone(spark):
+    from claims_cohorts.operators.validation import SchemaError
+    from claims_cohorts.plans.cohorts import COHORT_LOGIC_REGISTRY
+
+    t, cfg = testdata_tables(spark, SF), load_config()
+    base = os.path.join(tempfile.mkdtemp(prefix="audit-", dir="/tmp"), "o")
+    names = ["HTN_Conservative", "IBS_D"]
+    good = run_cohorts(spark, t, cfg, base, names, as_of=AS_OF, timestamp="A")
+
+    def state():
+        return {os.path.join(d, f): os.path.getmtime(os.path.join(d, f)) for d, _, files in os.walk(base) for f in files}
+
+    before = state()
+
+    def bad(ctx, name):
+        return ctx.tables.entries_typed().selectExpr("member_id_hash", "CAST(NULL AS DATE) AS index_date", f"'{name}' AS cohort")
+
+    COHORT_LOGIC_REGISTRY["IBS_D"] = bad
+    try:
+        with pytest.raises(SchemaError, match="IBS_D"):
+            run_cohorts(spark, t, cfg, base, names, as_of=AS_OF, timestamp="B")
+    finally:
+        COHORT_LOGIC_REGISTRY.pop("IBS_D", None)
+    assert state() == before and not [f for f in os.listdir(base) if f.startswith("_")]
+    again = run_cohorts(spark, t, cfg, base, names[:1], as_of=AS_OF, timestamp="C")  # replaces what it writes
+    assert again["cohort_counts"] == {names[0]: good["cohort_counts"][names[0]]}
+    assert _json(os.path.join(base, "combined_cohorts_metadata.json"))["timestamp"] == "C"
+    assert [f for f in os.listdir(os.path.join(base, "cohorts.parquet")) if f.startswith("cohort=")] == [f"cohort={names[0]}"]
+    assert not [f for f in os.listdir(base) if f.startswith("_")]
+
+
 def test_load_parquet_dir_required_and_optional(spark):
     from claims_cohorts.sources.tables import load_parquet_dir
 
