@@ -11,7 +11,7 @@ fingerprints. ``likeness`` estimates from two fingerprints alone the share of sp
 two texts have in common (Jaccard, by the smallest hashes of the union): 1 for equal texts.
 
 The edited text of the query needs the following document. Documents are cut into id ranges at sampled
-ids; each task sorts its range, and the range's first document travels a second time, to the
+ids, ``MOST_RANGES`` at most, found by binary search; each task sorts its range, and the range's first document travels a second time, to the
 range before, so every text moves once and at most one per range twice. No order over all
 rows is formed in one task.
 
@@ -26,6 +26,7 @@ import hashlib
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +39,8 @@ BASE = 0x1F3D5B79A2C4E687 % PRIME
 SPAN, SKETCH = 32, 64
 #: Rows that one id range should hold.
 RANGE_ROWS = 4_000
+#: Most ranges: beyond, ranges grow, which tasks sort and read as streams.
+MOST_RANGES = 10_000
 
 _M = np.uint64(PRIME)
 _LOW = np.uint64((1 << 32) - 1)
@@ -186,11 +189,16 @@ def with_following(docs: DataFrame, fn, out_schema: str, id_col: str = "doc_id",
     some = docs.select(F.col(f"`{id_col}`").alias("i"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t"))
     ids = some.select("i")
     rows = ids.count()
-    n = max(1, math.ceil(rows / RANGE_ROWS))
+    n = min(max(1, math.ceil(rows / RANGE_ROWS)), MOST_RANGES)
     cuts = sorted(set(ids.where("i is not null").approxQuantile("i", [k / n for k in range(1, n)], 0.2 / n))) if n > 1 else []
     # part 0 holds the largest ids; rows without an id come last
-    largest = F.array(*[F.lit(c).cast("long") for c in reversed(cuts)]).cast("array<bigint>")
-    part = F.when(F.col("i").isNull(), F.lit(len(cuts))).otherwise(F.size(F.filter(largest, lambda c: c > F.col("i"))))
+    bounds = spark.sparkContext.broadcast(np.array(cuts, np.float64).astype(np.int64))
+
+    @F.pandas_udf("int")
+    def part_of(i: pd.Series) -> pd.Series:  # sees the ids only, the texts stay where they are
+        return pd.Series((len(bounds.value) - np.searchsorted(bounds.value, i.to_numpy(), side="right")).astype(np.int32))
+
+    part = F.when(F.col("i").isNull(), F.lit(len(cuts))).otherwise(part_of(F.coalesce("i", F.lit(0))))
     dealt = some.withColumn("part", part)
     tops = dealt.groupBy("part").agg(F.max("i").alias("top"), F.count("*").alias("n")).orderBy("part").collect()  # one row a range
     before = {r["part"]: tops[k - 1]["part"] for k, r in enumerate(tops)}

@@ -54,6 +54,8 @@ REPEAT = 0.065
 #: Bins per unit of -ln(p), and the largest bin.
 BINS, LAST_BIN = 50, 2000
 MASK = "[SECRET]"
+#: Matches of a text whose places are summed up together.
+CHUNK = 128
 
 
 def _phi(z: Column) -> Column:
@@ -70,10 +72,15 @@ def _at_least(p: Column) -> Column:
 
 
 def _spans(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, hit>> of all matches, empty if there is none."""
+    """array<struct<start, end, hit>> of all matches, empty if there is none.
+
+    Starts are running sums over the gaps and matches. They are formed in chunks of ``CHUNK``
+    matches, as an array that grows by one copies all it holds.
+    """
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     none = F.array().cast("array<struct<start:int,end:int,hit:string>>")
     zipped = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit"))
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(hits) - 1) / CHUNK).cast("int")), lambda k: F.slice(zipped, k * CHUNK + 1, CHUNK))
 
     def step(acc, x):
         start = acc["at"] + F.length(x["gap"])
@@ -81,8 +88,13 @@ def _spans(text: Column, pattern: str) -> Column:
         one = F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit")))
         return F.struct(end.alias("at"), F.concat(acc["found"], one).alias("found"))
 
-    found = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("found")), step)["found"]
-    return F.when(text.rlike(pattern), found).otherwise(none)
+    def chunk_step(acc, chunk):
+        more = F.aggregate(chunk, F.struct(acc["at"].alias("at"), none.alias("found")), step)
+        return F.struct(more["at"].alias("at"), F.concat(acc["found"], F.array(more["found"])).alias("found"))
+
+    lists = F.array().cast("array<array<struct<start:int,end:int,hit:string>>>")
+    found = F.aggregate(chunks, F.struct(F.lit(0).alias("at"), lists.alias("found")), chunk_step)["found"]
+    return F.when(text.rlike(pattern), F.flatten(found)).otherwise(none)
 
 
 def battery(token: Column) -> Column:
