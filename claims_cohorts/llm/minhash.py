@@ -7,9 +7,9 @@
 2. Every row gets a number in a staged table, and all steps go by that number. Texts with equal
    sets form a class; only the class's least number goes on.
 3. ``BANDS`` bands of ``ROWS`` slots give buckets. In each of ``STAR_ROUNDS`` rounds every document is
-   paired with one hub: the documents have an order by hash, each bucket's first is its hub, and
-   of the hubs of its buckets a document takes the first that is of another component. So
-   a round has at most one pair a document, however many buckets a group of copies shares.
+   paired with ``HUBS`` hubs: for each, the documents have an order by hash, each bucket's first is
+   its hub, and of its buckets' hubs that are of another component a document takes the one that it
+   shares most buckets with, hence the most similar. So a round has at most that many pairs a document, however many buckets a group of copies shares.
    Pairs whose signatures agree in a share of slots of ``LEAST_AGREEMENT`` or more are confirmed on
    the full sets (100 * intersection >= 75 * union), and links merge components.
 4. What is left in a bucket in different components is then paired exhaustively, again
@@ -46,7 +46,8 @@ PERCENT = 75
 LEAST_AGREEMENT = 0.6
 #: Slots of the finer signature that settles most exhaustive pairs, and their least agreement.
 FINE_SLOTS, FINE_AGREEMENT = 512, 0.675
-STAR_ROUNDS = 3
+#: Rounds, and hubs that a document is paired with in each.
+STAR_ROUNDS, HUBS = 2, 2
 #: Size of the filter that keeps texts nobody asked for out of a join.
 FILTER_BYTES = 1 << 20
 #: Members of a bucket that one task compares with as many others.
@@ -251,13 +252,16 @@ def _mixed_buckets(labelled: DataFrame) -> DataFrame:
 
 
 def _star_pairs(labelled: DataFrame, turn: int) -> DataFrame:
-    """Each document with one hub of this turn: the first by hash of its buckets' hubs that is of
-    another component."""
-    order = F.xxhash64("id", F.lit(turn))
-    hubs = labelled.groupBy("key").agg(F.min_by(F.struct("id", "comp"), order).alias("hub"))
-    met = labelled.join(hubs, "key").where("comp <> hub.comp")
-    one = met.groupBy("id").agg(F.min_by(F.col("hub.id"), F.xxhash64("hub.id", F.lit(turn))).alias("hub"))
-    return one.select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v")).distinct()
+    """Each document with ``HUBS`` hubs of this turn: of its buckets' hubs that are of another component
+    the one that it shares most buckets with."""
+    out = None
+    for no in range(turn * HUBS, (turn + 1) * HUBS):
+        hubs = labelled.groupBy("key").agg(F.min_by(F.struct("id", "comp"), F.xxhash64("id", F.lit(no))).alias("hub"))
+        met = labelled.join(hubs, "key").where("comp <> hub.comp")
+        often = met.groupBy("id", F.col("hub.id").alias("h")).agg(F.count("*").alias("n"))
+        one = often.groupBy("id").agg(F.max_by("h", F.struct("n", F.xxhash64("h", F.lit(no)))).alias("hub"))
+        out = one if out is None else out.unionByName(one)
+    return out.select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v")).distinct()
 
 
 def _shared_counts(members: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -81,11 +81,11 @@ def test_rows_without_id_are_returned(make_docs):
     assert sorted((r["n_shingles"], r["component_id"], r["kept"]) for r in got) == [(0, None, True)] * 2 + [(1, None, True)] + [(2, None, False)] * 2 + [(2, None, True)]
 
 
-def test_a_round_has_one_pair_a_document(spark):
+def test_a_round_has_few_pairs_a_document(spark):
     """Copies that share all buckets, but for an own one each."""
     rows = [(k, i, i) for i in range(300) for k in [*range(32), 1000 + i]]
     pairs = minhash._star_pairs(spark.createDataFrame(rows, "key long, id long, comp long"), 0)
-    assert pairs.count() <= 300
+    assert pairs.count() <= 300 * minhash.HUBS
 
 
 def test_rows_of_one_id_are_judged_by_their_own_text(make_docs):
