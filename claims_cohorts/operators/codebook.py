@@ -58,7 +58,7 @@ def codebook(diagnoses: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     codes = diagnoses.select(ICD).distinct()
     keys, lengths, others = prefix_index(rules)
     # the whole table is one literal: few calls to build the plan, whatever the number of patterns
-    index = diagnoses.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(keys)), _INDEX_SCHEMA)))
+    index = F.broadcast(diagnoses.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(keys)), _INDEX_SCHEMA))))  # bounded by the configuration
     own = F.concat(F.lit("="), F.col(ICD))
     begins = F.expr(f"transform(filter(array({', '.join(map(str, lengths))}), n -> n <= length({ICD})), n -> concat('^', substring({ICD}, 1, n)))")
     all_keys = F.concat(F.array(own), begins) if lengths else F.array(own)

@@ -52,14 +52,14 @@ def procedure_support_window(index: DataFrame, tables: ClaimsTables, codes: Sequ
     """Keep index rows with a matching procedure in ``[index - window_days, index]``."""
     if not codes:
         return index.where(F.lit(False))  # no codes: nobody has support
-    return keep_with(index, procedure_events(tables, codes), EventWindow.lookback_days(window_days, inclusive_anchor=True))
+    return keep_with(index, procedure_events(tables, codes), EventWindow.lookback_days(window_days, inclusive_anchor=True), prefilter=True)
 
 
 def drug_support_window(index: DataFrame, tables: ClaimsTables, names: Sequence[str], window_days: int = 180) -> DataFrame:
     """Keep index rows with a matching pharmacy claim in ``[index - window_days, index]``."""
     if not names:
         return index.where(F.lit(False))  # no codes: nobody has support
-    return keep_with(index, drug_events(tables, names), EventWindow.lookback_days(window_days, inclusive_anchor=True))
+    return keep_with(index, drug_events(tables, names), EventWindow.lookback_days(window_days, inclusive_anchor=True), prefilter=True)
 
 
 def support_flags(

@@ -106,9 +106,14 @@ def window_flags(
     event_date: str = DATE,
     role_col: str = "role",
     anchors_unique: bool = True,
+    prefilter: bool = False,
 ) -> DataFrame:
     """Add one boolean column per rule: ``rules[name] = (role, window)``.
 
+    With ``prefilter`` events of members without an anchor are dropped before the shuffle, by a
+    filter of fixed size (``operators/memberfilter.py``). It reads the anchors a second time, so it
+    pays where events are many more than the claims that the anchors come from.
+
     ``events`` holds (keys, member, event_date[, role]); a rule with role None uses
     all events. All rules are evaluated in one shuffle and one pass per member.
     When ``anchors_unique`` is False (e.g. claim rows, possibly many per member and
@@ -118,14 +123,14 @@ def window_flags(
     part = [*keys, MEMBER]
     if not anchors_unique:
         base = anchors.select(*part, anchor_date).where(F.col(anchor_date).isNotNull()).distinct()
-        flagged = window_flags(base, events, rules, keys, anchor_date, event_date, role_col, True)
+        flagged = window_flags(base, events, rules, keys, anchor_date, event_date, role_col, True, prefilter)
         out = anchors.join(flagged, [*part, anchor_date], "left")
         for name in rules:
             out = out.withColumn(name, F.coalesce(F.col(name), F.lit(False)))
         return out.select(*anchors.columns, *rules)
 
-    # no rule needs the events of members without an anchor: they aren't shuffled
-    events = of_members(events, anchors)
+    if prefilter:
+        events = of_members(events, anchors)
     roles = sorted({r for r, _ in rules.values() if r is not None})
     use_role = bool(roles) and role_col in events.columns
     ev_cols = [*part, F.col(event_date).cast("date").alias("_t")]
@@ -202,8 +207,9 @@ def window_flag(
     anchor_date: str = INDEX,
     event_date: str = DATE,
     anchors_unique: bool = True,
+    prefilter: bool = False,
 ) -> DataFrame:
-    return window_flags(anchors, events, {name: (None, window)}, keys, anchor_date, event_date, anchors_unique=anchors_unique)
+    return window_flags(anchors, events, {name: (None, window)}, keys, anchor_date, event_date, anchors_unique=anchors_unique, prefilter=prefilter)
 
 
 def keep_without(
@@ -214,9 +220,10 @@ def keep_without(
     anchor_date: str = INDEX,
     event_date: str = DATE,
     anchors_unique: bool = True,
+    prefilter: bool = False,
 ) -> DataFrame:
     """Anti filter: drop anchors having an event in the window."""
-    f = window_flag(anchors, events, window, "_hit", keys, anchor_date, event_date, anchors_unique)
+    f = window_flag(anchors, events, window, "_hit", keys, anchor_date, event_date, anchors_unique, prefilter)
     return f.where(~F.col("_hit")).drop("_hit")
 
 
@@ -228,18 +235,21 @@ def keep_with(
     anchor_date: str = INDEX,
     event_date: str = DATE,
     anchors_unique: bool = True,
+    prefilter: bool = False,
 ) -> DataFrame:
     """Semi filter: keep anchors having an event in the window."""
-    f = window_flag(anchors, events, window, "_hit", keys, anchor_date, event_date, anchors_unique)
+    f = window_flag(anchors, events, window, "_hit", keys, anchor_date, event_date, anchors_unique, prefilter)
     return f.where(F.col("_hit")).drop("_hit")
 
 
 # --- named operators -------------------------------------------------------------
 
 
-def exclude_within_window(index: DataFrame, events: DataFrame, days: Number, keys: Sequence[str] = ()) -> DataFrame:
+def exclude_within_window(
+    index: DataFrame, events: DataFrame, days: Number, keys: Sequence[str] = (), prefilter: bool = False
+) -> DataFrame:
     """Drop index rows with an event within ``days`` of the index date (both sides, inclusive)."""
-    return keep_without(index, events, EventWindow.symmetric(days), keys)
+    return keep_without(index, events, EventWindow.symmetric(days), keys, prefilter=prefilter)
 
 
 def lookback_exclusion(claims: DataFrame, events: DataFrame, months: Number, keys: Sequence[str] = ()) -> DataFrame:
@@ -269,8 +279,9 @@ def exclude_ever(index: DataFrame, events: DataFrame, keys: Sequence[str] = ())
 
 
 def clean_period(index: DataFrame, claims: DataFrame, lookback_days: Number = 365, keys: Sequence[str] = ()) -> DataFrame:
-    """Drop index rows with any claim in ``[index - lookback_days, index)``."""
-    return keep_without(index, claims, EventWindow.lookback_days(lookback_days), keys)
+    """Drop index rows with any claim in ``[index - lookback_days, index)``. Of all claims of the
+    table, only those of index members are shuffled."""
+    return keep_without(index, claims, EventWindow.lookback_days(lookback_days), keys, prefilter=True)
 
 
 def symptom_flag(
