@@ -9,7 +9,9 @@
 3. ``BANDS`` bands of ``ROWS`` slots give buckets. In each of ``STAR_ROUNDS`` rounds every document is
    paired with ``HUBS`` hubs: for each, the documents have an order by hash, each bucket's first is
    its hub, and of its buckets' hubs that are of another component a document takes the one that it
-   shares most buckets with, hence the most similar. So a round has at most that many pairs a document, however many buckets a group of copies shares.
+   shares most buckets with, hence the most similar, if these are ``LEAST_SHARED`` or more (pairs at
+   similarity 0.75 share 10 on average). So a round has at most that many pairs a document, however
+   many buckets a group of copies shares.
    Pairs whose signatures agree in a share of slots of ``LEAST_AGREEMENT`` or more are confirmed on
    the full sets (100 * intersection >= 75 * union), and links merge components.
 4. What is left in a bucket in different components is then paired exhaustively, again
@@ -48,6 +50,8 @@ LEAST_AGREEMENT = 0.6
 FINE_SLOTS, FINE_AGREEMENT = 512, 0.675
 #: Rounds, and hubs that a document is paired with in each.
 STAR_ROUNDS, HUBS = 2, 2
+#: Buckets that a document must share with its hub; fewer leave the pair to the exhaustive stage.
+LEAST_SHARED = 4
 #: Size of the filter that keeps texts nobody asked for out of a join.
 FILTER_BYTES = 1 << 20
 #: Members of a bucket that one task compares with as many others.
@@ -258,7 +262,7 @@ def _star_pairs(labelled: DataFrame, turn: int) -> DataFrame:
     for no in range(turn * HUBS, (turn + 1) * HUBS):
         hubs = labelled.groupBy("key").agg(F.min_by(F.struct("id", "comp"), F.xxhash64("id", F.lit(no))).alias("hub"))
         met = labelled.join(hubs, "key").where("comp <> hub.comp")
-        often = met.groupBy("id", F.col("hub.id").alias("h")).agg(F.count("*").alias("n"))
+        often = met.groupBy("id", F.col("hub.id").alias("h")).agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_SHARED)
         one = often.groupBy("id").agg(F.max_by("h", F.struct("n", F.xxhash64("h", F.lit(no)))).alias("hub"))
         out = one if out is None else out.unionByName(one)
     return out.select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v")).distinct()
