@@ -49,7 +49,7 @@ LEAST_AGREEMENT = 0.6
 #: Slots of the finer signature that settles most exhaustive pairs, and their least agreement.
 FINE_SLOTS, FINE_AGREEMENT = 512, 0.675
 #: Rounds, and hubs that a document is paired with in each.
-STAR_ROUNDS, HUBS = 2, 2
+STAR_ROUNDS, HUBS = 2, 8
 #: Buckets that a document must share with its hub; fewer leave the pair to the exhaustive stage.
 LEAST_SHARED = 4
 #: Size of the filter that keeps texts nobody asked for out of a join.
@@ -258,14 +258,12 @@ def _mixed_buckets(labelled: DataFrame) -> DataFrame:
 def _star_pairs(labelled: DataFrame, turn: int) -> DataFrame:
     """Each document with ``HUBS`` hubs of this turn: of its buckets' hubs that are of another component
     the one that it shares most buckets with."""
-    out = None
-    for no in range(turn * HUBS, (turn + 1) * HUBS):
-        hubs = labelled.groupBy("key").agg(F.min_by(F.struct("id", "comp"), F.xxhash64("id", F.lit(no))).alias("hub"))
-        met = labelled.join(hubs, "key").where("comp <> hub.comp")
-        often = met.groupBy("id", F.col("hub.id").alias("h")).agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_SHARED)
-        one = often.groupBy("id").agg(F.max_by("h", F.struct("n", F.xxhash64("h", F.lit(no)))).alias("hub"))
-        out = one if out is None else out.unionByName(one)
-    return out.select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v")).distinct()
+    orders = [F.xxhash64("id", F.lit(no)) for no in range(turn * HUBS, (turn + 1) * HUBS)]
+    hubs = labelled.groupBy("key").agg(F.array(*[F.min_by(F.struct("id", "comp"), order) for order in orders]).alias("hubs"))
+    met = labelled.join(hubs, "key").select("id", "comp", F.posexplode("hubs").alias("no", "hub")).where("comp <> hub.comp")
+    often = met.groupBy("id", "no", F.col("hub.id").alias("h")).agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_SHARED)
+    one = often.groupBy("id", "no").agg(F.max_by("h", F.struct("n", F.xxhash64("h", "no"))).alias("hub"))
+    return one.select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v")).distinct()
 
 
 def _shared_counts(members: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
