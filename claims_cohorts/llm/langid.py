@@ -18,7 +18,6 @@ columns are ignored, clashing names included; an empty table gives an empty resu
 
 from __future__ import annotations
 
-import re
 import sys
 from collections import Counter
 
@@ -41,22 +40,35 @@ WORD_CHARS = 64
 #: Width in bits of a language's field in a packed sum.
 FIELD = 40
 
-#: Word characters that are neither letters nor decimal digits, such as a half or a Roman numeral.
-_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_LETTERS = re.compile(rf"[^\W\d_{_NUMERALS}]+")
+#: By code point, whether it is a letter.
+_IS_LETTER = np.fromiter(map(str.isalpha, map(chr, range(sys.maxunicode + 1))), bool, sys.maxunicode + 1)
 
 
 def words(text: str | None) -> list[str]:
     """Lower-case runs of letters, the overlong ones in parts."""
-    found = _LETTERS.findall(text.lower()) if text else []
+    if not text:
+        return []
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
+    found = np.where(_IS_LETTER[points], points, np.uint32(32)).astype("<u4").tobytes().decode("utf-32-le").split()
     if found and max(map(len, found)) > WORD_CHARS:
         found = [w[i : i + WORD_CHARS] for w in found for i in range(0, len(w), WORD_CHARS)]
     return found
 
 
-def grams(word: str) -> list[str]:
+def windows(word: str) -> list[str]:
+    """What stands at each place of the marked word, up to the longest n-gram: the n-grams of a word are
+    those that its windows begin with."""
     marked = f" {word} "
-    return [marked[i : i + n] for n in SIZES for i in range(len(marked) - n + 1) if n > 1 or marked[i] != " "]
+    return [marked[i : i + SIZES[-1]] for i in range(len(marked))]
+
+
+def window_grams(window: str) -> list[str]:
+    """The n-grams at the begin of a window, the boundary mark alone left out."""
+    return [window[:n] for n in SIZES if n <= len(window) and (n > 1 or window[0] != " ")]
+
+
+def grams(word: str) -> list[str]:
+    return [g for w in windows(word) for g in window_grams(w)]
 
 
 def slots(gram: str, n_slots: int = SLOTS) -> list[int]:
@@ -84,16 +96,25 @@ def gram_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
                 seen = {}
         yield _flushed(Counter({(lang, w): n for lang, c in seen.items() for w, n in c.items()}), ["lang", "word"])
 
+    def gram_batch(seen):
+        counter: Counter = Counter()
+        for lang, some in seen.items():
+            for w, n in some.items():
+                for g in window_grams(w):
+                    counter[lang, g] += n
+        return _flushed(counter, ["lang", "gram"])
+
     def count_grams(batches):
-        seen: Counter = Counter()
+        seen: dict[str, dict[str, int]] = {}
         for b in batches:
             for lang, word, n in zip(*(b.column(i).to_pylist() for i in range(3))):
-                for g in grams(word):
-                    seen[lang, g] += n
-                if len(seen) > COUNTER_ROWS:
-                    yield _flushed(seen, ["lang", "gram"])
-                    seen = Counter()
-        yield _flushed(seen, ["lang", "gram"])
+                some = seen.setdefault(lang, {})
+                for w in windows(word):
+                    some[w] = some.get(w, 0) + n
+            if sum(map(len, seen.values())) > COUNTER_ROWS:
+                yield gram_batch(seen)
+                seen = {}
+        yield gram_batch(seen)
 
     some = docs.where(F.col(f"`{lang_col}`").isNotNull()).select(F.col(f"`{text_col}`").alias("t"), F.col(f"`{lang_col}`").cast("string").alias("l"))
     by_word = some.mapInArrow(count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
@@ -140,24 +161,27 @@ class Predictor:
     """Packed sums: bits 0..FIELD-1 count n-grams, each further field one language's hits."""
 
     def __init__(self, model: Model):
-        self.m, self.of_word, self.of_gram = model, {}, {}
+        self.m, self.of_word, self.of_window = model, {}, {}
 
     def gram(self, g: str) -> int:
         masks = np.bitwise_and.reduce(self.m.masks[slots(g, len(self.m.masks))], axis=0)
         hit = sum(int(x) << 64 * i for i, x in enumerate(masks))
         return 1 + sum(1 << FIELD * (i + 1) for i in range(len(self.m.langs)) if hit >> i & 1)
 
+    def window(self, w: str) -> int:
+        if len(self.of_window) > CACHE_ROWS:
+            self.of_window.clear()
+        self.of_window[w] = total = sum(map(self.gram, window_grams(w)))
+        return total
+
     def word(self, w: str) -> int:
-        total, known = 0, self.of_gram
-        for g in grams(w):
-            if (v := known.get(g)) is None:
-                if len(known) > CACHE_ROWS:
-                    known.clear()
-                v = known[g] = self.gram(g)
-            total += v
+        found = windows(w)
+        got = list(map(self.of_window.get, found))
+        if None in got:
+            got = [self.window(x) if v is None else v for x, v in zip(found, got)]
         if len(self.of_word) > CACHE_ROWS:
             self.of_word.clear()
-        self.of_word[w] = total
+        self.of_word[w] = total = sum(got)
         return total
 
     def text(self, text: str | None) -> tuple[str, float]:
@@ -165,7 +189,9 @@ class Predictor:
         if not found or not self.m.langs:
             return "und", 0.0
         got = list(map(self.of_word.get, found))
-        total = sum(v for v in got if v is not None) + sum(self.word(w) for w, v in zip(found, got) if v is None)
+        if None in got:
+            got = [self.word(w) if v is None else v for w, v in zip(found, got)]
+        total = sum(got)
         mask = (1 << FIELD) - 1
         n = total & mask
         rates = []
@@ -201,7 +227,7 @@ def with_letters(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def keep(batches):
         for b in tokens.small_batches(batches):
-            yield b.filter(pa.array([bool(_LETTERS.search(t or "")) for t in b.column(at).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([any(map(str.isalpha, t or "")) for t in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
 

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -42,6 +43,29 @@ def test_filter_returns_every_language_that_has_a_gram(make_docs):
     assert max(model.false_rate) < 0.01
 
 
+def test_windows_give_the_grams_of_a_word():
+    for word in ("a", "ab", "abc", "ñandúes", "é" * 9, "𐐨𐐩x"):
+        marked = f" {word} "
+        want = [marked[i : i + n] for n in langid.SIZES for i in range(len(marked) - n + 1)]
+        assert sorted(langid.grams(word)) == sorted(g for g in want if g != " ")
+        assert len(langid.windows(word)) == len(marked)  # one look-up a place, not one an n-gram
+
+
+def test_words_cost_little_more_than_a_split():
+    text = "the quick brown fox, 2 jumped ½ over _the_ lazy dog; " * 4000
+    assert langid.words(text)[:9] == ["the", "quick", "brown", "fox", "jumped", "over", "the", "lazy", "dog"]
+
+    def seconds(f):
+        def once():
+            start = time.perf_counter()
+            f(text)
+            return time.perf_counter() - start
+
+        return min(once() for _ in range(7))
+
+    assert seconds(langid.words) < 12 * seconds(str.split)
+
+
 def test_resampling_prefers_the_target(spark):
     docs, labels = (common.read_table(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))
     rows = quality.resample(docs, labels).join(labels, "doc_id").collect()
