@@ -52,7 +52,7 @@ FINE_SLOTS, FINE_AGREEMENT = 512, 0.675
 STAR_ROUNDS, HUBS = 2, 8
 #: Buckets that a document must share with its hub; fewer leave the pair to the exhaustive stage.
 LEAST_SHARED = 4
-#: Size of the filter that keeps texts nobody asked for out of a join.
+#: Size of the filter that keeps texts, signatures and keys nobody asked for out of a join.
 FILTER_BYTES = 1 << 20
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 256
@@ -176,8 +176,9 @@ def profiles(docs: DataFrame, id_col: str, text_col: str, name_col: str) -> Data
 
 
 def agreeing(pairs: DataFrame, profile: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose signatures agree in enough slots."""
-    sigs = profile.select("id", "sig")
+    """The pairs (u, v), a staged table, whose signatures agree in enough slots."""
+    wanted = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id")))
+    sigs = only_wanted(profile.select("id", "sig"), wanted)
     both = pairs.join(sigs.toDF("u", "su"), "u").join(sigs.toDF("v", "sv"), "v").select("u", "v", "su", "sv")
 
     def keep(batches):
@@ -198,20 +199,23 @@ def _maybe_in(ids: DataFrame) -> np.ndarray:
     return bits
 
 
-def wanted_texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text) of the documents ``ids`` and a few others: a filter of fixed size keeps
-    most other texts out where they are read, so that none of them is shuffled."""
-    bits = docs.sparkSession.sparkContext.broadcast(_maybe_in(ids))
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    hashed = texts.where("id is not null").withColumn("at", F.pmod(F.xxhash64("id"), F.lit(8 * FILTER_BYTES)))
+def only_wanted(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id is among ``ids``, and a few others: a filter of fixed size keeps most
+    other rows out where they are read, so that none of them is shuffled."""
+    bits = rows.sparkSession.sparkContext.broadcast(_maybe_in(ids))
+    hashed = rows.where("id is not null").withColumn("__at", F.pmod(F.xxhash64("id"), F.lit(8 * FILTER_BYTES)))
 
     def keep(batches):
         for b in batches:
-            at = b.column("at").to_numpy()
-            some = b.filter(pa.array((bits.value[at // 8] >> (at % 8) & 1).astype(bool)))
-            yield pa.RecordBatch.from_arrays([some.column("id"), some.column("text")], names=["id", "text"])
+            at = b.column("__at").to_numpy()
+            yield b.select(b.schema.names[:-1]).filter(pa.array((bits.value[at // 8] >> (at % 8) & 1).astype(bool)))
+
+    return hashed.mapInArrow(keep, rows.schema)
 
-    return hashed.mapInArrow(keep, "id long, text string")
+
+def wanted_texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text) of the documents ``ids`` and a few others."""
+    return only_wanted(docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")), ids)
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -284,8 +288,9 @@ def _shared_counts(members: DataFrame, docs: DataFrame, id_col: str, text_col: s
     spread = each.groupBy("x").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("x")
     shared = each.join(spread, "x", "left_semi").groupBy("id").agg(F.count("*").alias("shared"))
     # of two similar texts, each has PERCENT of its shingles in the other
-    counts = sets.join(shared, "id").where(100 * F.col("shared") >= PERCENT * F.size("shingles"))
-    out = common.staged(counts.select("id", "fine", F.size("shingles").alias("n"), "shared"))
+    # (the sets themselves are counted where they are read, and not shuffled)
+    counts = sets.select("id", "fine", F.size("shingles").alias("n")).join(shared, "id").where(100 * F.col("shared") >= PERCENT * F.col("n"))
+    out = common.staged(counts.select("id", "fine", "n", "shared"))
     common.unstage(sets)
     return out
 
@@ -294,7 +299,7 @@ def _rest_pairs(labelled: DataFrame, profile: DataFrame, docs: DataFrame, id_col
     """All pairs of a bucket in different components whose signatures agree, by blocks, and the
     staged table that they come from."""
     few = _shared_counts(labelled.select("id", "comp").distinct(), docs, id_col, text_col)
-    counts = common.staged(few.join(profile.select("id", "keys"), "id"))
+    counts = common.staged(few.join(only_wanted(profile.select("id", "keys"), few.select("id")), "id"))
     common.unstage(few)
     labelled = _mixed_buckets(labelled.join(counts, "id", "left_semi"))
     sized = labelled.groupBy("key").agg(F.count("*").alias("n")).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
@@ -343,7 +348,9 @@ def duplicate_rows(rows: DataFrame, no_col: str, name_col: str = "doc_id", text_
     for turn in range(STAR_ROUNDS + 1):
         labelled = common.staged(_labelled(members, roots))
         if turn < STAR_ROUNDS:
-            pairs = common.staged(agreeing(_star_pairs(labelled, turn), reps))
+            star = common.staged(_star_pairs(labelled, turn))
+            pairs = common.staged(agreeing(star, reps))
+            common.unstage(star)
         else:
             rest, counts = _rest_pairs(labelled, reps, rows, no_col, text_col)
             pairs = common.staged(rest)

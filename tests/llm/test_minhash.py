@@ -3,6 +3,8 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from claims_cohorts.llm import components, minhash
 
 
@@ -140,3 +142,12 @@ def test_stars(spark):
             root[a] = root[b] = m
     assert got == {u: v for u, v in root.items() if u != v}
     assert components.stars(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def test_rows_that_no_pair_asks_for_stay_out_of_the_join(spark):
+    rows = spark.range(20_000).select("id", F.concat(F.lit("s"), "id").alias("sig")).unionByName(spark.createDataFrame([(None, "none")], "id long, sig string"))
+    ids = spark.createDataFrame([(7,), (7,), (19_999,), (50_000,)], "id long")
+    got = {r["id"]: r["sig"] for r in minhash.only_wanted(rows, ids).collect()}
+    assert {7, 19_999} <= got.keys() and None not in got and len(got) < 50
+    assert all(sig == f"s{no}" for no, sig in got.items())
+    assert minhash.only_wanted(rows, ids.limit(0)).count() == 0
