@@ -71,16 +71,24 @@ def _at_least(p: Column) -> Column:
     return F.greatest(p, F.lit(1e-17))
 
 
+def _let(value: Column, then) -> Column:
+    """``then`` of ``value``, which is computed once however often ``then`` reads it."""
+    return F.transform(F.array(value), then)[0]
+
+
 def _spans(text: Column, pattern: str) -> Column:
     """array<struct<start, end, hit>> of all matches, empty if there is none.
 
     Starts are running sums over the gaps and matches. They are formed in chunks of ``CHUNK``
-    matches, as an array that grows by one copies all it holds.
+    matches, as an array that grows by one copies all it holds. Gaps, matches and their pairs are
+    bound once, so the pattern runs over a text once for each, however many chunks there are.
     """
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     none = F.array().cast("array<struct<start:int,end:int,hit:string>>")
-    zipped = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit"))
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(hits) - 1) / CHUNK).cast("int")), lambda k: F.slice(zipped, k * CHUNK + 1, CHUNK))
+    parts = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
+    pairs = _let(parts, lambda x: F.arrays_zip(F.slice(x["gaps"], F.lit(1), F.size(x["hits"])).alias("gap"), x["hits"].alias("hit")))
+
+    def chunked(x):
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / CHUNK).cast("int")), lambda k: F.slice(x, k * CHUNK + 1, CHUNK))
 
     def step(acc, x):
         start = acc["at"] + F.length(x["gap"])
@@ -90,10 +98,10 @@ def _spans(text: Column, pattern: str) -> Column:
 
     def chunk_step(acc, chunk):
         more = F.aggregate(chunk, F.struct(acc["at"].alias("at"), none.alias("found")), step)
-        return F.struct(more["at"].alias("at"), F.concat(acc["found"], F.array(more["found"])).alias("found"))
+        return _let(more, lambda m: F.struct(m["at"].alias("at"), F.concat(acc["found"], F.array(m["found"])).alias("found")))
 
     lists = F.array().cast("array<array<struct<start:int,end:int,hit:string>>>")
-    found = F.aggregate(chunks, F.struct(F.lit(0).alias("at"), lists.alias("found")), chunk_step)["found"]
+    found = F.aggregate(_let(pairs, chunked), F.struct(F.lit(0).alias("at"), lists.alias("found")), chunk_step)["found"]
     return F.when(text.rlike(pattern), F.flatten(found)).otherwise(none)
 
 
@@ -109,9 +117,6 @@ def battery(token: Column) -> Column:
 def _from_codes(body: Column, alphabet: Column) -> Column:
     """Each step adds fields that the next one reads, so that nothing is computed twice."""
 
-    def let(value: Column, then) -> Column:
-        return F.transform(F.array(value), then)[0]
-
     def sums(x):
         v, k = x["v"], x["k"]
         n = F.size(v)
@@ -151,7 +156,7 @@ def _from_codes(body: Column, alphabet: Column) -> Column:
 
     codes = F.transform(F.split(body, ""), lambda c: F.when(c != "", F.position(c, alphabet)).otherwise(0).cast("double"))
     start = F.struct(F.filter(codes, lambda v: v > 0).alias("v"), F.length(alphabet).alias("k"))
-    return let(let(let(start, sums), tests), joined)
+    return _let(_let(_let(start, sums), tests), joined)
 
 
 def _class(n: Column) -> Column:
@@ -206,14 +211,19 @@ def _base_spans(text: Column, kind: str, rank: int) -> Column:
 
 
 def all_spans(text: Column, cuts: list[int]) -> Column:
-    """Sorted array<struct<start, rank, kind, end>> of base and battery spans."""
+    """Sorted array<struct<start, rank, kind, end>> of base and battery spans. Most texts match no
+    pattern; for them nothing but the patterns is evaluated."""
+    none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
     parts = [_base_spans(text, kind, rank) for rank, kind in enumerate(BASE)]
     limits = F.array(*[F.lit(c) for c in cuts])
     chosen = F.filter(candidates(text), lambda x: (x["b"]["p_structured"] >= STRUCTURED) & (_bin(x["b"]["p_language"]) >= F.get(limits, _class(x["b"]["n"]))))
     chosen = F.when(text.rlike(CANDIDATE), chosen)
     random = F.transform(chosen, lambda x: F.struct(x["start"].alias("start"), F.lit(len(BASE)).alias("rank"), F.lit("random").alias("kind"), x["end"].alias("end")))
-    parts.append(F.coalesce(random, F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")))
-    return F.array_sort(F.concat(*parts))
+    parts.append(F.coalesce(random, none))
+    matched = text.rlike(CANDIDATE)
+    for pattern, _, _ in BASE.values():
+        matched = matched | text.rlike(pattern)
+    return F.when(matched, F.array_sort(F.concat(*parts))).otherwise(none)
 
 
 def scan(docs: DataFrame, text_col: str = "text", spans_col: str = "secret_spans") -> DataFrame:

@@ -57,6 +57,16 @@ def test_many_hits_in_one_text(spark, make_docs):
     assert took[1] < 8 * max(took[0], 0.3)
 
 
+def test_patterns_run_once_for_gaps_and_once_for_matches(spark):
+    """Not once more for each chunk of matches; and a text without a match stops at the patterns."""
+    spans = secrets._spans(F.col("text"), secrets.CANDIDATE)._jc.toString()
+    assert spans.count("regexp_extract_all") == 1 and spans.count("split(") == 1
+    plan = spark.range(1).select(secrets.all_spans(F.lit("x").substr(F.lit(1), F.col("id").cast("int") + 1), [0] * 5).alias("s"))
+    top = plan._jdf.queryExecution().analyzed().expressions().head().child()
+    assert top.getClass().getSimpleName() == "CaseWhen"
+    assert plan.first()["s"] == []
+
+
 def test_query_digest(spark, corpus):
     _, rows = corpus
     got = {r["doc_id"]: r for r in queries.op4_secret_scan(spark, "/root/testdata/sf0.001").collect()}
