@@ -145,12 +145,12 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def _short(sig: np.ndarray) -> list[bytes]:
-    """16 bits of each slot; unequal slots agree by chance once in 65,536."""
-    return [x.tobytes() for x in (_scattered(sig.astype(np.uint64)) & np.uint64(0xFFFF)).astype("<u2")]
+    """8 bits of each slot; unequal slots agree by chance once in 256, which only lets more pairs through."""
+    return [x.tobytes() for x in (_scattered(sig.astype(np.uint64)) & np.uint64(0xFF)).astype(np.uint8)]
 
 
 def profiles(docs: DataFrame, id_col: str, text_col: str, name_col: str) -> DataFrame:
-    """id, name, n_shingles, set_key (hash of the set), sig (16 bits of each slot), keys (buckets)."""
+    """id, name, n_shingles, set_key (hash of the set), sig (8 bits of each slot), keys (buckets)."""
     common.ship(docs.sparkSession)
 
     def profile(batches):
@@ -183,7 +183,7 @@ def agreeing(pairs: DataFrame, profile: DataFrame) -> DataFrame:
 
     def keep(batches):
         for b in batches:
-            a, c = (np.frombuffer(b"".join(b.column(k).to_pylist()), "<u2").reshape(-1, SLOTS) for k in (2, 3))
+            a, c = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, SLOTS) for k in (2, 3))
             ok = (a == c).sum(axis=1) >= LEAST_AGREEMENT * SLOTS
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], names=["u", "v"])
 
@@ -202,13 +202,17 @@ def _maybe_in(ids: DataFrame) -> np.ndarray:
 def only_wanted(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows whose id is among ``ids``, and a few others: a filter of fixed size keeps most
     other rows out where they are read, so that none of them is shuffled."""
-    bits = rows.sparkSession.sparkContext.broadcast(_maybe_in(ids))
+    return _by_filter(rows, rows.sparkSession.sparkContext.broadcast(_maybe_in(ids)), True)
+
+
+def _by_filter(rows: DataFrame, bits, inside: bool) -> DataFrame:
+    """The rows with an id that are in the broadcast filter ``bits``, or those that are not."""
     hashed = rows.where("id is not null").withColumn("__at", F.pmod(F.xxhash64("id"), F.lit(8 * FILTER_BYTES)))
 
     def keep(batches):
         for b in batches:
             at = b.column("__at").to_numpy()
-            yield b.select(b.schema.names[:-1]).filter(pa.array((bits.value[at // 8] >> (at % 8) & 1).astype(bool)))
+            yield b.select(b.schema.names[:-1]).filter(pa.array((bits.value[at // 8] >> (at % 8) & 1).astype(bool) == inside))
 
     return hashed.mapInArrow(keep, rows.schema)
 
@@ -279,11 +283,11 @@ def _shared_counts(members: DataFrame, docs: DataFrame, id_col: str, text_col: s
             sets = [shingle_set(t) for t in b.column(1).to_pylist()]
             fine = _short(signatures(sets, FINE_SLOTS))
             shingles = pa.array([s.view(np.int64).tolist() for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fine, pa.binary()), shingles], names=["id", "fine", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fine, pa.binary()), shingles, b.column(2)], names=["id", "fine", "shingles", "comp"])
 
-    texts = wanted_texts(docs, members.select("id"), id_col, text_col)
-    sets = texts.mapInArrow(to_set, "id long, fine binary, shingles array<long>")
-    sets = common.staged(sets.join(members, "id"))
+    # the texts meet their components, not the sets: these are several times as long
+    texts = wanted_texts(docs, members.select("id"), id_col, text_col).join(members, "id").select("id", "text", "comp")
+    sets = common.staged(texts.mapInArrow(to_set, "id long, fine binary, shingles array<long>, comp long"))
     each = sets.select("id", "comp", F.explode("shingles").alias("x"))
     spread = each.groupBy("x").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("x")
     shared = each.join(spread, "x", "left_semi").groupBy("id").agg(F.count("*").alias("shared"))
@@ -311,7 +315,7 @@ def _rest_pairs(labelled: DataFrame, profile: DataFrame, docs: DataFrame, id_col
 
     def compare(table: pa.Table) -> pa.Table:
         ids, comp, block, n, shared = (table.column(c).to_numpy() for c in ("id", "comp", "block", "n", "shared"))
-        sig = np.frombuffer(b"".join(table.column("fine").to_pylist()), "<u2").reshape(-1, FINE_SLOTS)
+        sig = np.frombuffer(b"".join(table.column("fine").to_pylist()), np.uint8).reshape(-1, FINE_SLOTS)
         keys = np.array(table.column("keys").to_pylist(), np.int64)
         band = int(np.flatnonzero(keys[0] == table.column("key")[0].as_py())[0])
         one = block == table.column("b1")[0].as_py()
@@ -332,6 +336,16 @@ def _rest_pairs(labelled: DataFrame, profile: DataFrame, docs: DataFrame, id_col
     return rows.applyInArrow(compare, "u long, v long").distinct(), counts
 
 
+def _representatives(one: DataFrame, whole: DataFrame) -> DataFrame:
+    """id, sig and keys of each class's least number. Most rows are alone in their class: only those that
+    the filter takes for copies are joined, so the others' signatures and keys are not shuffled."""
+    reps = whole.select(F.col("rep").alias("id"))
+    some = one.where("n_shingles > 0").select("id", "sig", "keys")
+    copies = some.select("id").join(reps, "id", "left_anti")
+    bits = one.sparkSession.sparkContext.broadcast(_maybe_in(copies))
+    return _by_filter(some, bits, False).unionByName(_by_filter(some, bits, True).join(reps, "id", "left_semi"))
+
+
 def duplicate_rows(rows: DataFrame, no_col: str, name_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, name, n_shingles and first, one row per row of ``rows``, a staged table whose rows have
     a unique number ``no_col``, given as id. first is the row (no_name, name, id) of the component
@@ -340,7 +354,7 @@ def duplicate_rows(rows: DataFrame, no_col: str, name_col: str = "doc_id", text_
     named = F.struct(F.col("name").isNull().alias("no_name"), "name", "id")
     whole = one.where("n_shingles > 0").groupBy("set_key").agg(F.min("id").alias("rep"), F.min(named).alias("first"))
     whole = common.staged(whole)
-    reps = common.staged(one.join(whole.select("rep"), F.col("id") == F.col("rep"), "left_semi").select("id", "sig", "keys"))
+    reps = common.staged(_representatives(one, whole))
     members = reps.select("id", F.explode("keys").alias("key"))
     shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = common.staged(members.join(shared, "key", "left_semi"))

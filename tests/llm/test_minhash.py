@@ -151,3 +151,16 @@ def test_rows_that_no_pair_asks_for_stay_out_of_the_join(spark):
     assert {7, 19_999} <= got.keys() and None not in got and len(got) < 50
     assert all(sig == f"s{no}" for no, sig in got.items())
     assert minhash.only_wanted(rows, ids.limit(0)).count() == 0
+
+
+def test_rows_alone_in_their_class_are_not_shuffled(spark):
+    """Signatures have a byte a slot, and only rows that may be copies are joined."""
+    assert len(minhash._short(np.arange(minhash.SLOTS, dtype=np.uint32)[None])[0]) == minhash.SLOTS
+    key = F.when(F.col("id") == 9, 7).otherwise(F.col("id"))
+    one = spark.range(20_000).select("id", key.alias("set_key"), F.when(F.col("id") == 11, 0).otherwise(5).alias("n_shingles"), F.lit("s").alias("sig"), F.array("id").alias("keys"))
+    whole = one.where("n_shingles > 0").groupBy("set_key").agg(F.min("id").alias("rep"))
+    reps = minhash._representatives(one, whole)
+    assert sorted((r["id"], r["sig"], r["keys"]) for r in reps.collect()) == [(i, "s", [i]) for i in range(20_000) if i not in (9, 11)]
+    union = reps._jdf.queryExecution().optimizedPlan()
+    assert union.nodeName() == "Union"
+    assert "Join" not in union.children().head().toString() and "Join" in union.children().last().toString()
