@@ -24,7 +24,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -140,7 +140,8 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", n_slo
     langs = sorted(totals)
     if not langs:
         return Model([], np.zeros((n_slots, 1), np.uint64), [])
-    info = spark.createDataFrame([Row(lang=x, total=totals[x], no=i) for i, x in enumerate(langs)])
+    # from Arrow: rows would pass through Python processes of another kind, with a daemon that stays on each executor
+    info = spark.createDataFrame(pa.table({"lang": pa.array(langs, pa.string()), "total": pa.array([totals[x] for x in langs], pa.int64()), "no": pa.array(range(len(langs)), pa.int64())}))
     kept = counts.join(F.broadcast(info), "lang").where(F.col("n") * GRAMS >= F.col("total"))
 
     def place(batches):

@@ -176,9 +176,10 @@ def profiles(docs: DataFrame, id_col: str, text_col: str, name_col: str) -> Data
 
 
 def agreeing(pairs: DataFrame, profile: DataFrame) -> DataFrame:
-    """The pairs (u, v), a staged table, whose signatures agree in enough slots."""
+    """The pairs (u, v) of ``pairs``, both staged tables, whose signatures agree in enough slots."""
     wanted = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id")))
-    sigs = only_wanted(profile.select("id", "sig"), wanted)
+    # staged: with small pairs, the filter and the comparison would be one stage with two Python processes a task
+    sigs = common.staged(only_wanted(profile.select("id", "sig"), wanted))
     both = pairs.join(sigs.toDF("u", "su"), "u").join(sigs.toDF("v", "sv"), "v").select("u", "v", "su", "sv")
 
     def keep(batches):
@@ -187,7 +188,9 @@ def agreeing(pairs: DataFrame, profile: DataFrame) -> DataFrame:
             ok = (a == c).sum(axis=1) >= LEAST_AGREEMENT * SLOTS
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], names=["u", "v"])
 
-    return both.mapInArrow(keep, "u long, v long")
+    out = common.staged(both.mapInArrow(keep, "u long, v long"))
+    common.unstage(sigs)
+    return out
 
 
 def _maybe_in(ids: DataFrame) -> np.ndarray:
@@ -199,14 +202,16 @@ def _maybe_in(ids: DataFrame) -> np.ndarray:
     return bits
 
 
-def only_wanted(rows: DataFrame, ids: DataFrame) -> DataFrame:
+def only_wanted(rows: DataFrame, ids: DataFrame, then=None, schema=None) -> DataFrame:
     """The rows whose id is among ``ids``, and a few others: a filter of fixed size keeps most
-    other rows out where they are read, so that none of them is shuffled."""
-    return _by_filter(rows, rows.sparkSession.sparkContext.broadcast(_maybe_in(ids)), True)
+    other rows out where they are read, so that none of them is shuffled. ``then`` as in ``_by_filter``."""
+    return _by_filter(rows, rows.sparkSession.sparkContext.broadcast(_maybe_in(ids)), True, then, schema)
 
 
-def _by_filter(rows: DataFrame, bits, inside: bool) -> DataFrame:
-    """The rows with an id that are in the broadcast filter ``bits``, or those that are not."""
+def _by_filter(rows: DataFrame, bits, inside: bool, then=None, schema=None) -> DataFrame:
+    """The rows with an id that are in the broadcast filter ``bits``, or those that are not. ``then``
+    makes their batches into those of ``schema`` in the same Python process: a second ``mapInArrow``
+    would take a second process a task."""
     hashed = rows.where("id is not null").withColumn("__at", F.pmod(F.xxhash64("id"), F.lit(8 * FILTER_BYTES)))
 
     def keep(batches):
@@ -214,12 +219,14 @@ def _by_filter(rows: DataFrame, bits, inside: bool) -> DataFrame:
             at = b.column("__at").to_numpy()
             yield b.select(b.schema.names[:-1]).filter(pa.array((bits.value[at // 8] >> (at % 8) & 1).astype(bool) == inside))
 
-    return hashed.mapInArrow(keep, rows.schema)
+    if then is None:
+        return hashed.mapInArrow(keep, rows.schema)
+    return hashed.mapInArrow(lambda batches: then(keep(batches)), schema)
 
 
-def wanted_texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text) of the documents ``ids`` and a few others."""
-    return only_wanted(docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")), ids)
+def wanted_texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, then=None, schema=None) -> DataFrame:
+    """(id, text) of the documents ``ids`` and a few others, or what ``then`` makes of them."""
+    return only_wanted(docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")), ids, then, schema)
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -230,7 +237,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) ->
         for b in tokens.small_batches(batches, 200):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["id", "shingles"])
 
-    sets = common.staged(wanted_texts(docs, wanted, id_col, text_col).mapInArrow(to_set, "id long, shingles binary"))
+    sets = common.staged(wanted_texts(docs, wanted, id_col, text_col, to_set, "id long, shingles binary"))
     both = pairs.join(sets.toDF("u", "su"), "u").join(sets.toDF("v", "sv"), "v").select("u", "v", "su", "sv")
 
     def keep(batches):
@@ -285,8 +292,9 @@ def _shared_counts(members: DataFrame, docs: DataFrame, id_col: str, text_col: s
             shingles = pa.array([s.view(np.int64).tolist() for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fine, pa.binary()), shingles, b.column(2)], names=["id", "fine", "shingles", "comp"])
 
-    # the texts meet their components, not the sets: these are several times as long
-    texts = wanted_texts(docs, members.select("id"), id_col, text_col).join(members, "id").select("id", "text", "comp")
+    # the texts meet their components, not the sets: these are several times as long; by a shuffle, so that
+    # the filter and the sets are two stages, with one Python process a task each
+    texts = wanted_texts(docs, members.select("id"), id_col, text_col).join(members.hint("merge"), "id").select("id", "text", "comp")
     sets = common.staged(texts.mapInArrow(to_set, "id long, fine binary, shingles array<long>, comp long"))
     each = sets.select("id", "comp", F.explode("shingles").alias("x"))
     spread = each.groupBy("x").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("x")
@@ -363,7 +371,7 @@ def duplicate_rows(rows: DataFrame, no_col: str, name_col: str = "doc_id", text_
         labelled = common.staged(_labelled(members, roots))
         if turn < STAR_ROUNDS:
             star = common.staged(_star_pairs(labelled, turn))
-            pairs = common.staged(agreeing(star, reps))
+            pairs = agreeing(star, reps)
             common.unstage(star)
         else:
             rest, counts = _rest_pairs(labelled, reps, rows, no_col, text_col)
