@@ -19,7 +19,9 @@
    component anyway, or refuted), while a group of copies costs a star and not all its pairs.
    Most pairs are refuted by an exact bound: two texts of different components can't have
    more shingles in common than either has in common with other components at all.
-   Blocks are compared by this bound and a finer signature; only what passes becomes rows.
+   The buckets with the same document of least hash, their hub, are compared as one group,
+   in blocks: by this bound, a finer signature and then the full sets, in the same task. Only
+   links that connect two components become rows, at most one fewer than a task's components.
 
 With 32 bands of 4 slots a pair of similarity 0.75 shares a bucket with probability 0.999995,
 and a pair at 0.75 falls under the agreement filter with probability below 1e-4.
@@ -54,8 +56,8 @@ STAR_ROUNDS, HUBS = 2, 8
 LEAST_SHARED = 4
 #: Size of the filter that keeps texts, signatures and keys nobody asked for out of a join.
 FILTER_BYTES = 1 << 20
-#: Members of a bucket that one task compares with as many others.
-BLOCK = 256
+#: Members of a group of buckets that one task compares with as many others, and their shingles.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 19
 #: Shingles that walk their permutations together.
 CHUNK = 1 << 16
 _STEP_BITS = 22
@@ -229,6 +231,14 @@ def wanted_texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, th
     return only_wanted(docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")), ids, then, schema)
 
 
+def _similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets have PERCENT of their union in common."""
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    at = np.minimum(np.searchsorted(large, small), max(len(large) - 1, 0))
+    same = int((large[at] == small).sum()) if len(large) else 0
+    return same > 0 and 100 * same >= PERCENT * (len(a) + len(b) - same)
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The pairs (u, v) of sufficiently similar full sets, as a staged table."""
     wanted = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
@@ -242,13 +252,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) ->
 
     def keep(batches):
         for b in tokens.small_batches(batches, 500):
-            ok = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                a, c = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                small, large = (a, c) if len(a) <= len(c) else (c, a)
-                at = np.minimum(np.searchsorted(large, small), max(len(large) - 1, 0))
-                same = int((large[at] == small).sum()) if len(large) else 0
-                ok.append(same > 0 and 100 * same >= PERCENT * (len(a) + len(c) - same))
+            ok = [_similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok, pa.bool_())), b.column(1).filter(pa.array(ok, pa.bool_()))], names=["u", "v"])
 
     out = common.staged(both.mapInArrow(keep, "u long, v long").distinct())
@@ -281,15 +285,16 @@ def _star_pairs(labelled: DataFrame, turn: int) -> DataFrame:
     return one.select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v")).distinct()
 
 
-def _shared_counts(members: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, fine, n, shared) of the documents of ``members`` (id, comp): a finer signature, the
-    number of shingles, and how many of them a document of another component has too."""
+def _shared_sets(members: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, fine, n, shared, shingles) of those documents of ``members`` (id, comp) that can have a link
+    to another component: a finer signature, the number of shingles, how many of them a document of
+    another component has too, and the shingles."""
 
     def to_set(batches):
         for b in tokens.small_batches(batches, 100):
             sets = [shingle_set(t) for t in b.column(1).to_pylist()]
             fine = _short(signatures(sets, FINE_SLOTS))
-            shingles = pa.array([s.view(np.int64).tolist() for s in sets], pa.list_(pa.int64()))
+            shingles = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fine, pa.binary()), shingles, b.column(2)], names=["id", "fine", "shingles", "comp"])
 
     # the texts meet their components, not the sets: these are several times as long; by a shuffle, so that
@@ -300,48 +305,57 @@ def _shared_counts(members: DataFrame, docs: DataFrame, id_col: str, text_col: s
     spread = each.groupBy("x").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("x")
     shared = each.join(spread, "x", "left_semi").groupBy("id").agg(F.count("*").alias("shared"))
     # of two similar texts, each has PERCENT of its shingles in the other
-    # (the sets themselves are counted where they are read, and not shuffled)
+    # (the sets themselves are counted where they are read, and only those of the remaining documents are shuffled)
     counts = sets.select("id", "fine", F.size("shingles").alias("n")).join(shared, "id").where(100 * F.col("shared") >= PERCENT * F.col("n"))
-    out = common.staged(counts.select("id", "fine", "n", "shared"))
+    counts = common.staged(counts.select("id", "fine", "n", "shared"))
+    out = common.staged(counts.join(only_wanted(sets.select("id", "shingles"), counts.select("id")), "id"))
+    common.unstage(counts)
     common.unstage(sets)
     return out
 
 
-def _rest_pairs(labelled: DataFrame, profile: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """All pairs of a bucket in different components whose signatures agree, by blocks, and the
-    staged table that they come from."""
-    few = _shared_counts(labelled.select("id", "comp").distinct(), docs, id_col, text_col)
-    counts = common.staged(few.join(only_wanted(profile.select("id", "keys"), few.select("id")), "id"))
-    common.unstage(few)
-    labelled = _mixed_buckets(labelled.join(counts, "id", "left_semi"))
-    sized = labelled.groupBy("key").agg(F.count("*").alias("n")).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    dealt = labelled.join(sized, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    # a block meets every block of its bucket: as the one or as the other of a pair of blocks
+def _rest_links(labelled: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Links between components that settle all pairs of a bucket in different components, as a staged
+    table: each link is confirmed on the full sets, and what they don't connect is refuted. Pairs are
+    compared and confirmed by blocks and never become rows."""
+    sets = _shared_sets(labelled.select("id", "comp").distinct(), docs, id_col, text_col)
+    labelled = _mixed_buckets(labelled.join(sets.select("id", "n"), "id"))
+    # buckets of one hub are one group: the many buckets that a group of copies shares have few hubs
+    hubs = labelled.groupBy("key").agg(F.min_by("id", F.xxhash64("id")).alias("hub"))
+    members = common.staged(labelled.join(hubs, "key").select("hub", "id", "comp", "n").distinct())
+    blocks = F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)
+    sized = members.groupBy("hub").agg(F.ceil(blocks).cast("int").alias("blocks"))
+    dealt = members.join(sized, "hub").withColumn("block", F.pmod(F.xxhash64("id", "hub"), F.col("blocks")).cast("int"))
+    # a block meets every block of its group: as the one or as the other of a pair of blocks
     tasks = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    tasks = tasks.select("key", "id", "comp", "block", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"))
-    rows = tasks.join(counts, "id").groupBy("key", "b1", "b2")
+    tasks = tasks.select("hub", "id", "comp", "block", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"))
+    rows = tasks.join(sets, "id").groupBy("hub", "b1", "b2")
 
     def compare(table: pa.Table) -> pa.Table:
-        ids, comp, block, n, shared = (table.column(c).to_numpy() for c in ("id", "comp", "block", "n", "shared"))
+        ids, root, block, n, shared = (table.column(c).to_numpy().copy() for c in ("id", "comp", "block", "n", "shared"))
         sig = np.frombuffer(b"".join(table.column("fine").to_pylist()), np.uint8).reshape(-1, FINE_SLOTS)
-        keys = np.array(table.column("keys").to_pylist(), np.int64)
-        band = int(np.flatnonzero(keys[0] == table.column("key")[0].as_py())[0])
+        lists = table.column("shingles").combine_chunks()
+        every, ends = lists.flatten().to_numpy().view(np.uint64), np.cumsum(n)
         one = block == table.column("b1")[0].as_py()
         two = block == table.column("b2")[0].as_py()
-        left, right = np.flatnonzero(one), np.flatnonzero(two)
         us, vs = [], []
-        for i in left:
-            other = right[(comp[right] != comp[i]) & ((ids[right] > ids[i]) | ~one[right])]
+        for i in np.flatnonzero(one):
+            other = np.flatnonzero(two & (root != root[i]) & ((ids > ids[i]) | ~one))
             # PERCENT of the union is PERCENT / (100 + PERCENT) of the sum of both sizes
             other = other[(100 + PERCENT) * np.minimum(shared[other], shared[i]) >= PERCENT * (n[other] + n[i])]
-            # a pair counts in the first bucket that it shares
-            other = other[~(keys[other, :band] == keys[i, :band]).any(axis=1)]
-            hit = other[(sig[other] == sig[i]).sum(axis=1) >= FINE_AGREEMENT * FINE_SLOTS]
-            us.append(np.minimum(ids[hit], ids[i]))
-            vs.append(np.maximum(ids[hit], ids[i]))
-        return pa.table({"u": np.concatenate(us) if us else np.zeros(0, np.int64), "v": np.concatenate(vs) if vs else np.zeros(0, np.int64)})
-
-    return rows.applyInArrow(compare, "u long, v long").distinct(), counts
+            other = other[(sig[other] == sig[i]).sum(axis=1) >= FINE_AGREEMENT * FINE_SLOTS]
+            own = every[ends[i] - n[i] : ends[i]]
+            for j in other:
+                if root[j] != root[i] and _similar(own, every[ends[j] - n[j] : ends[j]]):
+                    us.append(min(ids[i], ids[j]))
+                    vs.append(max(ids[i], ids[j]))
+                    root[root == root[j]] = root[i]  # the other pairs of both need no comparison
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+
+    out = common.staged(rows.applyInArrow(compare, "u long, v long").distinct())
+    common.unstage(members)
+    common.unstage(sets)
+    return out
 
 
 def _representatives(one: DataFrame, whole: DataFrame) -> DataFrame:
@@ -373,13 +387,11 @@ def duplicate_rows(rows: DataFrame, no_col: str, name_col: str = "doc_id", text_
             star = common.staged(_star_pairs(labelled, turn))
             pairs = agreeing(star, reps)
             common.unstage(star)
+            found = confirmed(pairs, rows, no_col, text_col)
+            common.unstage(pairs)
         else:
-            rest, counts = _rest_pairs(labelled, reps, rows, no_col, text_col)
-            pairs = common.staged(rest)
-            common.unstage(counts)
+            found = _rest_links(labelled, rows, no_col, text_col)
         common.unstage(labelled)
-        found = confirmed(pairs, rows, no_col, text_col)
-        common.unstage(pairs)
         merged = components.stars(found if roots is None else roots.unionByName(found))
         common.unstage(found)
         if roots is not None:

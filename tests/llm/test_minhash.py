@@ -5,7 +5,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from claims_cohorts.llm import components, minhash
+from claims_cohorts.llm import common, components, minhash
 
 
 def brute(rows):
@@ -67,6 +67,36 @@ def test_links_that_no_hub_sees(make_docs, monkeypatch):
     assert result(minhash.duplicate_components(make_docs(texts))) == brute(enumerate(texts))
 
 
+def test_blocks_by_shingles(make_docs, monkeypatch):
+    monkeypatch.setattr(minhash, "STAR_ROUNDS", 0)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 1000)  # some eight documents a block
+    texts = near_copies(50, seed=6) + near_copies(20, seed=7, words=300)
+    assert result(minhash.duplicate_components(make_docs(texts))) == brute(enumerate(texts))
+
+
+def test_refuted_pairs_of_a_group_are_not_rows(make_docs, monkeypatch):
+    """Edits of one text that are all a little too unlike each other: pairs grow with the square."""
+    r, texts = random.Random(6), []
+    for i in range(120):
+        w = [f"w{k}" for k in range(400)]
+        for k in r.sample(range(5, 395), 7):  # some 35 of 396 shingles are its own
+            w[k] = f"e{i}-{k}"
+        texts.append(" ".join(w))
+    texts += [f"{t} end" for t in texts[:3]]
+    counts, stage = [], common.staged
+
+    def staged(df):
+        out = stage(df)
+        if df.columns == ["u", "v"]:
+            counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(common, "staged", staged)
+    got = result(minhash.duplicate_components(make_docs(texts)))
+    assert got == brute(enumerate(texts)) and len({c for _, c in got.values()}) > 20
+    assert 3 <= max(counts) <= minhash.HUBS * len(texts)
+
+
 def test_whole_smallest_table(corpus):
     df, rows = corpus
     assert result(minhash.duplicate_components(df)) == brute(rows)
