@@ -9,7 +9,7 @@ from claims_cohorts.plans.run import run_cohorts
 from claims_cohorts.plans.spec import load_config
 from claims_cohorts.sources.tables import check_load_tables, check_schema, table_profile
 from claims_cohorts.sources.testdata import AS_OF, testdata_tables
-from tests.helpers import claims, index
+from tests.helpers import D, claims, index
 
 SF = "/root/testdata/sf0.001"
 
@@ -73,6 +73,46 @@ def test_run_cohorts_writes_everything(spark):
     assert _json(os.path.join(base, "combined_cohorts_metadata.json"))["date_range"]["earliest"] is not None
 
 
+def test_combined_summary_lists_and_counts_the_cohorts(spark):
+    from claims_cohorts.plans.run import combined_summary
+
+    schema = "member_id_hash string, index_date date, cohort string"
+    a, b = D("2020-01-02"), D("2021-03-04")
+    rows = [("p", a, "A"), ("p", a, "A"), ("q", None, "B"), ("r", b, "other"), ("s", D("2019-05-06"), None), ("t", b, "A")]
+    (r,) = combined_summary(spark.createDataFrame(rows, schema), ["B", "empty", "A"], "T").collect()
+    assert (r.total_rows, r.n_cohorts, r.earliest_index_date, r.latest_index_date) == (6, 3, D("2019-05-06"), b)
+    assert r.cohorts == ["B", "A", "other"] and r.cohort_counts == {"B": 1, "A": 3, "other": 1}
+    assert r.timestamp == "T" and r.columns == ["member_id_hash", "index_date", "cohort"]
+    (e,) = combined_summary(spark.createDataFrame([], schema), ["A"], "T").collect()
+    assert (e.total_rows, e.n_cohorts, e.earliest_index_date, e.cohorts, e.cohort_counts) == (0, 0, None, [], {})
+
+
+def test_combined_metadata_query_has_all_of_the_document(spark):
+    from claims_cohorts.plans import queries as Q
+
+    folder = tempfile.mkdtemp(prefix="meta-", dir="/tmp")
+    days = ["2000-01-01", "2000-03-01", "2000-09-01", "2001-02-01"]
+    orders = [(100 * c + 4 * i, c, D(day)) for c in (1, 2, 3) for i, day in enumerate(days)]
+    # part keys are places in the codebook: I10, E78.0, E11.9; the first two customers have both of the first codes
+    lines = [(o, part, 1, part) for o, c, _ in orders for part in ((12, 21) if c < 3 else (27,))]
+    tables = {
+        "orders": (orders, "o_orderkey long, o_custkey long, o_orderdate date"),
+        "lineitem": (lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int"),
+        "customer": ([(c, f"n{c}", "s") for c in (1, 2, 3)], "c_custkey long, c_name string, c_mktsegment string"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/{name}.parquet")
+    (r,) = Q.all_queries()["combined_metadata"](spark, folder).collect()
+    meta = run_cohorts(spark, Q.tables(spark, folder), Q.config(), f"{folder}/out", as_of=AS_OF, timestamp="20010801_000000")
+    assert 1 < len(meta["cohorts"]) < len(Q.config().names()) and len(set(meta["cohort_counts"].values())) > 1
+    assert (r.total_rows, r.n_cohorts) == (meta["total_patients"], len(meta["cohorts"]))
+    assert r.cohorts == ",".join(meta["cohorts"])
+    assert r.cohort_counts == ",".join(f"{k}={n}" for k, n in meta["cohort_counts"].items())
+    assert (r.timestamp, r["columns"]) == (meta["timestamp"], ",".join(meta["columns"]))
+    dates = [x.isoformat() + "T00:00:00" for x in (r.earliest_index_date, r.latest_index_date)]
+    assert dates == [meta["date_range"]["earliest"], meta["date_range"]["latest"]]
+
+
 def test_combined_only_and_file_uri(spark):
     t, cfg = testdata_tables(spark, SF), load_config()
     base = os.path.join(tempfile.mkdtemp(prefix="only-", dir="/tmp"), "c")
